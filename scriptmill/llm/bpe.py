@@ -21,8 +21,10 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 import unicodedata
 from collections.abc import Iterator
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -35,14 +37,19 @@ from scriptmill.llm.common import slices
 #: Distinct words that a task remembers at a time.
 REMEMBERED = 300_000
 END = "</w>"
-SPACES = regex.compile(r"\s+")
-#: How the tokenizer cuts words, a fixed value.
-WORD = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
-
 #: Characters outside the ranges in which all versions of Unicode in use agree.
 UNSETTLED = regex.compile(r"[^\x00-\u052F\u2010-\u2027\u2030-\u205E\u20A0-\u20B5\u2190-\u23F3\u2500-\u26FF]")
 
 
+def _settled_word() -> re.Pattern:
+    """How the tokenizer cuts words (fixed value: endings, runs of letters, single numbers, runs of other signs), for the settled characters."""
+    sets = {k: "".join(re.escape(chr(c)) for c in range(0x530) if unicodedata.category(chr(c))[0] == k) for k in "LN"}
+    return re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{sets['L']}]+|[{sets['N']}]|[^\s{sets['L']}{sets['N']}]+")
+
+
+SETTLED_WORD = _settled_word()
+
+
 def byte_letters() -> list[str]:
     """The letter that stands for each byte: itself if printable, else the next from U+0100 on."""
     own = {*range(33, 127), *range(161, 173), *range(174, 256)}
@@ -71,10 +78,13 @@ class Bpe:
         # of equal pairs the last rule holds, as in a map filled in order
         last = np.append(keys[order][1:] != keys[order][:-1], True)
         self.keys, self.ranks, self.made = keys[order][last], order[last].astype(np.int64), made[order][last]
-        self.known: dict[str, tuple[tuple[int, ...], str, str]] = {}
+        self.names = [str(i) for i in range(max(self.tokens) + 1)]
+        #: Of each word its ids, their number, and ids and tokens joined by spaces.
+        self.known: dict[str, tuple[list[int], int, str, str]] = {}
 
     def normalize(self, text: str) -> str:
-        text = SPACES.sub(" ", unicodedata.normalize("NFC", text))
+        """NFC and lower case; white space needs no care, since no word has any."""
+        text = unicodedata.normalize("NFC", text)
         return text.lower() if "Σ" not in text else "".join(c.lower() for c in text)
 
     def merge(self, words: list[str]) -> list[np.ndarray]:
@@ -122,12 +132,15 @@ class Bpe:
     def learn(self, words: set[str]) -> None:
         fresh = [w for w in words if w not in self.known]
         for w, ids in zip(fresh, self.merge(fresh) if fresh else [], strict=True):
-            ids = tuple(ids.tolist())
-            self.known[w] = (ids, " ".join(map(str, ids)), self.decode(ids))
+            self.known[w] = self.entry(ids.tolist())
+
+    def entry(self, ids: list[int]) -> tuple[list[int], int, str, str]:
+        names = self.names
+        return ids, len(ids), " ".join([names[i] for i in ids]), self.decode(ids)
 
     def plain_words(self, text: str) -> list[str]:
         if text.isascii() or not UNSETTLED.search(text):
-            return WORD.findall(self.normalize(text))
+            return SETTLED_WORD.findall(self.normalize(text))
         cut = self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(text))
         return [bytes(self.byte_of[c] for c in w).decode("utf-8") for w, _ in cut]
 
@@ -147,7 +160,7 @@ class Bpe:
         if len(self.known) > REMEMBERED:
             self.known.clear()
         for s, i in self.special.items():
-            self.known[s] = ((i,), str(i), self.decode((i,)))
+            self.known[s] = self.entry([i])
         self.learn(set().union(*cut))
         return cut
 
@@ -156,7 +169,8 @@ class Bpe:
 
     def decode(self, ids) -> str:
         """The tokens joined by spaces, as a tokenizer without a decoder does; unknown ids are left out."""
-        return " ".join(self.tokens[i] for i in ids if i in self.tokens)
+        tokens = self.tokens
+        return " ".join([tokens[i] for i in ids if i in tokens])
 
 
 def _digests(path: str, text: str):
@@ -165,10 +179,10 @@ def _digests(path: str, text: str):
         for batch in slices(batches, text):
             counts, ids, plain = [], [], []
             for words in bpe.words_of([t or "" for t in batch[text].to_pylist()]):
-                found = [bpe.known[w] for w in words]
-                counts.append(sum([len(x[0]) for x in found]))
-                ids.append(sha(" ".join([x[1] for x in found]).encode()).hexdigest())
-                plain.append(sha(" ".join([x[2] for x in found]).encode()).hexdigest())
+                found = list(map(bpe.known.__getitem__, words))
+                counts.append(sum(map(itemgetter(1), found)))
+                ids.append(sha(" ".join(map(itemgetter(2), found)).encode()).hexdigest())
+                plain.append(sha(" ".join(map(itemgetter(3), found)).encode()).hexdigest())
             rest = [c for c in batch.schema.names if c != text]
             yield pa.RecordBatch.from_arrays([*[batch[c] for c in rest], pa.array(counts, pa.int64()), pa.array(ids), pa.array(plain)], [*rest, "n_tokens", "ids_sha256", "decoded_sha256"])
 
