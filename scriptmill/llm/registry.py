@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scriptmill.llm import bpe, ctw, decontaminate, media, quality, secrets, sharding, simhash, substrings, warc
+from scriptmill.llm import bpe, ctw, decontaminate, media, oracle, quality, secrets, sharding, simhash, substrings, warc
 from scriptmill.llm.common import shared_path, table
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -81,4 +81,4 @@ def op10_ctw(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_warc, op2_sharding, op3_secrets, op4_quality, op5_simhash, op6_bpe, op7_substrings, op8_media, op9_decontaminate, op10_ctw)}
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = oracle.ORACLE_SQL
