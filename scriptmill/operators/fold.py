@@ -18,6 +18,7 @@ from scriptmill.functions.mapping import to_cyrillic
 from scriptmill.operators.correct import correct_bulgarian
 from scriptmill.operators.detector import EN, Detector, Features
 from scriptmill.operators.lookup import classify
+from scriptmill.sources.shared import small_side, stored
 
 STATE = "struct<last:string,streak:int,sure:array<string>,out:array<struct<pos:int,word:string,lang:string,output:string>>>"
 
@@ -76,7 +77,7 @@ def features(words: DataFrame, en: DataFrame, bg: DataFrame, word: str = "word")
     """``words`` with in_en, in_bg and bg_fix, the correction of words in neither lexicon."""
     classed = classify(words, en, bg, word)
     unknown = classed.filter("class = 'neither'").select(F.col(word).alias("_u")).distinct().withColumn("cyrillic", to_cyrillic(F.col("_u")))
-    fixes = correct_bulgarian(unknown, bg).filter("bg_fix is not null").select("_u", "bg_fix")
+    fixes = small_side(stored(correct_bulgarian(unknown, bg).filter("bg_fix is not null").select("_u", "bg_fix"), "corrections"))
     return classed.join(fixes, F.col(word) == F.col("_u"), "left").drop("_u")
 
 

@@ -7,20 +7,27 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from scriptmill.functions.mapping import to_cyrillic
+from scriptmill.sources.shared import MAX_BROADCAST
 
 
-def classify(words: DataFrame, en: DataFrame, bg: DataFrame, word: str = "word") -> DataFrame:
+def classify(words: DataFrame, en: DataFrame, bg: DataFrame, word: str = "word", limit: int = MAX_BROADCAST) -> DataFrame:
     """``words`` with in_en, in_bg and class (both, bg, en, neither).
 
-    Distinct words meet the lexicons, and the answer goes back to the rows; how
-    each join runs is left to the planner, which knows the sizes.
+    Lexicons of at most ``limit`` words are broadcast, and the words are not
+    shuffled. Larger ones meet the distinct words, and the answer goes back to
+    the rows.
     """
-    distinct = words.select(F.col(word).alias("_w")).distinct()
-    known_en = en.select(F.col("word").alias("_en")).distinct()
-    known_bg = bg.select(F.col("word").alias("_bg")).distinct()
-    found = distinct.join(known_en, F.lower("_w") == F.col("_en"), "left").join(known_bg, F.lower(to_cyrillic(F.col("_w"))) == F.col("_bg"), "left")
-    found = found.select("_w", F.col("_en").isNotNull().alias("in_en"), F.col("_bg").isNotNull().alias("in_bg"))
-    return words.join(found, F.col(word).eqNullSafe(F.col("_w")), "left").drop("_w").withColumn("class", word_class())
+    w, c = F.col(word), F.lower(to_cyrillic(F.col(word)))
+    small = all(x.limit(limit + 1).count() <= limit for x in (en, bg))
+    hint = F.broadcast if small else (lambda x: x)
+    known_en, known_bg = hint(en.select(F.col("word").alias("_en")).distinct()), hint(bg.select(F.col("word").alias("_bg")).distinct())
+    probe = lambda rows, of, cyr: rows.join(known_en, F.lower(of) == F.col("_en"), "left").join(known_bg, cyr == F.col("_bg"), "left")
+    found = [F.col("_en").isNotNull().alias("in_en"), F.col("_bg").isNotNull().alias("in_bg")]
+    if small:
+        return probe(words, w, c).select(*words.columns, *found).withColumn("class", word_class())
+    distinct = probe(words.select(w.alias("_w")).distinct(), F.col("_w"), F.lower(to_cyrillic(F.col("_w")))).select("_w", *found)
+    out = words.join(distinct, w == F.col("_w"), "left").drop("_w")
+    return out.withColumns({k: F.coalesce(k, F.lit(False)) for k in ("in_en", "in_bg")}).withColumn("class", word_class())
 
 
 def word_class() -> Column:

@@ -6,15 +6,16 @@ of English texts, and transliterated tokens of Spanish ones.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from scriptmill.functions import abbreviations, mapping, tokens
 from scriptmill.operators import correct, fold, lookup, replay
 from scriptmill.sources import events, lexicons
+from scriptmill.sources.shared import shared_path, stored
 from scriptmill.streaming import detect
 
 
@@ -33,15 +34,14 @@ def _words(docs: DataFrame) -> DataFrame:
 
 
 def _lexicons(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Both lexicons as stored tables, as word lists would be."""
     docs = _docs(spark, sf_dir)
-    return lexicons.derive_english(docs), lexicons.derive_bulgarian(docs)
+    return stored(lexicons.derive_english(docs), "lexicon-en"), stored(lexicons.derive_bulgarian(docs), "lexicon-bg")
 
 
 def _turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of whole conversations: session, pos (from 0 over all turns) and word."""
     rows = spark.read.parquet(f"{sf_dir}/conversations.parquet").select(F.col("conv_id").alias("session"), "turn", "role", F.posexplode(tokens.segments(F.col("text"))).alias("at", "word"))
-    from pyspark.sql import Window as W
-
     order = W.partitionBy("session").orderBy("turn", "role", "at")
     return rows.select("session", (F.row_number().over(order) - 1).alias("pos"), "word")
 
@@ -84,7 +84,8 @@ def case_restore(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def lexicon_build(spark: SparkSession, sf_dir: str) -> DataFrame:
-    en, bg = _lexicons(spark, sf_dir)
+    docs = _docs(spark, sf_dir)
+    en, bg = lexicons.derive_english(docs), lexicons.derive_bulgarian(docs)
     return en.select(F.lit("en").alias("lexicon"), "word").union(bg.select(F.lit("bg").alias("lexicon"), "word"))
 
 
@@ -136,7 +137,7 @@ def keystroke_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stream_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The full fold over conversations as a stream; equals the batch fold."""
-    base = (spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp").rstrip("/") + f"/scriptmill/stream-{uuid.uuid4().hex}"
+    base = shared_path(spark, "stream")
     rows = fold.features(_turns(spark, sf_dir), *_lexicons(spark, sf_dir)).select("session", "pos", "word", "in_en", "in_bg", "bg_fix")
     rows.write.parquet(f"{base}/in")
     stream = spark.readStream.schema(rows.schema).parquet(f"{base}/in")
