@@ -1,18 +1,18 @@
 """SimHash near-duplicates by meet-in-the-middle ball hashing.
 
-Fingerprints that differ in at most ``radius`` bits have a common point within
-half the radius of both, so every fingerprint emits points of its ball of half
-the radius, and a shuffle on the points brings such fingerprints together. All
-fingerprints at one point are within ``radius`` of each other, so a star to the
-least of them carries every link: no pairs are emitted, however large the group.
-
-A whole ball has 2,081 points at radius 4. Two exact filters keep most of them
-from being emitted. One half of the 64 bits differs in at most half the radius,
-so the middle point may be chosen within a quarter of it on that half: a
-fingerprint first emits the 33 points of each of its halves, and only where
-another fingerprint shares such a half point are the full points around it
-emitted. And where all who share a half point have the same half, only that
-half itself is followed.
+Fingerprints that differ in at most RADIUS bits have a common point within half
+of that of both, so every fingerprint emits points of its ball of half the
+radius, and a shuffle on the points brings such fingerprints together. At a
+point, stars to the least fingerprint of each distance carry every link: no
+pairs are emitted, however large the group.
+
+A whole ball has 2,081 points. An exact filter keeps most of them from being
+emitted. Of three blocks of the 64 bits, the two that differ least differ in at
+most half the radius, so the middle point may be chosen within a quarter of it
+there: a fingerprint first emits, for each choice of two blocks, the 43 or 44
+points of this smaller ball (its keys), and only where another fingerprint
+shares a key are the full points around it emitted. Where all who share a key
+agree on both blocks, only that key itself is followed.
 
 Components of the links come from alternating large-star and small-star rounds,
 each written to the shared folder.
@@ -34,13 +34,13 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
-from scriptmill.llm.common import group_min, slices, stored, utf8
+from scriptmill.llm.common import group_min, salt, salts_of, slices, stored, utf8
 
 WORDS, RADIUS, SEED = 4, 4, 42
 #: For each value of a byte, eight byte lanes that hold its bits.
 LANES = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").copy().view(np.uint64).ravel()
-LOW = 0xFFFFFFFF
 
 
 def shingle_hashes(data: bytes, words: int = WORDS, seed: int = SEED) -> list[int]:
@@ -91,37 +91,71 @@ def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wo
     return rows.mapInArrow(_fingerprint("text", words), f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, fp bigint")
 
 
-def ball(center: Column, bits: int, radius: int) -> Column:
-    """All numbers within ``radius`` (0 to 2) flips of the lowest ``bits`` bits."""
-    one = [1 << i for i in range(bits)]
+#: The bits of the three blocks.
+BLOCKS = (range(0, 21), range(21, 42), range(42, 64))
+
+
+def _signed(x: int) -> int:
+    return x - (1 << 64) if x >> 63 else x
+
+
+def _mask(bits) -> int:
+    return _signed(sum(1 << b for b in bits))
+
+
+def ball(center: Column, bits, radius: int) -> Column:
+    """All numbers within ``radius`` (0 to 2) flips of the given bits."""
+    one = [1 << b for b in bits]
     masks = [0, *(one if radius else []), *([a | b for i, a in enumerate(one) for b in one[:i]] if radius > 1 else [])]
-    return F.transform(F.array(*[F.lit(m) for m in masks]), lambda m: m.bitwiseXOR(center))
-
-
-def half_of(fp: Column, half: Column | int) -> Column:
-    high = F.shiftrightunsigned(fp, 32)
-    low = fp.bitwiseAND(F.lit(LOW))
-    return F.when(F.lit(half) == 0, low).otherwise(high) if isinstance(half, int) else F.when(half == 0, low).otherwise(high)
-
-
-def links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """Distinct links a > b between fingerprints at most ``radius`` bits apart; their components are those of all such pairs."""
-    if radius != 4:
-        raise ValueError("the half points are worked out for radius 4")
-    distinct = stored(fps.select("fp").distinct(), "fingerprints")
-    sides = distinct.select("fp", F.explode(F.array(F.lit(0), F.lit(1))).alias("half"))
-    points = sides.select("fp", "half", F.explode(ball(half_of(F.col("fp"), F.col("half")), 32, 1)).alias("point"))
-    own = half_of(F.col("fp"), F.col("half"))
-    met = points.groupBy("half", "point").agg(F.count("*").alias("n"), F.min(own).alias("lo"), F.max(own).alias("hi"))
-    met = met.filter((F.col("n") > 1) & ((F.col("lo") < F.col("hi")) | (F.col("lo") == F.col("point")))).select("half", "point")
-    near = stored(points.join(met, ["half", "point"]), "half-points")
-    other = half_of(F.col("fp"), 1 - F.col("half"))
-    around = F.when(own == F.col("point"), ball(other, 32, 2)).otherwise(ball(other, 32, 1))
-    full = near.select("fp", "half", "point", F.explode(around).alias("rest"))
-    join = lambda high, low: F.shiftleft(high, 32).bitwiseOR(low)
-    full = full.select("fp", F.when(F.col("half") == 0, join(F.col("rest"), F.col("point"))).otherwise(join(F.col("point"), F.col("rest"))).alias("point"))
-    pairs = group_min(full, "point", "fp", "to").select(F.col("fp").alias("a"), F.col("to").alias("b")).filter("a > b").distinct()
-    return pairs.filter(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius)
+    return F.transform(F.array(*[F.lit(_signed(m)) for m in masks]), lambda m: m.bitwiseXOR(center))
+
+
+def _by_block(k: Column, make) -> Column:
+    out = F.when(k == 0, make(0))
+    for i in range(1, len(BLOCKS)):
+        out = out.when(k == i, make(i))
+    return out
+
+
+def _outside(k: int) -> list[int]:
+    return [b for i, block in enumerate(BLOCKS) if i != k for b in block]
+
+
+def points(fps: DataFrame) -> DataFrame:
+    """fp and point: those points of each fingerprint's ball that another one may share."""
+    parts = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    fp, k = F.col("fp"), F.col("k")
+    own = _by_block(k, lambda i: fp.bitwiseAND(F.lit(_mask(_outside(i)))))
+    sides = fps.repartition(parts, "fp").select("fp", F.explode(F.array(*[F.lit(i) for i in range(len(BLOCKS))])).alias("k")).withColumn("own", own)
+    keys = sides.select("fp", "k", F.explode(_by_block(k, lambda i: ball(F.col("own"), _outside(i), 1))).alias("key"))
+    # a key has at most 44 * 2**22 fingerprints, and the window spills
+    every = W.partitionBy("k", "key")
+    met = keys.withColumn("own", own).select("fp", "k", "key", F.count("*").over(every).alias("n"), F.min("own").over(every).alias("lo"), F.max("own").over(every).alias("hi"))
+    met = met.filter((F.col("n") > 1) & ((F.col("lo") < F.col("hi")) | (F.col("lo") == F.col("key"))))
+    near = stored(met.select("fp", "k", "key"), "keys")
+    rest = _by_block(k, lambda i: fp.bitwiseAND(F.lit(_mask(BLOCKS[i]))))
+    around = lambda r: _by_block(k, lambda i: ball(rest, BLOCKS[i], r))
+    full = near.select("fp", "key", F.explode(F.when(own == F.col("key"), around(2)).otherwise(around(1))).alias("rest"))
+    return full.select("fp", F.col("key").bitwiseOR(F.col("rest")).alias("point")).distinct()
+
+
+def links(fps: DataFrame) -> DataFrame:
+    """Links (a, b) whose components are those of all pairs at most RADIUS bits apart.
+
+    Fingerprints at a point are told apart by their distance from it, 0 to 2.
+    Those at 1 are linked to the one at 0 and to the least at 1; those at 2 to
+    the least at 1 and to the least at 2, but only if they are as far from each
+    other as the way over the point: nearer ones are linked at a nearer point.
+    """
+    far = F.bit_count(F.col("fp").bitwiseXOR(F.col("point")))
+    rows = points(stored(fps.select("fp").distinct(), "fingerprints")).withColumn("far", far).withColumn("_salt", salt("fp"))
+    least = [F.min(F.when(F.col("far") == d, F.col("fp"))).alias(f"m{d}") for d in range(3)]
+    met = rows.groupBy("point").agg(F.count("*").alias("n"), *least, F.bit_or(F.expr("shiftleft(1L, _salt)")).alias("_mask"))
+    met = met.filter("n > 1").select("point", "m0", "m1", "m2", F.explode(salts_of("_mask")).alias("_salt"))
+    to = lambda d, e: F.when((F.col("far") == d) & (F.bit_count(F.col("fp").bitwiseXOR(F.col(f"m{e}"))) == d + e), F.col(f"m{e}"))
+    ends = F.array_compact(F.array(to(1, 0), to(1, 1), to(2, 1), to(2, 2)))
+    near = rows.hint("merge").join(met, ["point", "_salt"]).select("fp", ends.alias("ends")).filter(F.size("ends") > 0)
+    return near.select(F.col("fp").alias("a"), F.explode("ends").alias("b")).distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -141,10 +175,10 @@ def components(edges: DataFrame) -> DataFrame:
         state = now
 
 
-def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = WORDS, radius: int = RADIUS) -> DataFrame:
+def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = WORDS) -> DataFrame:
     """doc_id, fp and component_id of each row."""
     fps = stored(fingerprints(docs, doc_id, text, words), "simhash")
-    roots = components(links(fps, radius))
+    roots = components(links(fps))
     reps = fps.groupBy("fp").agg(F.min("doc_id").alias("rep"))
     named = reps.join(roots, reps["fp"] == roots["node"], "left").select("fp", "rep", F.coalesce("root", "fp").alias("root"))
     least = group_min(named, "root", "rep", "component_id").select(F.col("fp").alias("_fp"), "component_id")
