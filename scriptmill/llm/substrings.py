@@ -43,7 +43,9 @@ WINDOW, ANCHOR, STEP = 20, 4, 4
 #: Suffixes in a group.
 GROUP = 200_000
 #: Bytes of text that a task works on at a time.
-PIECE = 3 << 20
+PIECE = 1 << 20
+#: Suffixes that a task gathers before it sends them on.
+HELD = 400_000
 LAST = (1 << 63) - 1
 U = np.uint64
 BYTE, GRAM, PATH, SECOND = U(0x9E3779B97F4A7C15), U(0xD6E8FEB86659FD93), U(0xA0761D6478BD642F), U(0xE7037ED1A0B428DB)
@@ -121,14 +123,19 @@ def _signed(x: np.ndarray) -> pa.Array:
 def _anchors(window: int, gram: int):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", PIECE):
-            keys, lead = np.unique(batch["th"].to_numpy(), return_index=True)
+            # of equal texts at hand the one with the smallest id is enough
+            ids, th = batch["id"].to_numpy(), batch["th"].to_numpy()
+            order = np.lexsort((ids, th))
+            lead = np.sort(order[np.append(True, th[order][1:] != th[order][:-1])])
             texts = batch["text"].take(pa.array(lead)).to_pylist()
             text, start, n, anchor = anchors_of(Words([utf8(t) for t in texts]), window, gram)
             order = np.lexsort((anchor, text))
             t, a = text[order], anchor[order]
             same = np.append((t[1:] == t[:-1]) & (a[1:] == a[:-1]), False)
             again = same | np.append(False, same[:-1])
-            yield pa.RecordBatch.from_arrays([_signed(a), pa.array(keys[t]), pa.array(start[order].astype(np.int32)), pa.array(n[order].astype(np.int32)), pa.array(again.astype(np.int8))], ["anchor", "th", "start", "n", "again"])
+            doc = pa.array(lead[t])
+            cols = [_signed(a), batch["th"].take(doc), batch["id"].take(doc), batch["tag"].take(doc), pa.array(start[order].astype(np.int32)), pa.array(n[order].astype(np.int32)), pa.array(again.astype(np.int8))]
+            yield pa.RecordBatch.from_arrays(cols, ["anchor", "th", "id", "tag", "start", "n", "again"])
 
     return work
 
@@ -148,44 +155,65 @@ def _prefixes(window: int, floor: int):
     return work
 
 
-def _suffixes(window: int, heavy, groups: int):
+def _own_suffixes(batch: pa.RecordBatch, window: int, known: np.ndarray, groups: int) -> tuple[np.ndarray, ...]:
+    """group, path, tag2, id, tag and start of the suffixes in a batch's runs."""
+    words = Words([utf8(t) for t in batch["text"].to_pylist()])
+    lists = batch["runs"]
+    runs, owner = lists.flatten(), np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy())
+    first, n = runs.field("start").to_numpy(), runs.field("n").to_numpy()
+    start = np.repeat(first - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
+    doc = np.repeat(owner, n)
+    at = start + words.first[doc]
+    prefix = words.grams(STEP, PATH)[at]
+    for size in range(2 * STEP, window + STEP, STEP):
+        long = np.isin(prefix, known)
+        if not long.any():
+            break
+        prefix[long] = words.grams(min(size, window), PATH)[at[long]]
+    group = (mix(prefix) % U(groups)).astype(np.int32)
+    tag2 = (words.grams(window, SECOND)[at] >> U(32)).astype(np.uint32)
+    return group, words.grams(window, PATH)[at], tag2, batch["id"].to_numpy()[doc], batch["tag"].to_numpy()[doc], start.astype(np.int32)
+
+
+def _packed(columns: tuple[np.ndarray, ...]) -> Iterator[pa.RecordBatch]:
+    """A row for each group; ids as differences, which compress well."""
     names = ["group", "late", "path", "tag2", "id", "tag", "start"]
+    kinds = [pa.int32(), pa.bool_(), *[pa.binary()] * 5]
+
+    def rows(late: bool, g, *cols):
+        order = np.lexsort((cols[4], cols[2], g))
+        g, cols = g[order], [c[order] for c in cols]
+        cuts = [*np.flatnonzero(np.append(True, g[1:] != g[:-1])).tolist(), len(g)] if len(g) else [0]
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            path, tag2, ids, tags, starts = (c[a:b] for c in cols)
+            yield int(g[a]), late, path.tobytes(), tag2.tobytes(), np.diff(ids, prepend=0).tobytes(), tags.tobytes(), starts.tobytes()
+
+    g, path, tag2, ids, tags, starts = columns
+    order = np.lexsort((starts, ids, tag2, path, g))
+    columns = tuple(c[order] for c in columns)
+    g, path, tag2, ids, tags, starts = columns
+    same = np.append(False, (path[1:] == path[:-1]) & (tag2[1:] == tag2[:-1]) & (g[1:] == g[:-1]))
+    lead = np.maximum.accumulate(np.where(same, 0, np.arange(len(same))))
+    # later than another suffix at hand: marked at once, and only passed on
+    late = same & ((ids != ids[lead]) | (starts != starts[lead]))
+    # a late suffix is not compared again and needs no labels
+    gone = int(late.sum())
+    out = [*rows(False, *(c[~same] for c in columns)), *rows(True, g[late], np.zeros(gone, U), np.zeros(gone, np.uint32), ids[late], tags[late], starts[late])]
+    if out:
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names)
+
 
+def _suffixes(window: int, heavy, groups: int):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = heavy.value
+        parts, held = [], 0
         for batch in slices(batches, "text", PIECE):
-            words = Words([utf8(t) for t in batch["text"].to_pylist()])
-            doc, at, start = [], [], []
-            for k, runs in enumerate(batch["runs"].to_pylist()):
-                pairs = np.array([(r["start"], r["n"]) for r in runs], np.int64).reshape(-1, 2)
-                here = np.repeat(pairs[:, 0] - np.concatenate([[0], np.cumsum(pairs[:, 1])[:-1]]), pairs[:, 1]) + np.arange(pairs[:, 1].sum())
-                doc.append(np.full(len(here), k)), at.append(here + words.first[k]), start.append(here)
-            doc, at, start = (np.concatenate(x) if x else np.empty(0, np.int64) for x in (doc, at, start))
-            prefix = words.grams(STEP, PATH)[at]
-            tag2 = (words.grams(window, SECOND)[at] >> U(32)).astype(np.uint32)
-            for n in range(2 * STEP, window + STEP, STEP):
-                long = np.isin(prefix, known)
-                if not long.any():
-                    break
-                prefix[long] = words.grams(min(n, window), PATH)[at[long]]
-            path = words.grams(window, PATH)[at]
-            group = (mix(prefix) % U(groups)).astype(np.int32)
-            ids, tags = batch["id"].to_numpy()[doc], batch["tag"].to_numpy()[doc]
-            order = np.lexsort((start, ids, tag2, path, group))
-            g, p, q, i, t, s = (x[order] for x in (group, path, tag2, ids, tags, start.astype(np.int32)))
-            same = np.append(False, (p[1:] == p[:-1]) & (q[1:] == q[:-1]) & (g[1:] == g[:-1]))
-            if same.any():  # later than another of this batch: marked at once, and only passed on
-                late = np.flatnonzero(same)
-                lead = np.maximum.accumulate(np.where(same, 0, np.arange(len(same))))[late]
-                late = late[(i[late] != i[lead]) | (s[late] != s[lead])]
-                if len(late):
-                    yield pa.RecordBatch.from_arrays([pa.array(g[late[:1]]), pa.array([True]), *[pa.array([x[late].tobytes()]) for x in (p, q, i, t, s)]], names)
-                g, p, q, i, t, s = (x[~same] for x in (g, p, q, i, t, s))
-            cuts = np.flatnonzero(np.append(True, g[1:] != g[:-1])) if len(g) else []
-            ends = np.append(cuts[1:], len(g)) if len(g) else []
-            rows = [(int(g[a]), False, *(x[a:b].tobytes() for x in (p, q, i, t, s))) for a, b in zip(cuts, ends, strict=True)]
-            cols = list(zip(*rows, strict=True)) or [[]] * 7
-            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.bool_()), *[pa.array(c, pa.binary()) for c in cols[2:]]], names)
+            parts.append(_own_suffixes(batch, window, heavy.value, groups))
+            held += len(parts[-1][0])
+            if held >= HELD:
+                yield from _packed(tuple(np.concatenate(c) for c in zip(*parts, strict=True)))
+                parts, held = [], 0
+        if held:
+            yield from _packed(tuple(np.concatenate(c) for c in zip(*parts, strict=True)))
 
     return work
 
@@ -194,8 +222,10 @@ SUFFIXES = "group int, late boolean, path binary, tag2 binary, id binary, tag bi
 MARKED = "id bigint, tag int, start int"
 
 
-def _arrays(table, kinds=(U, np.uint32, np.int64, np.int32, np.int32)) -> list[np.ndarray]:
-    return [np.frombuffer(b"".join(table[c].to_pylist()), k) for c, k in zip(("path", "tag2", "id", "tag", "start"), kinds, strict=True)]
+def _arrays(table: pa.Table) -> list[np.ndarray]:
+    joined = lambda name, kind: np.frombuffer(b"".join(table[name].to_pylist()), kind)
+    ids = [np.cumsum(np.frombuffer(x, np.int64)) for x in table["id"].to_pylist()]
+    return [joined("path", U), joined("tag2", np.uint32), np.concatenate(ids) if ids else np.empty(0, np.int64), joined("tag", np.int32), joined("start", np.int32)]
 
 
 def deep_nodes(path: np.ndarray, tag2: np.ndarray, ids: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -217,8 +247,7 @@ def _subtree(table: pa.Table) -> pa.Table:
 
 def rows_of(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     rows = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
-    rows = rows.withColumn("id", F.coalesce("doc_id", F.lit(LAST))).withColumn("th", F.xxhash64("text"))
-    return rows.withColumn("tag", F.expr("cast(th & 2147483647 as int)"))
+    return rows.withColumn("id", F.coalesce("doc_id", F.lit(LAST))).withColumn("th", F.xxhash64("text"))
 
 
 def marks(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW, group: int = GROUP) -> DataFrame:
@@ -226,8 +255,13 @@ def marks(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: i
     spark, gram = docs.sparkSession, min(ANCHOR, window)
     rows = rows_of(docs, doc_id, text)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    copies = group_min(rows.select("id", "tag", "th"), "th", "id", "rep")
-    copies = stored(copies.select("id", "tag", "th", (F.col("id") > F.col("rep")).alias("is_copy")).distinct(), "copies")
+    copies = group_min(rows.select("id", "th"), "th", "id", "rep")
+    copies = stored(copies.select("id", "th", (F.col("id") > F.col("rep")).alias("is_copy")).distinct(), "copies")
+    # ids tell documents apart, unless an id has several texts; then a tag of the text helps
+    unique = copies.groupBy("id").agg(F.count("*").alias("n")).filter("n > 1").isEmpty()
+    tag = F.lit(0) if unique else F.expr("cast(th & 2147483647 as int)")
+    rows, copies = rows.withColumn("tag", tag), copies.withColumn("tag", tag)
+    on = ["id"] if unique else ["id", "tag"]
 
     counted = rows.select("text").mapInArrow(_prefixes(window, max(2, group // max(parts, 1))), "prefix bigint, n bigint")
     counted = counted.groupBy("prefix").agg(F.sum("n").alias("n")).filter(F.col("prefix").isNull() | (F.col("n") >= group // 2)).toArrow()  # at most 2 * len / group rows a step
@@ -235,21 +269,21 @@ def marks(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: i
     heavy = spark.sparkContext.broadcast(np.array([x["prefix"] for x in counted.to_pylist() if x["prefix"] is not None], np.int64).view(U))
     groups = max(1, -(-total // group))
 
-    anchors = rows.select("th", "text").mapInArrow(_anchors(window, gram), "anchor bigint, th bigint, start int, n int, again tinyint")
-    anchors = anchors.withColumn("_salt", salt("th"))
+    anchors = rows.select("th", "id", "tag", "text").mapInArrow(_anchors(window, gram), "anchor bigint, th bigint, id bigint, tag int, start int, n int, again tinyint")
+    anchors = anchors.withColumn("_salt", salt("id"))
     shared = anchors.groupBy("anchor").agg(F.min("th").alias("lo"), F.max("th").alias("hi"), F.max("again").alias("again"), F.bit_or(F.expr("shiftleft(1L, _salt)")).alias("_mask"))
     shared = shared.filter("lo <> hi or again = 1").select("anchor", F.explode(salts_of("_mask")).alias("_salt"))
-    runs = anchors.join(shared, ["anchor", "_salt"]).select("th", "start", "n").distinct()
-    runs = runs.groupBy("th").agg(F.collect_list(F.struct("start", "n")).alias("runs"))
+    runs = anchors.select("anchor", "_salt", *on, "start", "n").join(shared, ["anchor", "_salt"])
+    runs = runs.groupBy(*on).agg(F.collect_list(F.struct("start", "n")).alias("runs"))
 
     # the texts' exchange is one and the same in both joins
-    texts = rows.select("id", "tag", "text").repartition(parts, "id", "tag")
-    mine = copies.filter("not is_copy").select("id", "tag", "th").join(runs, "th").select("id", "tag", "runs")
-    suffixes = texts.join(mine.hint("merge"), ["id", "tag"]).mapInArrow(_suffixes(window, heavy, groups), SUFFIXES)
+    texts = rows.select("id", "tag", "text").repartition(parts, *on)
+    mine = copies.filter("not is_copy").select(*on).join(runs, on)
+    suffixes = texts.join(mine.hint("merge"), on).select("id", "tag", "text", "runs").mapInArrow(_suffixes(window, heavy, groups), SUFFIXES)
     late = suffixes.groupBy("group").applyInArrow(_subtree, MARKED)
-    late = late.groupBy("id", "tag").agg(F.collect_list("start").alias("starts"))
-    known = copies.select("id", "tag", "is_copy").join(late, ["id", "tag"], "left")
-    return texts.join(known.hint("merge"), ["id", "tag"]).select(F.when(F.col("id") < LAST, F.col("id")).alias("doc_id"), "text", "is_copy", "starts")
+    late = late.groupBy(*on).agg(F.collect_list("start").alias("starts"))
+    known = copies.select(*on, "is_copy").join(late, on, "left")
+    return texts.join(known.hint("merge"), on).select(F.when(F.col("id") < LAST, F.col("id")).alias("doc_id"), "text", "is_copy", "starts")
 
 
 def removed(n: int, starts, is_copy: bool, window: int) -> np.ndarray:
