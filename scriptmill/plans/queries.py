@@ -144,10 +144,19 @@ def stream_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
     return detect.run_to_end(detect.detect_stream(stream), f"{base}/out", f"{base}/checkpoint")
 
 
+def stream_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation turn typed key by key, as a stream."""
+    base = shared_path(spark, "stream")
+    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    events.typed(turns, F.concat_ws(":", F.col("conv_id"), F.col("turn"), F.col("role"))).write.parquet(f"{base}/in")
+    stream = detect.replay_stream(events.read_event_stream(spark, f"{base}/in"), *_lexicons(spark, sf_dir))
+    return detect.run_to_end(stream, f"{base}/out", f"{base}/checkpoint").filter("emitted <> ''").select("session_id", "seq", "emitted")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         translit_tokens, token_kind_counts, segment_tokens, abbrev_expand, case_restore, lexicon_build, lexicon_class, lexicon_conflicts,
-        lookahead_pairs, edit1_correct, hyphen_map, sim_fold, app_fold, keystroke_replay, stream_fold,
+        lookahead_pairs, edit1_correct, hyphen_map, sim_fold, app_fold, keystroke_replay, stream_fold, stream_replay,
     )
 }

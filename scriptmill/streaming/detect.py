@@ -1,7 +1,7 @@
-"""The full language fold as a stream: state per session, events in any order.
+"""The folds as streams: state per session, events in any order.
 
 Events of a session may come out of order within and between batches. Each waits
-in the session's state until all before it are there, and is then decided.
+in the session's state until all before it are there, and then takes its turn.
 """
 
 from __future__ import annotations
@@ -14,31 +14,34 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from scriptmill.functions.tokens import is_terminal_app
 from scriptmill.operators.detector import EN, Detector, Features
 from scriptmill.operators.fold import RESULT
+from scriptmill.operators.replay import EMITTED, Keyboard, lexicon_set, looker
 
-COLUMNS = ["pos", "word", "in_en", "in_bg", "bg_fix"]
 
+class InOrder(StatefulProcessor):
+    """Hands over the rows of a key by position, gapless from 0, whatever order they come in."""
 
-class SessionFold(StatefulProcessor):
-    """Rows with pos (gapless from 0), word, in_en, in_bg and bg_fix."""
+    position_column: str
+    columns: list[str]
+    result: str
 
-    def __init__(self, default: str = EN) -> None:
-        self.default = default
+    def step(self, key: tuple, text: str | None, row: list) -> tuple[str, tuple]:
+        """The next state and the rest of the output row, from the last state (None at first) and a row."""
+        raise NotImplementedError
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("state", "position bigint, detector string")
-        self.waiting = handle.getMapState("waiting", "pos bigint", "row string")
+        self.state = handle.getValueState("state", "position bigint, text string")
+        self.waiting = handle.getMapState("waiting", "position bigint", "row string")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        position, detector = 0, Detector(self.default)
-        if self.state.exists():
-            position, text = self.state.get()
-            detector = Detector.load(text)
+        position, text = self.state.get() if self.state.exists() else (0, None)
         fresh: dict[int, list] = {}
         for frame in rows:
-            for pos, *row in frame[COLUMNS].astype(object).where(frame[COLUMNS].notna(), None).values.tolist():
-                fresh[int(pos)] = row
+            named = frame[[self.position_column, *self.columns]].astype(object)
+            for at, *row in named.where(named.notna(), None).values.tolist():
+                fresh[int(at)] = row
         out = []
         while True:
             row = fresh.pop(position, None)
@@ -47,26 +50,61 @@ class SessionFold(StatefulProcessor):
                     break
                 row = json.loads(self.waiting.getValue((position,))[0])
                 self.waiting.removeKey((position,))
-            word, in_en, in_bg, fix = row
-            out.append((key[0], position, word, *detector.process(word, Features(bool(in_en), bool(in_bg), fix))))
+            text, done = self.step(key, text, row)
+            out.append((key[0], position, *done))
             position += 1
-        for pos, row in fresh.items():
-            if pos > position:
-                self.waiting.updateValue((pos,), (json.dumps(row),))
-        self.state.update((position, detector.dump()))
+        for at, row in fresh.items():
+            if at > position:  # one before it has passed already
+                self.waiting.updateValue((at,), (json.dumps(row),))
+        self.state.update((position, text))
         if out:
-            yield pd.DataFrame(out, columns=[x.split()[0] for x in RESULT.split(", ")])
+            yield pd.DataFrame(out, columns=[x.split()[0] for x in self.result.split(", ")])
 
     def close(self) -> None:
         pass
 
 
+class SessionFold(InOrder):
+    position_column, columns, result = "pos", ["word", "in_en", "in_bg", "bg_fix"], RESULT
+
+    def __init__(self, default: str = EN) -> None:
+        self.default = default
+
+    def step(self, key: tuple, text: str | None, row: list) -> tuple[str, tuple]:
+        detector = Detector(self.default) if text is None else Detector.load(text)
+        word, in_en, in_bg, fix = row
+        done = detector.process(word, Features(bool(in_en), bool(in_bg), fix))
+        return detector.dump(), (word, *done)
+
+
+class KeyFold(InOrder):
+    position_column, columns, result = "seq", ["terminal", "ch", "key_code", "mods"], EMITTED
+
+    def __init__(self, lexicons, default: str = EN) -> None:
+        self.lexicons, self.default = lexicons, default
+
+    def step(self, key: tuple, text: str | None, row: list) -> tuple[str, tuple]:
+        terminal, ch, code, mods = row
+        board = Keyboard(looker(*self.lexicons), self.default, bool(terminal))
+        if text is not None:
+            board.load(text)
+        emitted, taken = board.key(ch, int(code or 0), mods.split(",") if mods else ())
+        return board.dump(), (emitted, taken, (board.pending + " " if board.pending is not None else "") + board.buffer)
+
+
 def detect_stream(featured: DataFrame, session: str = "session", default: str = EN) -> DataFrame:
     """As operators.fold.detect, on a streaming DataFrame; needs the RocksDB state store."""
     rows = featured.select(F.col(session).cast("string").alias("session"), F.col("pos").cast("bigint").alias("pos"), "word", "in_en", "in_bg", "bg_fix")
     return rows.groupBy("session").transformWithStateInPandas(SessionFold(default), RESULT, "append", "none")
 
 
+def replay_stream(events: DataFrame, en: DataFrame, bg: DataFrame, default: str = EN) -> DataFrame:
+    """As operators.replay.replay, on a streaming DataFrame of key events; text still held when the stream ends is not emitted."""
+    lexicons = lexicon_set(en), lexicon_set(bg)  # with the processor, since its planning worker has no broadcasts
+    rows = events.select("session_id", "seq", is_terminal_app(F.col("bundle_id")).alias("terminal"), "ch", "key_code", F.array_join("mods", ",").alias("mods"))
+    return rows.groupBy("session_id").transformWithStateInPandas(KeyFold(lexicons, default), EMITTED, "append", "none")
+
+
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 

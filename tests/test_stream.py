@@ -13,3 +13,21 @@ def test_stream_equals_batch(spark, tmp_path):
     stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
     got = detect.run_to_end(detect.detect_stream(stream), str(tmp_path / "out"), str(tmp_path / "checkpoint"))
     assert sorted(got.collect()) == sorted(fold.detect(rows).collect())
+
+
+def test_key_stream_equals_batch(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from scriptmill.operators import replay
+    from scriptmill.sources import events
+
+    make = lambda x: spark.createDataFrame([(w,) for w in x], "word string")
+    turns = spark.createDataFrame([("a", "towa :) e po-skoro, "), ("b", "i iskam kafe "), ("c", "u@x.com hello u ")], "s string, text string")
+    keys = events.typed(turns, F.col("s")).cache()
+    keys.filter("seq % 2 = 1").coalesce(1).write.parquet(str(tmp_path / "in"))
+    keys.filter("seq % 2 = 0").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = events.read_event_stream(spark, str(tmp_path / "in"), files_per_trigger=1)
+    got = detect.run_to_end(detect.replay_stream(stream, make(EN_WORDS), make(BG_WORDS)), str(tmp_path / "out"), str(tmp_path / "checkpoint"))
+    want = replay.replay(events.read_events(spark, str(tmp_path / "in")), make(EN_WORDS), make(BG_WORDS))
+    ends = want.groupBy("session_id").agg(F.max("seq").alias("seq"))
+    assert sorted(got.collect()) == sorted(want.join(ends, ["session_id", "seq"], "left_anti").collect())
