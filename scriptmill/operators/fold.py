@@ -52,7 +52,7 @@ def simulate(classed: DataFrame, session: str = "session", pos: str = "pos", wor
     return folded.select(session, F.explode("out").alias("x")).select(session, "x.*")
 
 
-RESULT = "session string, pos bigint, original string, converted string, language string, confidence double"
+RESULT = "session string, pos bigint, original string, converted string, language string, confidence double, in_en boolean, in_bg boolean"
 
 
 def _detect(default: str):
@@ -65,8 +65,8 @@ def _detect(default: str):
                 if s != session:
                     session, state = s, Detector(default)
                 converted, label, confidence = state.process(word, Features(*seen))
-                out.append((s, pos, word, converted, label, confidence))
-            kinds = [pa.string(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64()]
+                out.append((s, pos, word, converted, label, confidence, *seen[:2]))
+            kinds = [pa.string(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.bool_(), pa.bool_()]
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], [x.split()[0] for x in RESULT.split(", ")])
 
@@ -82,7 +82,7 @@ def features(words: DataFrame, en: DataFrame, bg: DataFrame, word: str = "word")
 
 
 def detect(featured: DataFrame, session: str = "session", pos: str = "pos", word: str = "word", default: str = EN) -> DataFrame:
-    """original, converted, language and confidence of each word of the full profile. One shuffle, on the session."""
+    """original, converted, language and confidence of each word of the full profile, with what the lexicons said. One shuffle, on the session."""
     score = lambda c: F.coalesce(F.col(c), F.lit(0.0)) if c in featured.columns else F.lit(0.0)
     rows = featured.select(F.col(session).cast("string").alias("session"), F.col(pos).cast("bigint").alias("pos"), F.col(word).alias("word"), F.coalesce("in_en", F.lit(False)).alias("in_en"), F.coalesce("in_bg", F.lit(False)).alias("in_bg"), "bg_fix", score("en_score").alias("en_score"), score("bg_score").alias("bg_score"))
     return rows.repartition("session").sortWithinPartitions("session", "pos").mapInArrow(_detect(default), RESULT)

@@ -74,7 +74,7 @@ class SessionFold(InOrder):
         detector = Detector(self.default) if text is None else Detector.load(text)
         word, in_en, in_bg, fix = row
         done = detector.process(word, Features(bool(in_en), bool(in_bg), fix))
-        return detector.dump(), (word, *done)
+        return detector.dump(), (word, *done, bool(in_en), bool(in_bg))
 
 
 class KeyFold(InOrder):
