@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from scriptmill.llm.common import slices, stored, utf8
 
-DEPTH, CONTEXTS, FREQUENT = 4, 8192, 1 << 20
+DEPTH, CONTEXTS, FREQUENT = 5, 1 << 16, 1 << 20
 EDGE = 255
 PIECE = 2 << 20
 #: Words or grams that a task holds before it sends them on.
@@ -137,6 +137,37 @@ def decisions(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(zeros, axis=1), np.concatenate(ones, axis=1)
 
 
+class Places:
+    """Where a key stands in a sorted array, by hash tables: keys that lose their slot go on to the next table."""
+
+    def __init__(self, keys: np.ndarray) -> None:
+        self.keys, self.tables, left = keys, [], np.arange(len(keys))
+        while len(left):
+            bits = max(4, int(8 * len(left)).bit_length())
+            table = np.zeros(1 << bits, np.int32)
+            slots = self._slots(keys[left], bits, len(self.tables))
+            table[slots] = left
+            self.tables.append((bits, table))
+            left = left[table[slots] != left]
+
+    @staticmethod
+    def _slots(keys: np.ndarray, bits: int, turn: int) -> np.ndarray:
+        factor = np.uint64(pow(0x9E3779B97F4A7C15, 2 * turn + 1, 1 << 64))
+        return (keys.view(np.uint64) * factor) >> np.uint64(64 - bits)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """The place of each key, or -1."""
+        out, left = np.full(len(keys), -1, np.int32), np.arange(len(keys))
+        for turn, (bits, table) in enumerate(self.tables):
+            asked = keys if not turn else keys[left]
+            at = table[self._slots(asked, bits, turn)]
+            hit = self.keys[at] == asked
+            out[left[hit]] = at[hit]
+            if turn + 1 < len(self.tables):
+                left = left[~hit]
+        return out
+
+
 class Tree:
     """Distributions of the next byte for each kept context; picklable."""
 
@@ -162,6 +193,7 @@ class Tree:
             other_p[d] = ((rest_ones + 0.5) / (rest_zeros + rest_ones + 1.0)).astype(np.float32)
             weighted = math.log(0.5) + np.logaddexp(kt, children)
             share[d] = np.exp(math.log(0.5) + kt - weighted).astype(np.float32)
+        self.places = [Places(k) for k in self.keys]
         self.tables, done, left = [], None, None
         for d in range(last + 1):
             if d == 0:
@@ -191,9 +223,8 @@ class Tree:
         left = np.arange(len(at))
         whole = context(data, at, depth)
         for d in range(depth, -1, -1):
-            ctx = whole[left] & ((1 << 8 * d) - 1)
-            place = np.minimum(np.searchsorted(self.keys[d], ctx), len(self.keys[d]) - 1) if len(self.keys[d]) else np.zeros(len(ctx), np.int64)
-            found = self.keys[d][place] == ctx if len(self.keys[d]) else np.zeros(len(ctx), bool)
+            place = self.places[d].find(whole[left] & ((1 << 8 * d) - 1))
+            found = place >= 0
             value[left[found]] = self.tables[d][place[found], data[at[left[found]]]]
             left = left[~found]
             if not len(left):
