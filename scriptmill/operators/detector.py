@@ -1,15 +1,18 @@
 """The word-by-word decision: a bounded language state, folded over the words of a session.
 
 Pure Python over features that Spark has worked out, used by the batch fold, the
-key replay and the stream alike. State is at most six labels with confidences,
-eight recent words and the last label, so it is small however long a session is.
+key replay and the streams alike. A session's state is its last six labels, each
+confident or not, and eight recent words, so it is small however long a session
+is. A decision depends on few values, so decisions are remembered.
 """
 
 from __future__ import annotations
 
 import json
 import re
-from dataclasses import dataclass, field
+from collections import deque
+from dataclasses import dataclass
+from functools import lru_cache
 
 from scriptmill.functions.abbreviations import BULGARIAN, ENGLISH
 from scriptmill.functions.mapping import LATIN_WORD, TABLE
@@ -19,6 +22,10 @@ EN, BG, UNSURE = "EN", "BG", "??"
 LABELS, RECENT, CONFIDENT = 6, 8, 0.9
 AMBIGUOUS_MARGIN, UNKNOWN_LEAST, UNKNOWN_MARGIN = 0.1, 0.5, 0.15
 LATIN = re.compile(LATIN_WORD.replace(r"\z", r"\Z"))
+#: What comes out: the word, its transliteration, an expansion of either language, the expansion in the word's case, or the correction.
+WORD, SCRIPT, ENGLISH_ABBR, BULGARIAN_ABBR, CASED, FIX = range(6)
+
+History = tuple[tuple[str, bool], ...]
 
 
 @dataclass
@@ -32,99 +39,124 @@ class Features:
     bg_score: float = 0.0
 
 
-@dataclass
+def streak(history: History) -> int:
+    """Confident labels equal to the last one, back to the first other label."""
+    n = 0
+    for label, sure in reversed(history):
+        if label != history[-1][0]:
+            break
+        n += sure
+    return n
+
+
+def dominant(history: History) -> str:
+    lead = sum((label == BG) - (label == EN) for label, sure in history if sure)
+    return BG if lead > 0 else EN if lead < 0 else UNSURE
+
+
+def pushed(history: History, label: str, confidence: float) -> History:
+    return history if label == UNSURE else (*history, (label, confidence >= CONFIDENT))[-LABELS:]
+
+
+def _ambiguous(history: History, default: str, en: float, bg: float) -> tuple[str, float]:
+    last = history[-1][0] if history else UNSURE
+    for label, confidence in ((dominant(history), 0.9), (last, 0.8)):
+        if label != UNSURE:
+            return label, confidence
+    if abs(bg - en) > AMBIGUOUS_MARGIN:
+        return (BG, bg) if bg > en else (EN, en)
+    return default, 0.5
+
+
+def _unknown(history: History, default: str, en: float, bg: float) -> tuple[str, float]:
+    if history:
+        return history[-1][0], 0.7
+    label, best, rest = (BG, bg, en) if bg > en else (EN, en, bg)
+    return (label, best) if best > UNKNOWN_LEAST and best > rest + UNKNOWN_MARGIN else (default, 0.3)
+
+
+def _choose(history: History, en_abbr: bool, bg_abbr: bool, in_en: bool, in_bg: bool, has_fix: bool, short: bool, default: str, en: float, bg: float) -> tuple[int, str, float]:
+    last = history[-1][0] if history else UNSURE
+    if en_abbr and last != BG:
+        return ENGLISH_ABBR, EN, 1.0
+    if bg_abbr and last == BG:
+        return BULGARIAN_ABBR, BG, 1.0
+    run = streak(history)
+    if in_en and in_bg:
+        label, confidence = _ambiguous(history, default, en, bg)
+    elif in_en or in_bg:
+        mine, other = (EN, BG) if in_en else (BG, EN)
+        label, confidence = (other, 0.6) if last == other and run >= 3 and short else (mine, 1.0)
+    elif last == EN and run >= 2:
+        return (CASED, EN, 0.8) if en_abbr else (WORD, EN, 0.5)
+    elif last == BG and run >= 2:
+        return SCRIPT, BG, 0.5
+    elif en_abbr != has_fix:
+        return (CASED, EN, 0.8) if en_abbr else (FIX, BG, 0.8)
+    elif en_abbr and last != UNSURE:
+        return (FIX, BG, 0.7) if last == BG else (CASED, EN, 0.7)
+    else:
+        label, confidence = _unknown(history, default, en, bg)
+    if label == EN and confidence >= 1.0 and en_abbr:
+        return CASED, EN, confidence
+    return (SCRIPT if label == BG else WORD), label, confidence
+
+
+@lru_cache(maxsize=1 << 18)
+def decide(history: History, *given) -> tuple[int, str, float, History]:
+    """What comes out, its label and confidence, and the history after it."""
+    out, label, confidence = _choose(history, *given)
+    return out, label, confidence, pushed(history, label, confidence)
+
+
 class Detector:
-    default: str = EN
-    last: str = UNSURE
-    labels: list[tuple[str, float]] = field(default_factory=list)
-    recent: list[str] = field(default_factory=list)
+    __slots__ = ("default", "history", "recent")
+
+    def __init__(self, default: str = EN, history: History = (), recent=()) -> None:
+        self.default, self.history, self.recent = default, history, deque(recent, RECENT)
 
     def dump(self) -> str:
-        return json.dumps([self.default, self.last, self.labels, self.recent])
+        return json.dumps([self.default, self.history, list(self.recent)])
 
     @classmethod
     def load(cls, text: str) -> Detector:
-        default, last, labels, recent = json.loads(text)
-        return cls(default, last, [tuple(x) for x in labels], recent)
+        default, history, recent = json.loads(text)
+        return cls(default, tuple((label, sure) for label, sure in history), recent)
+
+    def __eq__(self, other) -> bool:
+        return self.dump() == other.dump()
+
+    __hash__ = None
 
     @property
-    def is_first(self) -> bool:
-        return not self.labels
+    def last(self) -> str:
+        return self.history[-1][0] if self.history else UNSURE
 
-    def push(self, word: str, label: str, confidence: float) -> None:
-        if label != UNSURE:
-            self.last = label
-            self.labels = [*self.labels, (label, confidence)][-LABELS:]
-        self.recent = [*self.recent, word][-RECENT:]
-
-    def streak(self) -> int:
-        """Confident labels equal to the last one, back to the first other label."""
-        n = 0
-        for label, confidence in reversed(self.labels):
-            if label != self.last:
-                break
-            n += confidence >= CONFIDENT
-        return n
-
-    def dominant(self) -> str:
-        sure = [label for label, confidence in self.labels if confidence >= CONFIDENT]
-        lead = sure.count(BG) - sure.count(EN)
-        return BG if lead > 0 else EN if lead < 0 else UNSURE
+    @property
+    def is_first(self) -> bool:
+        return not self.history
 
     def process(self, word: str, seen: Features) -> tuple[str, str, float]:
         """(output, label, confidence) of a word, which then counts as history."""
+        return self.step(word, seen.in_en, seen.in_bg, seen.bg_fix, seen.en_score, seen.bg_score)
+
+    def step(self, word: str, in_en: bool, in_bg: bool, bg_fix: str | None, en_score: float = 0.0, bg_score: float = 0.0) -> tuple[str, str, float]:
         if not LATIN.match(word):
             return word, UNSURE, 0.0
         lower = word.lower()
-        if lower in ENGLISH and self.last != BG:
-            out = ENGLISH[lower], EN, 1.0
-        elif lower in BULGARIAN and self.last == BG:
-            out = BULGARIAN[lower], BG, 1.0
-        else:
-            out = self._decide(word, lower, seen)
-        self.push(word, out[1], out[2])
-        return out
-
-    def _decide(self, word: str, lower: str, seen: Features) -> tuple[str, str, float]:
-        script = {EN: word, BG: word.translate(TABLE)}
-        short, streak, fix = len(lower) <= 3, self.streak(), expanded(word)
-        if seen.in_en and seen.in_bg:
-            label, confidence = self._ambiguous(seen)
-        elif seen.in_en or seen.in_bg:
-            mine, other = (EN, BG) if seen.in_en else (BG, EN)
-            label, confidence = (other, 0.6) if self.last == other and streak >= 3 and short else (mine, 1.0)
-        elif self.last == EN and streak >= 2:
-            return (fix, EN, 0.8) if fix else (word, EN, 0.5)
-        elif self.last == BG and streak >= 2:
-            label, confidence = BG, 0.5
-        elif bool(fix) != bool(seen.bg_fix):
-            return (fix, EN, 0.8) if fix else (seen.bg_fix, BG, 0.8)
-        elif fix and self.last != UNSURE:
-            return (seen.bg_fix if self.last == BG else fix), self.last, 0.7
-        else:
-            label, confidence = self._unknown(seen)
-        out = script[label]
-        if confidence >= 1.0 and label == EN:
-            out = fix or out
-        return out, label, confidence
-
-    def _ambiguous(self, seen: Features) -> tuple[str, float]:
-        for label, confidence in ((self.dominant(), 0.9), (self.last, 0.8)):
-            if label != UNSURE:
-                return label, confidence
-        gap = seen.bg_score - seen.en_score
-        if abs(gap) > AMBIGUOUS_MARGIN:
-            return (BG, seen.bg_score) if gap > 0 else (EN, seen.en_score)
-        return self.default, 0.5
-
-    def _unknown(self, seen: Features) -> tuple[str, float]:
-        if self.last != UNSURE:
-            return self.last, 0.7
-        label, best, rest = (BG, seen.bg_score, seen.en_score) if seen.bg_score > seen.en_score else (EN, seen.en_score, seen.bg_score)
-        return (label, best) if best > UNKNOWN_LEAST and best > rest + UNKNOWN_MARGIN else (self.default, 0.3)
-
-
-def expanded(word: str) -> str | None:
-    """The English abbreviation's expansion, with a capital where the word has one."""
-    out = ENGLISH.get(word.lower())
-    return out and (out[:1].upper() + out[1:] if word[:1].isupper() else out)
+        how, label, confidence, self.history = decide(self.history, lower in ENGLISH, lower in BULGARIAN, in_en, in_bg, bg_fix is not None, len(lower) <= 3, self.default, en_score, bg_score)
+        self.recent.append(word)
+        if how == WORD:
+            return word, label, confidence
+        if how == SCRIPT:
+            return word.translate(TABLE), label, confidence
+        return self._other(how, word, lower, bg_fix), label, confidence
+
+    @staticmethod
+    def _other(how: int, word: str, lower: str, bg_fix: str | None) -> str:
+        if how == FIX:
+            return bg_fix
+        if how == BULGARIAN_ABBR:
+            return BULGARIAN[lower]
+        out = ENGLISH[lower]
+        return out[:1].upper() + out[1:] if how == CASED and word[:1].isupper() else out

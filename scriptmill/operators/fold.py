@@ -10,13 +10,15 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scriptmill.functions.mapping import to_cyrillic
 from scriptmill.operators.correct import correct_bulgarian
-from scriptmill.operators.detector import EN, Detector, Features
+from scriptmill.operators.detector import EN, Detector
 from scriptmill.operators.lookup import classify
 from scriptmill.sources.shared import small_side, stored
 
@@ -56,19 +58,26 @@ RESULT = "session string, pos bigint, original string, converted string, languag
 
 
 def _detect(default: str):
+    kept, names = ["session", "pos", "word"], [x.split()[0] for x in RESULT.split(", ")]
+
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        session, state = object(), Detector(default)
+        last, state = None, None
         for batch in batches:
-            cols = [batch[c].to_pylist() for c in ("session", "pos", "word", "in_en", "in_bg", "bg_fix", "en_score", "bg_score")]
-            out = []
-            for s, pos, word, *seen in zip(*cols, strict=True):
-                if s != session:
-                    session, state = s, Detector(default)
-                converted, label, confidence = state.process(word, Features(*seen))
-                out.append((s, pos, word, converted, label, confidence, *seen[:2]))
-            kinds = [pa.string(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.bool_(), pa.bool_()]
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], [x.split()[0] for x in RESULT.split(", ")])
+            if not batch.num_rows:
+                continue
+            sessions = batch["session"]
+            ends = [*(np.flatnonzero(pc.not_equal(sessions[1:], sessions[:-1]).to_numpy(zero_copy_only=False)) + 1).tolist(), batch.num_rows]
+            asked = [c for c in ("word", "in_en", "in_bg", "bg_fix", "en_score", "bg_score") if c in batch.schema.names]
+            rows, out, at = list(zip(*[batch[c].to_pylist() for c in asked], strict=True)), [], 0
+            for end in ends:
+                if state is None or sessions[at].as_py() != last:
+                    last, state = sessions[at].as_py(), Detector(default)
+                step = state.step
+                out += [step(*row) for row in rows[at:end]]
+                at = end
+            converted, label, confidence = zip(*out, strict=True)
+            cols = [pa.array(converted, pa.string()), pa.array(label, pa.string()), pa.array(confidence, pa.float64())]
+            yield pa.RecordBatch.from_arrays([*[batch[c] for c in kept], *cols, batch["in_en"], batch["in_bg"]], names)
 
     return work
 
@@ -76,13 +85,14 @@ def _detect(default: str):
 def features(words: DataFrame, en: DataFrame, bg: DataFrame, word: str = "word") -> DataFrame:
     """``words`` with in_en, in_bg and bg_fix, the correction of words in neither lexicon."""
     classed = classify(words, en, bg, word)
-    unknown = classed.filter("class = 'neither'").select(F.col(word).alias("_u")).distinct().withColumn("cyrillic", to_cyrillic(F.col("_u")))
+    unknown = stored(classed.filter("class = 'neither'").select(F.col(word).alias("_u")).distinct(), "unknown").withColumn("cyrillic", to_cyrillic(F.col("_u")))
     fixes = small_side(stored(correct_bulgarian(unknown, bg).filter("bg_fix is not null").select("_u", "bg_fix"), "corrections"))
     return classed.join(fixes, F.col(word) == F.col("_u"), "left").drop("_u")
 
 
 def detect(featured: DataFrame, session: str = "session", pos: str = "pos", word: str = "word", default: str = EN) -> DataFrame:
-    """original, converted, language and confidence of each word of the full profile, with what the lexicons said. One shuffle, on the session."""
-    score = lambda c: F.coalesce(F.col(c), F.lit(0.0)) if c in featured.columns else F.lit(0.0)
-    rows = featured.select(F.col(session).cast("string").alias("session"), F.col(pos).cast("bigint").alias("pos"), F.col(word).alias("word"), F.coalesce("in_en", F.lit(False)).alias("in_en"), F.coalesce("in_bg", F.lit(False)).alias("in_bg"), "bg_fix", score("en_score").alias("en_score"), score("bg_score").alias("bg_score"))
+    """original, converted, language and confidence of each word of the full profile, with what the lexicons said. One shuffle, on the session. Rows without a session or a word are left out."""
+    scores = [F.coalesce(F.col(c), F.lit(0.0)).alias(c) for c in ("en_score", "bg_score")] if {"en_score", "bg_score"} <= set(featured.columns) else []
+    rows = featured.select(F.col(session).cast("string").alias("session"), F.col(pos).cast("bigint").alias("pos"), F.col(word).alias("word"), F.coalesce("in_en", F.lit(False)).alias("in_en"), F.coalesce("in_bg", F.lit(False)).alias("in_bg"), "bg_fix", *scores)
+    rows = rows.filter("session is not null and word is not null")
     return rows.repartition("session").sortWithinPartitions("session", "pos").mapInArrow(_detect(default), RESULT)

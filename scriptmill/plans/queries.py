@@ -15,12 +15,13 @@ from pyspark.sql import Window as W
 from scriptmill.functions import abbreviations, mapping, tokens
 from scriptmill.operators import correct, fold, lookup, replay
 from scriptmill.sources import events, lexicons
-from scriptmill.sources.shared import shared_path, stored
+from scriptmill.sources.shared import shared_path, spread, stored
 from scriptmill.streaming import detect
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """One file of one row group is one task's work; the words made of it are not."""
+    return spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "lang", "text"))
 
 
 def _blank_split(docs: DataFrame) -> DataFrame:

@@ -31,3 +31,9 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 def small_side(df: DataFrame, limit: int = MAX_BROADCAST) -> DataFrame:
     """``df``, to be broadcast if it has at most ``limit`` rows. Counting runs ``df``, which should be a stored table or a file."""
     return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df``, dealt anew if it comes in fewer partitions than there are cores. Larger inputs stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

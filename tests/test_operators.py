@@ -118,7 +118,7 @@ def test_memory_is_bounded():
     d = Detector()
     for k in range(50):
         d.process("hello", Features(in_en=True))
-    assert len(d.labels) == 6 and len(d.recent) == 8 and Detector.load(d.dump()) == d
+    assert len(d.history) == 6 and len(d.recent) == 8 and Detector.load(d.dump()) == d
 
 
 def test_batch_fold_equals_plain_fold(spark, words):
