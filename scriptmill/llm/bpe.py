@@ -44,7 +44,7 @@ UNSETTLED = regex.compile(r"[^\x00-\u052F\u2010-\u2027\u2030-\u205E\u20A0-\u20B5
 def _settled_word() -> re.Pattern:
     """How the tokenizer cuts words (fixed value: endings, runs of letters, single numbers, runs of other signs), for the settled characters."""
     sets = {k: "".join(re.escape(chr(c)) for c in range(0x530) if unicodedata.category(chr(c))[0] == k) for k in "LN"}
-    return re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{sets['L']}]+|[{sets['N']}]|[^\s{sets['L']}{sets['N']}]+")
+    return re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{sets['L']}]+|[{sets['N']}]|[^\t-\r \x85\xa0{sets['L']}{sets['N']}]+")
 
 
 SETTLED_WORD = _settled_word()
@@ -139,8 +139,12 @@ class Bpe:
         return ids, len(ids), " ".join([names[i] for i in ids]), self.decode(ids)
 
     def plain_words(self, text: str) -> list[str]:
-        if text.isascii() or not UNSETTLED.search(text):
-            return SETTLED_WORD.findall(self.normalize(text))
+        if text.isascii():
+            return SETTLED_WORD.findall(text.lower())
+        if not UNSETTLED.search(text):
+            normal = self.normalize(text)
+            if not UNSETTLED.search(normal):  # composing or lower-casing may leave the ranges
+                return SETTLED_WORD.findall(normal)
         cut = self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(text))
         return [bytes(self.byte_of[c] for c in w).decode("utf-8") for w, _ in cut]
 

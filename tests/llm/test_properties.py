@@ -1,0 +1,68 @@
+import numpy as np
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from tests.llm import brute
+from tests.llm.test_operators import library
+
+from scriptmill.llm import bpe, media, secrets, simhash, substrings
+from scriptmill.llm.registry import TOKENIZER
+
+TEXT = st.text(st.characters(exclude_categories=["Cs"]), max_size=40)
+BPE, LIBRARY = bpe.Bpe(TOKENIZER), library()
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(TEXT, max_size=5))
+def test_bpe_equals_the_library(texts):
+    for t, ids in zip(texts, BPE.encode_batch(texts), strict=True):
+        assert ids == LIBRARY.encode(t, add_special_tokens=False).ids
+        assert BPE.decode(ids) == LIBRARY.decode(ids, skip_special_tokens=False)
+
+
+def test_bpe_on_every_settled_character():
+    for c in [*range(0x530), *range(0x2010, 0x2028), *range(0x2030, 0x205F), *range(0x20A0, 0x20B6), *range(0x2190, 0x23F4), *range(0x2500, 0x2700)]:
+        texts = [chr(c), f"a{chr(c)}b", f"1{chr(c)}.", f"O{chr(c)} {chr(c)}Q"]
+        for t, ids in zip(texts, BPE.encode_batch(texts), strict=True):
+            assert ids == LIBRARY.encode(t, add_special_tokens=False).ids, (hex(c), t)
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text("pasword=:\"' tkenAKI0123456789abcdef_%x+/", max_size=120))
+def test_base_spans_stay(text):
+    base, spans, _ = secrets.all_spans(text)
+    assert base == brute.base_spans(text) and set(base) <= set(spans)
+    assert all(0 <= s < e <= len(text) for s, _, e in spans)
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(TEXT, min_size=1, max_size=6))
+def test_fingerprints(texts):
+    assert simhash.majority([simhash.shingle_hashes(t.encode()) for t in texts]).tolist() == [brute.fingerprint(t) for t in texts]
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.binary(max_size=400))
+def test_media_round_trip(data):
+    payload, n = media.decode_png(media.encode_png(data))
+    assert n == len(data) and payload[:n] == data and not any(payload[n:]) and len(payload) % 64 == 0 and payload
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.lists(st.sampled_from(["a", "b", "cc"]), max_size=30), min_size=1, max_size=5))
+def test_anchors_cover_equal_windows(docs):
+    """Each window lies in one run, and equal windows have equal anchors."""
+    words = substrings.Words([" ".join(d).encode() for d in docs])
+    doc, start, n, anchor = substrings.anchors_of(words, 6, 2)
+    seen = {}
+    for d, s, k, a in zip(doc.tolist(), start.tolist(), n.tolist(), anchor.tolist(), strict=True):
+        for i in range(s, s + k):
+            seen.setdefault(tuple(docs[d][i : i + 6]), []).append((d, i, a))
+    assert sorted((d, i) for x in seen.values() for d, i, _ in x) == [(d, i) for d, w in enumerate(docs) for i in range(len(w) - 5)]
+    assert all(len({a for *_, a in x}) == 1 for x in seen.values())
+
+
+def test_hashes_tell_words_apart():
+    words = substrings.Words([b"ab cd", b"", b"  abcd\t\ncd ab "])
+    assert words.counts.tolist() == [2, 0, 3]
+    h = words.hashes
+    assert h[0] == h[4] and h[1] == h[3] and len(np.unique(h)) == 3
