@@ -146,6 +146,14 @@ def test_layers(layers):
         assert text[s:e] == wrap(layers[0], KEY)
 
 
+def test_base64_beside_signs():
+    token = base64.b64encode(f"see {KEY}".encode()).decode()
+    safe = base64.urlsafe_b64encode(f"??>>?? see {KEY} ??>>??é".encode()).decode()
+    assert "_" in safe or "-" in safe
+    for text in (f"id-{token}", f"{token}_x", f"a/{token}", safe, f"k={token}"):
+        assert any(k == 1 for _, k, _ in secrets.all_spans(text)[1]), text
+
+
 def test_cycles_and_bombs(monkeypatch):
     assert secrets.all_spans("%2525252525")[2] == 6  # %25 unwraps to % until nothing is left to unwrap
     monkeypatch.setattr(secrets, "MAX_INFLATED", 1000)
