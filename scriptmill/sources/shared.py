@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -13,9 +14,11 @@ MAX_BROADCAST = 2_000_000
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A fresh path below ``spark.checkpoint.dir``; only where that is unset, below a new temporary folder."""
+    """A fresh path below ``spark.checkpoint.dir``; only in local mode, where that may be unset, below a new temporary folder."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="scriptmill-")
         spark.sparkContext.setCheckpointDir(base)
     return f"{base.rstrip('/')}/scriptmill/{name}-{uuid.uuid4().hex}"
