@@ -21,7 +21,9 @@ def shared_path(spark: SparkSession, name: str) -> str:
             raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="scriptmill-")
         spark.sparkContext.setCheckpointDir(base)
-    return f"{base.rstrip('/')}/scriptmill/{name}-{uuid.uuid4().hex}"
+    # with its scheme, so that code outside Spark opens the same store
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{base.rstrip('/')}/scriptmill/{name}-{uuid.uuid4().hex}")
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
