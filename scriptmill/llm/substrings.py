@@ -43,9 +43,9 @@ WINDOW, ANCHOR, STEP = 20, 4, 4
 #: Suffixes in a group.
 GROUP = 200_000
 #: Bytes of text that a task works on at a time.
-PIECE = 1 << 20
+PIECE = 256 << 10
 #: Suffixes that a task gathers before it sends them on.
-HELD = 400_000
+HELD = 200_000
 LAST = (1 << 63) - 1
 U = np.uint64
 BYTE, GRAM, PATH, SECOND = U(0x9E3779B97F4A7C15), U(0xD6E8FEB86659FD93), U(0xA0761D6478BD642F), U(0xE7037ED1A0B428DB)
@@ -53,16 +53,18 @@ SPACE = np.zeros(256, bool)
 SPACE[[32, 9, 10, 11, 12, 13]] = True
 
 
-@cache
-def powers(base: np.uint64, n: int) -> np.ndarray:
-    """base**0 .. base**(n-1) modulo 2**64."""
-    out = np.full(n, base, U)
-    out[:1] = 1
-    return np.multiply.accumulate(out)
+#: For each base its powers from 0 on, as many as were asked for.
+POWERS: dict[int, np.ndarray] = {}
 
 
 def raised(base: np.uint64, n: int) -> np.ndarray:
-    return powers(base, 1 << max(10, int(n).bit_length()))[:n]
+    """base**0 .. base**(n-1) modulo 2**64."""
+    known = POWERS.get(int(base))
+    if known is None or len(known) < n:
+        known = np.full(n + n // 8 + 1024, base, U)
+        known[0] = 1
+        known = POWERS[int(base)] = np.multiply.accumulate(known)
+    return known[:n]
 
 
 @cache
