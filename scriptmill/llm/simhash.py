@@ -122,20 +122,33 @@ def _outside(k: int) -> list[int]:
 
 
 def points(fps: DataFrame) -> DataFrame:
-    """fp and point: those points of each fingerprint's ball that another one may share."""
+    """fp and point: those points of each fingerprint's ball that another one may share.
+
+    A key goes through the shuffle with what makes a fingerprint of it again, in
+    one number: the bits of the block left out (22), the bit flipped plus 1, or 0
+    (7), and the block (2).
+    """
     parts = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     fp, k = F.col("fp"), F.col("k")
-    own = _by_block(k, lambda i: fp.bitwiseAND(F.lit(_mask(_outside(i)))))
-    sides = fps.repartition(parts, "fp").select("fp", F.explode(F.array(*[F.lit(i) for i in range(len(BLOCKS))])).alias("k")).withColumn("own", own)
-    keys = sides.select("fp", "k", F.explode(_by_block(k, lambda i: ball(F.col("own"), _outside(i), 1))).alias("key"))
+    inside = lambda i: fp.bitwiseAND(F.lit(_mask(BLOCKS[i])))
+    sides = fps.repartition(parts, "fp").select("fp", F.explode(F.array(*[F.lit(i) for i in range(len(BLOCKS))])).alias("k"))
+    left_out = _by_block(k, lambda i: F.shiftrightunsigned(inside(i), BLOCKS[i].start)).cast("int")
+    sides = sides.select("k", _by_block(k, lambda i: fp.bitwiseAND(F.lit(_mask(_outside(i))))).alias("own"), left_out.bitwiseOR(F.shiftleft(k, 29)).alias("base"))
+    flip = lambda mask, code: F.struct(F.col("own").bitwiseXOR(F.lit(mask)).alias("key"), F.col("base").bitwiseOR(F.lit(code << 22)).alias("code"))
+    flips = _by_block(k, lambda i: F.array(flip(0, 0), *[flip(_signed(1 << b), b + 1) for b in _outside(i)]))
+    keys = sides.select(F.explode(flips).alias("x")).select("x.key", "x.code")
+
+    bit = F.shiftrightunsigned("code", 22).bitwiseAND(F.lit(127))
+    own = F.when(bit == 0, F.col("key")).otherwise(F.col("key").bitwiseXOR(F.expr("shiftleft(1L, (shiftrightunsigned(code, 22) & 127) - 1)")))
     # a key has at most 44 * 2**22 fingerprints, and the window spills
-    every = W.partitionBy("k", "key")
-    met = keys.withColumn("own", own).select("fp", "k", "key", F.count("*").over(every).alias("n"), F.min("own").over(every).alias("lo"), F.max("own").over(every).alias("hi"))
-    met = met.filter((F.col("n") > 1) & ((F.col("lo") < F.col("hi")) | (F.col("lo") == F.col("key"))))
-    near = stored(met.select("fp", "k", "key"), "keys")
-    rest = _by_block(k, lambda i: fp.bitwiseAND(F.lit(_mask(BLOCKS[i]))))
-    around = lambda r: _by_block(k, lambda i: ball(rest, BLOCKS[i], r))
-    full = near.select("fp", "key", F.explode(F.when(own == F.col("key"), around(2)).otherwise(around(1))).alias("rest"))
+    every = W.partitionBy("key")
+    met = keys.withColumn("own", own).select("key", "code", "own", F.count("*").over(every).alias("n"), F.min("own").over(every).alias("lo"), F.max("own").over(every).alias("hi"))
+    met = met.filter((F.col("n") > 1) & ((F.col("lo") < F.col("hi")) | (F.col("lo") == F.col("key")))).withColumn("k", F.shiftrightunsigned("code", 29))
+    rest = F.col("code").bitwiseAND(F.lit((1 << 22) - 1)).cast("bigint")
+    near = stored(met.select("key", "k", "own", _by_block(k, lambda i: F.shiftleft(rest, BLOCKS[i].start)).alias("rest")), "keys")
+
+    around = lambda r: _by_block(k, lambda i: ball(F.col("rest"), BLOCKS[i], r))
+    full = near.select("key", F.col("own").bitwiseOR(F.col("rest")).alias("fp"), F.explode(F.when(F.col("own") == F.col("key"), around(2)).otherwise(around(1))).alias("rest"))
     return full.select("fp", F.col("key").bitwiseOR(F.col("rest")).alias("point")).distinct()
 
 
