@@ -36,7 +36,8 @@ from scriptmill.llm.common import slices, stored, utf8
 
 DEPTH, CONTEXTS, FREQUENT = 5, 1 << 16, 1 << 20
 EDGE = 255
-PIECE = 2 << 20
+#: Bytes of text that a task counts, and scores, at a time.
+COUNT_PIECE, SCORE_PIECE = 1 << 20, 512 << 10
 #: Words or grams that a task holds before it sends them on.
 HELD = 400_000
 
@@ -89,7 +90,7 @@ def _counts(depth: int):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words: Counter = Counter()
         parts, docs = [], 0
-        for batch in slices(batches, "text", PIECE):
+        for batch in slices(batches, "text", COUNT_PIECE):
             texts = [utf8(t).lower() for t in batch["text"].to_pylist()]
             docs += len(texts)
             words.update(b"\n".join(texts).split())
@@ -282,7 +283,7 @@ def _scored(sent):
         model = sent.value
         logs = {w: math.log10(c + 1) for w, c in model.frequent.items()}
         end = math.log10(model.end + 1)
-        for batch in slices(batches, "text", PIECE):
+        for batch in slices(batches, "text", SCORE_PIECE):
             texts = [utf8(t).lower() for t in batch["text"].to_pylist()]
             n, known, sums, rare = [], [], [], []
             for t in texts:
