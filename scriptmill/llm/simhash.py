@@ -191,7 +191,11 @@ def components(edges: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = WORDS) -> DataFrame:
     """doc_id, fp and component_id of each row."""
     fps = stored(fingerprints(docs, doc_id, text, words), "simhash")
-    roots = components(links(fps))
+    return least_ids(fps, components(links(fps)))
+
+
+def least_ids(fps: DataFrame, roots: DataFrame) -> DataFrame:
+    """``fps`` (doc_id and fp of each row) with component_id, the smallest id of all rows whose fp has the same root."""
     reps = fps.groupBy("fp").agg(F.min("doc_id").alias("rep"))
     named = reps.join(roots, reps["fp"] == roots["node"], "left").select("fp", "rep", F.coalesce("root", "fp").alias("root"))
     least = group_min(named, "root", "rep", "component_id").select(F.col("fp").alias("_fp"), "component_id")
@@ -201,7 +205,12 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Of each component the row with the smallest id (of repeated rows, one); rows without an id stay."""
-    found = near_duplicates(docs, doc_id, text).filter("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("_rows"))
+    return keep_least(docs, near_duplicates(docs, doc_id, text), doc_id)
+
+
+def keep_least(docs: DataFrame, found: DataFrame, doc_id: str = "doc_id") -> DataFrame:
+    """The rows of ``docs`` whose id is the component_id that ``found`` has for it."""
+    found = found.filter("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("_rows"))
     found = stored(found.select(F.col("doc_id").alias("_keep"), "_rows"), "keep")
     out = docs.join(found.hint("merge"), F.col(doc_id) == F.col("_keep"), "left").filter(F.col("_keep").isNotNull() | F.col(doc_id).isNull())
     if found.filter("_rows > 1").isEmpty():
