@@ -275,7 +275,7 @@ def fit(docs: DataFrame, text: str = "text", depth: int = DEPTH, contexts: int =
     return model, words.filter(F.col("c") <= F.lit(tokens / frequent))
 
 
-SCORED = "doc_id bigint, held_out boolean, n_tokens bigint, known bigint, logs double, score double, rare array<binary>"
+SCORED = "doc_id bigint, held_out boolean, n_tokens bigint, known bigint, logs double, score double, n_bytes bigint, rare array<binary>"
 
 
 def _scored(sent):
@@ -294,21 +294,21 @@ def _scored(sent):
                 known.append(len(words) - len(unseen) + (model.end > 0))
                 sums.append(math.fsum(x for x in found if x is not None) + end)
                 rare.append(unseen)
-            cols = [batch["doc_id"], batch["held_out"], pa.array(n, pa.int64()), pa.array(known, pa.int64()), pa.array(sums, pa.float64()), pa.array(model.tree.scores(texts), pa.float64()), pa.array(rare, pa.list_(pa.binary()))]
+            cols = [batch["doc_id"], batch["held_out"], pa.array(n, pa.int64()), pa.array(known, pa.int64()), pa.array(sums, pa.float64()), pa.array(model.tree.scores(texts), pa.float64()), pa.array([len(t) + 1 for t in texts], pa.int64()), pa.array(rare, pa.list_(pa.binary()))]
             yield pa.RecordBatch.from_arrays(cols, [x.split()[0] for x in SCORED.split(", ")])
 
     return work
 
 
 def score(docs: DataFrame, model: Model, rare_counts: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score and bits_per_byte of each row."""
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score and bits_per_byte (with the end as a byte) of each row."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
     rows = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), held_out(doc_id).alias("held_out"), F.col(text).cast("string").alias("text"))
     rows = stored(rows.mapInArrow(_scored(sent), SCORED).withColumn("row", F.monotonically_increasing_id()), "scores")
     met = rows.select("row", F.explode("rare").alias("word")).join(rare_counts, "word")
     met = met.groupBy("row").agg(F.count("*").alias("_n"), F.sum(F.log10(F.col("c") + 1)).alias("_logs"))
     every = math.log10(model.tokens + model.distinct + 1)
-    out = rows.select("row", "doc_id", "held_out", "n_tokens", "known", "logs", "score").join(met, "row", "left")
+    out = rows.select("row", "doc_id", "held_out", "n_tokens", "known", "logs", "score", "n_bytes").join(met, "row", "left")
     return out.select(
         "doc_id",
         "held_out",
@@ -317,4 +317,5 @@ def score(docs: DataFrame, model: Model, rare_counts: DataFrame, doc_id: str = "
         F.lit(model.tokens).cast("bigint").alias("train_tokens"),
         (F.col("logs") + F.coalesce("_logs", F.lit(0.0)) - F.col("n_tokens") * F.lit(every)).alias("base_score"),
         "score",
+        (F.col("score") * F.lit(-math.log2(10)) / F.col("n_bytes")).alias("bits_per_byte"),
     )
