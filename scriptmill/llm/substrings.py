@@ -3,26 +3,31 @@
 Suffixes start at every word. Only their first ``window`` words matter: two
 suffixes meet in an internal node that deep exactly if those words repeat.
 
-1. *Anchors.* Each window names its anchor, the gram of ANCHOR words with the
-   least hash in it. Equal windows have equal anchors, so a window whose anchor
-   stands nowhere else is not repeated and gives no suffix. Anchors are a ninth
-   of the words and carry no text.
-2. *Prefixes.* The suffixes left are dealt by the hash of a prefix of STEP words.
-   A prefix that more than GROUP suffixes have is replaced by prefixes STEP words
-   longer, and so on, so a group fits into memory; of equal windows in one batch
-   only the earliest is sent.
-3. *Subtrees.* A group's suffixes are sorted by the labels of their path; equal
-   neighbours at full depth form a deep node, whose earliest suffix stays and
-   whose others are marked. Runs of marked windows are the maximal repeats.
-
-Labels are hashes of words (96 bits for a window). Texts are shuffled once, by
-document; the plan reuses that exchange.
+1. *Anchors.* Each suffix names its anchor, the gram of ANCHOR words with the
+   least hash in its window. Equal windows have equal anchors at equal places, so
+   an anchor that stands nowhere else gives no suffix to any tree. A run of
+   suffixes with one anchor makes a passage, which is sent as words, once.
+2. *Prefixes.* Passages are dealt by their anchor, the prefix of the anchored
+   suffix: all suffixes that may share a deep node meet. An anchor whose suffixes
+   would make more than GROUP is split by the longest prefix there is, the whole
+   window: those groups have one leaf each, and need the earliest suffix only.
+3. *Subtrees.* In a group, passages that are equal are one. Its words are numbered
+   in their order, and prefix doubling over these numbers sorts all suffixes;
+   equal names at depth ``window`` are a deep internal node, whose earliest suffix
+   stays and whose others are marked. Runs of marked suffixes are the maximal
+   repeats.
+
+Words are compared, not hashes: a hash only chooses anchors and groups, where a
+collision brings more suffixes together and changes no result. Two things rest on
+SHA-256: whole copies of a text (its first 128 bits) and windows of anchors above
+GROUP (all 256).
 
 Earlier means a smaller id, or the same document and an earlier start. Rows: a
 null or empty text has no words; documents shorter than a window lose nothing;
 of equal texts all but the one with the smallest id lose every word, if they are
 a window long; rows that repeat id and text are one document; a null id comes
-after all others; an empty table gives an empty one. Other columns are not read.
+after all others; an empty table gives an empty one. Other columns are not read,
+so their names don't matter.
 """
 
 from __future__ import annotations
@@ -39,16 +44,18 @@ from pyspark.sql import functions as F
 
 from scriptmill.llm.common import group_min, salt, salts_of, slices, stored, utf8
 
-WINDOW, ANCHOR, STEP = 20, 4, 4
+WINDOW, ANCHOR = 20, 4
 #: Suffixes in a group.
 GROUP = 200_000
 #: Bytes of text that a task works on at a time.
 PIECE = 256 << 10
-#: Suffixes that a task gathers before it sends them on.
-HELD = 200_000
+#: Bytes of passages that a task gathers, and of which it settles the equal ones, before it sends them on.
+HELD = 8 << 20
+#: Least bytes of a word with its blank, on average, for the number of groups.
+WORD_BYTES = 4
 LAST = (1 << 63) - 1
 U = np.uint64
-BYTE, GRAM, PATH, SECOND = U(0x9E3779B97F4A7C15), U(0xD6E8FEB86659FD93), U(0xA0761D6478BD642F), U(0xE7037ED1A0B428DB)
+BYTE, GRAM = U(0x9E3779B97F4A7C15), U(0xD6E8FEB86659FD93)
 SPACE = np.zeros(256, bool)
 SPACE[[32, 9, 10, 11, 12, 13]] = True
 
@@ -126,177 +133,219 @@ def _anchors(window: int, gram: int):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", PIECE):
             # of equal texts at hand the one with the smallest id is enough
-            ids, th = batch["id"].to_numpy(), batch["th"].to_numpy()
-            order = np.lexsort((ids, th))
-            lead = np.sort(order[np.append(True, th[order][1:] != th[order][:-1])])
+            ids, th1, th2 = (batch[c].to_numpy() for c in ("id", "th1", "th2"))
+            order = np.lexsort((ids, th2, th1))
+            fresh = np.append(True, (th1[order][1:] != th1[order][:-1]) | (th2[order][1:] != th2[order][:-1]))
+            lead = np.sort(order[fresh])
             texts = batch["text"].take(pa.array(lead)).to_pylist()
             text, start, n, anchor = anchors_of(Words([utf8(t) for t in texts]), window, gram)
+            if not len(text):
+                continue
             order = np.lexsort((anchor, text))
             t, a = text[order], anchor[order]
             same = np.append((t[1:] == t[:-1]) & (a[1:] == a[:-1]), False)
             again = same | np.append(False, same[:-1])
             doc = pa.array(lead[t])
-            cols = [_signed(a), batch["th"].take(doc), batch["id"].take(doc), batch["tag"].take(doc), pa.array(start[order].astype(np.int32)), pa.array(n[order].astype(np.int32)), pa.array(again.astype(np.int8))]
-            yield pa.RecordBatch.from_arrays(cols, ["anchor", "th", "id", "tag", "start", "n", "again"])
+            cols = [_signed(a), *(batch[c].take(doc) for c in ("th1", "th2", "id")), pa.array(start[order].astype(np.int32)), pa.array(n[order].astype(np.int32)), pa.array(again.astype(np.int8))]
+            yield pa.RecordBatch.from_arrays(cols, ["anchor", "th1", "th2", "id", "start", "n", "again"])
 
     return work
 
 
-def _prefixes(window: int, floor: int):
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = 0
-        for batch in slices(batches, "text", PIECE):
-            words = Words([utf8(t) for t in batch["text"].to_pylist()])
-            total += int(np.maximum(0, words.counts - window + 1).sum())
-            for n in range(STEP, window, STEP):
-                keys, counts = np.unique(words.grams(n, PATH), return_counts=True)
-                many = counts >= floor
-                yield pa.RecordBatch.from_arrays([_signed(keys[many]), pa.array(counts[many])], ["prefix", "n"])
-        yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([total], pa.int64())], ["prefix", "n"])
+def _cut(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[tuple[tuple[int, int, int], list[bytes], list[dict]]]:
+    """(id, t1, t2), the words and the runs of each document."""
+    for batch in slices(batches, "text", PIECE):
+        for *doc, text, runs in zip(*(batch[c].to_pylist() for c in ("id", "t1", "t2", "text", "runs")), strict=True):
+            yield tuple(doc), utf8(text).split(), runs
+
+
+PASSAGES = "group int, body binary, id bigint, t1 bigint, t2 bigint, start int, n int"
+
+
+def _batch(rows: list[tuple], schema: str) -> pa.RecordBatch:
+    kinds = {"int": pa.int32(), "bigint": pa.int64(), "binary": pa.binary()}
+    fields = [x.split() for x in schema.split(", ")]
+    return pa.RecordBatch.from_arrays([pa.array(c, kinds[k]) for c, (_, k) in zip(zip(*rows, strict=True), fields, strict=True)], [x for x, _ in fields])
+
+
+def _settled(held: dict, spread) -> Iterator[tuple]:
+    """Of equal passages (or windows) at hand the earliest with its body; the others, which are late, without one, dealt by ``spread``."""
+    for (group, body), places in held.items():
+        (id_, *_), start, _ = least = min(places, key=lambda x: (x[0][0], x[1]))
+        for place in set(places):
+            doc, at, n = place
+            early = place == least or (doc[0] == id_ and at == start)
+            yield (group, body, *doc, at, n) if early else (spread(doc[0]), None, *doc, at, n)
 
-    return work
 
+def _passages(window: int, groups: int):
+    """A passage for each run, in the group of its anchor."""
 
-def _own_suffixes(batch: pa.RecordBatch, window: int, known: np.ndarray, groups: int) -> tuple[np.ndarray, ...]:
-    """group, path, tag2, id, tag and start of the suffixes in a batch's runs."""
-    words = Words([utf8(t) for t in batch["text"].to_pylist()])
-    lists = batch["runs"]
-    runs, owner = lists.flatten(), np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy())
-    first, n = runs.field("start").to_numpy(), runs.field("n").to_numpy()
-    start = np.repeat(first - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
-    doc = np.repeat(owner, n)
-    at = start + words.first[doc]
-    prefix = words.grams(STEP, PATH)[at]
-    for size in range(2 * STEP, window + STEP, STEP):
-        long = np.isin(prefix, known)
-        if not long.any():
-            break
-        prefix[long] = words.grams(min(size, window), PATH)[at[long]]
-    group = (mix(prefix) % U(groups)).astype(np.int32)
-    tag2 = (words.grams(window, SECOND)[at] >> U(32)).astype(np.uint32)
-    return group, words.grams(window, PATH)[at], tag2, batch["id"].to_numpy()[doc], batch["tag"].to_numpy()[doc], start.astype(np.int32)
-
-
-def _packed(columns: tuple[np.ndarray, ...]) -> Iterator[pa.RecordBatch]:
-    """A row for each group; ids as differences, which compress well."""
-    names = ["group", "late", "path", "tag2", "id", "tag", "start"]
-    kinds = [pa.int32(), pa.bool_(), *[pa.binary()] * 5]
-
-    def rows(late: bool, g, *cols):
-        order = np.lexsort((cols[4], cols[2], g))
-        g, cols = g[order], [c[order] for c in cols]
-        cuts = [*np.flatnonzero(np.append(True, g[1:] != g[:-1])).tolist(), len(g)] if len(g) else [0]
-        for a, b in zip(cuts, cuts[1:], strict=False):
-            path, tag2, ids, tags, starts = (c[a:b] for c in cols)
-            yield int(g[a]), late, path.tobytes(), tag2.tobytes(), np.diff(ids, prepend=0).tobytes(), tags.tobytes(), starts.tobytes()
-
-    g, path, tag2, ids, tags, starts = columns
-    order = np.lexsort((starts, ids, tag2, path, g))
-    columns = tuple(c[order] for c in columns)
-    g, path, tag2, ids, tags, starts = columns
-    same = np.append(False, (path[1:] == path[:-1]) & (tag2[1:] == tag2[:-1]) & (g[1:] == g[:-1]))
-    lead = np.maximum.accumulate(np.where(same, 0, np.arange(len(same))))
-    # later than another suffix at hand: marked at once, and only passed on
-    late = same & ((ids != ids[lead]) | (starts != starts[lead]))
-    # a late suffix is not compared again and needs no labels
-    gone = int(late.sum())
-    out = [*rows(False, *(c[~same] for c in columns)), *rows(True, g[late], np.zeros(gone, U), np.zeros(gone, np.uint32), ids[late], tags[late], starts[late])]
-    if out:
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names)
-
-
-def _suffixes(window: int, heavy, groups: int):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts, held = [], 0
-        for batch in slices(batches, "text", PIECE):
-            parts.append(_own_suffixes(batch, window, heavy.value, groups))
-            held += len(parts[-1][0])
-            if held >= HELD:
-                yield from _packed(tuple(np.concatenate(c) for c in zip(*parts, strict=True)))
-                parts, held = [], 0
+        held: dict = {}
+        size, spread = 0, lambda id_: hash(id_) % groups
+        for doc, words, runs in _cut(batches, window):
+            for run in runs:
+                start, n = run["start"], run["n"]
+                body = b" ".join(words[start : start + n + window - 1])
+                held.setdefault((run["group"], body), []).append((doc, start, n))
+                size += len(body)
+            if size > HELD:
+                yield _batch(list(_settled(held, spread)), PASSAGES)
+                held, size = {}, 0
         if held:
-            yield from _packed(tuple(np.concatenate(c) for c in zip(*parts, strict=True)))
+            yield _batch(list(_settled(held, spread)), PASSAGES)
 
     return work
 
 
-SUFFIXES = "group int, late boolean, path binary, tag2 binary, id binary, tag binary, start binary"
-MARKED = "id bigint, tag int, start int"
+LEAVES = "body binary, id bigint, t1 bigint, t2 bigint, start int, n int"
 
 
-def _arrays(table: pa.Table) -> list[np.ndarray]:
-    joined = lambda name, kind: np.frombuffer(b"".join(table[name].to_pylist()), kind)
-    ids = [np.cumsum(np.frombuffer(x, np.int64)) for x in table["id"].to_pylist()]
-    return [joined("path", U), joined("tag2", np.uint32), np.concatenate(ids) if ids else np.empty(0, np.int64), joined("tag", np.int32), joined("start", np.int32)]
+def _leaves(window: int):
+    """Single windows, known by SHA-256, for anchors with too many suffixes."""
 
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict = {}
+        size = 0
+        for doc, words, runs in _cut(batches, window):
+            for run in runs:
+                for start in range(run["start"], run["start"] + run["n"]):
+                    body = hashlib.sha256(b" ".join(words[start : start + window])).digest()
+                    held.setdefault((0, body), []).append((doc, start, 1))
+                    size += 100
+            if size > HELD:
+                yield _batch([x[1:] for x in _settled(held, lambda id_: 0)], LEAVES)
+                held, size = {}, 0
+        if held:
+            yield _batch([x[1:] for x in _settled(held, lambda id_: 0)], LEAVES)
 
-def deep_nodes(path: np.ndarray, tag2: np.ndarray, ids: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The suffixes in the order of the subtree's leaves, and which of them are below a deep node and not its earliest."""
-    order = np.lexsort((starts, ids, tag2, path))
-    p, q, i, s = path[order], tag2[order], ids[order], starts[order]
-    joined = np.append(False, (p[1:] == p[:-1]) & (q[1:] == q[:-1]))
-    lead = np.maximum.accumulate(np.where(joined, 0, np.arange(len(joined))))
-    return order, joined & ((i != i[lead]) | (s != s[lead]))
+    return work
 
 
-def _subtree(table: pa.Table) -> pa.Table:
-    path, tag2, ids, tags, starts = _arrays(table.filter(pc.invert(table["late"])))
-    order, late = deep_nodes(path, tag2, ids, starts)
-    _, _, *known = _arrays(table.filter(table["late"]))
-    found = [x[order][late] for x in (ids, tags, starts)]
-    return pa.table([pa.array(np.concatenate(x)) for x in zip(found, known, strict=True)], ["id", "tag", "start"])
+def _named(first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    """The rank of each pair among all pairs."""
+    return np.unique(first << 32 | second, return_inverse=True)[1]
+
+
+def suffix_ranks(names: np.ndarray, window: int) -> np.ndarray:
+    """The rank of each suffix by its first ``window`` names, by prefix doubling; suffixes that are shorter have none."""
+    span, rank = 1, names
+    while 2 * span <= window:
+        rank = _named(rank[:-span], rank[span:])
+        span *= 2
+    rest = window - span
+    return _named(rank[:-rest], rank[rest:]) if rest else rank
+
+
+def deep_nodes(rank: np.ndarray, ids: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Which suffixes are below a deep node (of equal rank) and not its earliest."""
+    order = np.lexsort((starts, ids, rank))
+    r, i, s = rank[order], ids[order], starts[order]
+    lead = np.maximum.accumulate(np.where(np.append(False, r[1:] == r[:-1]), 0, np.arange(len(r))))
+    out = np.empty(len(r), bool)
+    out[order] = (i != i[lead]) | (s != s[lead])
+    return out
+
+
+def _runs(late: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where runs of True begin and end."""
+    step = np.diff(np.concatenate([[0], late.astype(np.int8), [0]]))
+    return np.flatnonzero(step == 1), np.flatnonzero(step == -1)
+
+
+MARKED = "id bigint, t1 bigint, t2 bigint, start int, n int"
+PLACE = ["id", "t1", "t2", "start", "n"]
+
+
+def _subtree(window: int):
+    def work(table: pa.Table) -> pa.Table:
+        known = table.filter(pc.is_null(table["body"])).select(PLACE)
+        rows = table.filter(pc.is_valid(table["body"])).select(["body", *PLACE]).sort_by([("id", "ascending"), ("start", "ascending")])
+        if not len(rows):
+            return known
+        ids, starts, counts = (rows[c].to_numpy() for c in ("id", "start", "n"))
+        first: dict[bytes, int] = {}
+        lead = np.array([first.setdefault(b, k) for k, b in enumerate(rows["body"].to_pylist())])
+        copy = (ids != ids[lead]) | (starts != starts[lead])  # an equal passage stands earlier
+        bodies = rows["body"].filter(pa.array(~copy)).to_pylist()
+        own = np.flatnonzero(~copy)
+        words = b" ".join(bodies).split()
+        number = {w: k for k, w in enumerate(sorted(set(words)))}
+        rank = suffix_ranks(np.fromiter(map(number.__getitem__, words), np.int64, len(words)), window)
+        n = counts[own].astype(np.int64)
+        begin = np.cumsum(n + window - 1) - (n + window - 1)
+        passage = np.repeat(np.arange(len(own)), n)
+        offset = np.arange(len(passage)) - np.repeat(np.cumsum(n) - n, n)
+        late = deep_nodes(rank[begin[passage] + offset], ids[own][passage], starts[own][passage] + offset)
+        # a False between passages keeps their runs apart
+        apart = np.zeros(len(late) + len(own), bool)
+        apart[np.arange(len(late)) + passage] = late
+        lo, hi = _runs(apart)
+        at = lo - np.searchsorted(np.cumsum(n + 1), lo, side="right")
+        found = rows.select(PLACE).take(pa.array(own[passage[at]]))
+        found = found.set_column(3, "start", pa.array((starts[own][passage[at]] + offset[at]).astype(np.int32))).set_column(4, "n", pa.array((hi - lo).astype(np.int32)))
+        return pa.concat_tables([known, rows.select(PLACE).filter(pa.array(copy)), found])
+
+    return work
 
 
 def rows_of(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """doc_id, text, id (the greatest number for null), and th1 and th2, the first 128 bits of the text's SHA-256."""
     rows = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
-    return rows.withColumn("id", F.coalesce("doc_id", F.lit(LAST))).withColumn("th", F.xxhash64("text"))
+    half = lambda k: F.conv(F.substring(F.sha2("text", 256), k, 16), 16, -10).cast("bigint")
+    return rows.withColumn("id", F.coalesce("doc_id", F.lit(LAST))).withColumn("th1", half(1)).withColumn("th2", half(17))
+
+
+ON = ["id", "t1", "t2"]
 
 
 def marks(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW, group: int = GROUP) -> DataFrame:
-    """doc_id, text, is_copy (an equal text has a smaller id) and starts (of windows that stand earlier; not given for copies)."""
-    spark, gram = docs.sparkSession, min(ANCHOR, window)
+    """doc_id, text, is_copy (an equal text has a smaller id) and late (runs, by start and n, of windows that stand earlier; not given for copies)."""
+    gram = min(ANCHOR, window)
     rows = rows_of(docs, doc_id, text)
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    copies = group_min(rows.select("id", "th"), "th", "id", "rep")
-    copies = stored(copies.select("id", "th", (F.col("id") > F.col("rep")).alias("is_copy")).distinct(), "copies")
-    # ids tell documents apart, unless an id has several texts; then a tag of the text helps
+    sized = rows.select("id", F.struct("th1", "th2").alias("th"), F.octet_length("text").alias("size"))
+    copies = group_min(sized, "th", "id", "rep").select("id", "th.th1", "th.th2", "size", (F.col("id") > F.col("rep")).alias("is_copy"))
+    copies = stored(copies.distinct(), "copies")
+    # ids tell documents apart, unless an id has several texts; then their digests help
     unique = copies.groupBy("id").agg(F.count("*").alias("n")).filter("n > 1").isEmpty()
-    tag = F.lit(0) if unique else F.expr("cast(th & 2147483647 as int)")
-    rows, copies = rows.withColumn("tag", tag), copies.withColumn("tag", tag)
-    on = ["id"] if unique else ["id", "tag"]
-
-    counted = rows.select("text").mapInArrow(_prefixes(window, max(2, group // max(parts, 1))), "prefix bigint, n bigint")
-    counted = counted.groupBy("prefix").agg(F.sum("n").alias("n")).filter(F.col("prefix").isNull() | (F.col("n") >= group // 2)).toArrow()  # at most 2 * len / group rows a step
-    total = sum(x["n"] for x in counted.to_pylist() if x["prefix"] is None)
-    heavy = spark.sparkContext.broadcast(np.array([x["prefix"] for x in counted.to_pylist() if x["prefix"] is not None], np.int64).view(U))
-    groups = max(1, -(-total // group))
+    tell = lambda df: df.withColumns({t: F.lit(0).cast("bigint") if unique else F.col(f"th{t[1]}") for t in ("t1", "t2")})
+    total = copies.filter("not is_copy").agg(F.sum("size")).first()[0] or 0
+    groups = max(1, -(-total // (WORD_BYTES * group)))
 
-    anchors = rows.select("th", "id", "tag", "text").mapInArrow(_anchors(window, gram), "anchor bigint, th bigint, id bigint, tag int, start int, n int, again tinyint")
+    anchors = tell(rows.select("th1", "th2", "id", "text").mapInArrow(_anchors(window, gram), "anchor bigint, th1 bigint, th2 bigint, id bigint, start int, n int, again tinyint"))
     anchors = anchors.withColumn("_salt", salt("id"))
-    shared = anchors.groupBy("anchor").agg(F.min("th").alias("lo"), F.max("th").alias("hi"), F.max("again").alias("again"), F.bit_or(F.expr("shiftleft(1L, _salt)")).alias("_mask"))
-    shared = shared.filter("lo <> hi or again = 1").select("anchor", F.explode(salts_of("_mask")).alias("_salt"))
-    runs = anchors.select("anchor", "_salt", *on, "start", "n").join(shared, ["anchor", "_salt"])
-    runs = runs.groupBy(*on).agg(F.collect_list(F.struct("start", "n")).alias("runs"))
-
-    # the texts' exchange is one and the same in both joins
-    texts = rows.select("id", "tag", "text").repartition(parts, *on)
-    mine = copies.filter("not is_copy").select(*on).join(runs, on)
-    suffixes = texts.join(mine.hint("merge"), on).select("id", "tag", "text", "runs").mapInArrow(_suffixes(window, heavy, groups), SUFFIXES)
-    late = suffixes.groupBy("group").applyInArrow(_subtree, MARKED)
-    late = late.groupBy(*on).agg(F.collect_list("start").alias("starts"))
-    known = copies.select(*on, "is_copy").join(late, on, "left")
-    return texts.join(known.hint("merge"), on).select(F.when(F.col("id") < LAST, F.col("id")).alias("doc_id"), "text", "is_copy", "starts")
-
-
-def removed(n: int, starts, is_copy: bool, window: int) -> np.ndarray:
+    ends = [f(t).alias(f"{name}{t}") for t in ("th1", "th2") for f, name in ((F.min, "lo_"), (F.max, "hi_"))]
+    shared = anchors.groupBy("anchor").agg(*ends, F.max("again").alias("again"), F.sum("n").alias("total"), F.bit_or(F.expr("shiftleft(1L, _salt)")).alias("_mask"))
+    shared = shared.filter("lo_th1 <> hi_th1 or lo_th2 <> hi_th2 or again = 1")
+    shared = shared.select("anchor", (F.col("total") > group).alias("large"), F.explode(salts_of("_mask")).alias("_salt"))
+    runs = anchors.select("anchor", "_salt", *ON, "start", "n").join(shared, ["anchor", "_salt"])
+    run = F.struct("start", "n", F.pmod("anchor", F.lit(groups)).cast("int").alias("group"))
+    mine = runs.groupBy(*ON).agg(F.collect_set(F.when(~F.col("large"), run)).alias("small"), F.collect_set(F.when(F.col("large"), run)).alias("large"))
+    mine = stored(tell(copies.filter("not is_copy")).select(*ON).join(mine, ON), "runs")
+
+    # the texts' exchange is one and the same in all joins
+    texts = tell(rows).select(*ON, "text")
+    of = lambda kind: texts.join(mine.filter(F.size(kind) > 0).select(*ON, F.col(kind).alias("runs")).hint("merge"), ON).select(*ON, "text", "runs")
+    late = of("small").mapInArrow(_passages(window, groups), PASSAGES).groupBy("group").applyInArrow(_subtree(window), MARKED)
+    if not mine.filter(F.size("large") > 0).isEmpty():
+        leaves = stored(of("large").mapInArrow(_leaves(window), LEAVES), "leaves").withColumn("at", F.struct("id", "start"))
+        later = group_min(leaves.filter("body is not null"), "body", "at", "first").filter("at <> first")
+        late = late.unionByName(later.select(*ON, "start", "n")).unionByName(leaves.filter("body is null").select(*ON, "start", "n"))
+    late = late.groupBy(*ON).agg(F.collect_set(F.struct("start", "n")).alias("late"))
+    known = tell(copies).select(*ON, "is_copy").join(late, ON, "left")
+    return texts.join(known.hint("merge"), ON).select(F.when(F.col("id") < LAST, F.col("id")).alias("doc_id"), "text", "is_copy", "late")
+
+
+def removed(n: int, late, is_copy: bool, window: int) -> np.ndarray:
     """Which of ``n`` words are covered by the windows."""
     out = np.zeros(n + 1, np.int32)
     if is_copy and n >= window:
         out[0] = 1
-    elif starts:
-        at = np.array(starts)
-        np.add.at(out, at, 1)
-        np.add.at(out, at + window, -1)
+    elif late:
+        start, count = (np.array([x[c] for x in late]) for c in ("start", "n"))
+        np.add.at(out, start, 1)
+        np.add.at(out, start + count + window - 1, -1)
     return np.cumsum(out[:-1]) > 0
 
 
@@ -304,11 +353,11 @@ def _kept(window: int):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
             out = []
-            for text, copy, starts in zip(batch["text"].to_pylist(), batch["is_copy"].to_pylist(), batch["starts"].to_pylist(), strict=True):
+            for text, copy, late in zip(batch["text"].to_pylist(), batch["is_copy"].to_pylist(), batch["late"].to_pylist(), strict=True):
                 words = utf8(text).split()
                 gone, n = 0, len(words)
-                if copy or starts:
-                    mask = removed(n, starts, copy, window)
+                if copy or late:
+                    mask = removed(n, late, copy, window)
                     gone = int(mask.sum())
                     words = [w for w, m in zip(words, mask.tolist(), strict=True) if not m]
                 out.append((n, gone, b" ".join(words).decode("utf-8", "surrogatepass")))

@@ -311,6 +311,48 @@ def test_substrings(docs, edge_texts, group):
     same(got, brute.removed(edge_texts))
 
 
+def removal(spark, data, **names):
+    return rows(substrings.digests(spark.createDataFrame(data, "doc_id long, text string"), **names), "doc_id", "n_words", "n_removed", "kept_sha256")
+
+
+@pytest.mark.parametrize("data", [[(1, "a b c")], [(1, "a b c"), (2, "d e"), (3, None)], [(1, None)], [(1, ""), (1, ""), (None, "w " * 19)], [(1, "w " * 20), (2, "w " * 20)]])
+def test_substrings_short_texts(spark, data):
+    same(removal(spark, data), brute.removed(data))
+
+
+def test_substrings_tell_words_apart(spark):
+    """Two words whose polynomial hashes modulo 2**64 are equal for any base."""
+    bits = [bin(k).count("1") % 2 for k in range(1024)]
+    a, b = ("".join("ab"[x ^ flip] for x in bits) for flip in (0, 1))
+    common = " ".join(f"w{k}" for k in range(19))
+    data = [(1, f"{common} {a}"), (2, f"{common} {b}"), (3, f"x {common} {a}")]
+    hashes = substrings.Words([a.encode(), b.encode()]).hashes
+    assert hashes[0] == hashes[1]
+    for group in (1, 200_000):
+        same(removal(spark, data, group=group), brute.removed(data))
+
+
+@pytest.mark.parametrize("group", [40, 200_000])
+def test_substrings_common_prefix(spark, group):
+    """A prefix that every document has once, spread over all pieces, and a window that a third of them share."""
+    r = random.Random(7)
+    word = lambda: f"w{r.randrange(40)}"
+    shared = " ".join(word() for _ in range(24))
+    data = [(k, " ".join([*(word() for _ in range(r.randrange(30))), "the common four words", *(word() for _ in range(25)), shared if k % 3 == 0 else ""])) for k in range(90)]
+    table = spark.createDataFrame(data, "doc_id long, text string").repartition(9)
+    same(rows(substrings.digests(table, group=group), "doc_id", "n_words", "n_removed", "kept_sha256"), brute.removed(data))
+
+
+def test_suffix_ranks():
+    r = np.random.default_rng(0)
+    for window in (1, 2, 3, 5, 8, 20):
+        names = r.integers(0, 3, 200)
+        got = substrings.suffix_ranks(names, window)[: 200 - window + 1]
+        suffixes = [tuple(names[i : i + window]) for i in range(200 - window + 1)]
+        order = {x: k for k, x in enumerate(sorted(set(suffixes)))}
+        assert [order[x] for x in suffixes] == np.unique(got, return_inverse=True)[1].tolist()
+
+
 def test_substrings_batches(docs, edge_texts, monkeypatch):
     monkeypatch.setattr(substrings, "HELD", 10)
     for part in (docs.coalesce(1), docs.repartition(7)):
