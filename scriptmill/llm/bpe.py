@@ -14,7 +14,11 @@ normalised and cut by the tokenizers library itself; the merges are the same.
 
 Rows: a null or empty text has no ids and decodes to the empty text; repeated
 rows each give a result of their own; an empty table gives an empty one; texts
-of any length are encoded whole. Other columns are kept.
+of any length are encoded whole. Other columns are kept, whatever their names,
+but for those called like the results, which these replace.
+
+The driver reads the vocabulary's file once and broadcasts it; a worker parses it
+once.
 """
 
 from __future__ import annotations
@@ -30,9 +34,10 @@ import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
+from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructType
 from tokenizers import Tokenizer
 
-from scriptmill.llm.common import slices
+from scriptmill.llm.common import Columns, slices
 
 #: Distinct words that a task remembers at a time.
 REMEMBERED = 300_000
@@ -58,15 +63,18 @@ def byte_letters() -> list[str]:
 
 
 class Bpe:
-    def __init__(self, path: str) -> None:
-        with open(path, encoding="utf-8") as f:
-            spec = json.load(f)
+    def __init__(self, path: str, content: str | None = None) -> None:
+        """``content``: that of the file, if it has been read already."""
+        if content is None:
+            with open(path, encoding="utf-8") as f:
+                content = f.read()
+        spec = json.loads(content)
         vocab = spec["model"]["vocab"]
         added = sorted(spec["added_tokens"], key=lambda x: x["id"])
         self.tokens = {i: t for t, i in vocab.items()} | {x["id"]: x["content"] for x in added}
         self.special = {x["content"]: x["id"] for x in added}
         self.cut = regex.compile("|".join(regex.escape(x["content"]) for x in sorted(added, key=lambda x: -len(x["content"])))) if added else None
-        self.library = Tokenizer.from_file(path)
+        self.library = Tokenizer.from_str(content)
         letters = byte_letters()
         self.byte_of = {c: b for b, c in enumerate(letters)}
         self.inner = np.array([vocab[c] for c in letters], np.int64)
@@ -177,9 +185,24 @@ class Bpe:
         return " ".join([tokens[i] for i in ids if i in tokens])
 
 
-def _digests(path: str, text: str):
+#: The broadcast that a worker has parsed last, and what it made of it.
+PARSED: list = [None, None]
+
+
+def _sent(docs: DataFrame, path: str):
+    with open(path, encoding="utf-8") as f:
+        return docs.sparkSession.sparkContext.broadcast(f.read())
+
+
+def _parsed(sent) -> Bpe:
+    if PARSED[0] is not sent:
+        PARSED[:] = sent, Bpe("", sent.value)
+    return PARSED[1]
+
+
+def _digests(sent, text: str):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe, sha = Bpe(path), hashlib.sha256
+        bpe, sha = _parsed(sent), hashlib.sha256
         for batch in slices(batches, text):
             counts, ids, plain = [], [], []
             for words in bpe.words_of([t or "" for t in batch[text].to_pylist()]):
@@ -195,37 +218,41 @@ def _digests(path: str, text: str):
 
 def digests(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
     """The other columns with n_tokens, ids_sha256 and decoded_sha256 of each text."""
-    rest = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name != text)
-    return docs.mapInArrow(_digests(path, text), f"{rest}, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
+    cols = Columns(docs)
+    types = cols.with_types(n_tokens=LongType(), ids_sha256=StringType(), decoded_sha256=StringType())
+    out = cols.rows.mapInArrow(_digests(_sent(docs, path), cols[text]), StructType([f for f in types if f.name != cols[text]]))
+    return cols.back(out, (cols[text],), n_tokens="n_tokens", ids_sha256="ids_sha256", decoded_sha256="decoded_sha256")
 
 
-def _encode(path: str, text: str, out: str):
+def _encode(sent, text: str):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = Bpe(path)
+        bpe = _parsed(sent)
         for batch in slices(batches, text):
             ids = bpe.encode_batch([t or "" for t in batch[text].to_pylist()])
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ids, pa.list_(pa.int32()))], [*batch.schema.names, out])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ids, pa.list_(pa.int32()))], [*batch.schema.names, "ids"])
 
     return work
 
 
 def encode(docs: DataFrame, path: str, text: str = "text", out: str = "ids") -> DataFrame:
     """``docs`` with the ids of each text in ``out``."""
-    types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.mapInArrow(_encode(path, text, out), f"{types}, `{out}` array<int>")
+    cols = Columns(docs)
+    found = cols.rows.mapInArrow(_encode(_sent(docs, path), cols[text]), cols.with_types(ids=ArrayType(IntegerType())))
+    return cols.back(found, **{out: "ids"})
 
 
-def _decode(path: str, ids: str, out: str):
+def _decode(sent, ids: str):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = Bpe(path)
+        bpe = _parsed(sent)
         for batch in batches:
             plain = [bpe.decode(x or ()) for x in batch[ids].to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(plain, pa.string())], [*batch.schema.names, out])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(plain, pa.string())], [*batch.schema.names, "plain"])
 
     return work
 
 
 def decode(rows: DataFrame, path: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
     """``rows`` with the text of the ids in ``out``; null ids give the empty text."""
-    types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
-    return rows.mapInArrow(_decode(path, ids, out), f"{types}, `{out}` string")
+    cols = Columns(rows)
+    found = cols.rows.mapInArrow(_decode(_sent(rows, path), cols[ids]), cols.with_types(plain=StringType()))
+    return cols.back(found, **{out: "plain"})

@@ -8,10 +8,11 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType, StructField, StructType
 
 from scriptmill.sources.shared import shared_path, stored
 
-__all__ = ["group_min", "local_path", "open_uri", "salt", "salts_of", "shared_path", "slices", "stored", "table", "utf8"]
+__all__ = ["Columns", "group_min", "local_path", "open_uri", "salt", "salts_of", "shared_path", "slices", "stored", "table", "utf8"]
 
 #: Rows in an Arrow batch: texts are long, and both sides of the pipe hold a batch.
 BATCH_ROWS = 1000
@@ -22,6 +23,29 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+class Columns:
+    """The columns of ``docs`` under plain names (c0, c1, ...), so that none clashes with what an operator makes, whatever it is called."""
+
+    def __init__(self, docs: DataFrame) -> None:
+        self.names = docs.columns
+        self.rows = docs.toDF(*[f"c{k}" for k in range(len(self.names))])
+
+    def __getitem__(self, name: str) -> str:
+        """The plain name of a column; its own case comes first, then any."""
+        if name not in self.names:
+            return f"c{[n.lower() for n in self.names].index(name.lower())}"
+        return f"c{self.names.index(name)}"
+
+    def with_types(self, **made: DataType) -> StructType:
+        return StructType([*self.rows.schema.fields, *[StructField(k, v) for k, v in made.items()]])
+
+    def back(self, rows: DataFrame, drop: tuple[str, ...] = (), **made: str) -> DataFrame:
+        """``rows`` under the old names, without ``drop`` (plain names), with each column ``made`` (new name: its name in ``rows``) in place of one called the same."""
+        gone = {k.lower() for k in made}
+        old = [F.col(f"c{k}").alias(n) for k, n in enumerate(self.names) if n.lower() not in gone and f"c{k}" not in drop]
+        return rows.select(*old, *[F.col(v).alias(k) for k, v in made.items()])
+
+
 def open_uri(uri: str):
     """A seekable binary file, local or in any store that pyarrow reads."""
     if uri.startswith("file:"):

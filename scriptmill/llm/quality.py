@@ -12,9 +12,11 @@ The sample is the ``max_labelled`` labelled ids of least hash, at most
 MAX_LABELLED; everything else covers all rows.
 
 Rows: a null or empty text is scored like any other, by its (empty) terms;
-labels that repeat an id are averaged, null labels and ids are left out; without
+labels that repeat an id are averaged, null labels and ids are left out; of texts
+that repeat a labelled id the least one, by its bytes, is learned from; without
 labels every score is 0.5; repeated rows each get a score; an empty table gives
-an empty one. Columns other than the text never enter a score; they are kept.
+an empty one. Columns other than the text never enter a score; they are kept,
+whatever their names, but for one called _score, which the score replaces.
 """
 
 from __future__ import annotations
@@ -25,8 +27,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
-from scriptmill.llm.common import slices, utf8
+from scriptmill.llm.common import Columns, slices, utf8
 
 MAX_LABELLED, LATENT, NEIGHBOURS = 4000, 64, 15
 THRESHOLD = 0.3
@@ -126,7 +129,9 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", doc_id: str
     known = labels.select(F.col(doc_id).alias("_id"), F.col(label).cast("double").alias("_y")).filter("_id is not null and _y is not null")
     known = known.groupBy("_id").agg(F.avg("_y").alias("_y"))
     known = known.orderBy(F.xxhash64("_id"), "_id").limit(min(max_labelled, MAX_LABELLED))
-    rows = docs.select(F.col(doc_id).alias("_id"), F.col(text).cast("string").alias("_t")).join(F.broadcast(known), "_id").dropDuplicates(["_id"])
+    cols = Columns(docs)
+    rows = cols.rows.select(F.col(cols[doc_id]).alias("_id"), F.col(cols[text]).cast("string").alias("_t")).join(F.broadcast(known), "_id")
+    rows = rows.groupBy("_id", "_y").agg(F.min(F.coalesce("_t", F.lit(""))).alias("_t"))
     rows = rows.mapInArrow(_term_rows("_t", ["_id", "_y"]), "_id bigint, _y double, terms binary").toArrow().sort_by("_id")
     matrix = np.frombuffer(b"".join(rows["terms"].to_pylist()), np.float32).reshape(-1, DIMS)
     return Voter(matrix, rows["_y"].to_numpy(), latent, neighbours)
@@ -136,16 +141,26 @@ def _score(voter, text: str):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, text):
             found = voter.value.scores([utf8(t) for t in batch[text].to_pylist()])
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.float64())], [*batch.schema.names, "_score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.float64())], [*batch.schema.names, "score"])
 
     return work
 
 
 def score(docs: DataFrame, voter: Voter, text: str = "text") -> DataFrame:
     """``docs`` with _score, from 0 to 1: higher, label 1 likelier."""
-    sent = docs.sparkSession.sparkContext.broadcast(voter)
-    types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.mapInArrow(_score(sent, text), f"{types}, _score double")
+    cols = Columns(docs)
+    return cols.back(_scored(cols, voter, text), _score="score")
+
+
+def keep(docs: DataFrame, voter: Voter, least: float = THRESHOLD, text: str = "text") -> DataFrame:
+    """The rows of ``docs``, unchanged, whose score is ``least`` or more."""
+    cols = Columns(docs)
+    return cols.back(_scored(cols, voter, text).filter(F.col("score") >= least))
+
+
+def _scored(cols: Columns, voter: Voter, text: str) -> DataFrame:
+    sent = cols.rows.sparkSession.sparkContext.broadcast(voter)
+    return cols.rows.mapInArrow(_score(sent, cols[text]), cols.with_types(score=DoubleType()))
 
 
 def held_out(doc_id: str = "doc_id", folds: int = 5, fold: int = 0):

@@ -21,7 +21,8 @@ Rows: null, empty and word-less texts have fingerprint 0 and link like any
 other; texts of fewer words than a shingle have one; ties at a bit give 0;
 repeated rows have one component; a row with a null id takes no part in the
 smallest id, and a component of such rows only has a null id. Other columns are
-not read.
+not read by :func:`near_duplicates`; :func:`keep_one` keeps them, whatever their
+names.
 """
 
 from __future__ import annotations
@@ -36,7 +37,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from scriptmill.llm.common import group_min, salt, salts_of, slices, stored, utf8
+from scriptmill.llm.common import Columns, group_min, salt, salts_of, slices, stored, utf8
 
 WORDS, RADIUS, SEED = 4, 4, 42
 #: For each value of a byte, eight byte lanes that hold its bits.
@@ -210,10 +211,12 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
 
 def keep_least(docs: DataFrame, found: DataFrame, doc_id: str = "doc_id") -> DataFrame:
     """The rows of ``docs`` whose id is the component_id that ``found`` has for it."""
-    found = found.filter("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("_rows"))
-    found = stored(found.select(F.col("doc_id").alias("_keep"), "_rows"), "keep")
-    out = docs.join(found.hint("merge"), F.col(doc_id) == F.col("_keep"), "left").filter(F.col("_keep").isNotNull() | F.col(doc_id).isNull())
-    if found.filter("_rows > 1").isEmpty():
-        return out.drop("_keep", "_rows")
-    once = out.filter("_rows > 1").dropDuplicates([doc_id])
-    return out.filter("_rows = 1 or _rows is null").unionByName(once).drop("_keep", "_rows")
+    cols = Columns(docs)
+    key = cols[doc_id]
+    found = found.filter("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("n"))
+    found = stored(found.select(F.col("doc_id").alias("kept"), "n"), "keep")
+    out = cols.rows.join(found.hint("merge"), F.col(key) == F.col("kept"), "left").filter(F.col("kept").isNotNull() | F.col(key).isNull())
+    if found.filter("n > 1").isEmpty():
+        return cols.back(out)
+    once = out.filter("n > 1").dropDuplicates([key])
+    return cols.back(out.filter("n = 1 or n is null").unionByName(once))

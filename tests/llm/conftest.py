@@ -34,12 +34,15 @@ def empty(spark):
     return spark.createDataFrame([], DOCS)
 
 
-#: Columns named like what the operators make.
-CLASHES = ["fp", "shard", "slot", "size", "th", "tag", "id", "n_words", "row", "terms", "score", "spans", "media", "node", "rank", "key", "c", "n", "w"]
+#: Columns named like what the operators make, in plain, dotted or other case.
+CLASHES = [
+    *["fp", "shard", "slot", "size", "th", "tag", "id", "n_words", "row", "terms", "score", "spans", "media", "node", "rank", "key", "c", "n", "w", "c0", "c1", "a.b", "TEXT.x", "near", "occ", "hit", "items", "kept", "out"],
+    *["_score", "_spans", "_base", "_n_layers", "_near", "_hit", "_items", "_n_words", "_keep", "_rows", "_id", "_t", "_y", "ids", "plain", "decoded", "n_tokens", "ids_sha256", "component_id", "up", "anchor", "body", "digest", "uri", "held_out"],
+]
 
 
 @pytest.fixture(scope="session")
 def clashing(docs):
     from pyspark.sql import functions as F
 
-    return docs.withColumns({c: F.lit("x") for c in CLASHES})
+    return docs.select("*", *[F.lit("x").alias(c) for c in CLASHES])
