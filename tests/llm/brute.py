@@ -132,3 +132,55 @@ def base_spans(text):
     out += [(m.start(), 1, m.end()) for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m[0]) >= 18]
     out += [(m.start(), 2, m.end()) for m in re.finditer("[0-9a-f]+", text) if len(m[0]) >= 16]
     return sorted(out)
+
+
+def every_span(text, depth=12):
+    """Spans of all layers, by unwrapping lists of (character, start, end) again and again; one base64 run at a time."""
+    found, seen = set(), set()
+    escape = re.compile(r"\\u\{([0-9A-Fa-f]{1,6})\}|\\u([0-9A-Fa-f]{4})|\\x([0-9A-Fa-f]{2})|&#([0-9]{1,7});|&#[xX]([0-9A-Fa-f]{1,6});")
+
+    def visit(cells, left):
+        plain = "".join(c for c, _, _ in cells)
+        if tuple(cells) in seen or not left:
+            return
+        seen.add(tuple(cells))
+        for s, k, e in base_spans(plain):
+            found.add((min(x[1] for x in cells[s:e]), k, max(x[2] for x in cells[s:e])))
+        out, at = [], 0
+        for m in re.finditer(r"(?:%[0-9A-Fa-f]{2})+", plain):
+            out += cells[at : m.start()]
+            i = m.start()
+            for c in bytes.fromhex(m[0].replace("%", "")).decode("utf-8", "surrogateescape"):
+                j = i + 3 * len(c.encode("utf-8", "surrogateescape"))
+                c = "\ufffd" if "\udc80" <= c <= "\udcff" else c
+                out.append((c, cells[i][1], cells[j - 1][2]))
+                i = j
+            at = m.end()
+        visit(out + cells[at:], left - 1)
+        out, at = [], 0
+        for m in escape.finditer(plain):
+            code = int(m[4]) if m[4] else int(next(x for x in m.groups() if x), 16)
+            out += [*cells[at : m.start()], (chr(min(code, 0x10FFFF)), cells[m.start()][1], cells[m.end() - 1][2])]
+            at = m.end()
+        visit(out + cells[at:], left - 1)
+        for m in re.finditer(r"[A-Za-z0-9+/]{16,}={0,2}", plain):
+            try:
+                data = base64.b64decode(m[0].rstrip("=") + "=" * (-len(m[0].rstrip("=")) % 4))
+                inner = zlib.decompress(data, 31) if data[:2] == b"\x1f\x8b" else None
+            except (ValueError, zlib.error):
+                continue
+            data = data if inner is None else inner
+            try:
+                body, sizes = data.decode(), None
+            except UnicodeDecodeError:
+                body, sizes = data.decode("latin-1"), 1
+            part, i = [], 0
+            for c in body:
+                j = i + (sizes or len(c.encode()))
+                a, b = (m.start() + i * 4 // 3, m.start() + -(-j * 4 // 3)) if inner is None else (m.start(), m.end())
+                part.append((c, cells[a][1], cells[b - 1][2]))
+                i = j
+            visit(part, left - 1)
+
+    visit([(c, i, i + 1) for i, c in enumerate(text)], depth)
+    return sorted(found)
