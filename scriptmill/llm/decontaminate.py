@@ -11,13 +11,20 @@ words is a block of a window: any occurrence of a window holds such a block, so
 none is missed. The blocks compare upper-cased words, which equal words always
 share; the close look compares the windows themselves, word for word.
 
-The table's size is checked before it is made: beyond MAX_GRAMS windows the
-windows are joined by a shuffle instead, with the same result.
+The table's size is checked before it is made. A benchmark of more than MAX_GRAMS
+windows becomes a broadcast hash set of the 64-bit hashes of its blocks: a join
+in the tasks that scan the texts finds the texts that hold one of them, and only
+those are cut into windows, each text once, however often it stands in the
+corpus. Their windows meet the benchmark's by hash and word for word. Only where
+a side grows beyond its own limit (MAX_BLOCKS, MAX_WINDOWS, MAX_TEXTS rows) is a
+join left to a shuffle. The result is the same on each way.
 
 Rows: a null or empty text, or one without words, has no words and is clean; an
 item without words has no window; an item with a null id marks words but is
 not listed; repeated items count once, repeated documents once each. An empty
-benchmark leaves everything clean.
+benchmark leaves everything clean. Other columns are kept, whatever their names,
+but for those called _n_words, _hit and _items in :func:`hits`, which the results
+replace.
 """
 
 from __future__ import annotations
@@ -27,9 +34,13 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from scriptmill.llm.common import Columns, stored
+
 N = 13
 #: More windows than this are not put into the plan.
 MAX_GRAMS = 50_000
+#: Rows of a side that is broadcast: hashes of blocks (8 bytes each), windows with their words, and digests of texts with what was found in them.
+MAX_BLOCKS, MAX_WINDOWS, MAX_TEXTS = 4_000_000, 200_000, 100_000
 SLOTS = 8
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 BREAKS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -127,72 +138,85 @@ def _occurrences(words_: Column, windows: DataFrame, size: int) -> Column:
 
 def hits(docs: DataFrame, bench: DataFrame, n: int = N, text: str = "text", item: str = "item_id", item_text: str = "text", max_grams: int = MAX_GRAMS) -> DataFrame:
     """``docs`` with _n_words, _hit (places of the words hit, sorted, from 0) and _items (sorted ids of items found)."""
-    windows = windows_of(bench, n, item, item_text)
+    cols = Columns(docs)
+    return cols.back(_found(cols, bench, n, text, item, item_text, max_grams), _n_words="n_words", _hit="hit", _items="items")
+
+
+def _found(cols: Columns, bench: DataFrame, n: int, text: str, item: str = "item_id", item_text: str = "text", max_grams: int = MAX_GRAMS) -> DataFrame:
+    """The rows under plain names with n_words, hit and items."""
+    names = Columns(bench)
+    windows = windows_of(names.rows, n, names[item], names[item_text])
     lengths = {r["len"]: r["n"] for r in windows.groupBy("len").agg(F.count("*").alias("n")).collect()}  # at most n rows
+    rows = cols.rows.withColumn("text", F.col(cols[text]).cast("string"))
     if sum(lengths.values()) > max_grams:
-        return _hits_by_join(docs, windows, sorted(lengths), text)
+        return _places(_found_by_blocks(rows, stored(windows, "windows"), sorted(lengths)))
     near, every = F.lit(False), F.array().cast(OCCURRENCES)
     for size in sorted(lengths):
         mine = windows.filter(F.col("len") == size)
-        near = near | _may_hold(F.col("_up"), mine, size)
-        every = F.concat(every, _occurrences(F.col("_w"), mine, size))
-    out = docs.withColumn("_up", split_words(F.upper(F.col(text)), BREAKS_UPPER)).withColumn("_n_words", F.size("_up")).withColumn("_near", near).drop("_up")
-    out = out.withColumn("_w", F.when(F.col("_near"), words(F.col(text))).otherwise(F.array().cast("array<string>")))
-    out = out.withColumn("_occ", F.when(F.col("_near"), every).otherwise(F.array().cast(OCCURRENCES)))
-    return _places(out).drop("_near", "_w", "_occ")
-
-
-def _hits_by_join(docs: DataFrame, windows: DataFrame, lengths: list[int], text: str) -> DataFrame:
-    """For benchmarks too large to broadcast: windows of documents meet those of items by a shuffle; documents are told apart by a row key that the shared folder fixes."""
-    from scriptmill.llm.common import stored
-
-    rows = stored(docs.withColumn("_row", F.monotonically_increasing_id()), "decontaminate").withColumn("_w", words(F.col(text)))
-    parts = [rows.select("_row", F.lit(size).alias("len"), F.explode(grams(F.col("_w"), size)).alias("g")) for size in lengths]
-    cut = parts[0]
-    for part in parts[1:]:
-        cut = cut.union(part)
-    met = cut.select("_row", "len", F.col("g.at").alias("at"), F.col("g.gram").alias("gram")).hint("shuffle_hash").join(windows.hint("shuffle_hash"), ["len", "gram"])
-    occ = met.groupBy("_row").agg(F.collect_list(F.struct("at", F.col("len").alias("size"), "items")).alias("_occ"))
-    out = rows.withColumn("_n_words", F.size("_w")).drop("_w").join(occ, "_row", "left").withColumn("_occ", F.coalesce("_occ", F.array().cast(OCCURRENCES)))
-    return _places(out).drop("_row", "_occ")
+        near = near | _may_hold(F.col("up"), mine, size)
+        every = F.concat(every, _occurrences(F.col("w"), mine, size))
+    out = rows.withColumn("up", split_words(F.upper("text"), BREAKS_UPPER)).withColumn("n_words", F.size("up")).withColumn("near", near).drop("up")
+    out = out.withColumn("w", F.when(F.col("near"), words(F.col("text"))).otherwise(F.array().cast("array<string>")))
+    return _places(out.withColumn("occ", F.when(F.col("near"), every).otherwise(F.array().cast(OCCURRENCES))))
+
+
+def _limited(df: DataFrame, limit: int) -> DataFrame:
+    """A stored table, to be broadcast if it has at most ``limit`` rows."""
+    return F.broadcast(df) if df.count() <= limit else df.hint("merge")
+
+
+def _each(rows: Column, **made) -> Column:
+    """Structs of columns, or of functions of each element."""
+    return F.transform(rows, lambda x: F.struct(*[(f(x) if callable(f) and not isinstance(f, Column) else f).alias(k) for k, f in made.items()]))
+
+
+def _found_by_blocks(rows: DataFrame, windows: DataFrame, sizes: list[int]) -> DataFrame:
+    """``rows`` with n_words and occ: the texts that hold a block of a window are looked at closely, each once."""
+    upper, blocks, cut = F.transform("gram", lambda w: F.upper(w)), [], []
+    for size in sizes:
+        half = (size + 1) // 2
+        mine = windows.filter(F.col("len") == size).select(F.explode(grams(upper, half)["gram"]).alias("g"))
+        blocks.append(mine.select(F.lit(half).alias("half"), F.xxhash64("g").alias("h")))
+        aligned = F.when(F.size("up") >= size, grams(F.col("up"), half, half)).otherwise(grams(F.array().cast("array<string>"), half))
+        cut.append(_each(aligned, half=F.lit(half), h=lambda x: F.xxhash64(x["gram"])))
+    known = blocks[0]
+    for more in blocks[1:]:
+        known = known.union(more)
+    known = _limited(stored(known.distinct(), "blocks"), MAX_BLOCKS)
+    rows = rows.withColumn("th", F.sha2(F.coalesce("text", F.lit("")), 256))
+    here = rows.select("th", split_words(F.upper("text"), BREAKS_UPPER).alias("up")).select("th", F.explode(F.concat(*cut)).alias("x")).select("th", "x.*")
+    near = _limited(stored(here.join(known, ["half", "h"], "left_semi").select("th").distinct(), "near"), MAX_TEXTS)
+    texts = stored(rows.join(near, "th", "left_semi").groupBy("th").agg(F.first("text").alias("text")), "texts").withColumn("w", words(F.col("text")))
+    parts = F.concat(*[_each(grams(F.col("w"), size), len=F.lit(size), at=lambda x: x["at"], gram=lambda x: x["gram"]) for size in sizes])
+    asked = texts.select("th", F.explode(parts).alias("x")).select("th", "x.*").withColumn("h", F.xxhash64("gram"))
+    met = asked.join(_limited(windows.withColumn("h", F.xxhash64("gram")), MAX_WINDOWS), ["len", "h", "gram"])
+    occ = met.groupBy("th").agg(F.collect_list(F.struct("at", F.col("len").alias("size"), "items")).alias("occ"))  # at most the windows of a text
+    occ = _limited(stored(occ, "found"), MAX_TEXTS)
+    return rows.withColumn("n_words", F.size(words(F.col("text")))).join(occ, "th", "left").withColumn("occ", F.coalesce("occ", F.array().cast(OCCURRENCES)))
 
 
 def _places(df: DataFrame) -> DataFrame:
-    covered = F.flatten(F.transform("_occ", lambda x: F.sequence(x["at"], x["at"] + x["size"] - 1)))
-    listed = F.flatten(F.transform("_occ", lambda x: x["items"]))
-    return df.withColumn("_hit", F.array_sort(F.array_distinct(covered))).withColumn("_items", F.array_sort(F.array_distinct(listed)))
-
-
-def _hits_by_join(docs: DataFrame, windows: DataFrame, lengths: list[int], text: str) -> DataFrame:
-    """For benchmarks too large to broadcast: windows of documents meet those of items by a shuffle; documents are told apart by a row key that the shared folder fixes."""
-    from scriptmill.llm.common import stored
-
-    rows = stored(docs.withColumn("_row", F.monotonically_increasing_id()), "decontaminate").withColumn("_w", words(F.col(text)))
-    parts = [rows.select("_row", F.lit(size).alias("len"), F.explode(grams(F.col("_w"), size)).alias("g")) for size in lengths]
-    cut = parts[0]
-    for part in parts[1:]:
-        cut = cut.union(part)
-    met = cut.select("_row", "len", F.col("g.at").alias("at"), F.col("g.gram").alias("gram")).hint("shuffle_hash").join(windows.hint("shuffle_hash"), ["len", "gram"])
-    occ = met.groupBy("_row").agg(F.collect_list(F.struct("at", F.col("len").alias("size"), "items")).alias("_occ"))
-    empty = F.array().cast(OCCURRENCES)
-    out = rows.withColumn("_n_words", F.size("_w")).drop("_w").join(occ, "_row", "left").withColumn("_occ", F.coalesce("_occ", empty))
-    return _places(out).drop("_row", "_occ")
+    covered = F.flatten(F.transform("occ", lambda x: F.sequence(x["at"], x["at"] + x["size"] - 1)))
+    listed = F.flatten(F.transform("occ", lambda x: x["items"]))
+    return df.withColumn("hit", F.array_sort(F.array_distinct(covered))).withColumn("items", F.array_sort(F.array_distinct(listed)))
 
 
-def contaminated(share: int = 20) -> Column:
+def contaminated(share: int = 20, hit: str = "_hit", n_words: str = "_n_words") -> Column:
     """At least one in ``share`` words is hit."""
-    return (F.size("_hit") > 0) & (F.size("_hit") * F.lit(share) >= F.col("_n_words"))
+    return (F.size(hit) > 0) & (F.size(hit) * F.lit(share) >= F.col(n_words))
 
 
-def remove_documents(docs: DataFrame, bench: DataFrame, n: int = N, share: int = 20, **names) -> DataFrame:
+def remove_documents(docs: DataFrame, bench: DataFrame, n: int = N, share: int = 20, text: str = "text", **names) -> DataFrame:
     """The rows of ``docs``, unchanged, that aren't contaminated."""
-    out = hits(docs, bench, n, **names).withColumn("_out", contaminated(share))
+    cols = Columns(docs)
+    out = _found(cols, bench, n, text, **names).withColumn("out", contaminated(share, "hit", "n_words"))
     # the generator keeps the optimizer from copying the whole search into the filter
-    return out.withColumn("_out", F.explode(F.array("_out"))).filter("not _out").select(*[F.col(f"`{c}`") for c in docs.columns])
+    return cols.back(out.withColumn("out", F.explode(F.array("out"))).filter("not out"))
 
 
 def remove_spans(docs: DataFrame, bench: DataFrame, n: int = N, text: str = "text", **names) -> DataFrame:
     """The rows of ``docs``; where words are hit, the text is its other words joined by spaces, in their own case."""
-    out = hits(docs, bench, n, text, **names)
-    kept = F.array_join(F.filter(split_words(F.col(text), BREAKS_ANY), lambda w, i: ~F.array_contains(F.col("_hit"), i)), " ")
-    return out.withColumn(text, F.when(F.size("_hit") > 0, kept).otherwise(F.col(text))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    cols = Columns(docs)
+    out = _found(cols, bench, n, text, **names)
+    kept = F.array_join(F.filter(split_words(F.col("text"), BREAKS_ANY), lambda w, i: ~F.array_contains(F.col("hit"), i)), " ")
+    return cols.back(out.withColumn(cols[text], F.when(F.size("hit") > 0, kept).otherwise(F.col(cols[text]))))

@@ -1,6 +1,8 @@
 import base64
+import bz2
 import gzip
 import hashlib
+import lzma
 import random
 import zlib
 from collections import Counter
@@ -8,6 +10,7 @@ from urllib.parse import quote
 
 import numpy as np
 import pytest
+import zstandard
 from pyspark.sql import functions as F
 
 from scriptmill.llm import bpe, ctw, decontaminate, media, quality, secrets, sharding, simhash, substrings, warc
@@ -156,8 +159,43 @@ def test_base64_beside_signs():
 
 def test_cycles_and_bombs(monkeypatch):
     assert secrets.all_spans("%2525252525")[2] == 6  # %25 unwraps to % until nothing is left to unwrap
-    monkeypatch.setattr(secrets, "MAX_INFLATED", 1000)
-    assert secrets.all_spans(base64.b64encode(gzip.compress(b"a" * 5000)).decode())[2] == 1
+    monkeypatch.setattr(secrets, "WINDOW", 1000)
+    monkeypatch.setattr(secrets, "OVERLAP", 100)
+    for pack in (gzip.compress, zlib.compress, bz2.compress, lzma.compress, zstandard.ZstdCompressor().compress):
+        for at in (0, 985, 2500, 4995):
+            plain = "a " * at + f"{KEY} x " + "b " * 3000
+            text = f"see {base64.b64encode(pack(plain.encode())).decode()} end"
+            assert any(k == 1 for _, k, _ in secrets.all_spans(text)[1]), (pack, at)
+
+
+def test_streams_and_lines():
+    inner = f"one {KEY} two é"
+    data = gzip.compress(b"first ") + gzip.compress(inner.encode())
+    assert any(k == 1 for _, k, _ in secrets.all_spans(base64.b64encode(data).decode())[1])
+    lines = base64.encodebytes(("z" * 50 + inner).encode()).decode()
+    text = "begin\n" + lines + "end"
+    (span,) = [(s, e) for s, k, e in secrets.all_spans(text)[1] if k == 1]
+    assert "\n" in text[span[0] : span[1]]
+    binary = bytes(range(128, 256)) + inner.encode("latin-1")
+    assert any(k == 1 for _, k, _ in secrets.all_spans(base64.b64encode(binary).decode())[1])
+    control = "\x01\x02" * 40 + inner
+    assert any(k == 1 for _, k, _ in secrets.all_spans(base64.b64encode(control.encode()).decode())[1])
+
+
+def test_work_stays_in_proportion():
+    """Texts of 200 KB made to unwrap for long, or to be searched again and again."""
+    import time
+
+    n = 200_000
+    hard = ["%" + "25" * (n // 2), "\\u005c" + "u005c" * (n // 5), "&#38;" + "#38;" * (n // 4), "%5Cu0025" + "5Cu0025" * (n // 7), "% " + "a" * n, "\\x " + "A" * n, "a" * n + "\n", ("password" + " " * 50) * (n // 58), "%41" * (n // 3), "aGVs" * (n // 4)]
+    for text in hard:
+        began = time.process_time()
+        secrets.all_spans(text)
+        assert time.process_time() - began < 20, text[:20]
+    deep = f"x %{'25' * 50}41KIAABCDEFGHIJKLMNOP y"
+    assert any(k == 1 and s == 2 for s, k, _ in secrets.all_spans(deep)[1])
+    mixed = f"x %{'25' * 40}5Cu0041KIAABCDEFGHIJKLMNOP %{'25' * 40}C3%{'25' * 40}A9 y"
+    assert any(k == 1 and s == 2 for s, k, _ in secrets.all_spans(mixed)[1])
 
 
 def test_scan_and_redact(spark, docs, clashing, empty):
@@ -165,7 +203,9 @@ def test_scan_and_redact(spark, docs, clashing, empty):
     got = {r["doc_id"]: r for r in secrets.scan(docs.union(extra)).collect()}
     assert [s["kind"] for s in got[99]["_base"]] == ["access"] and [s["kind"] for s in got[99]["_spans"]] == ["access", "assign"]
     assert secrets.scan(docs).count() == docs.count() and secrets.scan(empty).count() == 0
-    assert secrets.scan(clashing).columns[: len(clashing.columns)] == clashing.columns
+    assert sorted(secrets.scan(clashing).columns) == sorted(clashing.columns)
+    assert rows(secrets.scan(clashing), "doc_id", F.size("_spans"), "spans") == [(*r, "x") for r in rows(secrets.scan(docs), "doc_id", F.size("_spans"))]
+    assert secrets.redact(clashing).columns == clashing.columns and rows(secrets.redact(clashing), "doc_id", "text") == rows(secrets.redact(docs), "doc_id", "text")
     (clean,) = secrets.redact(extra).collect()
     assert clean["text"] == "x [SECRET] [SECRET]i z"  # the last letter is the closing quote, no part of the secret
     assert rows(secrets.redact(docs), "doc_id", "text") == rows(docs, "doc_id", "text")
@@ -195,6 +235,10 @@ def test_quality(spark, docs, clashing, empty):
     scores = [r["_score"] for r in quality.score(clashing, voter).collect()]
     assert len(scores) == docs.count() and all(0 <= s <= 1 for s in scores)
     assert quality.score(empty, voter).count() == 0
+    assert quality.keep(clashing, voter, 0.0).columns == clashing.columns and rows(quality.keep(clashing, voter, 0.0), "doc_id", "_score", "`a.b`") == rows(clashing, "doc_id", "_score", "`a.b`")
+    same(rows(quality.keep(docs, voter), "doc_id", "text"), [tuple(r) for r in quality.score(docs, voter).filter(f"_score >= {quality.THRESHOLD}").select("doc_id", "text").collect()])
+    again = table.union(spark.createDataFrame([(d, t + " zzz") for d, t, _ in data[:20]], table.schema))  # of repeated ids the least text counts
+    assert (quality.fit(again, labels).vectors == quality.fit(again.repartition(5), labels).vectors).all()
     nothing = quality.fit(table, labels.filter("false"))
     assert {r["_score"] for r in quality.score(docs, nothing).collect()} == {0.5}
 
@@ -256,7 +300,11 @@ def test_near_duplicates(spark, docs, clashing, empty, edge_texts):
     assert simhash.near_duplicates(empty).count() == 0
     kept = simhash.keep_one(small)
     assert kept.columns == docs.columns
-    same([r["doc_id"] for r in kept.collect() if r["doc_id"] is not None], [d for d in {d for d, _ in texts} if d is not None and want[d, dict(pairs)[d]] == d])
+    ids = [d for d in {d for d, _ in texts} if d is not None and want[d, dict(pairs)[d]] == d]
+    same([r["doc_id"] for r in kept.collect() if r["doc_id"] is not None], ids)
+    kept = simhash.keep_one(clashing.filter("text is null or length(text) < 50000"))
+    assert kept.columns == clashing.columns
+    same([r["doc_id"] for r in kept.collect() if r["doc_id"] is not None], ids)
 
 
 def test_long_chains(spark):
@@ -291,7 +339,10 @@ def test_bpe(spark, docs, clashing, empty, edge_texts):
         assert r["ids"] == ids and r["decoded"] == t.decode(ids, skip_special_tokens=False)
     want = [(d, len(e.ids), brute.sha(" ".join(map(str, e.ids))), brute.sha(t.decode(e.ids, skip_special_tokens=False))) for d, x in texts for e in [t.encode(x or "", add_special_tokens=False)]]
     same(rows(bpe.digests(table, TOKENIZER), "doc_id", "n_tokens", "ids_sha256", "decoded_sha256"), want)
-    assert bpe.digests(clashing, TOKENIZER).count() == docs.count() and bpe.encode(empty, TOKENIZER).count() == 0
+    columns = ("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
+    assert rows(bpe.digests(clashing, TOKENIZER), *columns) == rows(bpe.digests(docs, TOKENIZER), *columns) and bpe.encode(empty, TOKENIZER).count() == 0
+    both = bpe.decode(bpe.encode(clashing, TOKENIZER), TOKENIZER)
+    assert sorted(both.columns) == sorted(clashing.columns) and rows(both, "doc_id", "ids", "decoded") == rows(bpe.decode(bpe.encode(docs, TOKENIZER), TOKENIZER), "doc_id", "ids", "decoded")
 
 
 def test_bpe_forgets(monkeypatch):
@@ -426,13 +477,15 @@ def test_member_retry(spark, docs, monkeypatch):
 BENCH = "item_id bigint, text string"
 
 
-def test_decontaminate(spark, docs, clashing, empty, edge_texts):
+def test_decontaminate(spark, docs, clashing, empty, edge_texts, monkeypatch):
     long = prose(20, 40)
     items = [(1, long), (2, "Alpha Beta, gamma!"), (3, None), (4, "..."), (5, long), (None, "omega ΟΣ"), (10, "one"), (7, prose(21, 13)), (8, "a"), (7, prose(21, 13))]
     data = edge_texts + [(200, prose(22, 100) + " " + " ".join(long.upper().split()[5:20]) + " end"), (201, "ALPHA, beta; GAMMA. x"), (202, "x omega ΟΣ y"), (203, prose(21, 13)), (204, long), (204, long), (205, "é" * 10 + " one")]
     table, bench = spark.createDataFrame(data, "doc_id long, text string"), spark.createDataFrame(items, BENCH)
     want = brute.contamination(data, items)
-    for limit in (50_000, 3):  # by the plan's constant, and by the shuffle
+    for limit, most in ((50_000, 0), (3, 0), (3, 10**6)):  # by the plan's constant, by shuffles, and by the broadcast set
+        for name in ("MAX_BLOCKS", "MAX_WINDOWS", "MAX_TEXTS"):
+            monkeypatch.setattr(decontaminate, name, most)
         got = decontaminate.hits(table, bench, max_grams=limit)
         got = got.select("doc_id", "_n_words", F.size("_hit").alias("h"), F.size("_items").alias("i"), F.sha2(F.array_join("_items", ","), 256).alias("s"), decontaminate.contaminated().alias("c"))
         same(rows(got, "*"), want)
@@ -444,6 +497,29 @@ def test_decontaminate(spark, docs, clashing, empty, edge_texts):
     assert decontaminate.hits(empty, bench).count() == 0
     nothing = decontaminate.hits(docs, bench.filter("false")).filter("size(_hit) > 0 or size(_items) > 0")
     assert nothing.count() == 0
+    for limit in (50_000, 3):
+        found = decontaminate.hits(clashing, bench.select("*", F.lit(1).alias("len"), F.lit(2).alias("a.b")), max_grams=limit)
+        kept = rows(found, "doc_id", F.size("_hit"), "hit", "`a.b`", "w")
+        same(kept, [(d, h, "x", "x", "x") for d, _, h, *_ in brute.contamination(edge_texts, items)])
+        assert decontaminate.hits(empty, bench, max_grams=limit).count() == 0
+
+
+def test_decontaminate_large_benchmark(spark):
+    """100,000 windows, against brute force."""
+    r = random.Random(1)
+    word = lambda: f"w{r.randrange(500)}"
+    items = [(k, " ".join(word() for _ in range(112))) for k in range(1000)] + [(5000 + k, f"short{k} item") for k in range(10)]
+    data = []
+    for k in range(60):
+        source = items[r.randrange(1000)][1].split()
+        at, n = r.randrange(90), r.randrange(10, 22)
+        data.append((k, " ".join([*(word() for _ in range(50)), *source[at : at + n], *(word() for _ in range(50)), "Short3 ITEM." if k % 7 == 0 else ""])))
+    data += [data[0]] * 5 + [(None, data[3][1]), (99, None)]
+    got = decontaminate.hits(spark.createDataFrame(data, "doc_id long, text string"), spark.createDataFrame(items, BENCH))
+    got = got.select("doc_id", "_n_words", F.size("_hit"), F.size("_items"), F.sha2(F.array_join("_items", ","), 256), decontaminate.contaminated())
+    want = brute.contamination(data, items)
+    assert sum(w[2] > 0 for w in want) > 30
+    same(rows(got, "*"), want)
 
 
 # 10. Context-tree weighting
