@@ -5,12 +5,21 @@ bytes before it, has a Krichevsky-Trofimov estimate, and the tree weighs the
 estimates of all depths by how well they coded the corpus. A text ends with a
 byte that no UTF-8 text holds, which also stands before its start.
 
-Counting covers the whole corpus: tasks count grams of DEPTH + 1 bytes and
-words, and Spark sums them. The tree keeps the contexts that occur more than
-total / CONTEXTS times, at most CONTEXTS a depth by that rule; what lies below a
-kept context without being kept is one further child, so all counts enter the
-weights. The table that is broadcast, a distribution for each kept context, is
-bounded by DEPTH * CONTEXTS * 256 numbers.
+No context is left out, however rare, so the tree grows with the corpus. It is
+never in one place:
+
+1. Tasks count grams of DEPTH + 1 bytes and words; Spark sums them. Grams of rows
+   that are only scored take part with count 0.
+2. Contexts that end in the same two bytes form a subtree, which depends on the
+   rest of the tree by one number for each decision at its root. Subtrees are
+   dealt into groups; each is weighted from its leaves up, and what the roots add
+   up to for each last byte and decision, at most 256 * 255 rows, makes the top of
+   the tree on the driver.
+3. With the top's shares each group walks its subtrees down again and gives every
+   gram its code length.
+4. Texts add up the code lengths of their grams, found in a broadcast table of at
+   most TABLE grams; a larger one is dealt into such parts, met one after the
+   other, and the sums of a text are added.
 
 The word score: words seen more than tokens / FREQUENT times (at most FREQUENT
 of them) are broadcast; all other words meet their counts in a shuffle.
@@ -18,7 +27,7 @@ of them) are broadcast; all other words meet their counts in a shuffle.
 Rows: a null or empty text is its end alone; repeated rows each give a result of
 their own; a null id counts as the empty string for the fold; without training
 rows every count is 0; an empty table gives an empty one. Texts are lower-cased
-(A-Z). Other columns are not read.
+(A-Z). Other columns are not read, so their names don't matter.
 """
 
 from __future__ import annotations
@@ -34,12 +43,16 @@ from pyspark.sql import functions as F
 
 from scriptmill.llm.common import slices, stored, utf8
 
-DEPTH, CONTEXTS, FREQUENT = 5, 1 << 16, 1 << 20
+DEPTH, FREQUENT = 5, 1 << 20
+#: Grams of a table that is broadcast, and of a group of subtrees.
+TABLE, GROUP = 8 << 20, 400_000
+#: Bytes of context that are the same in a subtree.
+ROOT = 2
 EDGE = 255
 #: Bytes of text that a task counts, and scores, at a time.
 COUNT_PIECE, SCORE_PIECE = 1 << 20, 512 << 10
-#: Words or grams that a task holds before it sends them on.
-HELD = 400_000
+#: Words, and grams, that a task holds before it sends them on.
+HELD, HELD_GRAMS = 400_000, 1_500_000
 
 
 def held_out(doc_id: str = "doc_id", folds: int = 7, fold: int = 2) -> Column:
@@ -92,21 +105,25 @@ def _counts(depth: int):
         parts, docs = [], 0
         for batch in slices(batches, "text", COUNT_PIECE):
             texts = [utf8(t).lower() for t in batch["text"].to_pylist()]
-            docs += len(texts)
-            words.update(b"\n".join(texts).split())
-            data, starts = sequence(texts, depth)
-            at = coded(data, starts, depth)
-            keys = np.sort(context(data, at, depth) << 8 | data[at])
-            first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
-            parts.append((keys[first], np.diff(np.append(first, len(keys)))))
-            if sum(len(k) for k, _ in parts) > HELD:
+            learned = batch["learned"].to_pylist()
+            for counted in (True, False):
+                mine = [t for t, x in zip(texts, learned, strict=True) if x is counted]
+                if counted:
+                    docs += len(mine)
+                    words.update(b"\n".join(mine).split())
+                data, starts = sequence(mine, depth)
+                at = coded(data, starts, depth)
+                keys = np.sort(context(data, at, depth) << 8 | data[at])
+                first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else at
+                parts.append((keys[first], np.diff(np.append(first, len(keys))) * counted))
+            if sum(len(k) for k, _ in parts) > HELD_GRAMS:
                 parts = [_merge(parts)]
-                if len(parts[0][0]) > HELD:
+                if len(parts[0][0]) > HELD_GRAMS // 2:
                     yield grams_out(*parts.pop())
             if len(words) > HELD:
                 yield words_out(words)
                 words = Counter()
-        if parts:
+        if sum(len(k) for k, _ in parts):
             yield grams_out(*_merge(parts))
         yield words_out(words)
         yield grams_out(np.array([-1]), np.array([docs]))  # ends, as tokens
@@ -128,23 +145,13 @@ def log_kt(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
     return log_gamma(zeros + 0.5) + log_gamma(ones + 0.5) - log_gamma(zeros + ones + 1.0) - math.log(math.pi)
 
 
-def decisions(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Counts of the 255 binary decisions (nodes in heap order) from those of 256 bytes."""
-    zeros, ones = [], []
-    for k in range(8):
-        split = counts.reshape(len(counts), 1 << k, 2, -1).sum(axis=3)
-        zeros.append(split[:, :, 0])
-        ones.append(split[:, :, 1])
-    return np.concatenate(zeros, axis=1), np.concatenate(ones, axis=1)
-
-
 class Places:
     """Where a key stands in a sorted array, by hash tables: keys that lose their slot go on to the next table."""
 
     def __init__(self, keys: np.ndarray) -> None:
         self.keys, self.tables, left = keys, [], np.arange(len(keys))
         while len(left):
-            bits = max(4, int(8 * len(left)).bit_length())
+            bits = max(4, int(2 * len(left)).bit_length())
             table = np.zeros(1 << bits, np.int32)
             slots = self._slots(keys[left], bits, len(self.tables))
             table[slots] = left
@@ -169,143 +176,213 @@ class Places:
         return out
 
 
-class Tree:
-    """Distributions of the next byte for each kept context; picklable."""
+class Subtrees:
+    """The levels of the tree from ROOT bytes of context down, over given grams; only decisions that the grams have are there."""
 
-    def __init__(self, levels: list[tuple[np.ndarray, np.ndarray]]) -> None:
-        """levels: for each depth the sorted contexts kept and their byte counts; depth 0 is context 0."""
-        self.keys = [k for k, _ in levels]
-        parents = [None, *(np.searchsorted(self.keys[d - 1], self.keys[d] & ((1 << 8 * (d - 1)) - 1)) for d in range(1, len(levels)))]
-        last = len(levels) - 1
-        weighted: np.ndarray | None = None
-        share, local, other_p = [None] * len(levels), [None] * len(levels), [None] * len(levels)
-        for d in range(last, -1, -1):
-            zeros, ones = decisions(levels[d][1].astype(np.float64))
+    def __init__(self, grams: np.ndarray, counts: np.ndarray, depth: int) -> None:
+        byte, k = (grams & 255)[:, None], np.arange(8)
+        self.bits = byte >> (7 - k) & 1
+        nodes = (1 << k) + (byte >> (8 - k))  # in heap order
+        keys, self.leaf = np.unique((grams >> 8 << 8)[:, None] | nodes, return_inverse=True)
+        self.leaf = self.leaf.reshape(len(grams), 8)
+        zeros, ones = (np.bincount(self.leaf.ravel(), (counts[:, None] * (self.bits == bit)).ravel(), len(keys)) for bit in (0, 1))
+        #: For each depth, from the leaves up: keys, zeros, ones, weighted, share, and the place of each key's parent.
+        self.levels, children = [], None
+        for d in range(depth, ROOT - 1, -1):
             kt = log_kt(zeros, ones)
-            local[d] = ((ones + 0.5) / (zeros + ones + 1.0)).astype(np.float32)
-            if d == last:
-                share[d], weighted, other_p[d] = np.ones_like(local[d]), kt, local[d]
-                continue
-            below = np.zeros_like(levels[d][1])
-            np.add.at(below, parents[d + 1], levels[d + 1][1])
-            rest_zeros, rest_ones = decisions((levels[d][1] - below).astype(np.float64))
-            children = log_kt(rest_zeros, rest_ones)
-            np.add.at(children, parents[d + 1], weighted)
-            other_p[d] = ((rest_ones + 0.5) / (rest_zeros + rest_ones + 1.0)).astype(np.float32)
-            weighted = math.log(0.5) + np.logaddexp(kt, children)
-            share[d] = np.exp(math.log(0.5) + kt - weighted).astype(np.float32)
-        self.places = [Places(k) for k in self.keys]
-        self.tables, done, left = [], None, None
-        for d in range(last + 1):
-            if d == 0:
-                done, left = share[0] * local[0], 1 - share[0]
-            else:
-                done, left = done[parents[d]], left[parents[d]]
-                done, left = done + left * share[d] * local[d], left * (1 - share[d])
-            self.tables.append(self._bytes(done + left * other_p[d]))
+            weighted, share = (kt, np.ones_like(kt)) if children is None else weigh(kt, children)
+            above, parent = np.unique((keys >> 8 & ((1 << 8 * (d - 1)) - 1)) << 8 | (keys & 255), return_inverse=True)
+            self.levels.append((keys, zeros, ones, weighted, share, parent))
+            zeros, ones, children = (np.bincount(parent, x, len(above)) for x in (zeros, ones, weighted))
+            keys = above
+        #: What the roots add up to: keys of ROOT - 1 bytes, zeros, ones and the sums of the weighted probabilities' logs.
+        self.top = keys, zeros, ones, children
 
-    @staticmethod
-    def _bytes(ones: np.ndarray) -> np.ndarray:
-        """log10 of the probability of each byte from those of the decisions."""
-        out = np.zeros((len(ones), 1), np.float32)
-        at = 0
-        for k in range(8):
-            p = np.clip(ones[:, at : at + (1 << k)], 1e-9, 1 - 1e-7)
-            out = (out[:, :, None] + np.log10(np.stack([1 - p, p], axis=2))).reshape(len(ones), -1)
-            at += 1 << k
-        return out.astype(np.float32)
+    def code_lengths(self, done: np.ndarray, left: np.ndarray) -> np.ndarray:
+        """log10 of each gram's last byte, from the shares of the levels above for each key of ``top``."""
+        for _, zeros, ones, _, share, parent in reversed(self.levels):
+            done, left = walk(done[parent], left[parent], zeros, ones, share)
+        p = np.clip(done[self.leaf], 1e-300, 1.0)
+        return np.log10(np.where(self.bits == 1, p, 1 - p)).sum(axis=1)
+
+
+def weigh(kt: np.ndarray, children: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The log of the weighted probability, and the share in it of the node's own estimate."""
+    weighted = math.log(0.5) + np.logaddexp(kt, children)
+    return weighted, np.exp(math.log(0.5) + kt - weighted)
+
+
+def walk(done, left, zeros: np.ndarray, ones: np.ndarray, share: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """One level down: the probability of a one so far, and the weight that is left."""
+    return done + left * share * (ones + 0.5) / (zeros + ones + 1.0), left * (1 - share)
+
+
+class Top:
+    """The levels above the subtrees: for each last byte and decision the probability so far and the weight left."""
+
+    def __init__(self, keys: np.ndarray, zeros: np.ndarray, ones: np.ndarray, children: np.ndarray) -> None:
+        order = np.argsort(keys)
+        self.keys, zeros, ones, children = keys[order], zeros[order], ones[order], children[order]
+        weighted, share = weigh(log_kt(zeros, ones), children)
+        node, at = np.unique(self.keys & 255, return_inverse=True)
+        z, o, below = (np.bincount(at, x, len(node)) for x in (zeros, ones, weighted))
+        root = walk(np.zeros(len(node)), np.ones(len(node)), z, o, weigh(log_kt(z, o), below)[1])
+        self.done, self.left = walk(root[0][at], root[1][at], zeros, ones, share)
+
+    def of(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        at = np.searchsorted(self.keys, keys)
+        return self.done[at], self.left[at]
+
+
+def _roots(depth: int):
+    def work(table: pa.Table) -> pa.Table:
+        keys, *sums = Subtrees(table["gram"].to_numpy(), table["n"].to_numpy(), depth).top
+        return pa.table([pa.array(keys), *(pa.array(x.astype(np.float64)) for x in sums)], ["key", "zeros", "ones", "children"])
+
+    return work
+
+
+def _lengths(sent, depth: int):
+    def work(table: pa.Table) -> pa.Table:
+        grams = table["gram"].to_numpy()
+        subtrees = Subtrees(grams, table["n"].to_numpy(), depth)
+        return pa.table([pa.array(grams), pa.array(subtrees.code_lengths(*sent.value.of(subtrees.top[0])).astype(np.float32))], ["gram", "log"])
+
+    return work
+
+
+def code_lengths(grams: DataFrame, depth: int) -> DataFrame:
+    """gram and log (log10 of the probability of its last byte after the others) of grams with their counts n, as a stored table."""
+    total = grams.count()
+    groups = max(1, -(-total // GROUP))
+    dealt = grams.withColumn("group", F.pmod(F.xxhash64(F.shiftright("gram", 8).bitwiseAND(F.lit((1 << 8 * ROOT) - 1))), F.lit(groups)))
+    tops = dealt.groupBy("group").applyInArrow(_roots(depth), "key bigint, zeros double, ones double, children double")
+    tops = tops.groupBy("key").agg(F.sum("zeros"), F.sum("ones"), F.sum("children")).toArrow()  # at most 256 * 255 rows
+    top = grams.sparkSession.sparkContext.broadcast(Top(*(c.to_numpy() for c in tops.columns)))
+    return stored(dealt.groupBy("group").applyInArrow(_lengths(top, depth), "gram bigint, log float"), "lengths")
+
+
+class Table:
+    """The code lengths of grams; picklable."""
+
+    def __init__(self, grams: np.ndarray, logs: np.ndarray, depth: int, part: int, parts: int) -> None:
+        self.places, self.logs, self.depth, self.part, self.parts = Places(grams), logs, depth, part, parts
 
     def scores(self, texts: list[bytes]) -> np.ndarray:
-        """log10 of the probability of each text with its end."""
-        depth = len(self.keys) - 1
-        data, starts = sequence(texts, max(1, depth))
-        at = coded(data, starts, max(1, depth))
-        value = np.empty(len(at))
-        left = np.arange(len(at))
-        whole = context(data, at, depth)
-        for d in range(depth, -1, -1):
-            place = self.places[d].find(whole[left] & ((1 << 8 * d) - 1))
-            found = place >= 0
-            value[left[found]] = self.tables[d][place[found], data[at[left[found]]]]
-            left = left[~found]
-            if not len(left):
-                break
+        """For each text with its end the sum over its grams in this part."""
+        data, starts = sequence(texts, self.depth)
+        at = coded(data, starts, self.depth)
+        grams = context(data, at, self.depth) << 8 | data[at]
+        place = self.places.find(grams)
+        found = place >= 0
+        if not found.all() and (self.parts == 1 or (part_of(grams[~found], self.parts) == self.part).any()):
+            raise ValueError("a text has grams that the model was not asked for: give these rows to fit() too")
+        value = np.where(found, self.logs[place], 0.0).astype(np.float64)
         first = np.concatenate([[0], np.cumsum([len(t) + 1 for t in texts])[:-1]])
         return np.add.reduceat(value, first) if len(texts) else np.empty(0)
 
 
+def part_of(grams: np.ndarray, parts: int) -> np.ndarray:
+    return (grams ^ grams >> 13 ^ grams >> 26) % parts
+
+
 class Model:
-    def __init__(self, tree: Tree, frequent: dict[bytes, int], tokens: int, distinct: int, end: int) -> None:
-        self.tree, self.frequent, self.tokens, self.distinct, self.end = tree, frequent, tokens, distinct, end
+    """Words that are broadcast, sums, and the tables of code lengths and of rarer words, which stay in the shared folder."""
+
+    def __init__(self, lengths: DataFrame, depth: int, frequent: dict[bytes, int], rare: DataFrame, tokens: int, distinct: int, end: int) -> None:
+        self.lengths, self.depth, self.frequent, self.rare = lengths, depth, frequent, rare
+        self.tokens, self.distinct, self.end = tokens, distinct, end
 
+    def tables(self, most: int) -> Iterator:
+        """The table, or its parts one by one, as broadcasts."""
+        parts = max(1, -(-self.lengths.count() // most))
+        for part in range(parts):
+            # as part_of does it
+            mine = F.pmod(F.col("gram").bitwiseXOR(F.shiftright("gram", 13)).bitwiseXOR(F.shiftright("gram", 26)), F.lit(parts)) == part
+            rows = (self.lengths.filter(mine) if parts > 1 else self.lengths).toArrow().sort_by("gram")
+            yield self.lengths.sparkSession.sparkContext.broadcast(Table(rows["gram"].to_numpy(), rows["log"].to_numpy(), self.depth, part, parts))
 
-def fit(docs: DataFrame, text: str = "text", depth: int = DEPTH, contexts: int = CONTEXTS, frequent: int = FREQUENT) -> tuple[Model, DataFrame]:
-    """The model of all rows, and the counts (word, c) of the words that aren't in it."""
-    rows = docs.select(F.col(text).cast("string").alias("text"))
+
+def fit(docs: DataFrame, learned: Column | None = None, text: str = "text", depth: int = DEPTH, frequent: int = FREQUENT) -> Model:
+    """Learns from the rows where ``learned`` holds (all by default), and readies code lengths for the texts of all rows."""
+    rows = docs.select(F.col(text).cast("string").alias("text"), F.coalesce(F.lit(True) if learned is None else learned, F.lit(False)).alias("learned"))
     counts = rows.mapInArrow(_counts(depth), "word binary, gram bigint, n bigint").groupBy("word", "gram").agg(F.sum("n").alias("n"))
     counts = stored(counts, "counts")
     words = counts.filter("word is not null").select("word", F.col("n").alias("c"))
-    grams = counts.filter("gram >= 0")
-    sums = counts.agg(F.sum(F.expr("if(word is not null, n, 0)")), F.count("word"), F.sum(F.expr("if(gram = -1, n, 0)")), F.sum(F.expr("if(gram >= 0, n, 0)"))).first()
-    in_words, distinct, ends, total = (x or 0 for x in sums)
-    levels = []
-    steps = F.explode(F.array(*[F.struct(F.lit(d).alias("d"), F.expr(f"shiftright(gram, 8) & {(1 << 8 * d) - 1}L").alias("ctx")) for d in range(depth + 1)]))
-    spread = grams.select(steps.alias("x"), (F.col("gram").bitwiseAND(F.lit(255))).cast("int").alias("byte"), "n").groupBy("x.d", "x.ctx", "byte").agg(F.sum("n").alias("n"))
-    packed = spread.groupBy("d", "ctx").agg(F.sum("n").alias("total"), F.collect_list(F.struct("byte", "n")).alias("bytes"))  # at most 256 a context
-    kept = packed.filter((F.col("d") == 0) | (F.col("total") > F.lit(total / contexts))).select("d", "ctx", "bytes").toArrow().combine_chunks()
-    lists = kept["bytes"].combine_chunks() if len(kept) else pa.array([], pa.list_(pa.struct([("byte", pa.int32()), ("n", pa.int64())])))
-    depths, contexts_, owner = kept["d"].to_numpy(), kept["ctx"].to_numpy(), np.repeat(np.arange(len(kept)), lists.value_lengths().to_numpy())
-    flat = lists.flatten()
-    byte, n = flat.field("byte").to_numpy(), flat.field("n").to_numpy()
-    for d in range(depth + 1):
-        here = np.flatnonzero(depths == d)
-        if d and not len(here):
-            break
-        here = here[np.argsort(contexts_[here])]
-        place = np.full(len(kept) + 1, -1)
-        place[here] = np.arange(len(here))
-        table = np.zeros((max(1, len(here)), 256), np.int64)
-        mine = place[owner] >= 0
-        np.add.at(table, (place[owner][mine], byte[mine]), n[mine])
-        levels.append((contexts_[here] if len(here) else np.zeros(1, np.int64), table))
+    sums = counts.agg(F.sum(F.expr("if(word is not null, n, 0)")), F.count("word"), F.sum(F.expr("if(gram = -1, n, 0)"))).first()
+    in_words, distinct, ends = (x or 0 for x in sums)
+    lengths = code_lengths(counts.filter("gram >= 0").select("gram", "n"), depth)
     tokens = in_words + ends
     common = words.filter(F.col("c") > F.lit(tokens / frequent)).toArrow()
     known = dict(zip(common["word"].to_pylist(), common["c"].to_pylist(), strict=True))
-    model = Model(Tree(levels), known, tokens, distinct + (ends > 0), ends)
-    return model, words.filter(F.col("c") <= F.lit(tokens / frequent))
+    return Model(lengths, depth, known, words.filter(F.col("c") <= F.lit(tokens / frequent)), tokens, distinct + (ends > 0), ends)
+
 
+WORDS = "n_tokens bigint, known bigint, logs double, n_bytes bigint, rare array<binary>"
+SCORED = f"doc_id bigint, held_out boolean, {WORDS}, score double"
 
-SCORED = "doc_id bigint, held_out boolean, n_tokens bigint, known bigint, logs double, score double, n_bytes bigint, rare array<binary>"
 
+def _words(frequent, end_count: int):
+    """Counts, sums and rare words of texts."""
+    logs = {w: math.log10(c + 1) for w, c in frequent.value.items()}
+    end = math.log10(end_count + 1)
 
-def _scored(sent):
+    def columns(texts: list[bytes]) -> list[pa.Array]:
+        n, known, sums, rare = [], [], [], []
+        for t in texts:
+            words = t.split()
+            found = [logs.get(w) for w in words]
+            unseen = [w for w, x in zip(words, found, strict=True) if x is None] if None in found else []
+            n.append(len(words) + 1)
+            known.append(len(words) - len(unseen) + (end_count > 0))
+            sums.append(math.fsum(x for x in found if x is not None) + end)
+            rare.append(unseen)
+        return [pa.array(n, pa.int64()), pa.array(known, pa.int64()), pa.array(sums, pa.float64()), pa.array([len(t) + 1 for t in texts], pa.int64()), pa.array(rare, pa.list_(pa.binary()))]
+
+    return columns
+
+
+def _scored(sent, frequent, end: int):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = sent.value
-        logs = {w: math.log10(c + 1) for w, c in model.frequent.items()}
-        end = math.log10(model.end + 1)
+        columns = _words(frequent, end)
         for batch in slices(batches, "text", SCORE_PIECE):
             texts = [utf8(t).lower() for t in batch["text"].to_pylist()]
-            n, known, sums, rare = [], [], [], []
-            for t in texts:
-                words = t.split()
-                found = [logs.get(w) for w in words]
-                unseen = [w for w, x in zip(words, found, strict=True) if x is None] if None in found else []
-                n.append(len(words) + 1)
-                known.append(len(words) - len(unseen) + (model.end > 0))
-                sums.append(math.fsum(x for x in found if x is not None) + end)
-                rare.append(unseen)
-            cols = [batch["doc_id"], batch["held_out"], pa.array(n, pa.int64()), pa.array(known, pa.int64()), pa.array(sums, pa.float64()), pa.array(model.tree.scores(texts), pa.float64()), pa.array([len(t) + 1 for t in texts], pa.int64()), pa.array(rare, pa.list_(pa.binary()))]
+            cols = [batch["doc_id"], batch["held_out"], *columns(texts), pa.array(sent.value.scores(texts), pa.float64())]
             yield pa.RecordBatch.from_arrays(cols, [x.split()[0] for x in SCORED.split(", ")])
 
     return work
 
 
-def score(docs: DataFrame, model: Model, rare_counts: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score and bits_per_byte (with the end as a byte) of each row."""
-    sent = docs.sparkSession.sparkContext.broadcast(model)
-    rows = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), held_out(doc_id).alias("held_out"), F.col(text).cast("string").alias("text"))
-    rows = stored(rows.mapInArrow(_scored(sent), SCORED).withColumn("row", F.monotonically_increasing_id()), "scores")
-    met = rows.select("row", F.explode("rare").alias("word")).join(rare_counts, "word")
+def _added(sent):
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "text", SCORE_PIECE):
+            found = sent.value.scores([utf8(t).lower() for t in batch["text"].to_pylist()])
+            yield pa.RecordBatch.from_arrays([batch["row"], pa.array(found, pa.float64())], ["row", "more"])
+
+    return work
+
+
+def score(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text", table: int = TABLE) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score and bits_per_byte (with the end as a byte) of each row; the rows must be among those that fit() has seen."""
+    frequent = docs.sparkSession.sparkContext.broadcast(model.frequent)
+    source = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), held_out(doc_id).alias("held_out"), F.col(text).cast("string").alias("text"))
+    first, *others = model.tables(table)
+    if others:
+        # the same rows for every part
+        source = stored(source.withColumn("row", F.monotonically_increasing_id()), "texts")
+        parts = [source.mapInArrow(_added(part), "row bigint, more double") for part in others]
+        more = parts[0]
+        for part in parts[1:]:
+            more = more.unionByName(part)
+        more = more.groupBy("row").agg(F.sum("more").alias("more"))
+        names = ["doc_id", "held_out", "row"]
+        keyed = source.withColumns({"doc_id": F.col("row"), "id": F.col("doc_id")})
+        rows = keyed.mapInArrow(_scored(first, frequent, model.end), SCORED).withColumnRenamed("doc_id", "row").drop("held_out")
+        rows = rows.join(source.select(*names), "row").join(more, "row").withColumn("score", F.col("score") + F.col("more")).drop("more")
+        rows = stored(rows, "scores")
+    else:
+        rows = stored(source.mapInArrow(_scored(first, frequent, model.end), SCORED).withColumn("row", F.monotonically_increasing_id()), "scores")
+    met = rows.select("row", F.explode("rare").alias("word")).join(model.rare, "word")
     met = met.groupBy("row").agg(F.count("*").alias("_n"), F.sum(F.log10(F.col("c") + 1)).alias("_logs"))
     every = math.log10(model.tokens + model.distinct + 1)
     out = rows.select("row", "doc_id", "held_out", "n_tokens", "known", "logs", "score", "n_bytes").join(met, "row", "left")

@@ -76,7 +76,7 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_ctw(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return ctw.score(docs, *ctw.fit(docs.filter(~ctw.held_out())))
+    return ctw.score(docs, ctw.fit(docs, ~ctw.held_out()))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_warc, op2_sharding, op3_secrets, op4_quality, op5_simhash, op6_bpe, op7_substrings, op8_media, op9_decontaminate, op10_ctw)}

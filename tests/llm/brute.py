@@ -184,3 +184,43 @@ def every_span(text, depth=12):
 
     visit([(c, i, i + 1) for i, c in enumerate(text)], depth)
     return sorted(found)
+
+
+def context_tree(learned, texts, depth):
+    """log10 of each text's probability by context-tree weighting, straight from the definition (255 stands before and behind a text)."""
+    import math
+
+    def samples(text):
+        data = [255] * depth + list(lower(text).encode()) + [255]
+        return [(tuple(data[i - 1 : i - depth - 1 : -1] if i > depth else data[i - 1 :: -1][:depth]), data[i]) for i in range(depth, len(data))]
+
+    def log_pw(counts, ctx=()):
+        """counts: (context, nearest first) -> [zeros, ones] of one decision."""
+        z, o = counts.get(ctx, (0, 0))
+        kt = math.lgamma(z + 0.5) + math.lgamma(o + 0.5) - math.lgamma(z + o + 1) - math.log(math.pi)
+        if len(ctx) == depth:
+            return kt
+        below = sum(log_pw(counts, c) for c in counts if len(c) == len(ctx) + 1 and c[:-1] == ctx)
+        return math.log(0.5) + max(kt, below) + math.log1p(math.exp(-abs(kt - below)))
+
+    known = [x for t in learned for x in samples(t)]
+
+    def counted(prefix, more=()):
+        out = {}
+        for history, byte in [*known, *more]:
+            bits = f"{byte:08b}"
+            if bits.startswith(prefix):
+                for d in range(depth + 1):
+                    z, o = out.get(history[:d], (0, 0))
+                    out[history[:d]] = (z + (bits[len(prefix)] == "0"), o + (bits[len(prefix)] == "1"))
+        return out
+
+    out = []
+    for t in texts:
+        total = 0.0
+        for history, byte in samples(t):
+            for k in range(8):
+                prefix = f"{byte:08b}"[:k]
+                total += log_pw(counted(prefix, [(history, byte)])) - log_pw(counted(prefix))
+        out.append(total / math.log(10))
+    return out

@@ -526,83 +526,43 @@ def test_decontaminate_large_benchmark(spark):
 
 
 def test_ctw(spark, docs, clashing, empty, edge_texts):
-    got = ctw.score(docs, *ctw.fit(docs.filter(~ctw.held_out()), frequent=50)).collect()
-    want = brute.unigram(edge_texts)
-    got = sorted(got, key=lambda r: repr(tuple(r)[:5]))
-    want = sorted(want, key=lambda r: repr(r[:5]))
-    assert [tuple(r)[:5] for r in got] == [w[:5] for w in want]
-    assert np.allclose(sorted(r["base_score"] for r in got), sorted(w[5] for w in want), rtol=1e-9)
-    assert all(r["score"] < 0 for r in got)
-    assert ctw.score(clashing, *ctw.fit(clashing)).count() == docs.count()
-    model, rare = ctw.fit(empty)
-    assert ctw.score(empty, model, rare).count() == 0 and ctw.score(docs, model, rare).count() == docs.count()
-
-
-def test_tree_is_a_distribution():
-    """Every context's byte probabilities sum to 1, and the weights are those of the tree's own coding."""
-    texts = [prose(k, 50).encode() for k in range(5)]
-    tree = tree_of(texts, 2, 1000)
-    for t in tree.tables:
-        assert np.allclose((10.0 ** t.astype(float)).sum(axis=1), 1, atol=1e-3)
-
-
-def tree_of(texts, depth, contexts):
-    data, starts = ctw.sequence(texts, depth)
-    at = ctw.coded(data, starts, depth)
-    total, levels = len(at), []
-    for d in range(depth + 1):
-        count = Counter(zip(ctw.context(data, at, d).tolist(), data[at].tolist(), strict=True))
-        sums = Counter()
-        for (c, _), n in count.items():
-            sums[c] += n
-        keys = sorted(c for c, n in sums.items() if d == 0 or n > total / contexts)
-        table = np.zeros((len(keys), 256), np.int64)
-        for (c, b), n in count.items():
-            if c in keys:
-                table[keys.index(c), b] = n
-        levels.append((np.array(keys, np.int64), table))
-    return ctw.Tree(levels)
-
-
-def test_tree_equals_sequential_ctw():
-    """Coding one more byte costs what the whole tree's probability says: P_w(data + byte) / P_w(data)."""
-    import math
-
-    texts, depth = [b"abracadabra", b"abrab"], 2
-    tree = tree_of(texts, depth, 10**9)  # every context is kept
-    data, starts = ctw.sequence(texts, depth)
-    at = ctw.coded(data, starts, depth)
-
-    def log_pw(counts, ctx, d):
-        z, o = counts.get(ctx, (0, 0))
-        kt = math.lgamma(z + 0.5) + math.lgamma(o + 0.5) - math.lgamma(z + o + 1) - math.log(math.pi)
-        if d == depth:
-            return kt
-        children = sum(log_pw(counts, c, d + 1) for c in counts if len(c) == d + 1 and c[:d] == ctx)
-        return math.log(0.5) + np.logaddexp(kt, children)
-
-    def node_counts(samples, prefix):
-        out = {}
-        for history, byte in samples:
-            bits = f"{byte:08b}"
-            if bits.startswith(prefix):
-                for d in range(depth + 1):
-                    z, o = out.get(history[:d], (0, 0))
-                    one = bits[len(prefix)] == "1"
-                    out[history[:d]] = (z + (not one), o + one)
-        return out
-
-    samples = [((int(data[p - 1]), int(data[p - 2])), int(data[p])) for p in at]
-    history = (ord("b"), ord("a"))
-    for byte in b"rcz":
-        want = 0.0
-        for k in range(8):
-            prefix = f"{byte:08b}"[:k]
-            before, after = node_counts(samples, prefix), node_counts([*samples, (history, byte)], prefix)
-            want += log_pw(after, (), 0) - log_pw(before, (), 0)
-        ctx = history[1] << 8 | history[0]
-        got = tree.tables[2][list(tree.keys[2]).index(ctx), byte]
-        assert abs(got - want / math.log(10)) < 1e-3
+    want = sorted(brute.unigram(edge_texts), key=lambda r: repr(r[:5]))
+    model = ctw.fit(docs, ~ctw.held_out(), frequent=50)
+    got = sorted(ctw.score(docs, model).collect(), key=lambda r: repr(tuple(r)[:5]))
+    parted = sorted(ctw.score(docs, model, table=500).collect(), key=lambda r: repr(tuple(r)[:5]))
+    assert [tuple(r)[:5] for r in got] == [tuple(r)[:5] for r in parted] == [w[:5] for w in want]
+    for rows_ in (got, parted):
+        assert np.allclose(sorted(r["base_score"] for r in rows_), sorted(w[5] for w in want), rtol=1e-9)
+    assert np.allclose(sorted(r["score"] for r in got), sorted(r["score"] for r in parted), rtol=1e-9) and all(r["score"] < 0 for r in got)
+    assert ctw.score(clashing, ctw.fit(clashing)).count() == docs.count()
+    assert ctw.score(empty, ctw.fit(empty)).count() == 0 and ctw.score(docs, ctw.fit(docs, F.lit(False))).count() == docs.count()
+
+
+def test_ctw_equals_the_whole_tree(spark, monkeypatch):
+    """The query's score against the definition: each byte costs P(all that was learned, and it) / P(all that was learned), over all contexts."""
+    monkeypatch.setattr(ctw, "GROUP", 7)
+    texts = [(1, "abracadabra"), (2, "abrab é"), (3, "cab"), (4, None), (5, ""), (6, "xyz abra"), (7, "abrab é")]
+    for depth in (2, 5):
+        learned = F.col("doc_id").isin(1, 2, 5, 7)
+        docs = spark.createDataFrame(texts, "doc_id long, text string")
+        got = {r["doc_id"]: r["score"] for r in ctw.score(docs, ctw.fit(docs, learned, depth=depth)).collect()}
+        want = brute.context_tree([t for d, t in texts if d in (1, 2, 5, 7)], [t for _, t in texts], depth)
+        assert np.allclose([got[d] for d, _ in texts], want, rtol=1e-5)
+
+
+def test_code_lengths_are_a_distribution(spark):
+    """After every context the 256 bytes' probabilities sum to 1."""
+    texts = [prose(k, 40).encode() for k in range(4)]
+    data, starts = ctw.sequence(texts, 3)
+    at = ctw.coded(data, starts, 3)
+    seen = Counter((ctw.context(data, at, 3) << 8 | data[at]).tolist())
+    contexts = [*{g >> 8 for g in seen}][:20] + [5 << 16 | 7 << 8 | 9]
+    asked = {c << 8 | b: 0 for c in contexts for b in range(256)} | seen
+    rows_ = ctw.code_lengths(spark.createDataFrame(list(asked.items()), "gram long, n long"), 3).collect()
+    total = Counter()
+    for r in rows_:
+        total[r["gram"] >> 8] += 10 ** r["log"]
+    assert all(abs(total[c] - 1) < 1e-4 for c in contexts)
 
 
 def test_places():
