@@ -204,9 +204,17 @@ def least_ids(fps: DataFrame, roots: DataFrame) -> DataFrame:
     return fps.join(least.hint("merge"), F.col("fp") == F.col("_fp"), "left").drop("_fp")
 
 
-def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Of each component the row with the smallest id (of repeated rows, one); rows without an id stay."""
-    return keep_least(docs, near_duplicates(docs, doc_id, text), doc_id)
+def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = WORDS, similarity: float | None = None) -> DataFrame:
+    """Of each component the row with the smallest id (of repeated rows, one); rows without an id stay.
+
+    Links are fingerprints RADIUS bits apart, or, if a ``similarity`` is given,
+    texts that share so much of their shingles (see :mod:`neardup`).
+    """
+    if similarity is None:
+        return keep_least(docs, near_duplicates(docs, doc_id, text, words), doc_id)
+    from scriptmill.llm import neardup
+
+    return keep_least(docs, neardup.near_duplicates(docs, doc_id, text, words, similarity), doc_id)
 
 
 def keep_least(docs: DataFrame, found: DataFrame, doc_id: str = "doc_id") -> DataFrame:

@@ -224,3 +224,18 @@ def context_tree(learned, texts, depth):
                 total += log_pw(counted(prefix, [(history, byte)])) - log_pw(counted(prefix))
         out.append(total / math.log(10))
     return out
+
+
+def near_copies(docs, n=5, least=0.8):
+    """The smallest id of each id's group of texts that share so much of their word shingles, over all pairs."""
+    sets = []
+    for d, t in docs:
+        w = words(lower(t))
+        sets.append((d, {" ".join(w[i : i + n]) for i in range(max(1, len(w) - n + 1))} if w else set()))
+    root = {d: d for d, _ in sets}
+    for i, (d, a) in enumerate(sets):
+        for e, b in sets[:i]:
+            if len(a & b) >= least * len(a | b):
+                low, high = sorted((root[d], root[e]))
+                root = {k: low if r == high else r for k, r in root.items()}
+    return root

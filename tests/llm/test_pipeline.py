@@ -1,13 +1,18 @@
 import hashlib
 
 from tests.llm import brute
-from tests.llm.conftest import DOCS, prose
+from pyspark.sql import functions as F
+
+from tests.llm.conftest import CLASHES, DOCS, prose
 from tests.llm.test_operators import KEY, library, same
 
 import corpus_pipeline
 from scriptmill.llm import quality, secrets
 
 
+CLASHING_STAGES = [x for x in corpus_pipeline.STAGES[:-1] if "near" not in x[0]]  # that one is tested with such columns on its own
+
+
 def junk(seed):
     return " ".join(w + "%%%" for w in prose(seed, 60).split())
 
@@ -28,9 +33,7 @@ def test_pipeline_equals_brute_force(spark, tmp_path):
     voter = quality.fit(docs, spark.read.parquet(f"{tmp_path}/labels.parquet").filter(~quality.held_out()))
     kept = [(d, t) for (d, t), s in zip(texts, voter.scores([(t or "").encode() for _, t in texts]), strict=True) if s >= quality.THRESHOLD]
     assert not any(100 <= d < 130 for d, _ in kept) and {d for d, _ in kept} >= set(range(60)) | {203, 204}
-    pairs = [(d, brute.fingerprint(t)) for d, t in kept]
-    root = brute.components(pairs)
-    kept = [(d, t) for d, t in kept if root[d, dict(pairs)[d]] == d]
+    kept = [(d, t) for d, t in kept if d == brute.near_copies(kept)[d]]
     assert not {200, 201} & {d for d, _ in kept}
     bad = {r[0] for r in brute.contamination(kept, [(1, bench)]) if r[-1]}
     assert bad == {202}
@@ -50,4 +53,9 @@ def test_stages_keep_the_columns(spark, tmp_path):
     for _, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, docs, str(tmp_path)).columns == docs.columns
         assert stage(spark, docs.filter("false"), str(tmp_path)).count() == 0
+    more = docs.select("*", *[F.lit("x").alias(c) for c in CLASHES])
+    for name, stage in CLASHING_STAGES:
+        out = stage(spark, more, str(tmp_path))
+        assert out.columns == more.columns, name
+        assert sorted(r["doc_id"] for r in out.select("doc_id").collect()) == sorted(r["doc_id"] for r in stage(spark, docs, str(tmp_path)).select("doc_id").collect())
     assert corpus_pipeline.STAGES[-1][1](spark, docs.filter("false"), str(tmp_path)).count() == 0
