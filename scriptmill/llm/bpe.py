@@ -40,7 +40,7 @@ from tokenizers import Tokenizer
 from scriptmill.llm.common import Columns, slices
 
 #: Distinct words that a task remembers at a time.
-REMEMBERED = 300_000
+REMEMBERED = 150_000
 END = "</w>"
 #: Characters outside the ranges in which all versions of Unicode in use agree.
 UNSETTLED = regex.compile(r"[^\x00-\u052F\u2010-\u2027\u2030-\u205E\u20A0-\u20B5\u2190-\u23F3\u2500-\u26FF]")

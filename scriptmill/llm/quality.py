@@ -78,9 +78,13 @@ def terms(texts: list[bytes]) -> np.ndarray:
     return out
 
 
+#: Bytes of text whose term rows, some 20 KB a text, a task holds at a time.
+PIECE = 1 << 20
+
+
 def _term_rows(text: str, keep: list[str]):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, text, 1 << 20):
+        for batch in slices(batches, text, PIECE):
             found = terms([utf8(t) for t in batch[text].to_pylist()])
             yield pa.RecordBatch.from_arrays([*[batch[c] for c in keep], pa.array([x.tobytes() for x in found], pa.binary())], [*keep, "terms"])
 
@@ -139,7 +143,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", doc_id: str
 
 def _score(voter, text: str):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, text):
+        for batch in slices(batches, text, PIECE):
             found = voter.value.scores([utf8(t) for t in batch[text].to_pylist()])
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.float64())], [*batch.schema.names, "score"])
 
