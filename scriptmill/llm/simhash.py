@@ -38,6 +38,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from scriptmill.llm.common import Columns, group_min, salt, salts_of, slices, stored, utf8
+from scriptmill.sources.shared import discard
 
 WORDS, RADIUS, SEED = 4, 4, 42
 #: For each value of a byte, eight byte lanes that hold its bits.
@@ -172,6 +173,12 @@ def links(fps: DataFrame) -> DataFrame:
     return near.select(F.col("fp").alias("a"), F.explode("ends").alias("b")).distinct()
 
 
+def _named(edges: DataFrame) -> DataFrame:
+    out = edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
+    out.stored_path = edges.stored_path
+    return out
+
+
 def components(edges: DataFrame) -> DataFrame:
     """node and root (the least node reachable) of every node of the edges (a, b)."""
     edges = stored(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
@@ -182,10 +189,11 @@ def components(edges: DataFrame) -> DataFrame:
         large = least.filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         least = group_min(large, "a", "b", "m")
         small = least.filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("a", F.col("m").alias("b")))
-        edges = stored(small.filter("a <> b").distinct(), "edges")
+        last, edges = edges, stored(small.filter("a <> b").distinct(), "edges")
+        discard(last)
         now = edges.agg(F.count("*"), F.coalesce(F.bit_xor(F.xxhash64("a", "b")), F.lit(0)), F.count_distinct("a")).first()
         if now == state and now[0] == now[2]:
-            return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
+            return _named(edges)
         state = now
 
 
