@@ -17,8 +17,8 @@ rows each give a result of their own; an empty table gives an empty one; texts
 of any length are encoded whole. Other columns are kept, whatever their names,
 but for those called like the results, which these replace.
 
-The driver reads the vocabulary's file once and broadcasts it; a worker parses it
-once.
+The driver reads the vocabulary's file once and broadcasts it; a task parses it, and
+keeps nothing when it ends.
 """
 
 from __future__ import annotations
@@ -185,24 +185,14 @@ class Bpe:
         return " ".join([tokens[i] for i in ids if i in tokens])
 
 
-#: The broadcast that a worker has parsed last, and what it made of it.
-PARSED: list = [None, None]
-
-
 def _sent(docs: DataFrame, path: str):
     with open(path, encoding="utf-8") as f:
         return docs.sparkSession.sparkContext.broadcast(f.read())
 
 
-def _parsed(sent) -> Bpe:
-    if PARSED[0] is not sent:
-        PARSED[:] = sent, Bpe("", sent.value)
-    return PARSED[1]
-
-
 def _digests(sent, text: str):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe, sha = _parsed(sent), hashlib.sha256
+        bpe, sha = Bpe("", sent.value), hashlib.sha256
         for batch in slices(batches, text):
             counts, ids, plain = [], [], []
             for words in bpe.words_of([t or "" for t in batch[text].to_pylist()]):
@@ -226,7 +216,7 @@ def digests(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
 
 def _encode(sent, text: str):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = _parsed(sent)
+        bpe = Bpe("", sent.value)
         for batch in slices(batches, text):
             ids = bpe.encode_batch([t or "" for t in batch[text].to_pylist()])
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ids, pa.list_(pa.int32()))], [*batch.schema.names, "ids"])
@@ -243,7 +233,7 @@ def encode(docs: DataFrame, path: str, text: str = "text", out: str = "ids") ->
 
 def _decode(sent, ids: str):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = _parsed(sent)
+        bpe = Bpe("", sent.value)
         for batch in batches:
             plain = [bpe.decode(x or ()) for x in batch[ids].to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(plain, pa.string())], [*batch.schema.names, "plain"])
