@@ -99,6 +99,8 @@ def _choose(history: History, en_abbr: bool, bg_abbr: bool, in_en: bool, in_bg:
         label, confidence = _unknown(history, default, en, bg)
     if label == EN and confidence >= 1.0 and en_abbr:
         return CASED, EN, confidence
+    if label == BG and confidence >= 1.0 and has_fix:
+        return FIX, BG, confidence
     return (SCRIPT if label == BG else WORD), label, confidence
 
 

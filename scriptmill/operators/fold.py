@@ -22,7 +22,8 @@ from scriptmill.operators.detector import EN, Detector
 from scriptmill.operators.lookup import classify
 from scriptmill.sources.shared import small_side, stored
 
-STATE = "struct<last:string,streak:int,sure:array<string>,out:array<struct<pos:int,word:string,lang:string,output:string>>>"
+#: The labels so far are one letter each in ``out``, so that a step copies little.
+STATE = "struct<last:string,streak:int,sure:array<string>,out:string>"
 
 
 def _step(state: Column, x: Column) -> Column:
@@ -42,16 +43,18 @@ def _step(state: Column, x: Column) -> Column:
         lang.alias("last"),
         F.when(lang == state["last"], state["streak"] + 1).otherwise(1).alias("streak"),
         F.when(sure, F.slice(longer, -F.least(F.lit(6), F.size(longer)), F.lit(6))).otherwise(state["sure"]).alias("sure"),
-        F.concat(state["out"], F.array(F.struct(x["pos"].alias("pos"), x["word"].alias("word"), lang.alias("lang"), F.when(lang == "BG", x["cyrillic"]).otherwise(x["word"]).alias("output")))).alias("out"),
+        F.concat(state["out"], F.substring(lang, 1, 1)).alias("out"),
     )
 
 
 def simulate(classed: DataFrame, session: str = "session", pos: str = "pos", word: str = "word") -> DataFrame:
     """lang and output of each word of the reduced profile; rows need in_en and in_bg."""
-    rows = F.array_sort(F.collect_list(F.struct(F.col(pos).cast("int").alias("pos"), F.col(word).alias("word"), to_cyrillic(F.col(word)).alias("cyrillic"), "in_en", "in_bg")))
-    start = F.expr(f"cast(named_struct('last', '??', 'streak', 0, 'sure', array(), 'out', array()) as {STATE})")
-    folded = classed.groupBy(session).agg(F.aggregate(rows, start, lambda s, x: _step(s, x).cast(STATE))["out"].alias("out"))
-    return folded.select(session, F.explode("out").alias("x")).select(session, "x.*")
+    rows = F.array_sort(F.collect_list(F.struct(F.col(pos).cast("int").alias("pos"), F.col(word).alias("word"), "in_en", "in_bg")))
+    start = F.expr(f"cast(named_struct('last', '??', 'streak', 0, 'sure', array(), 'out', '') as {STATE})")
+    gathered = classed.groupBy(session).agg(rows.alias("rows"))
+    labels = F.filter(F.split(F.aggregate("rows", start, lambda s, x: _step(s, x).cast(STATE))["out"], ""), lambda c: c != "")
+    each = gathered.select(session, F.explode(F.zip_with("rows", labels, lambda x, c: F.struct(x["pos"].alias("pos"), x["word"].alias("word"), (c == "B").alias("is_bg")))).alias("x")).select(session, "x.*")
+    return each.select(session, "pos", "word", F.when(F.col("is_bg"), "BG").otherwise("EN").alias("lang"), F.when(F.col("is_bg"), to_cyrillic(F.col("word"))).otherwise(F.col("word")).alias("output"))
 
 
 RESULT = "session string, pos bigint, original string, converted string, language string, confidence double, in_en boolean, in_bg boolean"

@@ -9,6 +9,7 @@ from __future__ import annotations
 import json
 import re
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -18,6 +19,7 @@ from scriptmill.functions.mapping import KEY_CLASS, TABLE
 from scriptmill.functions.tokens import EMAIL_OR_URL, EMOTICON_BODIES, EMOTICON_PREFIXES, EMOTICONS, JOINING, is_terminal_app
 from scriptmill.operators.correct import ALPHABET
 from scriptmill.operators.detector import BG, EN, Detector, Features
+from scriptmill.sources.events import END, ended
 
 # Key codes of the arrows.
 ARROWS = (123, 124, 125, 126)
@@ -42,8 +44,9 @@ def first_edit(word: str, known) -> str | None:
 
 
 def looker(en, bg) -> Callable[[str], Features]:
-    """Features by lexicons that are held as sets."""
+    """Features by lexicons that are held as sets; those of recent words are remembered."""
 
+    @lru_cache(maxsize=1 << 16)
     def look(word: str) -> Features:
         cyrillic = word.translate(TABLE)
         lower = cyrillic.lower()
@@ -68,8 +71,13 @@ class Keyboard:
         self.detector = Detector.load(state)
         return self
 
+    def preview(self) -> str:
+        return (self.pending + " " if self.pending is not None else "") + self.buffer
+
     def key(self, ch: str | None, code: int = 0, mods=()) -> tuple[str, bool]:
         """(text emitted, whether the key was taken); a key not taken reaches the application itself."""
+        if END in mods:  # the field loses its focus
+            return self.force(), False
         if self.terminal or not ch:
             return "", False
         if "command" in mods or "control" in mods:
@@ -181,11 +189,8 @@ def _replay(lexicons, default: str):
             for r in batch.to_pylist():
                 if r["session_id"] != session:
                     session, board = r["session_id"], Keyboard(look, default, r["terminal"])
-                if r["final"]:  # the field loses its focus
-                    text, taken = board.force(), False
-                else:
-                    text, taken = board.key(r["ch"], r["key_code"] or 0, r["mods"] or ())
-                out.append((session, r["seq"], text, taken, (board.pending + " " if board.pending is not None else "") + board.buffer))
+                text, taken = board.key(r["ch"], r["key_code"] or 0, r["mods"] or ())
+                out.append((session, r["seq"], text, taken, board.preview()))
             kinds = [pa.string(), pa.int64(), pa.string(), pa.bool_(), pa.string()]
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], [x.split()[0] for x in EMITTED.split(", ")])
@@ -202,9 +207,7 @@ def lexicon_set(words: DataFrame, limit: int = MAX_LEXICON) -> frozenset[str]:
 
 
 def replay(events: DataFrame, en: DataFrame, bg: DataFrame, default: str = EN) -> DataFrame:
-    """emitted, taken and preview after each event, in order of seq; a last row per session (seq past its end) gives what focus loss emits."""
+    """emitted, taken and preview after each event, in order of seq; a session without an end event gets one, past its last seq."""
     lexicons = events.sparkSession.sparkContext.broadcast((lexicon_set(en), lexicon_set(bg)))
-    rows = events.select("session_id", is_terminal_app(F.col("bundle_id")).alias("terminal"), "seq", "ch", "key_code", "mods", F.lit(False).alias("final"))
-    ends = rows.groupBy("session_id").agg(F.max("terminal").alias("terminal"), (F.max("seq") + 1).alias("seq"))
-    ends = ends.select("session_id", "terminal", "seq", F.lit(None).cast("string").alias("ch"), F.lit(0).alias("key_code"), F.array().cast("array<string>").alias("mods"), F.lit(True).alias("final"))
-    return rows.union(ends).repartition("session_id").sortWithinPartitions("session_id", "seq").mapInArrow(_replay(lexicons, default), EMITTED)
+    rows = ended(events).select("session_id", is_terminal_app(F.col("bundle_id")).alias("terminal"), "seq", "ch", "key_code", "mods")
+    return rows.repartition("session_id").sortWithinPartitions("session_id", "seq").mapInArrow(_replay(lexicons, default), EMITTED)

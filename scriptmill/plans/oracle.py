@@ -39,6 +39,60 @@ UPPER_FIRST = r"regexp_matches(word, '^\p{Lu}')"
 COUNT = "CAST(count_if({}) AS BIGINT)".format
 LETTERS = f"letters AS (SELECT unnest(string_split({text(' '.join(ALPHABET))}, ' ')) AS a, generate_subscripts(string_split({text(' '.join(ALPHABET))}, ' '), 1) AS r)"
 
+SPOKEN = f"""turns AS (SELECT conv_id AS session, turn, role, unnest({SEGMENTS}) AS word, generate_subscripts({SEGMENTS}, 1) AS place FROM conversations),
+spoken AS (SELECT session, row_number() OVER (PARTITION BY session ORDER BY turn, role, place) - 1 AS pos, word FROM turns)"""
+EDITS = """places AS (SELECT w, unnest(range(0, length(w) + 1)) AS i FROM asked),
+edits AS (
+  SELECT w, 0 AS kind, i, r, w[1:i] || a || w[i+2:] AS c FROM places, letters WHERE i < length(w) AND a <> w[i+1]
+  UNION ALL SELECT w, 1, i, 0, w[1:i] || w[i+2:] FROM places WHERE i < length(w)
+  UNION ALL SELECT w, 2, i, r, w[1:i] || a || w[i+1:] FROM places, letters
+  UNION ALL SELECT w, 3, i, 0, w[1:i] || w[i+2] || w[i+1] || w[i+3:] FROM places WHERE i < length(w) - 1)"""
+
+# The full fold. A history is a string, one letter a label: E and B where it is confident, else e and b. Each step
+# appends a letter, so that the string after a session holds the history before each of its words.
+LAST = "upper(right(h, 1))"
+RUN = "length(regexp_replace(regexp_extract(h, '([eE]+|[bB]+)$'), '[eb]', '', 'g'))"
+LEAD = "(length(regexp_replace(h, '[^B]', '', 'g')) - length(regexp_replace(h, '[^E]', '', 'g')))"
+#: What comes out, the label and the confidence, from the history h and the flags x: English and Bulgarian abbreviation, members, correction, short word.
+DECISION = f"""CASE
+  WHEN x[1] = '1' AND {LAST} <> 'B' THEN 'xE1.0'
+  WHEN x[2] = '1' AND {LAST} = 'B' THEN 'yB1.0'
+  WHEN x[3:4] = '11' THEN CASE WHEN {LEAD} > 0 THEN 'sB0.9' WHEN {LEAD} < 0 THEN 'wE0.9' WHEN h = '' THEN 'wE0.5' WHEN {LAST} = 'B' THEN 'sB0.8' ELSE 'wE0.8' END
+  WHEN x[3:4] = '10' THEN CASE WHEN {LAST} = 'B' AND {RUN} >= 3 AND x[6] = '1' THEN 'sB0.6' WHEN x[1] = '1' THEN 'cE1.0' ELSE 'wE1.0' END
+  WHEN x[3:4] = '01' THEN CASE WHEN {LAST} = 'E' AND {RUN} >= 3 AND x[6] = '1' THEN 'wE0.6' ELSE 'sB1.0' END
+  WHEN {LAST} = 'E' AND {RUN} >= 2 THEN CASE WHEN x[1] = '1' THEN 'cE0.8' ELSE 'wE0.5' END
+  WHEN {LAST} = 'B' AND {RUN} >= 2 THEN 'sB0.5'
+  WHEN x[1] = '0' AND x[5] = '1' THEN 'fB0.8'
+  WHEN x[1] = '1' AND x[5] = '0' THEN 'cE0.8'
+  WHEN x[1] = '1' AND x[5] = '1' THEN CASE {LAST} WHEN 'B' THEN 'fB0.7' ELSE 'cE0.7' END
+  WHEN h = '' THEN 'wE0.3' WHEN {LAST} = 'B' THEN 'sB0.7' ELSE 'wE0.7' END"""
+
+
+#: The letter that a step appends. Confidences of one digit after the point compare as text.
+LETTER = f"list_transform([{DECISION}], lambda d: CASE WHEN d[3:] >= '0.9' THEN d[2] ELSE lower(d[2]) END)[1]"
+#: The same with the last six labels of acc as the history.
+STEP = f"list_transform([right(acc, 6)], lambda h: {LETTER})[1]"
+
+
+def full_fold(source: str) -> str:
+    """CTEs from a table (session, pos, word) to the result of the fold."""
+    flag = "CASE WHEN {} THEN '1' ELSE '0' END".format
+    return f"""{CLASSED.replace('{source}', source)}, {LETTERS}, {ABBREV},
+asked AS (SELECT DISTINCT lower({cyr('word')}) AS w FROM classed WHERE class = 'neither' AND length(word) >= 2),
+{EDITS},
+fixes AS (SELECT w, arg_min(c, kind * 1000000 + i * 100 + r) AS c FROM edits JOIN bg ON bg.word = c WHERE c <> w GROUP BY w),
+flagged AS (SELECT s.*, {cyr('s.word')} AS cyrillic, e.v AS en_v, b.v AS bg_v, CASE WHEN class = 'neither' THEN f.c END AS fix, regexp_full_match(s.word, {text(f'[{mapping.KEY_CLASS}]+')}) AS latin
+  FROM classed s LEFT JOIN en_abbr e ON e.k = lower(s.word) LEFT JOIN bg_abbr b ON b.k = lower(s.word) LEFT JOIN fixes f ON f.w = lower({cyr('s.word')})),
+coded AS (SELECT *, {flag('en_v IS NOT NULL')} || {flag('bg_v IS NOT NULL')} || {flag('in_en')} || {flag('in_bg')} || {flag('fix IS NOT NULL')} || {flag('length(word) <= 3')} AS x,
+  row_number() OVER (PARTITION BY session, latin ORDER BY pos) AS k FROM flagged),
+folded AS (SELECT session, list_reduce(list_prepend('', list(x ORDER BY k)), lambda acc, x: acc || {STEP}) AS labels FROM coded WHERE latin GROUP BY session),
+decided AS (SELECT *, CASE WHEN latin THEN {DECISION} END AS d FROM (SELECT c.*, CASE WHEN latin THEN labels[greatest(1, k - 6):k - 1] END AS h FROM coded c LEFT JOIN folded USING (session)))
+SELECT CAST(session AS VARCHAR) AS session, CAST(pos AS BIGINT) AS pos, word AS original,
+  CASE d[1] WHEN 's' THEN cyrillic WHEN 'x' THEN en_v WHEN 'y' THEN bg_v WHEN 'c' THEN CASE WHEN {UPPER_FIRST} THEN upper(en_v[1]) || en_v[2:] ELSE en_v END
+    WHEN 'f' THEN CASE WHEN regexp_matches(cyrillic, '^\\p{{Lu}}') THEN upper(fix[1]) || fix[2:] ELSE fix END ELSE word END AS converted,
+  CASE d[2] WHEN 'E' THEN 'EN' WHEN 'B' THEN 'BG' ELSE '??' END AS language, CASE WHEN d IS NULL THEN 0.0::DOUBLE ELSE CAST(d[3:] AS DOUBLE) END AS confidence, in_en, in_bg FROM decided"""
+
+
 ORACLE_SQL: dict[str, str] = {
     "translit_tokens": f"""SELECT token, {LATIN} AS is_latin, CASE WHEN {LATIN} THEN {cyr('token')} END AS cyrillic, regexp_matches(token, '[Ѐ-ӿ]') AS has_cyrillic, count(*) AS n
 FROM (SELECT unnest({BLANK}) AS token FROM documents) GROUP BY token""",
@@ -56,6 +110,7 @@ FROM counted LEFT JOIN en_abbr e ON e.k = lower(word) LEFT JOIN bg_abbr b ON b.k
     "case_restore": f"""WITH {WORDS}, x AS (SELECT DISTINCT word, {cyr('lower(word)')} AS c FROM words)
 SELECT word, CASE WHEN {UPPER_FIRST} THEN upper(c[1]) || c[2:] ELSE c END AS restored FROM x""",
     "lexicon_build": f"WITH {WORDS}, {LEXICONS} SELECT 'en' AS lexicon, word FROM en UNION ALL SELECT 'bg', word FROM bg",
+    "lexicon_scan": f"WITH {WORDS}, {LEXICONS} SELECT 'en' AS lexicon, word FROM en UNION ALL SELECT 'bg', word FROM bg",
     "lexicon_class": f"""WITH {WORDS}, {LEXICONS}, {CLASSED_WORDS}
 SELECT lang, class, count(*) AS n_tokens, count(DISTINCT word) AS n_words FROM classed GROUP BY lang, class""",
     "lexicon_conflicts": f"WITH {WORDS}, {LEXICONS} SELECT en.word, bg.word AS cyrillic FROM en JOIN bg ON lower({cyr('en.word')}) = bg.word",
@@ -65,20 +120,14 @@ decided AS (SELECT doc_id, pos, word AS word1, word2, CASE class2 WHEN 'bg' THEN
 SELECT *, CASE WHEN lang = 'BG' THEN {cyr('word1')} ELSE word1 END AS output1, CASE WHEN lang = 'BG' THEN {cyr('word2')} ELSE word2 END AS output2 FROM decided""",
     "edit1_correct": f"""WITH {WORDS}, {LEXICONS}, {CLASSED_WORDS}, {LETTERS},
 asked AS (SELECT DISTINCT lower({cyr('word')}) AS w FROM classed WHERE class = 'neither' AND length(word) >= 2),
-places AS (SELECT w, unnest(range(0, length(w) + 1)) AS i FROM asked),
-edits AS (
-  SELECT w, 0 AS kind, i, r, w[1:i] || a || w[i+2:] AS c FROM places, letters WHERE i < length(w) AND a <> w[i+1]
-  UNION ALL SELECT w, 1, i, 0, w[1:i] || w[i+2:] FROM places WHERE i < length(w)
-  UNION ALL SELECT w, 2, i, r, w[1:i] || a || w[i+1:] FROM places, letters
-  UNION ALL SELECT w, 3, i, 0, w[1:i] || w[i+2] || w[i+1] || w[i+3:] FROM places WHERE i < length(w) - 1)
+{EDITS}
 SELECT w AS word, arg_min(c, kind * 1000000 + i * 100 + r) AS correction,
   ['substitution', 'deletion', 'insertion', 'transposition'][min(kind) + 1] AS edit
 FROM edits JOIN bg ON bg.word = c WHERE c <> w GROUP BY w""",
     "hyphen_map": f"""SELECT token, array_to_string(list_transform(string_split({STEM}, '-'), lambda p: {cyr('p')}), '-') || token[length({STEM}) + 1:] AS mapped,
 {STEM} AS stem, token[length({STEM}) + 1:] AS tail FROM (SELECT DISTINCT unnest({BLANK}) AS token FROM documents)""",
     "sim_fold": f"""WITH RECURSIVE {WORDS}, {LEXICONS},
-turns AS (SELECT conv_id AS session, turn, role, unnest({SEGMENTS}) AS word, generate_subscripts({SEGMENTS}, 1) AS place FROM conversations),
-spoken AS (SELECT session, row_number() OVER (PARTITION BY session ORDER BY turn, role, place) - 1 AS pos, word FROM turns),
+{SPOKEN},
 {CLASSED.replace('{source}', 'spoken').replace('classed AS (', 'classed AS MATERIALIZED (')},
 fold AS (
   SELECT session, CAST(-1 AS BIGINT) AS pos, CAST(NULL AS VARCHAR) AS word, '??' AS lang, 0 AS streak, CAST([] AS VARCHAR[]) AS sure FROM (SELECT DISTINCT session FROM spoken)
@@ -93,4 +142,6 @@ fold AS (
         WHEN f.lang = 'BG' THEN 'BG' ELSE 'EN' END AS l
     FROM fold f JOIN classed c ON c.session = f.session AND c.pos = f.pos + 1))
 SELECT session, CAST(pos AS INTEGER) AS pos, word, lang, CASE WHEN lang = 'BG' THEN {cyr('word')} ELSE word END AS output FROM fold WHERE pos >= 0""",
+    "app_fold": f"WITH {WORDS}, {LEXICONS}, sessions AS (SELECT doc_id AS session, pos, word FROM words), {full_fold('sessions')}",
+    "stream_fold": f"WITH {WORDS}, {LEXICONS}, {SPOKEN}, {full_fold('spoken')}",
 }

@@ -90,6 +90,16 @@ def lexicon_build(spark: SparkSession, sf_dir: str) -> DataFrame:
     return en.select(F.lit("en").alias("lexicon"), "word").union(bg.select(F.lit("bg").alias("lexicon"), "word"))
 
 
+def lexicon_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both lexicons, written as word lists and read from the files."""
+    docs, base = _docs(spark, sf_dir), shared_path(spark, "lists")
+    found = {"en": lexicons.derive_english(docs), "bg": lexicons.derive_bulgarian(docs)}
+    for name, words in found.items():
+        lexicons.write_lexicon(words, f"{base}/{name}.txt")
+    en, bg = (lexicons.read_lexicon(spark, f"{base}/{name}.txt").select(F.lit(name).alias("lexicon"), "word") for name in found)
+    return en.union(bg)
+
+
 def lexicon_class(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words by document language and lexicon class."""
     counted = _words(_docs(spark, sf_dir)).groupBy("lang", "word").agg(F.count("*").alias("n"))
@@ -146,10 +156,10 @@ def stream_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stream_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every conversation turn typed key by key, as a stream."""
+    """Every conversation turn typed key by key, as a stream; equals keystroke_replay."""
     base = shared_path(spark, "stream")
     turns = spark.read.parquet(f"{sf_dir}/conversations.parquet")
-    events.typed(turns, F.concat_ws(":", F.col("conv_id"), F.col("turn"), F.col("role"))).write.parquet(f"{base}/in")
+    events.ended(events.typed(turns, F.concat_ws(":", F.col("conv_id"), F.col("turn"), F.col("role")))).write.parquet(f"{base}/in")
     stream = detect.replay_stream(events.read_event_stream(spark, f"{base}/in"), *_lexicons(spark, sf_dir))
     return detect.run_to_end(stream, f"{base}/out", f"{base}/checkpoint").filter("emitted <> ''").select("session_id", "seq", "emitted")
 
@@ -157,7 +167,7 @@ def stream_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        translit_tokens, token_kind_counts, segment_tokens, abbrev_expand, case_restore, lexicon_build, lexicon_class, lexicon_conflicts,
+        translit_tokens, token_kind_counts, segment_tokens, abbrev_expand, case_restore, lexicon_build, lexicon_scan, lexicon_class, lexicon_conflicts,
         lookahead_pairs, edit1_correct, hyphen_map, sim_fold, app_fold, keystroke_replay, stream_fold, stream_replay,
     )
 }

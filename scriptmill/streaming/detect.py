@@ -15,94 +15,143 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from scriptmill.functions.tokens import is_terminal_app
-from scriptmill.operators.detector import EN, Detector, Features
+from scriptmill.operators.detector import EN, Detector
 from scriptmill.operators.fold import RESULT
 from scriptmill.operators.replay import EMITTED, Keyboard, lexicon_set, looker
 
 
 class InOrder(StatefulProcessor):
-    """Hands over the rows of a key by position, gapless from 0, whatever order they come in."""
+    """Hands over the rows of a key by position, gapless from 0, whatever order they come in.
+
+    With ``patience``, in seconds, a gap that stands so long with rows waiting
+    behind it is given up: the first row after it says in ``skipped`` how many
+    positions that were. Without, rows wait for it.
+    """
 
     position_column: str
     columns: list[str]
     result: str
 
-    def step(self, key: tuple, text: str | None, row: list) -> tuple[str, tuple]:
-        """The next state and the rest of the output row, from the last state (None at first) and a row."""
+    def __init__(self, default: str = EN, patience: float | None = None) -> None:
+        self.default, self.patience = default, patience
+
+    def load(self, text: str | None):
+        """A session's state from its dump, or a fresh one."""
+        raise NotImplementedError
+
+    def step(self, state, row: list) -> tuple:
+        """Changes the state by a row and gives the rest of the output row."""
         raise NotImplementedError
 
     def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
         self.state = handle.getValueState("state", "position bigint, text string")
         self.waiting = handle.getMapState("waiting", "position bigint", "row string")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        position, text = self.state.get() if self.state.exists() else (0, None)
         fresh: dict[int, list] = {}
         for frame in rows:
             named = frame[[self.position_column, *self.columns]].astype(object)
             for at, *row in named.where(named.notna(), None).values.tolist():
                 fresh[int(at)] = row
-        out = []
-        while True:
-            row = fresh.pop(position, None)
-            if row is None:
-                if not self.waiting.containsKey((position,)):
-                    break
-                row = json.loads(self.waiting.getValue((position,))[0])
-                self.waiting.removeKey((position,))
-            text, done = self.step(key, text, row)
-            out.append((key[0], position, *done))
-            position += 1
+        yield from self._advance(key, fresh, timerValues, False)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        yield from self._advance(key, {}, timerValues, True)
+
+    def _next(self, position: int, fresh: dict[int, list]) -> list | None:
+        row = fresh.pop(position, None)
+        if self.waiting.containsKey((position,)):
+            row = row or json.loads(self.waiting.getValue((position,))[0])
+            self.waiting.removeKey((position,))
+        return row
+
+    def _advance(self, key, fresh: dict[int, list], timer_values, give_up: bool) -> Iterator[pd.DataFrame]:
+        position, text = self.state.get() if self.state.exists() else (0, None)
+        state, out, skipped, start = self.load(text), [], 0, position
+        if give_up and (held := [at for (at,) in self.waiting.keys()]):
+            skipped, position = min(held) - position, min(held)
+        while (row := self._next(position, fresh)) is not None:
+            out.append((key[0], position, *self.step(state, row), *([skipped] if self.patience is not None else [])))
+            position, skipped = position + 1, 0
         for at, row in fresh.items():
             if at > position:  # one before it has passed already
                 self.waiting.updateValue((at,), (json.dumps(row),))
-        self.state.update((position, text))
+        if position != start:
+            self.state.update((position, state.dump()))
+        if self.patience is not None:
+            self._wind(timer_values, position != start)
         if out:
-            yield pd.DataFrame(out, columns=[x.split()[0] for x in self.result.split(", ")])
+            yield pd.DataFrame(out, columns=[x.split()[0] for x in self.result.split(", ")] + ["skipped"] * (self.patience is not None))
+
+    def _wind(self, timer_values, moved: bool) -> None:
+        """A timer stands while rows wait; progress sets it anew."""
+        timers, held = list(self.handle.listTimers()), any(True for _ in self.waiting.keys())
+        if timers and (moved or not held):
+            for at in timers:
+                self.handle.deleteTimer(at)
+            timers = []
+        if held and not timers:
+            self.handle.registerTimer(timer_values.getCurrentProcessingTimeInMs() + int(self.patience * 1000))
 
     def close(self) -> None:
         pass
 
 
 class SessionFold(InOrder):
-    position_column, columns, result = "pos", ["word", "in_en", "in_bg", "bg_fix"], RESULT
+    position_column, result = "pos", RESULT
+
+    def __init__(self, scores: bool, default: str = EN, patience: float | None = None) -> None:
+        super().__init__(default, patience)
+        self.columns = ["word", "in_en", "in_bg", "bg_fix"] + ["en_score", "bg_score"] * scores
 
-    def __init__(self, default: str = EN) -> None:
-        self.default = default
+    def load(self, text: str | None) -> Detector:
+        return Detector(self.default) if text is None else Detector.load(text)
 
-    def step(self, key: tuple, text: str | None, row: list) -> tuple[str, tuple]:
-        detector = Detector(self.default) if text is None else Detector.load(text)
-        word, in_en, in_bg, fix = row
-        done = detector.process(word, Features(bool(in_en), bool(in_bg), fix))
-        return detector.dump(), (word, *done, bool(in_en), bool(in_bg))
+    def step(self, state: Detector, row: list) -> tuple:
+        word, in_en, in_bg, *rest = row
+        return word, *state.step(word, bool(in_en), bool(in_bg), *rest), bool(in_en), bool(in_bg)
 
 
 class KeyFold(InOrder):
     position_column, columns, result = "seq", ["terminal", "ch", "key_code", "mods"], EMITTED
 
-    def __init__(self, lexicons, default: str = EN) -> None:
-        self.lexicons, self.default = lexicons, default
+    def __init__(self, lexicons, default: str = EN, patience: float | None = None) -> None:
+        super().__init__(default, patience)
+        self.lexicons = lexicons
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        super().init(handle)
+        self.look = looker(*self.lexicons)
+
+    def load(self, text: str | None) -> Keyboard:
+        board = Keyboard(self.look, self.default)
+        return board if text is None else board.load(text)
+
+    def step(self, state: Keyboard, row: list) -> tuple:
+        state.terminal, ch, code, mods = bool(row[0]), *row[1:]
+        return *state.key(ch, int(code or 0), mods.split(",") if mods else ()), state.preview()
+
 
-    def step(self, key: tuple, text: str | None, row: list) -> tuple[str, tuple]:
-        terminal, ch, code, mods = row
-        board = Keyboard(looker(*self.lexicons), self.default, bool(terminal))
-        if text is not None:
-            board.load(text)
-        emitted, taken = board.key(ch, int(code or 0), mods.split(",") if mods else ())
-        return board.dump(), (emitted, taken, (board.pending + " " if board.pending is not None else "") + board.buffer)
+def _folded(rows: DataFrame, key: str, processor: InOrder) -> DataFrame:
+    timed = processor.patience is not None
+    result = processor.result + ", skipped bigint" * timed
+    return rows.groupBy(key).transformWithStateInPandas(processor, result, "append", "processingTime" if timed else "none")
 
 
-def detect_stream(featured: DataFrame, session: str = "session", default: str = EN) -> DataFrame:
-    """As operators.fold.detect, on a streaming DataFrame; needs the RocksDB state store."""
-    rows = featured.select(F.col(session).cast("string").alias("session"), F.col("pos").cast("bigint").alias("pos"), "word", "in_en", "in_bg", "bg_fix")
-    return rows.groupBy("session").transformWithStateInPandas(SessionFold(default), RESULT, "append", "none")
+def detect_stream(featured: DataFrame, session: str = "session", default: str = EN, patience: float | None = None) -> DataFrame:
+    """As operators.fold.detect, on a streaming DataFrame, which may have en_score and bg_score too; needs the RocksDB state store. Rows without a session, position or word are left out. ``patience``: see InOrder."""
+    scores = [F.coalesce(F.col(c), F.lit(0.0)).alias(c) for c in ("en_score", "bg_score")] if {"en_score", "bg_score"} <= set(featured.columns) else []
+    rows = featured.select(F.col(session).cast("string").alias("session"), F.col("pos").cast("bigint").alias("pos"), "word", "in_en", "in_bg", "bg_fix", *scores)
+    rows = rows.filter("session is not null and pos is not null and word is not null")
+    return _folded(rows, "session", SessionFold(bool(scores), default, patience))
 
 
-def replay_stream(events: DataFrame, en: DataFrame, bg: DataFrame, default: str = EN) -> DataFrame:
-    """As operators.replay.replay, on a streaming DataFrame of key events; text still held when the stream ends is not emitted."""
+def replay_stream(events: DataFrame, en: DataFrame, bg: DataFrame, default: str = EN, patience: float | None = None) -> DataFrame:
+    """As operators.replay.replay, on a streaming DataFrame of key events. What a session holds is emitted by its end event (sources.events.ended). ``patience``: see InOrder."""
     lexicons = lexicon_set(en), lexicon_set(bg)  # with the processor, since its planning worker has no broadcasts
     rows = events.select("session_id", "seq", is_terminal_app(F.col("bundle_id")).alias("terminal"), "ch", "key_code", F.array_join("mods", ",").alias("mods"))
-    return rows.groupBy("session_id").transformWithStateInPandas(KeyFold(lexicons, default), EMITTED, "append", "none")
+    return _folded(rows.filter("session_id is not null and seq is not null"), "session_id", KeyFold(lexicons, default, patience))
 
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"

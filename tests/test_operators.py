@@ -172,3 +172,10 @@ def test_lexicon_files(spark, tmp_path):
     assert lexicons.read_lexicon(spark, str(tmp_path / "missing.txt")).count() == 0
     lexicons.write_lexicon(lexicons.read_lexicon(spark, str(tmp_path / "w.txt")), str(tmp_path / "out"))
     assert lexicons.read_lexicon(spark, str(tmp_path / "out")).count() == 3
+
+
+def test_correction_after_a_sure_score():
+    # the edit search corrects no lexicon word, but a given correction may
+    assert Detector().step("a", True, True, "аа", 0.0, 1.0) == ("аа", BG, 1.0)
+    assert Detector().step("a", True, True, "аа", 0.0, 0.9) == ("а", BG, 0.9)
+    assert Detector().step("a", True, True, None, 0.0, 1.0) == ("а", BG, 1.0)
