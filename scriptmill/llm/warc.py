@@ -9,8 +9,10 @@ the end of a WARC record, so parts are committed like any Spark output.
 Reading. Tasks scan byte ranges for the record magic and emit, for each
 candidate, the offset where its successor must start. In each file, pointer
 jumping from offset 0 then keeps the candidates that the chain reaches; magic
-bytes inside a payload are never reached. Payloads are read afterwards, of kept
-records only.
+bytes inside a payload are never reached. Only offsets meet there; headers come
+back to what is kept. Payloads are read afterwards, of kept records only. A chain
+must end where its file ends: else reading fails and names the place, or, on
+request, gives the records before it. ``broken`` lists such files.
 
 Rows: a null payload is empty and a null URL is empty; of rows that repeat the
 smallest id all are responses; a row with a null id is a revisit of the
@@ -39,6 +41,8 @@ MAGIC = re.compile(rb"(?:\A|(?<=\r\n\r\n))WARC/1\.[01]\r\n")
 #: Up to so many revisits (about 60 bytes each) are broadcast to the writer; more are joined by a shuffle.
 MAX_BROADCAST = 200_000
 RANGE = 8 << 20
+#: Payloads of so many bytes, or one that is longer, go out in a batch.
+BATCH = 4 << 20
 HEADERS = "page_id bigint, record_type string, refers_to bigint, uri string, length bigint, digest string"
 CANDIDATES = "file string, at bigint, next bigint, body bigint, size bigint, " + HEADERS
 DIGITS, BASE32 = "0123456789ABCDEFGHIJKLMNOPQRSTUV", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
@@ -161,44 +165,80 @@ def reached(at: np.ndarray, following: np.ndarray) -> np.ndarray:
     return kept[:n]
 
 
-def _chain(candidates: pa.Table) -> pa.Table:
-    candidates = candidates.sort_by("at")
-    return candidates.filter(pa.array(reached(candidates["at"].to_numpy(), candidates["next"].to_numpy())))
+LINKS = "file string, at bigint, whole boolean"
+
+
+def _chain(strict: bool):
+    """Of one file's candidates (at, next) and its end (at its size): the offsets that the chain reaches, and whether that is the whole file."""
+
+    def work(links: pa.Table) -> pa.Table:
+        links = links.sort_by("at")
+        at = links["at"].to_numpy()
+        kept = reached(at, links["next"].to_numpy())
+        whole = bool(kept[-1])
+        if strict and not whole:
+            after = f"after the record at {at[kept][-1]}" if kept.any() else "at 0"
+            raise ValueError(f"{links['file'][0]}: the chain of records breaks {after}; the file has {at[-1]} bytes")
+        kept[-1] = False
+        out = links.filter(pa.array(kept)).select(["file", "at"])
+        if not whole and not kept.any():  # so that a file without any record is known too
+            out = pa.table({"file": links["file"][:1], "at": pa.array([-1], pa.int64())})
+        return out.append_column("whole", pa.array([whole] * out.num_rows, pa.bool_()))
+
+    return work
 
 
 def _payloads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    name, data = None, None
+    name, data, names = None, None, [x.split()[0] for x in HEADERS.split(",")]
     for batch in batches:
-        rows = batch.to_pylist()
-        for lo in range(0, len(rows), 64):
-            out = []
-            for r in rows[lo : lo + 64]:
-                if r["file"] != name:
-                    if data:
-                        data.close()
-                    name, data = r["file"], open_uri(r["file"])
-                data.seek(r["body"])
-                block = data.read(r["size"])
-                payload = block[block.index(END.encode()) + 4 :] if block.startswith(b"HTTP/") else block
-                found = base64.b32encode(hashlib.sha1(payload).digest()).decode()
-                if r["record_type"] == "response" and r["digest"] and found != r["digest"]:
-                    raise ValueError(f"{name} at {r['at']}: the payload's digest is {found}, its header says {r['digest']}")
-                out.append(payload if r["record_type"] == "response" else None)
-            part = pa.Table.from_batches([batch.slice(lo, 64)]).select([x.split()[0] for x in HEADERS.split(",")])
-            yield from part.append_column("payload", pa.array(out, pa.binary())).combine_chunks().to_batches()
+        rows, out, start, held = batch.to_pylist(), [], 0, 0
+        for k, r in enumerate(rows):
+            if r["file"] != name:
+                if data:
+                    data.close()
+                name, data = r["file"], open_uri(r["file"])
+            data.seek(r["body"])
+            block = data.read(r["size"])
+            payload = block[block.index(END.encode()) + 4 :] if block.startswith(b"HTTP/") else block
+            found = base64.b32encode(hashlib.sha1(payload).digest()).decode()
+            if r["record_type"] == "response" and r["digest"] and found != r["digest"]:
+                raise ValueError(f"{name} at {r['at']}: the payload's digest is {found}, its header says {r['digest']}")
+            out.append(payload if r["record_type"] == "response" else None)
+            held += len(payload)
+            if held >= BATCH or k == len(rows) - 1:
+                part = pa.Table.from_batches([batch.slice(start, len(out))]).select(names)
+                yield from part.append_column("payload", pa.array(out, pa.binary())).combine_chunks().to_batches()
+                out, start, held = [], k + 1, 0
     if data:
         data.close()
 
 
-def read(spark: SparkSession, path: str, span: int = RANGE) -> DataFrame:
-    """The records of all archives in the folder ``path``: page_id, record_type, refers_to, uri, length, digest, payload (null for revisits).
-
-    Files are cut into ranges of ``span`` bytes; a group of one file's headers
-    is gathered in one task, bounded by the archive's size.
-    """
+def _candidates(spark: SparkSession, path: str, span: int) -> tuple[DataFrame, DataFrame]:
+    """All candidates, stored, and the links of each file: (file, at, next) of its candidates and of its end."""
     files = spark.read.format("binaryFile").load(path).select(F.col("path").alias("file"), F.col("length").alias("size")).filter("size > 0")
     starts = F.explode(F.sequence(F.lit(0), F.floor((F.col("size") - 1) / span).cast("bigint")))
     ranges = files.select("file", "size", starts.alias("k")).select("file", "size", (F.col("k") * span).alias("start"), F.least("size", (F.col("k") + 1) * span).alias("stop"))
     ranges = ranges.repartition(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))), "file", "start")
-    kept = ranges.mapInArrow(_scan, CANDIDATES).groupBy("file").applyInArrow(_chain, CANDIDATES)
-    return kept.mapInArrow(_payloads, HEADERS + ", payload binary")
+    found = stored(ranges.mapInArrow(_scan, CANDIDATES), "candidates")
+    ends = files.select("file", F.col("size").alias("at"), (F.col("size") + 1).alias("next"))
+    return found, found.select("file", "at", "next").union(ends)
+
+
+def read(spark: SparkSession, path: str, span: int = RANGE, strict: bool = True) -> DataFrame:
+    """The records of all archives in the folder ``path``: page_id, record_type, refers_to, uri, length, digest, payload (null for revisits).
+
+    Files are cut into ranges of ``span`` bytes. The links of one file, 16 bytes
+    a candidate, meet in one task, bounded by the archive's size. A damaged file
+    (a cut record, a header without end or length, no record at all) is an
+    error; with ``strict`` off the records before the damage are read.
+    """
+    found, links = _candidates(spark, path, span)
+    kept = links.groupBy("file").applyInArrow(_chain(strict), LINKS).select(F.col("file").alias("_file"), F.col("at").alias("_at"))
+    rows = found.join(kept, (F.col("file") == F.col("_file")) & (F.col("at") == F.col("_at"))).drop("_file", "_at")
+    return rows.mapInArrow(_payloads, HEADERS + ", payload binary")
+
+
+def broken(spark: SparkSession, path: str, span: int = RANGE) -> DataFrame:
+    """file and at, the offset of the last record reached (-1: none), of each archive whose chain ends before the file."""
+    _, links = _candidates(spark, path, span)
+    return links.groupBy("file").applyInArrow(_chain(False), LINKS).filter("not whole").groupBy("file").agg(F.max("at").alias("at"))

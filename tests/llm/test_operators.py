@@ -69,8 +69,15 @@ def test_warc_damage(spark, tmp_path):
     (part,) = [r["path"] for r in spark.read.format("binaryFile").load(path).filter("length > 0").select("path").collect()]
     raw = open(part.removeprefix("file:"), "rb").read()
     (tmp_path / "cut.warc").write_bytes(raw[:-30])
-    assert warc.read(spark, str(tmp_path)).count() == 4  # the truncated record is not read
+    assert warc.read(spark, str(tmp_path), strict=False).count() == 4  # the truncated record is not read
+    ((file, at),) = warc.broken(spark, str(tmp_path), 64).collect()
+    assert file.endswith("cut.warc") and raw[at:].startswith(b"WARC/1.1") and b"page 3" in raw[at:] and b"page 2" not in raw[at:]
+    with pytest.raises(Exception, match="chain of records breaks after the record at"):
+        warc.read(spark, str(tmp_path)).collect()
+    (tmp_path / "cut.warc").write_bytes(b"no record")
+    assert [r["at"] for r in warc.broken(spark, str(tmp_path)).collect()] == [-1] and warc.read(spark, str(tmp_path), strict=False).count() == 0
     (tmp_path / "cut.warc").write_bytes(raw.replace(b"page 2", b"page X"))
+    assert warc.broken(spark, str(tmp_path)).count() == 0
     with pytest.raises(Exception, match="digest"):
         warc.read(spark, str(tmp_path)).collect()
 
