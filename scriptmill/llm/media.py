@@ -2,9 +2,9 @@
 
 A media member is a lossless image: the payload (the text's UTF-8 bytes, with
 bytes 0 appended up to a positive multiple of 64) as 8-bit grey samples, 64 a
-row, in PNG. Members are stored in zip archives, one per writing task; the
-commit lists the finished archives in ``_archives.json``, so what failed tasks
-left is never read.
+row, in PNG. Members are stored in zip archives of bounded size; the commit lists
+the finished ones with their sizes in ``_archives.json``, so what failed tasks
+left is never read, and ranges are planned without opening an archive.
 
 Reading plans byte ranges over the archives: a task takes the members that
 start in its range, streams them through Arrow in batches of bounded size, and
@@ -40,6 +40,8 @@ from scriptmill.llm.common import local_path, open_uri, slices, utf8
 FORMAT = "scriptmill_media"
 WIDTH, LEVEL = 64, 3
 RANGE, BATCH = 8 << 20, 4 << 20
+#: A writing task starts a new archive beyond so many bytes, so that the directory that each range reads stays small.
+ARCHIVE = 128 << 20
 RETRIES = 3
 MANIFEST = "_archives.json"
 SIGNATURE = b"\x89PNG\r\n\x1a\n"
@@ -108,39 +110,48 @@ def _create(uri: str):
 
 
 class _Committed(WriterCommitMessage):
-    def __init__(self, archive: str | None) -> None:
-        self.archive = archive
+    def __init__(self, archives: list[tuple[str, int]]) -> None:
+        self.archives = archives
 
 
 class MediaWriter(DataSourceArrowWriter):
-    def __init__(self, path: str) -> None:
-        self.path = path
+    def __init__(self, path: str, limit: int) -> None:
+        self.path, self.limit = path, limit
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> _Committed:
-        name, out, archive = f"part-{uuid.uuid4().hex}.zip", None, None
-        try:
-            for batch in slices(iterator, "text"):
-                for key, text in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist(), strict=True):
-                    if archive is None:
-                        out = _create(f"{self.path}/{name}")
-                        archive = zipfile.ZipFile(out, "w", zipfile.ZIP_STORED)
-                    with warnings.catch_warnings():
-                        warnings.simplefilter("ignore")  # repeated ids
-                        archive.writestr(zipfile.ZipInfo(f"{'null' if key is None else key}.png"), encode_png(utf8(text)))
-        finally:
-            if archive is not None:
-                archive.close()
-                out.close()
-        return _Committed(name if archive is not None else None)
+        done, rows = [], self._members(iterator)
+        for first in rows:
+            name = f"part-{uuid.uuid4().hex}.zip"
+            with _create(f"{self.path}/{name}") as out:
+                with zipfile.ZipFile(out, "w", zipfile.ZIP_STORED) as archive:
+                    self._fill(archive, first, rows)
+                done.append((name, out.tell()))
+        return _Committed(done)
+
+    @staticmethod
+    def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        for batch in slices(batches, "text"):
+            yield from zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist(), strict=True)
+
+    def _fill(self, archive: zipfile.ZipFile, member: tuple | None, rows: Iterator[tuple]) -> None:
+        """``member`` and those after it, until the archive is full."""
+        size = 0
+        while member is not None:
+            key, text = member
+            data = encode_png(utf8(text))
+            with warnings.catch_warnings():
+                warnings.simplefilter("ignore")  # repeated ids
+                archive.writestr(zipfile.ZipInfo(f"{'null' if key is None else key}.png"), data)
+            size += len(data)
+            member = next(rows, None) if size < self.limit else None
 
     def commit(self, messages: list[WriterCommitMessage | None]) -> None:
-        names = sorted(m.archive for m in messages if m and m.archive)
         with _create(f"{self.path}/{MANIFEST}") as f:
-            f.write(json.dumps(names).encode())
+            f.write(json.dumps(sorted(x for m in messages if m for x in m.archives)).encode())
 
     def abort(self, messages: list[WriterCommitMessage | None]) -> None:
-        for m in messages:
-            if m and m.archive and (path := local_path(f"{self.path}/{m.archive}")):
+        for name, _ in (x for m in messages if m for x in m.archives):
+            if path := local_path(f"{self.path}/{name}"):
                 os.unlink(path)
 
 
@@ -181,12 +192,8 @@ class MediaReader(DataSourceReader):
 
     def partitions(self) -> list[_Range]:
         with open_uri(f"{self.path}/{MANIFEST}") as f:
-            names = json.loads(f.read())
-        out = []
-        for name in names:
-            with open_uri(f"{self.path}/{name}") as f:
-                size = f.seek(0, 2) if hasattr(f, "fileno") else f.size()
-            out += [_Range(f"{self.path}/{name}", k, min(size, k + self.span)) for k in range(0, size, self.span)]
+            archives = json.loads(f.read())
+        out = [_Range(f"{self.path}/{name}", k, min(size, k + self.span)) for name, size in archives for k in range(0, size, self.span)]
         return out or [_Range("", 0, 0)]
 
     def read(self, partition: _Range) -> Iterator[pa.RecordBatch]:
@@ -216,7 +223,7 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
 
 
 class MediaSource(DataSource):
-    """Options: path, and span (bytes of an archive that a reading task takes)."""
+    """Options: path, span (bytes of an archive that a reading task takes) and limit (bytes of members beyond which a new archive is begun)."""
 
     @classmethod
     def name(cls) -> str:
@@ -229,13 +236,13 @@ class MediaSource(DataSource):
         return MediaReader(self.options["path"], int(self.options.get("span", RANGE)))
 
     def writer(self, schema, overwrite: bool) -> MediaWriter:
-        return MediaWriter(self.options["path"])
+        return MediaWriter(self.options["path"], int(self.options.get("limit", ARCHIVE)))
 
 
-def write(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text") -> None:
+def write(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text", limit: int = ARCHIVE) -> None:
     """Stores every text as a member of the archives in the folder ``path``."""
     docs.sparkSession.dataSource.register(MediaSource)
-    docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).cast("string").alias("text")).write.format(FORMAT).mode("append").save(path)
+    docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).cast("string").alias("text")).write.format(FORMAT).mode("append").option("limit", str(limit)).save(path)
 
 
 def read(spark: SparkSession, path: str, span: int = RANGE) -> DataFrame:

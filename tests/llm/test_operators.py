@@ -455,6 +455,20 @@ def test_media_empty(spark, empty):
     assert media.read(spark, path).count() == 0
 
 
+def test_archives_are_bounded(spark, docs):
+    import json
+
+    path = shared_path(spark, "media-test")
+    media.write(docs.coalesce(1), path, limit=500)
+    with media.open_uri(f"{path}/{media.MANIFEST}") as f:
+        archives = json.loads(f.read())
+    for name, size in archives:
+        with media.open_uri(f"{path}/{name}") as f:
+            assert len(f.read()) == size
+    got = media.read(spark, path).collect()
+    assert len(got) == docs.count() and {r["archive"] for r in got} == {f"{path}/{name}" for name, _ in archives} and len(archives) > 1
+
+
 def test_member_retry(spark, docs, monkeypatch):
     import zipfile
 
