@@ -8,7 +8,7 @@ from scriptmill.operators import correct, fold, lookup, replay
 from scriptmill.operators.detector import BG, EN, UNSURE, Detector, Features
 from scriptmill.sources import events, lexicons
 
-# Members that the expected results below need; the full word lists are not at hand.
+# Members that the expected results below need (the full word lists are not at hand), and those results.
 EN_WORDS = "the is are you hello want write ignore when there how have this english message previous what a i no do to go link nice info".split()
 BG_WORDS = "това как си добре наред вече нещата написах искам правописни и в с е а на не да до за от по само проба аз кафе нов код пуф кой прави въведох този линк се получава разход но то линк".split()
 SCENARIOS = [

@@ -3,12 +3,14 @@ from pyspark.sql import functions as F
 
 from scriptmill.functions import abbreviations, mapping, tokens
 
+# Words as typed and as they must come out.
 WORDS = {
     "towa": "това", "kak": "как", "si": "си", "dobre": "добре", "blagodarq": "благодаря", "nared": "наред", "we`e": "вече", "ne]ata": "нещата",
     "proba": "проба", "samo": "само", "pokava": "покажа", "hubaw": "хубав", "mnogo": "много", "zdrawej": "здравей", "ma[ina": "машина",
     "u`ili]e": "училище", "prewkl\\`wam": "превключвам", "~ajnika": "Чайника", "po-skoro": "по-скоро", "nakraq.": "накрая.", "po-dobre": "по-добре",
     "razhod": "разход", "|nikod": "Юникод",
 }
+# Keys and the letters that they must type.
 CHARS = {"a": "а", "b": "б", "w": "в", "v": "ж", "k": "к", "q": "я", "]": "щ", "[": "ш", ";": "ж", "`": "ч", "\\": "ю", "}": "Щ", "{": "Ш", ":": "Ж", '"': "Ь", "~": "Ч", "|": "Ю"}
 
 
