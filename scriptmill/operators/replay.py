@@ -24,7 +24,7 @@ from scriptmill.sources.events import END, ended
 # Key codes of the arrows.
 ARROWS = (123, 124, 125, 126)
 MAPPED, JOINER = re.compile(rf"[{KEY_CLASS}]"), re.compile(rf"[{JOINING}]")
-ADDRESS = re.compile(EMAIL_OR_URL.replace(r"\p{N}", r"\d²³¹¼-¾"))
+ADDRESS = re.compile(EMAIL_OR_URL.replace(r"\p{N}", "[0-9]"))  # the buffer holds ASCII keys only
 #: Lexicons of more words than this are not sent to the tasks.
 MAX_LEXICON = 2_000_000
 

@@ -74,8 +74,12 @@ LETTER = f"list_transform([{DECISION}], lambda d: CASE WHEN d[3:] >= '0.9' THEN
 STEP = f"list_transform([right(acc, 6)], lambda h: {LETTER})[1]"
 
 
-def full_fold(source: str) -> str:
-    """CTEs from a table (session, pos, word) to the result of the fold."""
+CONVERTED = f"""CASE d[1] WHEN 's' THEN cyrillic WHEN 'x' THEN en_v WHEN 'y' THEN bg_v WHEN 'c' THEN CASE WHEN {UPPER_FIRST} THEN upper(en_v[1]) || en_v[2:] ELSE en_v END
+    WHEN 'f' THEN CASE WHEN regexp_matches(cyrillic, '^\\p{{Lu}}') THEN upper(fix[1]) || fix[2:] ELSE fix END ELSE word END"""
+
+
+def coded(source: str) -> str:
+    """CTEs from a table with a column word to ``coded``: its rows with the features of the words, and their flags as x."""
     flag = "CASE WHEN {} THEN '1' ELSE '0' END".format
     return f"""{CLASSED.replace('{source}', source)}, {LETTERS}, {ABBREV},
 asked AS (SELECT DISTINCT lower({cyr('word')}) AS w FROM classed WHERE class = 'neither' AND length(word) >= 2),
@@ -83,16 +87,65 @@ asked AS (SELECT DISTINCT lower({cyr('word')}) AS w FROM classed WHERE class = '
 fixes AS (SELECT w, arg_min(c, kind * 1000000 + i * 100 + r) AS c FROM edits JOIN bg ON bg.word = c WHERE c <> w GROUP BY w),
 flagged AS (SELECT s.*, {cyr('s.word')} AS cyrillic, e.v AS en_v, b.v AS bg_v, CASE WHEN class = 'neither' THEN f.c END AS fix, regexp_full_match(s.word, {text(f'[{mapping.KEY_CLASS}]+')}) AS latin
   FROM classed s LEFT JOIN en_abbr e ON e.k = lower(s.word) LEFT JOIN bg_abbr b ON b.k = lower(s.word) LEFT JOIN fixes f ON f.w = lower({cyr('s.word')})),
-coded AS (SELECT *, {flag('en_v IS NOT NULL')} || {flag('bg_v IS NOT NULL')} || {flag('in_en')} || {flag('in_bg')} || {flag('fix IS NOT NULL')} || {flag('length(word) <= 3')} AS x,
-  row_number() OVER (PARTITION BY session, latin ORDER BY pos) AS k FROM flagged),
-folded AS (SELECT session, list_reduce(list_prepend('', list(x ORDER BY k)), lambda acc, x: acc || {STEP}) AS labels FROM coded WHERE latin GROUP BY session),
-decided AS (SELECT *, CASE WHEN latin THEN {DECISION} END AS d FROM (SELECT c.*, CASE WHEN latin THEN labels[greatest(1, k - 6):k - 1] END AS h FROM coded c LEFT JOIN folded USING (session)))
-SELECT CAST(session AS VARCHAR) AS session, CAST(pos AS BIGINT) AS pos, word AS original,
-  CASE d[1] WHEN 's' THEN cyrillic WHEN 'x' THEN en_v WHEN 'y' THEN bg_v WHEN 'c' THEN CASE WHEN {UPPER_FIRST} THEN upper(en_v[1]) || en_v[2:] ELSE en_v END
-    WHEN 'f' THEN CASE WHEN regexp_matches(cyrillic, '^\\p{{Lu}}') THEN upper(fix[1]) || fix[2:] ELSE fix END ELSE word END AS converted,
+coded AS (SELECT *, {flag('en_v IS NOT NULL')} || {flag('bg_v IS NOT NULL')} || {flag('in_en')} || {flag('in_bg')} || {flag('fix IS NOT NULL')} || {flag('length(word) <= 3')} AS x FROM flagged)"""
+
+
+def full_fold(source: str) -> str:
+    """CTEs from a table (session, pos, word) to the result of the fold."""
+    return f"""{coded(source)},
+counted AS (SELECT *, row_number() OVER (PARTITION BY session, latin ORDER BY pos) AS k FROM coded),
+folded AS (SELECT session, list_reduce(list_prepend('', list(x ORDER BY k)), lambda acc, x: acc || {STEP}) AS labels FROM counted WHERE latin GROUP BY session),
+decided AS (SELECT *, CASE WHEN latin THEN {DECISION} END AS d FROM (SELECT c.*, CASE WHEN latin THEN labels[greatest(1, k - 6):k - 1] END AS h FROM counted c LEFT JOIN folded USING (session)))
+SELECT CAST(session AS VARCHAR) AS session, CAST(pos AS BIGINT) AS pos, word AS original, {CONVERTED} AS converted,
   CASE d[2] WHEN 'E' THEN 'EN' WHEN 'B' THEN 'BG' ELSE '??' END AS language, CASE WHEN d IS NULL THEN 0.0::DOUBLE ELSE CAST(d[3:] AS DOUBLE) END AS confidence, in_en, in_bg FROM decided"""
 
 
+# The key replay. A text is cut at each key that is no part of a word; a step is such a key, or the end, and the run of
+# keys before it. A run begins with the first key that types a letter, unless a word is held: then each key counts. So a
+# step has two variants (v = 1 if a word is held), and a walk over the steps carries the history and the held word p.
+# Texts have no escape or delete key, no modifiers and no terminal here.
+BUFFERED = f"[{mapping.KEY_CLASS}{tokens.JOINING}]"
+BREAK = f"[^{mapping.KEY_CLASS}{tokens.JOINING}]"
+#: What a step hands to the decision, from what its variant hands over by itself and the held word.
+HANDED = """CASE WHEN pend THEN [] WHEN p0 IS NULL THEN {own} WHEN kind IN ('emoticon', 'none') THEN [{held}]
+    WHEN kind = 'force' THEN list_prepend({held}, {own}) WHEN kind = 'hyphen' THEN list_append({own}, {own}[1]) ELSE {own} END""".format
+REPLAY = f"""typed AS (SELECT concat_ws(':', conv_id, turn, role) AS sid, text AS body FROM conversations WHERE text <> ''),
+cut AS (SELECT sid, list_append(regexp_extract_all(body, {text(BUFFERED + '*' + BREAK)}), regexp_extract(body, {text(BUFFERED + '*$')})) AS bits FROM typed),
+bits AS (SELECT sid, unnest(bits) AS bit, generate_subscripts(bits, 1) AS k, len(bits) AS n FROM cut),
+steps AS (SELECT sid, k, CASE WHEN k = n THEN bit ELSE left(bit, length(bit) - 1) END AS run, CASE WHEN k < n THEN right(bit, 1) END AS t,
+  sum(length(bit)) OVER (PARTITION BY sid ORDER BY k) - CASE WHEN k < n THEN 1 ELSE 0 END AS seq FROM bits),
+runs AS (SELECT sid, k, seq, t, 0 AS v, regexp_replace(run, {text(f'^[{tokens.JOINING}]+')}, '') AS run FROM steps UNION ALL SELECT sid, k, seq, t, 1, run FROM steps),
+kinds AS (SELECT *, regexp_replace(run, '[.,!?]*$', '') AS stem, CASE WHEN t IN (chr(10), chr(13)) THEN 'raw' WHEN run = '' THEN 'none'
+    WHEN t = ' ' THEN CASE WHEN stem = '' THEN 'tail' WHEN stem IN {listed(tokens.EMOTICONS)} THEN 'emoticon' WHEN regexp_matches(stem, {text(tokens.EMAIL_OR_URL)}) THEN 'address'
+      WHEN contains(stem, '-') THEN 'hyphen' ELSE 'word' END
+    WHEN run IN {listed(tokens.EMOTICON_PREFIXES)} AND t IN {listed(tokens.EMOTICON_BODIES)} THEN 'emoticon' ELSE 'force' END AS kind FROM runs),
+split AS (SELECT *, CASE kind WHEN 'force' THEN [run] WHEN 'hyphen' THEN string_split(stem, '-') WHEN 'word' THEN [stem] ELSE [] END AS words,
+  CASE WHEN kind IN ('hyphen', 'word') THEN run[length(stem) + 1:] ELSE '' END AS tail FROM kinds),
+asking AS (SELECT DISTINCT unnest(words) AS word FROM split),
+{coded('asking')},
+placed AS (SELECT sid, k, v, unnest(words) AS word, generate_subscripts(words, 1) AS j FROM split),
+flags AS (SELECT sid, k, v, list(CASE WHEN latin THEN x ELSE '' END ORDER BY j) AS xs, bool_and(in_en AND in_bg) AS open FROM placed JOIN coded USING (word) GROUP BY sid, k, v),
+acts AS MATERIALIZED (SELECT s.*, coalesce(xs, CAST([] AS VARCHAR[])) AS xs, coalesce(open, false) AND kind = 'word' AND tail = '' AS open FROM split s LEFT JOIN flags USING (sid, k, v)),
+walk AS (
+  SELECT sid, CAST(0 AS BIGINT) AS k, '' AS hist, CAST(NULL AS VARCHAR) AS p, CAST(NULL AS VARCHAR) AS px, '' AS h0, CAST(NULL AS VARCHAR) AS p0, CAST([] AS VARCHAR[]) AS given, false AS pend FROM typed
+  UNION ALL
+  SELECT sid, k, list_reduce(list_prepend(h0, list_filter(given, lambda g: g <> '')), lambda acc, x: acc || {STEP}), CASE WHEN pend THEN words[1] WHEN kind = 'tail' THEN p0 END,
+    CASE WHEN pend THEN xs[1] WHEN kind = 'tail' THEN px0 END, h0, p0, given, pend
+  FROM (SELECT *, {HANDED(own='xs', held='px0')} AS given
+    FROM (SELECT a.*, right(w.hist, 6) AS h0, w.p AS p0, w.px AS px0, w.p IS NULL AND w.hist = '' AND a.open AS pend
+      FROM walk w JOIN acts a ON a.sid = w.sid AND a.k = w.k + 1 AND a.v = CASE WHEN w.p IS NULL THEN 0 ELSE 1 END))),
+walked AS (SELECT w.*, a.seq, a.kind, a.run, a.tail, {HANDED(own='a.words', held='p0')} AS handed FROM walk w JOIN acts a ON a.sid = w.sid AND a.k = w.k AND a.v = CASE WHEN w.p0 IS NULL THEN 0 ELSE 1 END),
+asked_of AS (SELECT sid, k, hist, h0, given, len(handed) AS n, p0 IS NOT NULL AS held, kind, unnest(handed) AS word, generate_subscripts(handed, 1) AS j FROM walked),
+decided AS (SELECT *, CASE WHEN latin THEN {DECISION} END AS d
+  FROM (SELECT o.*, c.* EXCLUDE (word), right(left(hist, length(h0) + len(list_filter(given[1:j - 1], lambda g: g <> ''))), 6) AS h FROM asked_of o JOIN coded c USING (word))),
+spelt AS (SELECT sid, k, j, {CONVERTED} AS said, d[2] AS label, held AND kind IN ('emoticon', 'none', 'force') AND j = 1 AS own, held AND kind = 'hyphen' AND j = n AS again FROM decided),
+joined AS (SELECT sid, k, string_agg(said, '-' ORDER BY j) FILTER (NOT own AND NOT again) AS said, max(said) FILTER (own) AS alone, arg_max(coalesce(label = 'B', false), j) AS is_bg FROM spelt GROUP BY sid, k),
+emitted AS (SELECT sid, seq, CASE WHEN pend THEN '' WHEN p0 IS NULL THEN CASE WHEN kind IN ('force', 'hyphen', 'word') THEN said || tail ELSE run END
+    WHEN kind = 'raw' THEN p0 || ' ' || run WHEN kind = 'emoticon' THEN alone || ' ' || run WHEN kind = 'none' THEN alone WHEN kind = 'tail' THEN run WHEN kind = 'address' THEN p0 || run
+    ELSE CASE WHEN is_bg THEN {cyr('p0')} ELSE p0 END || ' ' || said || tail END AS emitted FROM walked LEFT JOIN joined USING (sid, k))
+SELECT sid AS session_id, CAST(seq AS BIGINT) AS seq, emitted FROM emitted WHERE emitted <> ''"""
+
+
 ORACLE_SQL: dict[str, str] = {
     "translit_tokens": f"""SELECT token, {LATIN} AS is_latin, CASE WHEN {LATIN} THEN {cyr('token')} END AS cyrillic, regexp_matches(token, '[Ѐ-ӿ]') AS has_cyrillic, count(*) AS n
 FROM (SELECT unnest({BLANK}) AS token FROM documents) GROUP BY token""",
@@ -144,4 +197,6 @@ fold AS (
 SELECT session, CAST(pos AS INTEGER) AS pos, word, lang, CASE WHEN lang = 'BG' THEN {cyr('word')} ELSE word END AS output FROM fold WHERE pos >= 0""",
     "app_fold": f"WITH {WORDS}, {LEXICONS}, sessions AS (SELECT doc_id AS session, pos, word FROM words), {full_fold('sessions')}",
     "stream_fold": f"WITH {WORDS}, {LEXICONS}, {SPOKEN}, {full_fold('spoken')}",
+    "keystroke_replay": f"WITH RECURSIVE {WORDS}, {LEXICONS}, {REPLAY}",
+    "stream_replay": f"WITH RECURSIVE {WORDS}, {LEXICONS}, {REPLAY}",
 }
