@@ -27,6 +27,7 @@ import hashlib
 import json
 import re
 import unicodedata
+from array import array
 from collections.abc import Iterator
 from operator import itemgetter
 
@@ -37,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructType
 from tokenizers import Tokenizer
 
-from scriptmill.llm.common import Columns, slices
+from scriptmill.llm.common import Columns, slices, tidy
 
 #: Distinct words that a task remembers at a time.
 REMEMBERED = 150_000
@@ -88,7 +89,7 @@ class Bpe:
         self.keys, self.ranks, self.made = keys[order][last], order[last].astype(np.int64), made[order][last]
         self.names = [str(i) for i in range(max(self.tokens) + 1)]
         #: Of each word its ids, their number, and ids and tokens joined by spaces.
-        self.known: dict[str, tuple[list[int], int, str, str]] = {}
+        self.known: dict[str, tuple[array, int, str, str]] = {}
 
     def normalize(self, text: str) -> str:
         """NFC and lower case; white space needs no care, since no word has any."""
@@ -142,9 +143,9 @@ class Bpe:
         for w, ids in zip(fresh, self.merge(fresh) if fresh else [], strict=True):
             self.known[w] = self.entry(ids.tolist())
 
-    def entry(self, ids: list[int]) -> tuple[list[int], int, str, str]:
+    def entry(self, ids: list[int]) -> tuple[array, int, str, str]:
         names = self.names
-        return ids, len(ids), " ".join([names[i] for i in ids]), self.decode(ids)
+        return array("i", ids), len(ids), " ".join([names[i] for i in ids]), self.decode(ids)
 
     def plain_words(self, text: str) -> list[str]:
         if text.isascii():
@@ -210,7 +211,7 @@ def digests(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
     """The other columns with n_tokens, ids_sha256 and decoded_sha256 of each text."""
     cols = Columns(docs)
     types = cols.with_types(n_tokens=LongType(), ids_sha256=StringType(), decoded_sha256=StringType())
-    out = cols.rows.mapInArrow(_digests(_sent(docs, path), cols[text]), StructType([f for f in types if f.name != cols[text]]))
+    out = cols.rows.mapInArrow(tidy(_digests(_sent(docs, path), cols[text])), StructType([f for f in types if f.name != cols[text]]))
     return cols.back(out, (cols[text],), n_tokens="n_tokens", ids_sha256="ids_sha256", decoded_sha256="decoded_sha256")
 
 
@@ -227,7 +228,7 @@ def _encode(sent, text: str):
 def encode(docs: DataFrame, path: str, text: str = "text", out: str = "ids") -> DataFrame:
     """``docs`` with the ids of each text in ``out``."""
     cols = Columns(docs)
-    found = cols.rows.mapInArrow(_encode(_sent(docs, path), cols[text]), cols.with_types(ids=ArrayType(IntegerType())))
+    found = cols.rows.mapInArrow(tidy(_encode(_sent(docs, path), cols[text])), cols.with_types(ids=ArrayType(IntegerType())))
     return cols.back(found, **{out: "ids"})
 
 
@@ -244,5 +245,5 @@ def _decode(sent, ids: str):
 def decode(rows: DataFrame, path: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
     """``rows`` with the text of the ids in ``out``; null ids give the empty text."""
     cols = Columns(rows)
-    found = cols.rows.mapInArrow(_decode(_sent(rows, path), cols[ids]), cols.with_types(plain=StringType()))
+    found = cols.rows.mapInArrow(tidy(_decode(_sent(rows, path), cols[ids])), cols.with_types(plain=StringType()))
     return cols.back(found, **{out: "plain"})

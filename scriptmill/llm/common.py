@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+import gc
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -12,7 +14,7 @@ from pyspark.sql.types import DataType, StructField, StructType
 
 from scriptmill.sources.shared import shared_path, stored
 
-__all__ = ["Columns", "group_min", "local_path", "open_uri", "salt", "salts_of", "shared_path", "slices", "stored", "table", "utf8"]
+__all__ = ["Columns", "group_min", "local_path", "open_uri", "salt", "salts_of", "shared_path", "slices", "stored", "table", "tidy", "utf8"]
 
 #: Rows in an Arrow batch: texts are long, and both sides of the pipe hold a batch.
 BATCH_ROWS = 1000
@@ -83,6 +85,23 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = 4 << 20)
             yield batch.slice(start)
 
 
+Work = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
+
+
+def tidy(work: Work) -> Work:
+    """``work``, after which the Python worker, kept for later tasks, gives freed memory back to the system."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from work(batches)
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        libc = ctypes.CDLL(None)
+        if hasattr(libc, "malloc_trim"):
+            libc.malloc_trim(0)
+
+    return run
+
+
 def salt(*cols: Column | str, salts: int = 32) -> Column:
     return F.pmod(F.xxhash64(*cols), F.lit(salts)).cast("int")
 

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-from scriptmill.llm.common import Columns, slices, utf8
+from scriptmill.llm.common import Columns, slices, tidy, utf8
 
 MAX_LABELLED, LATENT, NEIGHBOURS = 4000, 64, 15
 THRESHOLD = 0.3
@@ -164,7 +164,7 @@ def keep(docs: DataFrame, voter: Voter, least: float = THRESHOLD, text: str = "t
 
 def _scored(cols: Columns, voter: Voter, text: str) -> DataFrame:
     sent = cols.rows.sparkSession.sparkContext.broadcast(voter)
-    return cols.rows.mapInArrow(_score(sent, cols[text]), cols.with_types(score=DoubleType()))
+    return cols.rows.mapInArrow(tidy(_score(sent, cols[text])), cols.with_types(score=DoubleType()))
 
 
 def held_out(doc_id: str = "doc_id", folds: int = 5, fold: int = 0):
