@@ -35,6 +35,22 @@ def test_key_stream_equals_batch(spark, tmp_path):
     assert "".join(r["emitted"] for r in sorted(want) if r["session_id"] == "d") == "to"
 
 
+def test_a_large_lexicon_reaches_the_key_stream(spark, tmp_path):
+    """Lexicons of over 1 MB, from where Spark makes a broadcast of the processor."""
+    from pyspark.sql import functions as F
+
+    from scriptmill.operators import replay
+    from scriptmill.sources import events
+
+    many = spark.range(60_000).select(F.sha1(F.col("id").cast("string")).alias("word"))
+    en, bg = many.union(spark.createDataFrame([(w,) for w in EN_WORDS], "word string")), spark.createDataFrame([(w,) for w in BG_WORDS], "word string")
+    keys = events.ended(events.typed(spark.createDataFrame([("a", "towa e kafe"), ("b", "hello to u ")], "s string, text string"), F.col("s"))).cache()
+    keys.write.parquet(str(tmp_path / "in"))
+    stream = detect.replay_stream(events.read_event_stream(spark, str(tmp_path / "in")), en, bg)
+    got = detect.run_to_end(stream, str(tmp_path / "out"), str(tmp_path / "checkpoint"))
+    assert sorted(got.collect()) == sorted(replay.replay(keys, en, bg).collect())
+
+
 def test_scores_in_the_stream(spark, tmp_path):
     rows = spark.createDataFrame([("s", 0, "zzz", False, False, None, 0.1, 0.9), ("s", 1, "u", False, False, "уу", 0.0, 1.0), ("t", 0, "a", True, True, None, 0.9, 0.1)], "session string, pos int, word string, in_en boolean, in_bg boolean, bg_fix string, en_score double, bg_score double")
     rows.write.parquet(str(tmp_path / "in"))
