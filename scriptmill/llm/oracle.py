@@ -52,4 +52,36 @@ placed AS (SELECT *, CAST(list_position(x[1:8], list_min(x[1:8])) - 1 AS INTEGER
 SELECT doc_id, size, text_crc32, 'key' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY md5(k), doc_id, text_crc32, size) - 1 AS slot,
   CASE WHEN x[9] < list_min(x[1:8]) THEN 8 ELSE shard END AS grown_shard FROM placed"""
 
-ORACLE_SQL = {"op1_warc": OP1, "op2_sharding": OP2, "op7_substrings": OP7, "op9_decontaminate": OP9}
+def _crc(column: str) -> str:
+    return CRC.replace("coalesce(text, '')", column)
+
+
+OP11 = f"""WITH {CRC_TABLE},
+own AS (SELECT conv_id AS c, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS p, {{'r': coalesce(role, ''), 'x': coalesce(text, '')}} AS t FROM conversations WHERE conv_id IS NOT NULL),
+convs AS (SELECT c, c - ((c % 20) + 20) % 20 AS b, {_crc('CAST(c AS VARCHAR)')} % 4 AS h FROM (SELECT DISTINCT c FROM own), crc),
+parts AS (SELECT v.c, 0 AS k, o.p, o.t FROM convs v JOIN own o ON o.c = v.b AND o.p <= v.h UNION ALL SELECT v.c, 1, o.p, o.t FROM convs v JOIN own o ON o.c = v.c AND o.p > v.h),
+placed AS (SELECT c, row_number() OVER (PARTITION BY c ORDER BY k, p) AS d, t FROM parts),
+chains AS (SELECT c, d, t.x AS x, list(t) OVER (PARTITION BY c ORDER BY d ROWS UNBOUNDED PRECEDING) AS s FROM placed UNION ALL SELECT c, 0, '', [] FROM convs),
+nodes AS (SELECT s, d, min(c) AS m, count(*) AS n, len(regexp_extract_all(any_value(x), {BLANKS})) AS w FROM chains GROUP BY s, d),
+spots AS (SELECT c.c, c.d, n.m, n.n, n.w, c.d = max(c.d) OVER (PARTITION BY c.c) AS is_end FROM chains c JOIN nodes n USING (s, d)),
+kids AS (SELECT p.m, p.d, count(*) AS k FROM nodes n JOIN spots p ON p.c = n.m AND p.d = n.d - 1 GROUP BY p.m, p.d),
+known AS (SELECT n.m, n.d, n.n, n.w, coalesce(k, 0) AS k FROM nodes n LEFT JOIN kids USING (m, d)),
+above AS (SELECT a.m, a.d, count(*) FILTER (n.k = 0) AS leaves, sum((n.n - 1) * n.w) AS saved FROM known n JOIN spots a ON a.c = n.m AND a.d <= n.d GROUP BY a.m, a.d),
+ended AS (SELECT m, d, string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) AS ids FROM spots WHERE is_end GROUP BY m, d)
+SELECT n.m AS conv_id, CAST(n.d AS BIGINT) AS depth, p.m AS parent_conv_id, n.n AS n_convs, n.k AS n_children, a.leaves AS n_leaves, CAST(a.saved AS BIGINT) AS saved_tokens, sha256(coalesce(ids, '')) AS ends_sha256
+FROM known n JOIN above a USING (m, d) LEFT JOIN ended e USING (m, d) LEFT JOIN spots p ON p.c = n.m AND p.d = n.d - 1"""
+
+OP13 = f"""WITH RECURSIVE {CRC_TABLE},
+runs AS (SELECT coalesce(CAST(doc_id AS VARCHAR), 'null') AS id, translate(unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-zÀ-ÿ]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS r FROM documents),
+seen AS (SELECT r, k, {_crc("id || ':' || r")} AS h FROM (SELECT id, r, count(*) AS k FROM runs GROUP BY id, r), crc),
+words AS (SELECT w, CAST(sum(k) AS BIGINT) AS n FROM (SELECT k, CASE WHEN h % 199 = 0 THEN r[1:h % length(r)] || r[h % length(r) + 2:] ELSE r END AS w FROM seen) GROUP BY w HAVING length(w) >= 6 AND sum(k) >= 5),
+cut AS (SELECT w, n, i, w[1:i] || w[i + 2:] AS x FROM (SELECT w, n, unnest(range(length(w))) AS i FROM words)),
+near AS (SELECT a.w, a.n, b.w AS f, b.n AS fn FROM cut a JOIN cut b ON a.x = b.x AND a.i = b.i AND a.w <> b.w
+  UNION SELECT a.w, a.n, b.w, b.n FROM cut a JOIN words b ON a.x = b.w UNION SELECT b.w, b.n, a.w, a.n FROM cut a JOIN words b ON a.x = b.w),
+best AS (SELECT w, count(*) AS n_near, arg_min(f, (-fn, f)) AS f, max(fn) AS fn FROM near GROUP BY w),
+forms AS (SELECT w, n, coalesce(n_near, 0) AS n_near, CASE WHEN fn >= 5 * n THEN f END AS form, CASE WHEN fn >= 5 * n THEN fn END AS form_n FROM words LEFT JOIN best USING (w)),
+up AS (SELECT w, w AS root FROM forms UNION ALL SELECT up.w, forms.form FROM up JOIN forms ON forms.w = up.root WHERE forms.form IS NOT NULL),
+tops AS (SELECT up.w, up.root FROM up JOIN forms ON forms.w = up.root WHERE forms.form IS NULL)
+SELECT w AS word, n, n_near, form, form_n, root FROM forms JOIN tops USING (w)"""
+
+ORACLE_SQL = {"op1_warc": OP1, "op2_sharding": OP2, "op7_substrings": OP7, "op9_decontaminate": OP9, "op11_prefix_trie": OP11, "op13_spelling": OP13}

@@ -8,10 +8,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scriptmill.llm import bpe, ctw, decontaminate, media, oracle, quality, secrets, sharding, simhash, substrings, warc
+from scriptmill.llm import bpe, ctw, decontaminate, media, oracle, pieces, prefixes, quality, secrets, sharding, simhash, spelling, substrings, warc
 from scriptmill.llm.common import shared_path, table
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
+PIECES = public_tokenizers.path("piece_bpe_32k.model")
 
 
 def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -79,6 +80,19 @@ def op10_ctw(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ctw.score(docs, ctw.fit(docs, ~ctw.held_out()))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_warc, op2_sharding, op3_secrets, op4_quality, op5_simhash, op6_bpe, op7_substrings, op8_media, op9_decontaminate, op10_ctw)}
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefixes.trie(prefixes.grafted(table(spark, sf_dir, "conversations"), group=20, most=4))
+
+
+def op12_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.digests(table(spark, sf_dir, "documents").select("doc_id", "text"), PIECES)
+
+
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = spelling.counted(table(spark, sf_dir, "documents").select("doc_id", "text"), damage=199)
+    return spelling.variants(words, least_length=6, least_count=5, factor=5)
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_warc, op2_sharding, op3_secrets, op4_quality, op5_simhash, op6_bpe, op7_substrings, op8_media, op9_decontaminate, op10_ctw, op11_prefix_trie, op12_sentencepiece, op13_spelling)}
 
 ORACLE_SQL: dict[str, str] = oracle.ORACLE_SQL
