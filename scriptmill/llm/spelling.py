@@ -27,6 +27,9 @@ columns are not read, whatever their names.
 
 from __future__ import annotations
 
+import re
+import zlib
+from collections import Counter
 from collections.abc import Iterator
 from itertools import pairwise
 
@@ -34,30 +37,42 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scriptmill.llm.common import Columns, stored, tidy
+from scriptmill.llm.common import Columns, slices, stored, tidy
 from scriptmill.sources.shared import discard
 
 #: Words of a group; larger ones are cut. Words of an automaton, unless one group has more.
 GROUP = BLOCK = 30_000
 #: A part of at most so many code points is not halved again.
 LEAST_PART = 1
-UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-# Fixed value: the runs that count as words.
-RUN = "([A-Za-zÀ-ÿ]+)"
+# Fixed value: the runs that count as words, once A to Z are lower-cased.
+RUN = "[a-zÀ-ÿ]+"
+
+
+def _words(ids: str, text: str, damage: int | None):
+    run = re.compile(RUN)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, text):
+            counts: Counter[str] = Counter()
+            for i, t in zip(batch[ids].to_pylist(), batch[text].to_pylist(), strict=True):
+                # bytes have A to Z lower-cased only
+                found = Counter(run.findall(t.encode("utf-8").lower().decode("utf-8"))) if t else {}
+                start = zlib.crc32(f"{i}:".encode())
+                for word, n in found.items():
+                    if damage and (h := zlib.crc32(word.encode("utf-8"), start)) % damage == 0:
+                        at = h % len(word)
+                        word = word[:at] + word[at + 1 :]
+                    counts[word] += n
+            yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], ["word", "n"])
+
+    return work
 
 
 def counted(docs: DataFrame, damage: int | None = None) -> DataFrame:
     """word and n: the lower-cased runs of letters of all texts. With ``damage`` d a run whose crc32 with its doc_id is divisible by d loses a code point first."""
     cols = Columns(docs)
-    ids, text = F.coalesce(F.col(cols["doc_id"]).cast("string"), F.lit("null")), F.col(cols["text"])
-    runs = cols.rows.select(ids.alias("id"), F.explode(F.regexp_extract_all(text, F.lit(RUN), 1)).alias("run"))
-    runs = runs.select("id", F.translate("run", UPPER, LOWER).alias("run"))
-    word = F.col("run")
-    if damage:
-        h = F.crc32(F.concat_ws(":", "id", "run").cast("binary"))
-        at = F.pmod(h, F.length("run")).cast("int")
-        word = F.when(F.pmod(h, F.lit(damage)) == 0, F.concat(F.substring(word, F.lit(1), at), F.substring(word, at + 2, F.length(word)))).otherwise(word)
-    return runs.select(word.alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+    rows = cols.rows.select(F.coalesce(F.col(cols["doc_id"]).cast("string"), F.lit("null")).alias("id"), F.col(cols["text"]).alias("text"))
+    return rows.mapInArrow(tidy(_words("id", "text", damage)), "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 class Automaton:
