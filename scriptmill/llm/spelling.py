@@ -182,8 +182,11 @@ def _keyed(paths: tuple[str, ...] | None):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             words, counts = batch["word"].to_pylist(), batch["n"].to_pylist()
-            before = batch["path"].to_pylist() if paths is None else None
-            out = [(p, k, w, n, a) for i, (w, n) in enumerate(zip(words, counts, strict=True)) for p in (paths or (before[i] + "F", before[i] + "B")) for k, a in keys(w, p).items()]
+            if paths is None:
+                given = [((p + "F", p + "B"), a) for p, a in zip(batch["path"].to_pylist(), batch["asks"].to_pylist(), strict=True)]
+            else:
+                given = [(paths, True)] * len(words)
+            out = [(p, k, w, n, asks and asking) for w, n, (ways, asking) in zip(words, counts, given, strict=True) for p in ways for k, asks in keys(w, p).items()]
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.string(), pa.string(), pa.string(), pa.int64(), pa.bool_()), strict=True)], ["path", "key", "word", "n", "asks"])
 
@@ -237,7 +240,9 @@ def near_words(words: DataFrame, group: int = GROUP, block: int = BLOCK) -> Data
         if large.isEmpty():
             break
         done.append(rows.join(large, "key", "left_anti").select("path", "key", "word", "n", "asks"))
-        rows = rows.join(large, "key", "left_semi").select("path", "word", "n").distinct().mapInArrow(_keyed(None), KEYED)
+        # a word asks on in place of a large group in which it asked
+        inside = rows.join(large, "key", "left_semi").groupBy("path", "word", "n").agg(F.max("asks").alias("asks"))
+        rows = inside.mapInArrow(_keyed(None), KEYED)
         longest = (longest + 1) // 2
     for more in done:
         rows = rows.union(more)
