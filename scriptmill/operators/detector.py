@@ -22,21 +22,22 @@ EN, BG, UNSURE = "EN", "BG", "??"
 LABELS, RECENT, CONFIDENT = 6, 8, 0.9
 AMBIGUOUS_MARGIN, UNKNOWN_LEAST, UNKNOWN_MARGIN = 0.1, 0.5, 0.15
 LATIN = re.compile(LATIN_WORD.replace(r"\z", r"\Z"))
-#: What comes out: the word, its transliteration, an expansion of either language, the expansion in the word's case, or the correction.
-WORD, SCRIPT, ENGLISH_ABBR, BULGARIAN_ABBR, CASED, FIX = range(6)
+#: What comes out: the word, its transliteration, an expansion of either language, the expansion in the word's case, or the correction of either.
+WORD, SCRIPT, ENGLISH_ABBR, BULGARIAN_ABBR, CASED, FIX, ENGLISH_FIX = range(7)
 
 History = tuple[tuple[str, bool], ...]
 
 
 @dataclass
 class Features:
-    """What the lexicons say of a word: members, and the Bulgarian correction if it has one. Scores stand in for a language recogniser; none by default."""
+    """What the lexicons say of a word: members, and the correction in either language if it has one. Scores are a language recogniser's; none by default."""
 
     in_en: bool = False
     in_bg: bool = False
     bg_fix: str | None = None
     en_score: float = 0.0
     bg_score: float = 0.0
+    en_fix: str | None = None
 
 
 def streak(history: History) -> int:
@@ -63,8 +64,10 @@ def _ambiguous(history: History, default: str, en: float, bg: float) -> tuple[st
     for label, confidence in ((dominant(history), 0.9), (last, 0.8)):
         if label != UNSURE:
             return label, confidence
-    if abs(bg - en) > AMBIGUOUS_MARGIN:
-        return (BG, bg) if bg > en else (EN, en)
+    if bg > en + AMBIGUOUS_MARGIN:
+        return BG, bg
+    if en > bg + AMBIGUOUS_MARGIN:
+        return EN, en
     return default, 0.5
 
 
@@ -75,30 +78,32 @@ def _unknown(history: History, default: str, en: float, bg: float) -> tuple[str,
     return (label, best) if best > UNKNOWN_LEAST and best > rest + UNKNOWN_MARGIN else (default, 0.3)
 
 
-def _choose(history: History, en_abbr: bool, bg_abbr: bool, in_en: bool, in_bg: bool, has_fix: bool, short: bool, default: str, en: float, bg: float) -> tuple[int, str, float]:
+def _choose(history: History, en_abbr: bool, bg_abbr: bool, in_en: bool, in_bg: bool, has_fix: bool, short: bool, default: str, en: float, bg: float, has_en_fix: bool) -> tuple[int, str, float]:
     last = history[-1][0] if history else UNSURE
     if en_abbr and last != BG:
         return ENGLISH_ABBR, EN, 1.0
     if bg_abbr and last == BG:
         return BULGARIAN_ABBR, BG, 1.0
     run = streak(history)
+    # an abbreviation comes before the speller
+    corrected = CASED if en_abbr else ENGLISH_FIX if has_en_fix and not in_en else None
     if in_en and in_bg:
         label, confidence = _ambiguous(history, default, en, bg)
     elif in_en or in_bg:
         mine, other = (EN, BG) if in_en else (BG, EN)
         label, confidence = (other, 0.6) if last == other and run >= 3 and short else (mine, 1.0)
     elif last == EN and run >= 2:
-        return (CASED, EN, 0.8) if en_abbr else (WORD, EN, 0.5)
+        return (corrected, EN, 0.8) if corrected else (WORD, EN, 0.5)
     elif last == BG and run >= 2:
         return SCRIPT, BG, 0.5
-    elif en_abbr != has_fix:
-        return (CASED, EN, 0.8) if en_abbr else (FIX, BG, 0.8)
-    elif en_abbr and last != UNSURE:
-        return (FIX, BG, 0.7) if last == BG else (CASED, EN, 0.7)
+    elif bool(corrected) != has_fix:
+        return (corrected, EN, 0.8) if corrected else (FIX, BG, 0.8)
+    elif corrected and last != UNSURE:
+        return (FIX, BG, 0.7) if last == BG else (corrected, EN, 0.7)
     else:
         label, confidence = _unknown(history, default, en, bg)
-    if label == EN and confidence >= 1.0 and en_abbr:
-        return CASED, EN, confidence
+    if label == EN and confidence >= 1.0 and corrected:
+        return corrected, EN, confidence
     if label == BG and confidence >= 1.0 and has_fix:
         return FIX, BG, confidence
     return (SCRIPT if label == BG else WORD), label, confidence
@@ -140,24 +145,24 @@ class Detector:
 
     def process(self, word: str, seen: Features) -> tuple[str, str, float]:
         """(output, label, confidence) of a word, which then counts as history."""
-        return self.step(word, seen.in_en, seen.in_bg, seen.bg_fix, seen.en_score, seen.bg_score)
+        return self.step(word, seen.in_en, seen.in_bg, seen.bg_fix, seen.en_score, seen.bg_score, seen.en_fix)
 
-    def step(self, word: str, in_en: bool, in_bg: bool, bg_fix: str | None, en_score: float = 0.0, bg_score: float = 0.0) -> tuple[str, str, float]:
+    def step(self, word: str, in_en: bool, in_bg: bool, bg_fix: str | None, en_score: float = 0.0, bg_score: float = 0.0, en_fix: str | None = None) -> tuple[str, str, float]:
         if not LATIN.match(word):
             return word, UNSURE, 0.0
         lower = word.lower()
-        how, label, confidence, self.history = decide(self.history, lower in ENGLISH, lower in BULGARIAN, in_en, in_bg, bg_fix is not None, len(lower) <= 3, self.default, en_score, bg_score)
+        how, label, confidence, self.history = decide(self.history, lower in ENGLISH, lower in BULGARIAN, in_en, in_bg, bg_fix is not None, len(lower) <= 3, self.default, en_score, bg_score, en_fix is not None)
         self.recent.append(word)
         if how == WORD:
             return word, label, confidence
         if how == SCRIPT:
             return word.translate(TABLE), label, confidence
-        return self._other(how, word, lower, bg_fix), label, confidence
+        return self._other(how, word, lower, bg_fix, en_fix), label, confidence
 
     @staticmethod
-    def _other(how: int, word: str, lower: str, bg_fix: str | None) -> str:
-        if how == FIX:
-            return bg_fix
+    def _other(how: int, word: str, lower: str, bg_fix: str | None, en_fix: str | None) -> str:
+        if how in (FIX, ENGLISH_FIX):
+            return bg_fix if how == FIX else en_fix
         if how == BULGARIAN_ABBR:
             return BULGARIAN[lower]
         out = ENGLISH[lower]

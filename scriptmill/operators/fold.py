@@ -57,6 +57,18 @@ def simulate(classed: DataFrame, session: str = "session", pos: str = "pos", wor
     return each.select(session, "pos", "word", F.when(F.col("is_bg"), "BG").otherwise("EN").alias("lang"), F.when(F.col("is_bg"), to_cyrillic(F.col("word"))).otherwise(F.col("word")).alias("output"))
 
 
+#: Columns that may help the decision, and what stands where there are none.
+ASSISTS = {"en_score": 0.0, "bg_score": 0.0, "en_fix": None}
+
+
+def assists(featured: DataFrame) -> list[Column]:
+    """The helping columns, all or none."""
+    if not set(ASSISTS) & set(featured.columns):
+        return []
+    kind = lambda v: "string" if v is None else "double"
+    return [F.coalesce(F.col(c) if c in featured.columns else F.lit(None), F.lit(v)).cast(kind(v)).alias(c) for c, v in ASSISTS.items()]
+
+
 RESULT = "session string, pos bigint, original string, converted string, language string, confidence double, in_en boolean, in_bg boolean"
 
 
@@ -70,7 +82,7 @@ def _detect(default: str):
                 continue
             sessions = batch["session"]
             ends = [*(np.flatnonzero(pc.not_equal(sessions[1:], sessions[:-1]).to_numpy(zero_copy_only=False)) + 1).tolist(), batch.num_rows]
-            asked = [c for c in ("word", "in_en", "in_bg", "bg_fix", "en_score", "bg_score") if c in batch.schema.names]
+            asked = [c for c in ("word", "in_en", "in_bg", "bg_fix", *ASSISTS) if c in batch.schema.names]
             rows, out, at = list(zip(*[batch[c].to_pylist() for c in asked], strict=True)), [], 0
             for end in ends:
                 if state is None or sessions[at].as_py() != last:
@@ -94,8 +106,7 @@ def features(words: DataFrame, en: DataFrame, bg: DataFrame, word: str = "word")
 
 
 def detect(featured: DataFrame, session: str = "session", pos: str = "pos", word: str = "word", default: str = EN) -> DataFrame:
-    """original, converted, language and confidence of each word of the full profile, with what the lexicons said. One shuffle, on the session. Rows without a session or a word are left out."""
-    scores = [F.coalesce(F.col(c), F.lit(0.0)).alias(c) for c in ("en_score", "bg_score")] if {"en_score", "bg_score"} <= set(featured.columns) else []
-    rows = featured.select(F.col(session).cast("string").alias("session"), F.col(pos).cast("bigint").alias("pos"), F.col(word).alias("word"), F.coalesce("in_en", F.lit(False)).alias("in_en"), F.coalesce("in_bg", F.lit(False)).alias("in_bg"), "bg_fix", *scores)
+    """original, converted, language and confidence of each word of the full profile, with what the lexicons said. ``featured`` may have en_score and bg_score (operators.scores) and en_fix (operators.speller). One shuffle, on the session. Rows without a session or a word are left out."""
+    rows = featured.select(F.col(session).cast("string").alias("session"), F.col(pos).cast("bigint").alias("pos"), F.col(word).alias("word"), F.coalesce("in_en", F.lit(False)).alias("in_en"), F.coalesce("in_bg", F.lit(False)).alias("in_bg"), "bg_fix", *assists(featured))
     rows = rows.filter("session is not null and word is not null")
     return rows.repartition("session").sortWithinPartitions("session", "pos").mapInArrow(_detect(default), RESULT)

@@ -54,28 +54,43 @@ LAST = "upper(right(h, 1))"
 RUN = "length(regexp_replace(regexp_extract(h, '([eE]+|[bB]+)$'), '[eb]', '', 'g'))"
 LEAD = "(length(regexp_replace(h, '[^B]', '', 'g')) - length(regexp_replace(h, '[^E]', '', 'g')))"
 #: What comes out, the label and the confidence, from the history h and the flags x: English and Bulgarian abbreviation, members, correction, short word.
-DECISION = f"""CASE
+def decision(assisted: bool = False) -> str:
+    """With help x goes on: an English correction, and what the scores say of an ambiguous and of an unknown first word, a letter and six of confidence each."""
+    near = "(x[1] = '1' OR x[7] = '1')" if assisted else "x[1] = '1'"
+    fixed = "CASE WHEN x[1] = '1' THEN 'c' ELSE 'g' END" if assisted else "'c'"
+    open_, unknown = "'wE0.5'", "'wE0.3'"
+    if assisted:
+        open_ = f"CASE x[8] WHEN 'B' THEN 'sB' || x[9:14] WHEN 'E' THEN 'wE' || x[9:14] ELSE {open_} END"
+        unknown = f"CASE x[15] WHEN 'B' THEN CASE WHEN x[5] = '1' AND x[16] >= '1' THEN 'f' ELSE 's' END || x[15:21] WHEN 'E' THEN CASE WHEN {near} AND x[16] >= '1' THEN {fixed} ELSE 'w' END || x[15:21] ELSE {unknown} END"
+    return f"""CASE
   WHEN x[1] = '1' AND {LAST} <> 'B' THEN 'xE1.0'
   WHEN x[2] = '1' AND {LAST} = 'B' THEN 'yB1.0'
-  WHEN x[3:4] = '11' THEN CASE WHEN {LEAD} > 0 THEN 'sB0.9' WHEN {LEAD} < 0 THEN 'wE0.9' WHEN h = '' THEN 'wE0.5' WHEN {LAST} = 'B' THEN 'sB0.8' ELSE 'wE0.8' END
+  WHEN x[3:4] = '11' THEN CASE WHEN {LEAD} > 0 THEN 'sB0.9' WHEN {LEAD} < 0 THEN 'wE0.9' WHEN h = '' THEN {open_} WHEN {LAST} = 'B' THEN 'sB0.8' ELSE 'wE0.8' END
   WHEN x[3:4] = '10' THEN CASE WHEN {LAST} = 'B' AND {RUN} >= 3 AND x[6] = '1' THEN 'sB0.6' WHEN x[1] = '1' THEN 'cE1.0' ELSE 'wE1.0' END
   WHEN x[3:4] = '01' THEN CASE WHEN {LAST} = 'E' AND {RUN} >= 3 AND x[6] = '1' THEN 'wE0.6' ELSE 'sB1.0' END
-  WHEN {LAST} = 'E' AND {RUN} >= 2 THEN CASE WHEN x[1] = '1' THEN 'cE0.8' ELSE 'wE0.5' END
+  WHEN {LAST} = 'E' AND {RUN} >= 2 THEN CASE WHEN {near} THEN {fixed} || 'E0.8' ELSE 'wE0.5' END
   WHEN {LAST} = 'B' AND {RUN} >= 2 THEN 'sB0.5'
-  WHEN x[1] = '0' AND x[5] = '1' THEN 'fB0.8'
-  WHEN x[1] = '1' AND x[5] = '0' THEN 'cE0.8'
-  WHEN x[1] = '1' AND x[5] = '1' THEN CASE {LAST} WHEN 'B' THEN 'fB0.7' ELSE 'cE0.7' END
-  WHEN h = '' THEN 'wE0.3' WHEN {LAST} = 'B' THEN 'sB0.7' ELSE 'wE0.7' END"""
+  WHEN NOT {near} AND x[5] = '1' THEN 'fB0.8'
+  WHEN {near} AND x[5] = '0' THEN {fixed} || 'E0.8'
+  WHEN {near} AND x[5] = '1' AND h <> '' THEN CASE {LAST} WHEN 'B' THEN 'fB0.7' ELSE {fixed} || 'E0.7' END
+  WHEN h = '' THEN {unknown} WHEN {LAST} = 'B' THEN 'sB0.7' ELSE 'wE0.7' END"""
 
 
-#: The letter that a step appends. Confidences of one digit after the point compare as text.
-LETTER = f"list_transform([{DECISION}], lambda d: CASE WHEN d[3:] >= '0.9' THEN d[2] ELSE lower(d[2]) END)[1]"
+DECISION = decision()
+#: The letter that a step appends. Confidences of one digit before the point compare as text.
+LETTER = "list_transform([{}], lambda d: CASE WHEN d[3:] >= '0.9' THEN d[2] ELSE lower(d[2]) END)[1]".format
 #: The same with the last six labels of acc as the history.
-STEP = f"list_transform([right(acc, 6)], lambda h: {LETTER})[1]"
+STEP = f"list_transform([right(acc, 6)], lambda h: {LETTER(DECISION)})[1]"
+ASSISTED_STEP = f"list_transform([right(acc, 6)], lambda h: {LETTER(decision(True))})[1]"
 
 
-CONVERTED = f"""CASE d[1] WHEN 's' THEN cyrillic WHEN 'x' THEN en_v WHEN 'y' THEN bg_v WHEN 'c' THEN CASE WHEN {UPPER_FIRST} THEN upper(en_v[1]) || en_v[2:] ELSE en_v END
-    WHEN 'f' THEN CASE WHEN regexp_matches(cyrillic, '^\\p{{Lu}}') THEN upper(fix[1]) || fix[2:] ELSE fix END ELSE word END"""
+def converted(other: str = "") -> str:
+    """What comes out by the first letter of d; ``other``: further cases."""
+    return f"""CASE d[1] WHEN 's' THEN cyrillic WHEN 'x' THEN en_v WHEN 'y' THEN bg_v WHEN 'c' THEN CASE WHEN {UPPER_FIRST} THEN upper(en_v[1]) || en_v[2:] ELSE en_v END
+    WHEN 'f' THEN CASE WHEN regexp_matches(cyrillic, '^\\p{{Lu}}') THEN upper(fix[1]) || fix[2:] ELSE fix END{other} ELSE word END"""
+
+
+CONVERTED = converted()
 
 
 def coded(source: str) -> str:
@@ -90,13 +105,83 @@ flagged AS (SELECT s.*, {cyr('s.word')} AS cyrillic, e.v AS en_v, b.v AS bg_v, C
 coded AS (SELECT *, {flag('en_v IS NOT NULL')} || {flag('bg_v IS NOT NULL')} || {flag('in_en')} || {flag('in_bg')} || {flag('fix IS NOT NULL')} || {flag('length(word) <= 3')} AS x FROM flagged)"""
 
 
-def full_fold(source: str) -> str:
+def _spelt(asked: str, lexicon: str) -> str:
+    """The speller's choice for each w of ``asked`` among the rows (c, n) of ``lexicon``, by all pairs, as w, c and d."""
+    swaps = "len(list_filter(range(length(w) - 1), lambda i: c[1:i] || c[i + 2] || c[i + 1] || c[i + 3:] = w)) > 0"
+    return f"""SELECT w, b.c AS c, b.d AS d FROM (SELECT w, arg_min({{'c': c, 'd': d}}, (-n * CASE d WHEN 0 THEN 40000 WHEN 1 THEN 200 ELSE 1 END, c)) AS b
+  FROM (SELECT w, c, n, CASE WHEN e = 2 AND length(w) = length(c) AND {swaps} THEN 1 ELSE e END AS d
+    FROM (SELECT w, c, n, levenshtein(w, c) AS e FROM {asked} JOIN {lexicon} ON abs(length(w) - length(c)) <= 2) WHERE e <= 2)
+  WHERE d <= CASE WHEN length(w) >= 6 THEN 2 WHEN length(w) >= 3 THEN 1 ELSE 0 END GROUP BY w)"""
+
+
+FREQUENT = "frequent AS (SELECT lower(word) AS c, count(*) AS n FROM words WHERE lang = 'en' GROUP BY lower(word) HAVING count(*) >= 5)"
+
+
+def _model(name: str, form: str, source: str) -> str:
+    """CTEs: the likelihood (name_l: w, lang, l) of each distinct form of the words of ``source`` by the n-grams of the documents' words in that form."""
+    grams = "substr(' ' || w || ' ', CAST(i AS BIGINT), 3)"
+    return f"""{name}_g AS (SELECT lang, {grams} AS g, sum(n) AS c FROM (SELECT lang, {form} AS w, n, unnest(range(1, length(word) + 1)) AS i FROM by_lang) GROUP BY ALL),
+{name}_t AS (SELECT lang, CAST(sum(c) AS DOUBLE) + (SELECT count(DISTINCT g) FROM {name}_g) AS total FROM {name}_g GROUP BY lang),
+{name}_l AS (SELECT w, lang, sum(CAST(round(1000 * ln((coalesce(c, 0) + CAST(1 AS DOUBLE)) / total)) AS BIGINT)) AS l
+  FROM (SELECT w, {grams} AS g FROM (SELECT w, unnest(range(1, length(w) + 1)) AS i FROM (SELECT DISTINCT {form} AS w FROM {source}))) JOIN {name}_t ON true LEFT JOIN {name}_g USING (g, lang) GROUP BY w, lang)"""
+
+
+def _models(source: str) -> str:
+    return f"""by_lang AS (SELECT lang, word, count(*) AS n FROM words WHERE lang IS NOT NULL GROUP BY ALL),
+{_model('latin', 'lower(word)', source)},
+{_model('cyr', f"lower({cyr('word')})", source)}"""
+
+
+def _share(factors: dict[str, str], of: str) -> str:
+    """The score from rows with lang, l and m (the greatest l of a group)."""
+    factor = "CASE lang " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in factors.items()) + " ELSE 0 END"
+    part = f"exp((l - m) / CAST(1000 AS DOUBLE))"
+    return f"floor(sum({factor} * {part}) / sum({part}) * 10000 + 0.5) / CAST(10000 AS DOUBLE) AS {of}"
+
+
+EN_SCORE, BG_SCORE = ({"en": "1"}, "en_score"), ({"es": "1", "fr": "0.4"}, "bg_score")
+
+
+def _word_scores(name: str, factors: dict[str, str], of: str) -> str:
+    return f"SELECT w, {_share(factors, of)} FROM (SELECT *, max(l) OVER (PARTITION BY w) AS m FROM {name}_l) GROUP BY w"
+
+
+def _phrase_scores(name: str, form: str, factors: dict[str, str], of: str) -> str:
+    summed = f"SELECT session, pos, lang, sum(l) OVER (PARTITION BY session, lang ORDER BY pos ROWS BETWEEN 8 PRECEDING AND CURRENT ROW) AS l FROM typed JOIN {name}_l ON w = {form}"
+    return f"SELECT session, pos, {_share(factors, of)} FROM (SELECT *, max(l) OVER (PARTITION BY session, pos) AS m FROM ({summed})) GROUP BY session, pos"
+
+
+LANGUAGE_SCORES = f"""{_models('spoken')},
+typed AS (SELECT * FROM spoken WHERE regexp_full_match(word, {text(f'[{mapping.KEY_CLASS}]+')})),
+e1 AS ({_word_scores('latin', *EN_SCORE)}), b1 AS ({_word_scores('cyr', *BG_SCORE)}),
+e2 AS ({_phrase_scores('latin', 'lower(word)', {'en': '1'}, 'en_phrase')}), b2 AS ({_phrase_scores('cyr', f"lower({cyr('word')})", {'es': '1', 'fr': '0.4'}, 'bg_phrase')})
+SELECT session, CAST(pos AS INTEGER) AS pos, word, en_score, en_phrase, bg_score, bg_phrase
+FROM typed JOIN e1 ON e1.w = lower(word) JOIN b1 ON b1.w = lower({cyr('word')}) JOIN e2 USING (session, pos) JOIN b2 USING (session, pos)"""
+
+
+def assist(source: str) -> str:
+    """CTEs from ``coded`` to ``helped``: with the English correction and the scores, whose say follows the flags in x."""
+    said = lambda b, e: f"CASE WHEN {b} THEN 'B' || printf('%.4f', bg_score) WHEN {e} THEN 'E' || printf('%.4f', en_score) ELSE '-------' END"
+    return f"""{FREQUENT}, {_models(source)},
+e1 AS ({_word_scores('latin', *EN_SCORE)}), b1 AS ({_word_scores('cyr', *BG_SCORE)}),
+misspelt AS (SELECT DISTINCT lower(word) AS w FROM coded WHERE NOT in_en AND NOT in_bg),
+meant AS ({_spelt('misspelt', 'frequent')}),
+scored AS (SELECT c.*, CASE WHEN NOT in_en AND NOT in_bg THEN m.c END AS en_fix, coalesce(en_score, 0) AS en_score, coalesce(bg_score, 0) AS bg_score
+  FROM coded c LEFT JOIN meant m ON m.w = lower(c.word) LEFT JOIN e1 ON e1.w = lower(c.word) LEFT JOIN b1 ON b1.w = lower({cyr('c.word')})),
+helped AS (SELECT * REPLACE (x || CASE WHEN en_fix IS NOT NULL THEN '1' ELSE '0' END || {said('bg_score > en_score + 0.1::DOUBLE', 'en_score > bg_score + 0.1::DOUBLE')}
+  || {said('bg_score > 0.5::DOUBLE AND bg_score > en_score + 0.15::DOUBLE', 'en_score > 0.5::DOUBLE AND en_score > bg_score + 0.15::DOUBLE')} AS x) FROM scored)"""
+
+
+def full_fold(source: str, assisted: bool = False) -> str:
     """CTEs from a table (session, pos, word) to the result of the fold."""
-    return f"""{coded(source)},
-counted AS (SELECT *, row_number() OVER (PARTITION BY session, latin ORDER BY pos) AS k FROM coded),
-folded AS (SELECT session, list_reduce(list_prepend('', list(x ORDER BY k)), lambda acc, x: acc || {STEP}) AS labels FROM counted WHERE latin GROUP BY session),
-decided AS (SELECT *, CASE WHEN latin THEN {DECISION} END AS d FROM (SELECT c.*, CASE WHEN latin THEN labels[greatest(1, k - 6):k - 1] END AS h FROM counted c LEFT JOIN folded USING (session)))
-SELECT CAST(session AS VARCHAR) AS session, CAST(pos AS BIGINT) AS pos, word AS original, {CONVERTED} AS converted,
+    helped, rows = (f", {assist(source)}", "helped") if assisted else ("", "coded")
+    step, choice = (ASSISTED_STEP, decision(True)) if assisted else (STEP, DECISION)
+    said = converted(f" WHEN 'g' THEN CASE WHEN {UPPER_FIRST} THEN upper(en_fix[1]) || en_fix[2:] ELSE en_fix END") if assisted else CONVERTED
+    return f"""{coded(source)}{helped},
+counted AS (SELECT *, row_number() OVER (PARTITION BY session, latin ORDER BY pos) AS k FROM {rows}),
+folded AS (SELECT session, list_reduce(list_prepend('', list(x ORDER BY k)), lambda acc, x: acc || {step}) AS labels FROM counted WHERE latin GROUP BY session),
+decided AS (SELECT *, CASE WHEN latin THEN {choice} END AS d FROM (SELECT c.*, CASE WHEN latin THEN labels[greatest(1, k - 6):k - 1] END AS h FROM counted c LEFT JOIN folded USING (session)))
+SELECT CAST(session AS VARCHAR) AS session, CAST(pos AS BIGINT) AS pos, word AS original, {said} AS converted,
   CASE d[2] WHEN 'E' THEN 'EN' WHEN 'B' THEN 'BG' ELSE '??' END AS language, CASE WHEN d IS NULL THEN 0.0::DOUBLE ELSE CAST(d[3:] AS DOUBLE) END AS confidence, in_en, in_bg FROM decided"""
 
 
@@ -196,6 +281,10 @@ fold AS (
     FROM fold f JOIN classed c ON c.session = f.session AND c.pos = f.pos + 1))
 SELECT session, CAST(pos AS INTEGER) AS pos, word, lang, CASE WHEN lang = 'BG' THEN {cyr('word')} ELSE word END AS output FROM fold WHERE pos >= 0""",
     "app_fold": f"WITH {WORDS}, {LEXICONS}, sessions AS (SELECT doc_id AS session, pos, word FROM words), {full_fold('sessions')}",
+    "app_fold_assisted": f"WITH {WORDS}, {LEXICONS}, sessions AS (SELECT doc_id AS session, pos, word FROM words), {full_fold('sessions', True)}",
+    "language_scores": f"WITH {WORDS}, {SPOKEN}, {LANGUAGE_SCORES}",
+    "spell_english": f"""WITH {WORDS}, {LEXICONS}, {CLASSED_WORDS}, {FREQUENT}, misspelt AS (SELECT DISTINCT lower(word) AS w FROM classed WHERE class = 'neither')
+SELECT w AS word, c AS correction, CAST(d AS INTEGER) AS edits FROM ({_spelt('misspelt', 'frequent')})""",
     "stream_fold": f"WITH {WORDS}, {LEXICONS}, {SPOKEN}, {full_fold('spoken')}",
     "keystroke_replay": f"WITH RECURSIVE {WORDS}, {LEXICONS}, {REPLAY}",
     "stream_replay": f"WITH RECURSIVE {WORDS}, {LEXICONS}, {REPLAY}",

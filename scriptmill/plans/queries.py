@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from scriptmill.functions import abbreviations, mapping, tokens
-from scriptmill.operators import correct, fold, lookup, replay
+from scriptmill.operators import correct, fold, lookup, replay, scores, speller
 from scriptmill.sources import events, lexicons
 from scriptmill.sources.shared import shared_path, spread, stored
 from scriptmill.streaming import detect
@@ -47,6 +47,23 @@ def _turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("session", (F.row_number().over(order) - 1).alias("pos"), "word")
 
 
+#: Languages of the documents that stand in for Bulgarian and (with the factor that it has) Russian.
+BULGARIAN_LIKE = {"es": 1.0, "fr": 0.4}
+#: Occurrences from which a word of English documents counts as a word to be meant.
+FREQUENT = 5
+
+
+def _recogniser(spark: SparkSession, sf_dir: str) -> scores.Recogniser:
+    counted = stored(_words(_docs(spark, sf_dir)).groupBy("lang", "word").agg(F.count("*").alias("n")), "counted")
+    return scores.train(counted, {"en": 1.0}, BULGARIAN_LIKE)
+
+
+def _frequent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """English words with their frequency, without rare ones."""
+    words = _words(_docs(spark, sf_dir).filter("lang = 'en'")).groupBy(F.lower("word").alias("word"))
+    return stored(words.agg(F.count("*").alias("n")).filter(F.col("n") >= FREQUENT), "frequent")
+
+
 def translit_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     counted = _blank_split(_docs(spark, sf_dir)).groupBy("token").agg(F.count("*").alias("n"))
     latin = mapping.is_latin_word(F.col("token"))
@@ -138,6 +155,25 @@ def app_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fold.detect(fold.features(words, *_lexicons(spark, sf_dir)), "doc_id")
 
 
+def language_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of the words of conversations, by themselves and with the eight words before them."""
+    return scores.with_phrase_scores(_turns(spark, sf_dir), _recogniser(spark, sf_dir))
+
+
+def spell_english(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The likeliest frequent English word for each word that neither lexicon has."""
+    words = stored(_words(_docs(spark, sf_dir)).select("word").distinct(), "words")
+    unknown = lookup.classify(words, *_lexicons(spark, sf_dir)).filter("class = 'neither'")
+    return speller.spell(unknown.select(F.lower("word").alias("word")), _frequent(spark, sf_dir))
+
+
+def app_fold_assisted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The full fold with language scores and the English speller."""
+    featured = fold.features(_words(_docs(spark, sf_dir)), *_lexicons(spark, sf_dir))
+    featured = speller.correct_english(featured, _frequent(spark, sf_dir), where="class = 'neither'")
+    return fold.detect(scores.with_scores(featured, _recogniser(spark, sf_dir)), "doc_id")
+
+
 def keystroke_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every conversation turn typed key by key; the text that reaches the application."""
     turns = spark.read.parquet(f"{sf_dir}/conversations.parquet")
@@ -168,6 +204,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         translit_tokens, token_kind_counts, segment_tokens, abbrev_expand, case_restore, lexicon_build, lexicon_scan, lexicon_class, lexicon_conflicts,
-        lookahead_pairs, edit1_correct, hyphen_map, sim_fold, app_fold, keystroke_replay, stream_fold, stream_replay,
+        lookahead_pairs, edit1_correct, hyphen_map, sim_fold, app_fold, keystroke_replay, stream_fold, stream_replay, language_scores, spell_english, app_fold_assisted,
     )
 }

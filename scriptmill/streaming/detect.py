@@ -17,7 +17,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from scriptmill.functions.tokens import is_terminal_app
 from scriptmill.operators.detector import EN, Detector
-from scriptmill.operators.fold import RESULT
+from scriptmill.operators.fold import ASSISTS, RESULT, assists
 from scriptmill.operators.replay import EMITTED, Keyboard, lexicon_set, looker
 
 
@@ -104,9 +104,9 @@ class InOrder(StatefulProcessor):
 class SessionFold(InOrder):
     position_column, result = "pos", RESULT
 
-    def __init__(self, scores: bool, default: str = EN, patience: float | None = None) -> None:
+    def __init__(self, assisted: bool, default: str = EN, patience: float | None = None) -> None:
         super().__init__(default, patience)
-        self.columns = ["word", "in_en", "in_bg", "bg_fix"] + ["en_score", "bg_score"] * scores
+        self.columns = ["word", "in_en", "in_bg", "bg_fix", *(ASSISTS if assisted else ())]
 
     def load(self, text: str | None) -> Detector:
         return Detector(self.default) if text is None else Detector.load(text)
@@ -161,11 +161,11 @@ def _folded(rows: DataFrame, key: str, processor: InOrder) -> DataFrame:
 
 
 def detect_stream(featured: DataFrame, session: str = "session", default: str = EN, patience: float | None = None) -> DataFrame:
-    """As operators.fold.detect, on a streaming DataFrame, which may have en_score and bg_score too; needs the RocksDB state store. Rows without a session, position or word are left out. ``patience``: see InOrder."""
-    scores = [F.coalesce(F.col(c), F.lit(0.0)).alias(c) for c in ("en_score", "bg_score")] if {"en_score", "bg_score"} <= set(featured.columns) else []
-    rows = featured.select(F.col(session).cast("string").alias("session"), F.col("pos").cast("bigint").alias("pos"), "word", "in_en", "in_bg", "bg_fix", *scores)
+    """As operators.fold.detect, on a streaming DataFrame, which may have en_score, bg_score and en_fix too; needs the RocksDB state store. Rows without a session, position or word are left out. ``patience``: see InOrder."""
+    extra = assists(featured)
+    rows = featured.select(F.col(session).cast("string").alias("session"), F.col("pos").cast("bigint").alias("pos"), "word", "in_en", "in_bg", "bg_fix", *extra)
     rows = rows.filter("session is not null and pos is not null and word is not null")
-    return _folded(rows, "session", SessionFold(bool(scores), default, patience))
+    return _folded(rows, "session", SessionFold(bool(extra), default, patience))
 
 
 def replay_stream(events: DataFrame, en: DataFrame, bg: DataFrame, default: str = EN, patience: float | None = None) -> DataFrame:
