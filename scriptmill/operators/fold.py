@@ -1,60 +1,128 @@
 """Language folds over the ordered words of sessions, in two profiles.
 
-``simulate`` is the reduced profile: a native fold whose state is the last label,
-its streak and six confident labels. ``detect`` is the full one. It reads each
-session in order as a stream of Arrow batches and carries the bounded state from
-row to row, so no session is gathered into one row or one group, however long.
+``simulate`` is the reduced profile, whose state is the last label, its streak and
+six confident labels. ``detect`` is the full one, whose state is six labels, each
+confident or not. Both read each session in order as a stream of Arrow batches and
+carry the state from row to row, so no session is gathered into one row or one
+group. A session longer than a segment is folded by many tasks (operators.scan).
 """
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
+from itertools import product
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import BooleanType, IntegerType, StringType, StructField, StructType
 
 from scriptmill.functions.mapping import to_cyrillic
 from scriptmill.operators.correct import correct_bulgarian
-from scriptmill.operators.detector import EN, Detector
+from scriptmill.operators.detector import BG, EN, LABELS, Detector, History
 from scriptmill.operators.lookup import classify
+from scriptmill.operators.scan import SEGMENT, runs, segmented
 from scriptmill.sources.shared import small_side, stored
 
-#: The labels so far are one letter each in ``out``, so that a step copies little.
-STATE = "struct<last:string,streak:int,sure:array<string>,out:string>"
-
-
-def _step(state: Column, x: Column) -> Column:
-    known = lambda lang: F.size(F.filter(state["sure"], lambda s: s == lang))
-    held = (state["streak"] >= 3) & (F.length(x["word"]) <= 3)
-    follow = F.when(state["last"] == "BG", "BG").otherwise("EN")
-    only_bg, only_en = x["in_bg"] & ~x["in_en"], x["in_en"] & ~x["in_bg"]
-    lang = (
-        F.when(only_bg, F.when((state["last"] == "EN") & held, "EN").otherwise("BG"))
-        .when(only_en, F.when((state["last"] == "BG") & held, "BG").otherwise("EN"))
-        .when(x["in_bg"] & x["in_en"], F.when(known("BG") > known("EN"), "BG").when(known("EN") > known("BG"), "EN").otherwise(follow))
-        .otherwise(follow)
-    )
-    sure = (only_bg & (lang == "BG")) | (only_en & (lang == "EN"))
-    longer = F.concat(state["sure"], F.array(lang))
-    return F.struct(
-        lang.alias("last"),
-        F.when(lang == state["last"], state["streak"] + 1).otherwise(1).alias("streak"),
-        F.when(sure, F.slice(longer, -F.least(F.lit(6), F.size(longer)), F.lit(6))).otherwise(state["sure"]).alias("sure"),
-        F.concat(state["out"], F.substring(lang, 1, 1)).alias("out"),
-    )
-
-
-def simulate(classed: DataFrame, session: str = "session", pos: str = "pos", word: str = "word") -> DataFrame:
-    """lang and output of each word of the reduced profile; rows need in_en and in_bg."""
-    rows = F.array_sort(F.collect_list(F.struct(F.col(pos).cast("int").alias("pos"), F.col(word).alias("word"), "in_en", "in_bg")))
-    start = F.expr(f"cast(named_struct('last', '??', 'streak', 0, 'sure', array(), 'out', '') as {STATE})")
-    gathered = classed.groupBy(session).agg(rows.alias("rows"))
-    labels = F.filter(F.split(F.aggregate("rows", start, lambda s, x: _step(s, x).cast(STATE))["out"], ""), lambda c: c != "")
-    each = gathered.select(session, F.explode(F.zip_with("rows", labels, lambda x, c: F.struct(x["pos"].alias("pos"), x["word"].alias("word"), (c == "B").alias("is_bg")))).alias("x")).select(session, "x.*")
-    return each.select(session, "pos", "word", F.when(F.col("is_bg"), "BG").otherwise("EN").alias("lang"), F.when(F.col("is_bg"), to_cyrillic(F.col("word"))).otherwise(F.col("word")).alias("output"))
+#: Words in a row from which a label holds against a short word (fixed value).
+STREAK = 3
+
+
+class Reduced:
+    """The machine of the reduced profile. A state: the last label, its streak (3 stands for more) and the last six confident labels."""
+
+    columns, start = ("in_en", "in_bg", "short"), ("", 0, "")
+
+    def __init__(self) -> None:
+        self.known: dict[tuple, tuple] = {}
+
+    def states(self) -> list:
+        sure = ["".join(x) for n in range(LABELS + 1) for x in product("EB", repeat=n)]
+        return [self.start, *product("EB", range(1, STREAK + 1), sure)]
+
+    def symbols(self, batch: pa.RecordBatch) -> list:
+        """1 for an English word, 2 for a Bulgarian one, 4 for a short one, together."""
+        return sum(k * pc.fill_null(batch[c], False).to_numpy(zero_copy_only=False).astype(np.int64) for k, c in ((1, "in_en"), (2, "in_bg"), (4, "short"))).tolist()
+
+    def step(self, state: tuple, symbol: int) -> tuple:
+        if (state, symbol) not in self.known:
+            self.known[state, symbol] = self._step(*state, symbol & 3, symbol >= 4)
+        return self.known[state, symbol]
+
+    @staticmethod
+    def _step(last: str, streak: int, sure: str, found: int, short: bool) -> tuple:
+        only = {1: "E", 2: "B"}.get(found)
+        if only:
+            label = last if last not in ("", only) and streak >= STREAK and short else only
+        else:
+            lead = sure.count("B") - sure.count("E") if found else 0
+            label = "B" if lead > 0 else "E" if lead < 0 else last or "E"
+        return label, min(streak + 1, STREAK) if label == last else 1, (sure + label)[-LABELS:] if label == only else sure
+
+    def dump(self, state: tuple) -> str:
+        return json.dumps(state)
+
+    def load(self, text: str) -> tuple:
+        return tuple(json.loads(text))
+
+
+def _simulate(machine: Reduced, schema: pa.Schema):
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, state = None, None
+        for batch in batches:
+            symbols, labels = machine.symbols(batch), []
+            for key, start, end in runs(batch, "session", "segment"):
+                if state is None or key != last:
+                    entry = batch["entry"][start].as_py()
+                    last, state = key, machine.load(entry) if entry else machine.start
+                for symbol in symbols[start:end]:
+                    state = machine.step(state, symbol)
+                    labels.append(state[0])
+            yield pa.RecordBatch.from_arrays([batch["session"], batch["pos"], batch["word"], pa.array([x == "B" for x in labels], pa.bool_())], schema.names)
+
+    return work
+
+
+def simulate(classed: DataFrame, session: str = "session", pos: str = "pos", word: str = "word", segment: int = SEGMENT) -> DataFrame:
+    """lang and output of each word of the reduced profile; rows need in_en and in_bg, and positions from 0. Long sessions are folded in segments (operators.scan)."""
+    rows = classed.select(F.col(session).alias("session"), F.col(pos).cast("int").alias("pos"), F.col(word).alias("word"), "in_en", "in_bg", (F.length(word) <= 3).alias("short"))
+    machine = Reduced()
+    rows = segmented(stored(rows, "classed"), machine, segment)
+    shape = StructType([rows.schema["session"], StructField("pos", IntegerType()), StructField("word", StringType()), StructField("is_bg", BooleanType())])
+    each = rows.mapInArrow(_simulate(machine, to_arrow_schema(shape)), shape)
+    return each.select(F.col("session").alias(session), "pos", "word", F.when(F.col("is_bg"), "BG").otherwise("EN").alias("lang"), F.when(F.col("is_bg"), to_cyrillic(F.col("word"))).otherwise(F.col("word")).alias("output"))
+
+
+class Full:
+    """The machine of the full profile. A state: the last six labels, each confident or not."""
+
+    columns, start = ("word", "in_en", "in_bg", "bg_fix"), ()
+
+    def __init__(self, default: str, assisted: bool) -> None:
+        self.default = default
+        self.columns = (*Full.columns, *(ASSISTS if assisted else ()))
+
+    def states(self) -> list:
+        labels = [(x, sure) for x in (EN, BG) for sure in (True, False)]
+        return [x for n in range(LABELS + 1) for x in product(labels, repeat=n)]
+
+    def symbols(self, batch: pa.RecordBatch) -> list:
+        return list(zip(*[batch[c].to_pylist() for c in self.columns], strict=True))
+
+    def step(self, state: History, symbol: tuple) -> History:
+        detector = Detector(self.default, state)
+        detector.step(*symbol)
+        return detector.history
+
+    def dump(self, state: History) -> str:
+        return json.dumps(state)
+
+    def load(self, text: str) -> History:
+        return tuple((label, sure) for label, sure in json.loads(text))
 
 
 #: Columns that may help the decision, and what stands where there are none.
@@ -72,7 +140,7 @@ def assists(featured: DataFrame) -> list[Column]:
 RESULT = "session string, pos bigint, original string, converted string, language string, confidence double, in_en boolean, in_bg boolean"
 
 
-def _detect(default: str):
+def _detect(machine: Full):
     kept, names = ["session", "pos", "word"], [x.split()[0] for x in RESULT.split(", ")]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -80,16 +148,13 @@ def _detect(default: str):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            sessions = batch["session"]
-            ends = [*(np.flatnonzero(pc.not_equal(sessions[1:], sessions[:-1]).to_numpy(zero_copy_only=False)) + 1).tolist(), batch.num_rows]
-            asked = [c for c in ("word", "in_en", "in_bg", "bg_fix", *ASSISTS) if c in batch.schema.names]
-            rows, out, at = list(zip(*[batch[c].to_pylist() for c in asked], strict=True)), [], 0
-            for end in ends:
-                if state is None or sessions[at].as_py() != last:
-                    last, state = sessions[at].as_py(), Detector(default)
+            rows, out = machine.symbols(batch), []
+            for key, start, end in runs(batch, "session", "segment"):
+                if state is None or key != last:
+                    entry = batch["entry"][start].as_py()
+                    last, state = key, Detector(machine.default, machine.load(entry) if entry else ())
                 step = state.step
-                out += [step(*row) for row in rows[at:end]]
-                at = end
+                out += [step(*row) for row in rows[start:end]]
             converted, label, confidence = zip(*out, strict=True)
             cols = [pa.array(converted, pa.string()), pa.array(label, pa.string()), pa.array(confidence, pa.float64())]
             yield pa.RecordBatch.from_arrays([*[batch[c] for c in kept], *cols, batch["in_en"], batch["in_bg"]], names)
@@ -105,8 +170,9 @@ def features(words: DataFrame, en: DataFrame, bg: DataFrame, word: str = "word")
     return classed.join(fixes, F.col(word) == F.col("_u"), "left").drop("_u")
 
 
-def detect(featured: DataFrame, session: str = "session", pos: str = "pos", word: str = "word", default: str = EN) -> DataFrame:
-    """original, converted, language and confidence of each word of the full profile, with what the lexicons said. ``featured`` may have en_score and bg_score (operators.scores) and en_fix (operators.speller). One shuffle, on the session. Rows without a session or a word are left out."""
+def detect(featured: DataFrame, session: str = "session", pos: str = "pos", word: str = "word", default: str = EN, segment: int = SEGMENT) -> DataFrame:
+    """original, converted, language and confidence of each word of the full profile, with what the lexicons said. Positions are from 0; long sessions are folded in segments (operators.scan). ``featured`` may have en_score and bg_score (operators.scores) and en_fix (operators.speller). One shuffle, on the session. Rows without a session or a word are left out."""
     rows = featured.select(F.col(session).cast("string").alias("session"), F.col(pos).cast("bigint").alias("pos"), F.col(word).alias("word"), F.coalesce("in_en", F.lit(False)).alias("in_en"), F.coalesce("in_bg", F.lit(False)).alias("in_bg"), "bg_fix", *assists(featured))
     rows = rows.filter("session is not null and word is not null")
-    return rows.repartition("session").sortWithinPartitions("session", "pos").mapInArrow(_detect(default), RESULT)
+    machine = Full(default, bool(assists(featured)))
+    return segmented(stored(rows, "featured"), machine, segment).mapInArrow(_detect(machine), RESULT)
