@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from scriptmill.functions.mapping import to_cyrillic
+from scriptmill.operators import bloom
 from scriptmill.sources.shared import MAX_BROADCAST
 
 
@@ -14,18 +15,18 @@ def classify(words: DataFrame, en: DataFrame, bg: DataFrame, word: str = "word",
     """``words`` with in_en, in_bg and class (both, bg, en, neither).
 
     Lexicons of at most ``limit`` words are broadcast, and the words are not
-    shuffled. Larger ones meet the distinct words, and the answer goes back to
-    the rows.
+    shuffled. Larger ones meet the distinct words that a Bloom filter lets through
+    (operators.bloom), and the answer goes back to the rows.
     """
     w, c = F.col(word), F.lower(to_cyrillic(F.col(word)))
-    small = all(x.limit(limit + 1).count() <= limit for x in (en, bg))
-    hint = F.broadcast if small else (lambda x: x)
-    known_en, known_bg = hint(en.select(F.col("word").alias("_en")).distinct()), hint(bg.select(F.col("word").alias("_bg")).distinct())
-    probe = lambda rows, of, cyr: rows.join(known_en, F.lower(of) == F.col("_en"), "left").join(known_bg, cyr == F.col("_bg"), "left")
-    found = [F.col("_en").isNotNull().alias("in_en"), F.col("_bg").isNotNull().alias("in_bg")]
-    if small:
-        return probe(words, w, c).select(*words.columns, *found).withColumn("class", word_class())
-    distinct = probe(words.select(w.alias("_w")).distinct(), F.col("_w"), F.lower(to_cyrillic(F.col("_w")))).select("_w", *found)
+    if all(x.limit(limit + 1).count() <= limit for x in (en, bg)):
+        known_en, known_bg = (F.broadcast(x.select(F.col("word").alias(k)).distinct()) for x, k in ((en, "_en"), (bg, "_bg")))
+        met = words.join(known_en, F.lower(w) == F.col("_en"), "left").join(known_bg, c == F.col("_bg"), "left")
+        found = [F.col("_en").isNotNull().alias("in_en"), F.col("_bg").isNotNull().alias("in_bg")]
+        return met.select(*words.columns, *found).withColumn("class", word_class())
+    distinct = words.select(w.alias("_w")).distinct()
+    for out, lexicon, key in (("in_en", en, F.lower("_w")), ("in_bg", bg, F.lower(to_cyrillic(F.col("_w"))))):
+        distinct = bloom.mark(distinct, lexicon, key, out, lexicon.count())
     out = words.join(distinct, w == F.col("_w"), "left").drop("_w")
     return out.withColumns({k: F.coalesce(k, F.lit(False)) for k in ("in_en", "in_bg")}).withColumn("class", word_class())
 
