@@ -61,6 +61,8 @@ def fit(counted: DataFrame, size: int = SIZE) -> Model:
     langs = sorted(r[0] for r in seen.select("lang").distinct().limit(MAX_LANGUAGES + 1).collect())
     if len(langs) > MAX_LANGUAGES:
         raise ValueError(f"more than {MAX_LANGUAGES} languages")
+    if not langs:
+        return Model([], [], seen.select("gram"))
     counts = [F.coalesce(F.sum(F.when(F.col("lang") == x, F.col("n"))), F.lit(0)).alias(f"c{k}") for k, x in enumerate(langs)]
     by_gram = stored(seen.groupBy("gram").agg(F.count("*").alias("_"), *counts), "gram-counts")
     totals = by_gram.agg(F.count("*").alias("kinds"), *[F.coalesce(F.sum(f"c{k}"), F.lit(0)).alias(f"c{k}") for k in range(len(langs))]).first()
@@ -73,6 +75,8 @@ def fit(counted: DataFrame, size: int = SIZE) -> Model:
 def likelihoods(words: DataFrame, model: Model, word: str = "word", size: int = SIZE) -> DataFrame:
     """Each distinct word (not null or empty) with its likelihood in each language, as w0, w1, ..."""
     rows = words.select(F.col(word).alias("word")).filter("word <> ''").distinct()
+    if not model.langs:
+        return rows
     rows = rows.select("word", F.explode(grams(F.col("word"), size)).alias("gram")).join(small_side(model.table), "gram", "left")
     return rows.groupBy("word").agg(*[F.sum(F.coalesce(w, F.lit(x))).alias(w) for w, x in zip(model.weights(), model.unseen, strict=True)])
 
