@@ -2,9 +2,12 @@
 
 A media member is a lossless image: the payload (the text's UTF-8 bytes, with
 bytes 0 appended up to a positive multiple of 64) as 8-bit grey samples, 64 a
-row, in PNG. Members are stored in zip archives of bounded size; the commit lists
-the finished ones with their sizes in ``_archives.json``, so what failed tasks
-left is never read, and ranges are planned without opening an archive.
+row, in PNG. Members are stored in zip archives of bounded size. Each write commits by
+one more list of its finished archives with their sizes, a file ``_archives-*.json`` of its
+own, so what failed tasks left is never read, writes add up (one after the other or at once),
+a write that fails before its list is there leaves the folder as it was, and
+ranges are planned without opening an archive. Mode ``overwrite`` drops the older lists
+once its own is there.
 
 Reading plans byte ranges over the archives: a task takes the members that
 start in its range, streams them through Arrow in batches of bounded size, and
@@ -43,7 +46,7 @@ RANGE, BATCH = 8 << 20, 4 << 20
 #: A writing task starts a new archive beyond so many bytes, so that the directory that each range reads stays small.
 ARCHIVE = 128 << 20
 RETRIES = 3
-MANIFEST = "_archives.json"
+MANIFEST = "_archives-"
 SIGNATURE = b"\x89PNG\r\n\x1a\n"
 MEMBERS = "doc_id bigint, archive string, at bigint, media binary"
 MEDIA = "doc_id bigint, n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string"
@@ -109,14 +112,36 @@ def _create(uri: str):
     return store.open_output_stream(path)
 
 
+def manifests(path: str) -> list[str]:
+    """The lists of the committed writes in a folder, as URIs."""
+    if (folder := local_path(path)) is not None:
+        names = os.listdir(folder) if os.path.isdir(folder) else []
+    else:
+        from pyarrow import fs
+
+        store, folder = fs.FileSystem.from_uri(path)
+        names = [x.base_name for x in store.get_file_info(fs.FileSelector(folder, allow_not_found=True))]
+    return sorted(f"{path}/{x}" for x in names if x.startswith(MANIFEST) and x.endswith(".json"))
+
+
+def _remove(uri: str) -> None:
+    if (path := local_path(uri)) is not None:
+        os.unlink(path)
+        return
+    from pyarrow import fs
+
+    store, path = fs.FileSystem.from_uri(uri)
+    store.delete_file(path)
+
+
 class _Committed(WriterCommitMessage):
     def __init__(self, archives: list[tuple[str, int]]) -> None:
         self.archives = archives
 
 
 class MediaWriter(DataSourceArrowWriter):
-    def __init__(self, path: str, limit: int) -> None:
-        self.path, self.limit = path, limit
+    def __init__(self, path: str, limit: int, overwrite: bool = False) -> None:
+        self.path, self.limit, self.overwrite = path, limit, overwrite
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> _Committed:
         done, rows = [], self._members(iterator)
@@ -146,13 +171,20 @@ class MediaWriter(DataSourceArrowWriter):
             member = next(rows, None) if size < self.limit else None
 
     def commit(self, messages: list[WriterCommitMessage | None]) -> None:
-        with _create(f"{self.path}/{MANIFEST}") as f:
-            f.write(json.dumps(sorted(x for m in messages if m for x in m.archives)).encode())
+        before, own = manifests(self.path) if self.overwrite else [], f"{self.path}/{MANIFEST}{uuid.uuid4().hex}.json"
+        data = json.dumps(sorted(x for m in messages if m for x in m.archives)).encode()
+        # a local file takes its name when it is whole; other stores show a file when it is closed
+        path = local_path(own)
+        with _create(f"{own}.part" if path else own) as f:
+            f.write(data)
+        if path:
+            os.replace(f"{path}.part", path)
+        for old in before:
+            _remove(old)
 
     def abort(self, messages: list[WriterCommitMessage | None]) -> None:
         for name, _ in (x for m in messages if m for x in m.archives):
-            if path := local_path(f"{self.path}/{name}"):
-                os.unlink(path)
+            _remove(f"{self.path}/{name}")
 
 
 class _Range(InputPartition):
@@ -191,8 +223,13 @@ class MediaReader(DataSourceReader):
         self.path, self.span = path, span
 
     def partitions(self) -> list[_Range]:
-        with open_uri(f"{self.path}/{MANIFEST}") as f:
-            archives = json.loads(f.read())
+        lists = manifests(self.path)
+        if not lists:
+            raise ValueError(f"nothing was written to {self.path}")
+        archives = []
+        for uri in lists:
+            with open_uri(uri) as f:
+                archives += json.loads(f.read())
         out = [_Range(f"{self.path}/{name}", k, min(size, k + self.span)) for name, size in archives for k in range(0, size, self.span)]
         return out or [_Range("", 0, 0)]
 
@@ -236,13 +273,13 @@ class MediaSource(DataSource):
         return MediaReader(self.options["path"], int(self.options.get("span", RANGE)))
 
     def writer(self, schema, overwrite: bool) -> MediaWriter:
-        return MediaWriter(self.options["path"], int(self.options.get("limit", ARCHIVE)))
+        return MediaWriter(self.options["path"], int(self.options.get("limit", ARCHIVE)), overwrite)
 
 
-def write(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text", limit: int = ARCHIVE) -> None:
-    """Stores every text as a member of the archives in the folder ``path``."""
+def write(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text", limit: int = ARCHIVE, mode: str = "append") -> None:
+    """Stores every text as a member of the archives in the folder ``path``, besides those that are there or (``overwrite``) in their place."""
     docs.sparkSession.dataSource.register(MediaSource)
-    docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).cast("string").alias("text")).write.format(FORMAT).mode("append").option("limit", str(limit)).save(path)
+    docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).cast("string").alias("text")).write.format(FORMAT).mode(mode).option("limit", str(limit)).save(path)
 
 
 def read(spark: SparkSession, path: str, span: int = RANGE) -> DataFrame:

@@ -449,6 +449,27 @@ def test_media(spark, clashing, edge_texts, span):
     assert all(len(x) == 1 for x in by_text.values())
 
 
+def test_media_writes_add_up(spark, docs, monkeypatch):
+    path = shared_path(spark, "media-test")
+    part = lambda *ids: docs.filter(F.col("doc_id").isin(*ids))
+    ids = lambda: sorted(r["doc_id"] for r in media.read(spark, path).collect())
+    media.write(part(1, 2), path)
+    media.write(part(3), path)
+    media.write(part(3), path)
+    assert ids() == [1, 2, 3, 3] and len(media.manifests(path)) == 3
+    # a write that ends before its list is there changes nothing
+    writer = media.MediaWriter(path, media.ARCHIVE)
+    done = writer.write(iter(part(7).select("doc_id", "text").toArrow().to_batches()))
+    assert ids() == [1, 2, 3, 3]
+    writer.abort([done])
+    writer.commit([writer.write(iter(part(8).select("doc_id", "text").toArrow().to_batches())), None])
+    assert ids() == [1, 2, 3, 3, 8]
+    media.write(part(9), path, mode="overwrite")
+    assert ids() == [9]
+    with pytest.raises(Exception, match="nothing was written"):
+        media.read(spark, shared_path(spark, "media-test")).collect()
+
+
 def test_media_empty(spark, empty):
     path = shared_path(spark, "media-test")
     media.write(empty, path)
@@ -460,7 +481,8 @@ def test_archives_are_bounded(spark, docs):
 
     path = shared_path(spark, "media-test")
     media.write(docs.coalesce(1), path, limit=500)
-    with media.open_uri(f"{path}/{media.MANIFEST}") as f:
+    (listed,) = media.manifests(path)
+    with media.open_uri(listed) as f:
         archives = json.loads(f.read())
     for name, size in archives:
         with media.open_uri(f"{path}/{name}") as f:
