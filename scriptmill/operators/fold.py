@@ -102,9 +102,10 @@ class Full:
 
     columns, start = ("word", "in_en", "in_bg", "bg_fix"), ()
 
-    def __init__(self, default: str, assisted: bool) -> None:
-        self.default = default
-        self.columns = (*Full.columns, *(ASSISTS if assisted else ()))
+    def __init__(self, default: str, assisted: bool, preferred: bool = False) -> None:
+        """``preferred``: the column preference has each session's default language, where it is not null."""
+        self.default, self.preferred = default, preferred
+        self.columns = (*Full.columns, *(ASSISTS if assisted else ()), *(["preference"] if preferred else []))
 
     def states(self) -> list:
         labels = [(x, sure) for x in (EN, BG) for sure in (True, False)]
@@ -114,10 +115,13 @@ class Full:
         return list(zip(*[batch[c].to_pylist() for c in self.columns], strict=True))
 
     def step(self, state: History, symbol: tuple) -> History:
-        detector = Detector(self.default, state)
-        detector.step(*symbol)
+        detector = self.detector(state, symbol)
+        detector.step(*(symbol[:-1] if self.preferred else symbol))
         return detector.history
 
+    def detector(self, state: History, symbol: tuple) -> Detector:
+        return Detector(symbol[-1] if self.preferred and symbol[-1] else self.default, state)
+
     def dump(self, state: History) -> str:
         return json.dumps(state)
 
@@ -152,9 +156,9 @@ def _detect(machine: Full):
             for key, start, end in runs(batch, "session", "segment"):
                 if state is None or key != last:
                     entry = batch["entry"][start].as_py()
-                    last, state = key, Detector(machine.default, machine.load(entry) if entry else ())
+                    last, state = key, machine.detector(machine.load(entry) if entry else machine.start, rows[start])
                 step = state.step
-                out += [step(*row) for row in rows[start:end]]
+                out += [step(*row) for row in (rows[start:end] if not machine.preferred else [r[:-1] for r in rows[start:end]])]
             converted, label, confidence = zip(*out, strict=True)
             cols = [pa.array(converted, pa.string()), pa.array(label, pa.string()), pa.array(confidence, pa.float64())]
             yield pa.RecordBatch.from_arrays([*[batch[c] for c in kept], *cols, batch["in_en"], batch["in_bg"]], names)
@@ -171,8 +175,8 @@ def features(words: DataFrame, en: DataFrame, bg: DataFrame, word: str = "word")
 
 
 def detect(featured: DataFrame, session: str = "session", pos: str = "pos", word: str = "word", default: str = EN, segment: int = SEGMENT) -> DataFrame:
-    """original, converted, language and confidence of each word of the full profile, with what the lexicons said. Positions are from 0; long sessions are folded in segments (operators.scan). ``featured`` may have en_score and bg_score (operators.scores) and en_fix (operators.speller). One shuffle, on the session. Rows without a session or a word are left out."""
-    rows = featured.select(F.col(session).cast("string").alias("session"), F.col(pos).cast("bigint").alias("pos"), F.col(word).alias("word"), F.coalesce("in_en", F.lit(False)).alias("in_en"), F.coalesce("in_bg", F.lit(False)).alias("in_bg"), "bg_fix", *assists(featured))
+    """original, converted, language and confidence of each word of the full profile, with what the lexicons said. Positions are from 0; long sessions are folded in segments (operators.scan). ``featured`` may have en_score and bg_score (operators.scores), en_fix (operators.speller) and preference (the default language of the row's session; null: ``default``). One shuffle, on the session. Rows without a session or a word are left out."""
+    rows = featured.select(F.col(session).cast("string").alias("session"), F.col(pos).cast("bigint").alias("pos"), F.col(word).alias("word"), F.coalesce("in_en", F.lit(False)).alias("in_en"), F.coalesce("in_bg", F.lit(False)).alias("in_bg"), "bg_fix", *assists(featured), *(["preference"] if "preference" in featured.columns else []))
     rows = rows.filter("session is not null and word is not null")
-    machine = Full(default, bool(assists(featured)))
+    machine = Full(default, bool(assists(featured)), "preference" in featured.columns)
     return segmented(stored(rows, "featured"), machine, segment).mapInArrow(_detect(machine), RESULT)

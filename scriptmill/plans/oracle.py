@@ -231,6 +231,13 @@ emitted AS (SELECT sid, seq, CASE WHEN pend THEN '' WHEN p0 IS NULL THEN CASE WH
 SELECT sid AS session_id, CAST(seq AS BIGINT) AS seq, emitted FROM emitted WHERE emitted <> ''"""
 
 
+TIME = "strftime({}, '%Y-%m-%d %H:%M:%S.%f')".format
+SESSIONS = """marked AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER w <= INTERVAL 4 HOUR THEN 0 ELSE 1 END AS cut FROM events WHERE user_id IS NOT NULL AND ts IS NOT NULL WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+dealt AS (SELECT *, sum(cut) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM marked),
+cuts AS (SELECT user_id, min(ts) AS s, max(ts) AS e, count(*) AS n_events FROM dealt GROUP BY user_id, k)"""
+EVENT_SESSIONS = f"WITH {SESSIONS} SELECT user_id, {TIME('s')} AS session_start, {TIME('e')} AS session_end, n_events FROM cuts"
+
+
 ORACLE_SQL: dict[str, str] = {
     "translit_tokens": f"""SELECT token, {LATIN} AS is_latin, CASE WHEN {LATIN} THEN {cyr('token')} END AS cyrillic, regexp_matches(token, '[Ѐ-ӿ]') AS has_cyrillic, count(*) AS n
 FROM (SELECT unnest({BLANK}) AS token FROM documents) GROUP BY token""",
@@ -285,6 +292,11 @@ SELECT session, CAST(pos AS INTEGER) AS pos, word, lang, CASE WHEN lang = 'BG' T
     "language_scores": f"WITH {WORDS}, {SPOKEN}, {LANGUAGE_SCORES}",
     "spell_english": f"""WITH {WORDS}, {LEXICONS}, {CLASSED_WORDS}, {FREQUENT}, misspelt AS (SELECT DISTINCT lower(word) AS w FROM classed WHERE class = 'neither')
 SELECT w AS word, c AS correction, CAST(d AS INTEGER) AS edits FROM ({_spelt('misspelt', 'frequent')})""",
+    "event_sessions": EVENT_SESSIONS,
+    "stream_sessions": EVENT_SESSIONS,
+    "session_preferences": f"""WITH {SESSIONS},
+changes AS (SELECT user_id, ts AS since, max(CASE WHEN CAST(floor(value) AS BIGINT) % 2 = 0 THEN 'BG' ELSE 'EN' END) AS preference FROM events WHERE event_type = 'signup' AND value IS NOT NULL AND user_id IS NOT NULL AND ts IS NOT NULL GROUP BY user_id, ts)
+SELECT c.user_id, {TIME('s')} AS session_start, coalesce(preference, 'EN') AS preference, n_events FROM cuts c ASOF LEFT JOIN changes p ON p.user_id = c.user_id AND c.s >= p.since""",
     "stream_fold": f"WITH {WORDS}, {LEXICONS}, {SPOKEN}, {full_fold('spoken')}",
     "keystroke_replay": f"WITH RECURSIVE {WORDS}, {LEXICONS}, {REPLAY}",
     "stream_replay": f"WITH RECURSIVE {WORDS}, {LEXICONS}, {REPLAY}",

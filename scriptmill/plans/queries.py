@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from scriptmill.functions import abbreviations, mapping, tokens
-from scriptmill.operators import correct, fold, lookup, replay, scores, speller
+from scriptmill.operators import correct, fold, lookup, replay, scores, speller, timeline
 from scriptmill.sources import events, lexicons
 from scriptmill.sources.shared import shared_path, spread, stored
 from scriptmill.streaming import detect
@@ -174,6 +174,45 @@ def app_fold_assisted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fold.detect(scores.with_scores(featured, _recogniser(spark, sf_dir)), "doc_id")
 
 
+#: Seconds without an event that end a session, and that a stream waits for events out of order.
+IDLE, DELAY = 4 * 3600, 3600
+TIME = "yyyy-MM-dd HH:mm:ss.SSSSSS"
+
+
+def _written_times(rows: DataFrame, *names: str) -> DataFrame:
+    """Times as text, which no session's time zone changes."""
+    return rows.withColumns({c: F.date_format(c, TIME) for c in names})
+
+
+def _preferences(events: DataFrame) -> DataFrame:
+    """Stand-in for changes of the default language: those that sign-ups make, by their value."""
+    label = F.when(F.floor("value") % 2 == 0, "BG").otherwise("EN")
+    return events.filter("event_type = 'signup' and value is not null").select("user_id", F.col("ts").alias("since"), label.alias("preference"))
+
+
+def event_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sessions of users, cut by inactivity."""
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    return _written_times(timeline.sessions(events, IDLE), "session_start", "session_end")
+
+
+def stream_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same as a stream, which an event far ahead of all others ends."""
+    base = shared_path(spark, "stream")
+    events = spark.read.parquet(f"{sf_dir}/events.parquet").select("user_id", F.col("ts").cast("timestamp").alias("ts"))
+    last = events.agg((F.max("ts") + F.expr(f"interval {IDLE + DELAY + 1} seconds")).alias("ts")).filter("ts is not null")
+    events.union(last.select(F.lit(-(1 << 63)).cast("bigint"), "ts")).write.parquet(f"{base}/in")
+    stream = timeline.cut_stream(spark.readStream.schema(events.schema).parquet(f"{base}/in"), IDLE, DELAY)
+    return _written_times(detect.run_to_end(stream, f"{base}/out", f"{base}/checkpoint"), "session_start", "session_end")
+
+
+def session_preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sessions of users with the default language that holds when they begin."""
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    found = timeline.as_of(timeline.sessions(events, IDLE), _preferences(events), "preference", at="session_start")
+    return _written_times(found.select("user_id", "session_start", F.coalesce("preference", F.lit("EN")).alias("preference"), "n_events"), "session_start")
+
+
 def keystroke_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every conversation turn typed key by key; the text that reaches the application."""
     turns = spark.read.parquet(f"{sf_dir}/conversations.parquet")
@@ -205,5 +244,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         translit_tokens, token_kind_counts, segment_tokens, abbrev_expand, case_restore, lexicon_build, lexicon_scan, lexicon_class, lexicon_conflicts,
         lookahead_pairs, edit1_correct, hyphen_map, sim_fold, app_fold, keystroke_replay, stream_fold, stream_replay, language_scores, spell_english, app_fold_assisted,
+        event_sessions, stream_sessions, session_preferences,
     )
 }
