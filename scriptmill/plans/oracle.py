@@ -259,6 +259,14 @@ SELECT word, CASE WHEN {UPPER_FIRST} THEN upper(c[1]) || c[2:] ELSE c END AS res
     "lexicon_class": f"""WITH {WORDS}, {LEXICONS}, {CLASSED_WORDS}
 SELECT lang, class, count(*) AS n_tokens, count(DISTINCT word) AS n_words FROM classed GROUP BY lang, class""",
     "lexicon_conflicts": f"WITH {WORDS}, {LEXICONS} SELECT en.word, bg.word AS cyrillic FROM en JOIN bg ON lower({cyr('en.word')}) = bg.word",
+    "near_conflicts": f"""WITH {WORDS}, {LEXICONS}, keyed AS (SELECT DISTINCT word, lower({cyr('word')}) AS c FROM en),
+lg AS (SELECT DISTINCT w, substr(' ' || w || ' ', CAST(i AS BIGINT), 3) AS g FROM (SELECT w, unnest(range(1, length(w) + 1)) AS i FROM (SELECT DISTINCT c AS w FROM keyed))),
+rg AS (SELECT DISTINCT w, substr(' ' || w || ' ', CAST(i AS BIGINT), 3) AS g FROM (SELECT word AS w, unnest(range(1, length(word) + 1)) AS i FROM bg)),
+ln AS (SELECT w, count(*) AS n FROM lg GROUP BY w), rn AS (SELECT w, count(*) AS n FROM rg GROUP BY w),
+met AS (SELECT lg.w AS l, rg.w AS r, count(*) AS s FROM lg JOIN rg USING (g) GROUP BY lg.w, rg.w),
+links AS (SELECT l, r, s, a.n + b.n - s AS t FROM met JOIN ln a ON a.w = l JOIN rn b ON b.w = r WHERE 10 * s >= 7 * (a.n + b.n - s)),
+best AS (SELECT l, count(*) AS n_links, arg_min(r, (-s / CAST(t AS DOUBLE), r)) AS nearest FROM links GROUP BY l)
+SELECT word, c AS cyrillic, coalesce(n_links, 0) AS n_links, nearest FROM keyed LEFT JOIN best ON l = c""",
     "lookahead_pairs": f"""WITH {WORDS}, {LEXICONS}, {CLASSED_WORDS},
 pairs AS (SELECT *, lead(word) OVER w AS word2, lead(class) OVER w AS class2 FROM classed WINDOW w AS (PARTITION BY doc_id ORDER BY pos)),
 decided AS (SELECT doc_id, pos, word AS word1, word2, CASE class2 WHEN 'bg' THEN 'BG' WHEN 'en' THEN 'EN' ELSE '??' END AS lang FROM pairs WHERE class = 'both' AND word2 IS NOT NULL)

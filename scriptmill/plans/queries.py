@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from scriptmill.functions import abbreviations, mapping, tokens
-from scriptmill.operators import correct, fold, lookup, replay, scores, speller, timeline
+from scriptmill.operators import correct, fold, lookup, replay, scores, similar, speller, timeline
 from scriptmill.sources import events, lexicons
 from scriptmill.sources.shared import shared_path, spread, stored
 from scriptmill.streaming import detect
@@ -128,6 +128,11 @@ def lexicon_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lookup.conflicts(*_lexicons(spark, sf_dir))
 
 
+def near_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """English words with the number of Bulgarian words whose trigrams are similar."""
+    return similar.near_conflicts(*_lexicons(spark, sf_dir))
+
+
 def lookahead_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = _words(_docs(spark, sf_dir))
     return lookup.look_ahead(lookup.classify(words, *_lexicons(spark, sf_dir)), "doc_id")
@@ -244,6 +249,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         translit_tokens, token_kind_counts, segment_tokens, abbrev_expand, case_restore, lexicon_build, lexicon_scan, lexicon_class, lexicon_conflicts,
         lookahead_pairs, edit1_correct, hyphen_map, sim_fold, app_fold, keystroke_replay, stream_fold, stream_replay, language_scores, spell_english, app_fold_assisted,
-        event_sessions, stream_sessions, session_preferences,
+        near_conflicts, event_sessions, stream_sessions, session_preferences,
     )
 }
