@@ -1,10 +1,12 @@
 """Similar words of two lists: an exact join on the Jaccard similarity of their character n-grams.
 
 Each word's n-grams are ordered by how many words have them, rare ones first. Two sets
-of similarity t or more share one of the first n - ceil(t n) + 1 n-grams of
-either, and differ in size by no more than the factor t, so only words that meet on such a
-rare n-gram, and whose sizes fit, are compared. No link is lost, and frequent
-n-grams bring nobody together.
+of similarity t or more have at least a = ceil(t n) n-grams in common, n being the size of
+either, and so k of the first n - a + k of both. With k = 2, words meet on the pairs of
+n-grams of these prefixes, which are far rarer than single ones; their sizes differ by no
+more than the factor t. Only what meets and fits is compared. Sets
+so small that a is 1 meet on single n-grams (k = 1), with others of fitting size. No link is
+lost, and frequent n-grams bring nobody together.
 
 Rows: null and empty words have no n-grams and no links; repeated words count once.
 """
@@ -24,13 +26,18 @@ def _least(n: Column, num: int, den: int) -> Column:
     return F.floor((n * num + (den - 1)) / den).cast("int")
 
 
-def _prefixes(sets: DataFrame, order: DataFrame, word: str, grams: str, num: int, den: int) -> DataFrame:
-    """``sets`` (word, grams) by each of the n-grams of their prefixes, as gram."""
+def _keyed(sets: DataFrame, order: DataFrame, word: str, grams: str, num: int, den: int) -> DataFrame:
+    """``sets`` (word, grams) by the pairs, or else single ones, of the n-grams of their prefixes, as key."""
     ranked = sets.select(word, F.explode(grams).alias("gram")).join(order, "gram")
     ranked = ranked.groupBy(word).agg(F.array_sort(F.collect_list(F.struct("n", "gram"))).alias("x"))  # a word's own n-grams
-    size = F.size("x")
-    first = F.slice(F.col("x"), F.lit(1), size - _least(size, num, den) + 1)
-    return ranked.select(word, F.col("x.gram").alias(grams), F.explode(first).alias("y")).select(word, grams, F.col("y.gram").alias("gram"))
+    ranked = ranked.select(word, F.col("x.gram").alias(grams), F.size("x").alias("size"))
+    common = _least(F.col("size"), num, den)
+    first = lambda k: F.slice(F.col(grams), F.lit(1), F.col("size") - common + k)
+    after = lambda g, i: F.transform(F.slice(first(2), i + 2, F.col("size")), lambda h: F.concat(g, F.lit(" | "), h))
+    pairs = F.when(common >= 2, F.flatten(F.transform(first(2), after))).otherwise(F.array())
+    # the largest set that may have but one n-gram in common has den // num
+    single = F.when(F.col("size") * num <= den * (den // num), first(1)).otherwise(F.array())
+    return ranked.select(word, grams, F.explode(F.concat(pairs, single)).alias("key"))
 
 
 def similar(left: DataFrame, right: DataFrame, num: int = 7, den: int = 10, size: int = SIZE) -> DataFrame:
@@ -42,10 +49,10 @@ def similar(left: DataFrame, right: DataFrame, num: int = 7, den: int = 10, size
     a, b = sets(left, "l"), sets(right, "r")
     all_grams = a.select(F.explode("l_grams").alias("gram")).union(b.select(F.explode("r_grams")))
     order = stored(all_grams.groupBy("gram").agg(F.count("*").alias("n")), "gram-order")
-    x, y = _prefixes(a, small_side(order), "l", "l_grams", num, den), _prefixes(b, small_side(order), "r", "r_grams", num, den)
+    x, y = _keyed(a, small_side(order), "l", "l_grams", num, den), _keyed(b, small_side(order), "r", "r_grams", num, den)
     n, m = F.size("l_grams"), F.size("r_grams")
     fits = (m * den >= n * num) & (n * den >= m * num)
-    pairs = x.join(y, "gram").filter(fits).withColumn("shared", F.size(F.array_intersect("l_grams", "r_grams")))
+    pairs = x.join(y, "key").filter(fits).withColumn("shared", F.size(F.array_intersect("l_grams", "r_grams")))
     pairs = pairs.withColumn("total", n + m - F.col("shared")).filter(F.col("shared") * den >= F.col("total") * num)
     out = stored(pairs.select("l", "r", "shared", "total").distinct(), "similar")
     discard(a, b, order)
