@@ -87,11 +87,11 @@ def _simulate(machine: Reduced, schema: pa.Schema):
     return work
 
 
-def simulate(classed: DataFrame, session: str = "session", pos: str = "pos", word: str = "word", segment: int = SEGMENT) -> DataFrame:
-    """lang and output of each word of the reduced profile; rows need in_en and in_bg, and positions from 0. Long sessions are folded in segments (operators.scan)."""
+def simulate(classed: DataFrame, session: str = "session", pos: str = "pos", word: str = "word", segment: int = SEGMENT, last: int | None = None) -> DataFrame:
+    """lang and output of each word of the reduced profile; rows need in_en and in_bg, and positions from 0. Long sessions are folded in segments (operators.scan; ``last``: see there)."""
     rows = classed.select(F.col(session).alias("session"), F.col(pos).cast("int").alias("pos"), F.col(word).alias("word"), "in_en", "in_bg", (F.length(word) <= 3).alias("short"))
     machine = Reduced()
-    rows = segmented(stored(rows, "classed"), machine, segment)
+    rows = segmented(rows, machine, segment, last)
     shape = StructType([rows.schema["session"], StructField("pos", IntegerType()), StructField("word", StringType()), StructField("is_bg", BooleanType())])
     each = rows.mapInArrow(_simulate(machine, to_arrow_schema(shape)), shape)
     return each.select(F.col("session").alias(session), "pos", "word", F.when(F.col("is_bg"), "BG").otherwise("EN").alias("lang"), F.when(F.col("is_bg"), to_cyrillic(F.col("word"))).otherwise(F.col("word")).alias("output"))
@@ -174,9 +174,9 @@ def features(words: DataFrame, en: DataFrame, bg: DataFrame, word: str = "word")
     return classed.join(fixes, F.col(word) == F.col("_u"), "left").drop("_u")
 
 
-def detect(featured: DataFrame, session: str = "session", pos: str = "pos", word: str = "word", default: str = EN, segment: int = SEGMENT) -> DataFrame:
-    """original, converted, language and confidence of each word of the full profile, with what the lexicons said. Positions are from 0; long sessions are folded in segments (operators.scan). ``featured`` may have en_score and bg_score (operators.scores), en_fix (operators.speller) and preference (the default language of the row's session; null: ``default``). One shuffle, on the session. Rows without a session or a word are left out."""
+def detect(featured: DataFrame, session: str = "session", pos: str = "pos", word: str = "word", default: str = EN, segment: int = SEGMENT, last: int | None = None) -> DataFrame:
+    """original, converted, language and confidence of each word of the full profile, with what the lexicons said. Positions are from 0; long sessions are folded in segments (operators.scan; ``last``: see there). ``featured`` may have en_score and bg_score (operators.scores), en_fix (operators.speller) and preference (the default language of the row's session; null: ``default``). One shuffle, on the session. Rows without a session or a word are left out."""
     rows = featured.select(F.col(session).cast("string").alias("session"), F.col(pos).cast("bigint").alias("pos"), F.col(word).alias("word"), F.coalesce("in_en", F.lit(False)).alias("in_en"), F.coalesce("in_bg", F.lit(False)).alias("in_bg"), "bg_fix", *assists(featured), *(["preference"] if "preference" in featured.columns else []))
     rows = rows.filter("session is not null and word is not null")
     machine = Full(default, bool(assists(featured)), "preference" in featured.columns)
-    return segmented(stored(rows, "featured"), machine, segment).mapInArrow(_detect(machine), RESULT)
+    return segmented(rows, machine, segment, last).mapInArrow(_detect(machine), RESULT)

@@ -110,9 +110,20 @@ def _entries(machine: Machine, schema: pa.Schema):
     return work
 
 
-def segmented(rows: DataFrame, machine: Machine, segment: int = SEGMENT) -> DataFrame:
-    """``rows`` (a stored table with session, pos from 0, and the machine's columns) with segment and entry, the state before it (null: the start), in order by segment within tasks."""
-    if (rows.agg(F.max("pos")).first()[0] or 0) < segment:
+def longest(words: DataFrame, pos: str = "pos") -> int:
+    """The last position of any session."""
+    return words.agg(F.max(pos)).first()[0] or 0
+
+
+def segmented(rows: DataFrame, machine: Machine, segment: int = SEGMENT, last: int | None = None) -> DataFrame:
+    """``rows`` (session, pos from 0, and the machine's columns) with segment and entry, the state before it (null: the start), in order by segment within tasks.
+
+    ``last``: the last position of any session, if it is known (``longest``). Else the rows are stored to find it.
+    """
+    if last is None or last >= segment:
+        rows = stored(rows, "folded")
+        last = longest(rows)
+    if last < segment:
         return rows.select("*", F.lit(0).cast("bigint").alias("segment"), F.lit(None).cast("string").alias("entry")).repartition("session").sortWithinPartitions("session", "pos")
     rows = rows.withColumn("segment", F.floor(F.col("pos") / segment))
     long = stored(rows.filter("segment > 0").select("session").distinct(), "long-sessions")

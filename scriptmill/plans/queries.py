@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from scriptmill.functions import abbreviations, mapping, tokens
-from scriptmill.operators import correct, fold, lookup, replay, scores, similar, speller, timeline
+from scriptmill.operators import correct, fold, lookup, replay, scan, scores, similar, speller, timeline
 from scriptmill.sources import events, lexicons
 from scriptmill.sources.shared import shared_path, spread, stored
 from scriptmill.streaming import detect
@@ -157,7 +157,7 @@ def sim_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def app_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = _words(_docs(spark, sf_dir))
-    return fold.detect(fold.features(words, *_lexicons(spark, sf_dir)), "doc_id")
+    return fold.detect(fold.features(words, *_lexicons(spark, sf_dir)), "doc_id", last=scan.longest(words))
 
 
 def language_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -174,9 +174,10 @@ def spell_english(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def app_fold_assisted(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The full fold with language scores and the English speller."""
-    featured = fold.features(_words(_docs(spark, sf_dir)), *_lexicons(spark, sf_dir))
+    words = _words(_docs(spark, sf_dir))
+    featured = fold.features(words, *_lexicons(spark, sf_dir))
     featured = speller.correct_english(featured, _frequent(spark, sf_dir), where="class = 'neither'")
-    return fold.detect(scores.with_scores(featured, _recogniser(spark, sf_dir)), "doc_id")
+    return fold.detect(scores.with_scores(featured, _recogniser(spark, sf_dir)), "doc_id", last=scan.longest(words))
 
 
 #: Seconds without an event that end a session, and that a stream waits for events out of order.
