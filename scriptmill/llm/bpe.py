@@ -5,7 +5,11 @@ BPE with word ends, NFC, white space runs to one space and lower case before it.
 The distinct words of a batch become one flat array of symbols. A round looks up
 all adjacent pairs in the sorted pair keys by binary search, takes in each word
 the pair of lowest rank at every place where it stands, from the left without
-overlap, and merges them all; words without a known pair are done. Words are
+overlap, and merges them all; words without a known pair are done. Words of more
+than LONG bytes are an array of their own, in which a round takes the lowest rank
+of all words (they don't touch each other, so the order within each is the same),
+goes to the places kept for that rank, and looks up only the pairs that it changed.
+So a word takes its length and a round a rank, not their product. Words are
 remembered up to a bound, then forgotten.
 
 Which characters are letters, and how they are normalised, depends on the
@@ -24,10 +28,12 @@ keeps nothing when it ends.
 from __future__ import annotations
 
 import hashlib
+import heapq
 import json
 import re
 import unicodedata
 from array import array
+from collections import defaultdict
 from collections.abc import Iterator
 from operator import itemgetter
 
@@ -42,6 +48,8 @@ from scriptmill.llm.common import Columns, slices, tidy
 
 #: Distinct words that a task remembers at a time.
 REMEMBERED = 150_000
+#: Bytes above which a word's places are kept by rank.
+LONG = 1024
 END = "</w>"
 #: Characters outside the ranges in which all versions of Unicode in use agree.
 UNSETTLED = regex.compile(r"[^\x00-\u052F\u2010-\u2027\u2030-\u205E\u20A0-\u20B5\u2190-\u23F3\u2500-\u26FF]")
@@ -87,6 +95,8 @@ class Bpe:
         # of equal pairs the last rule holds, as in a map filled in order
         last = np.append(keys[order][1:] != keys[order][:-1], True)
         self.keys, self.ranks, self.made = keys[order][last], order[last].astype(np.int64), made[order][last]
+        self.by_rank = np.full(len(order), -1, np.int64)
+        self.by_rank[self.ranks] = np.arange(len(self.ranks))
         self.names = [str(i) for i in range(max(self.tokens) + 1)]
         #: Of each word its ids, their number, and ids and tokens joined by spaces.
         self.known: dict[str, tuple[array, int, str, str]] = {}
@@ -99,13 +109,70 @@ class Bpe:
     def merge(self, words: list[str]) -> list[np.ndarray]:
         """The ids of each word."""
         raw = [w.encode("utf-8") for w in words]
+        long = [k for k, x in enumerate(raw) if len(x) > LONG]
+        out = self._merge_flat([x for x in raw if len(x) <= LONG])
+        for k, ids in zip(long, self._merge_long([raw[k] for k in long]) if long else [], strict=True):
+            out.insert(k, ids)
+        return out
+
+    def _merge_long(self, raw: list[bytes]) -> list[np.ndarray]:
+        """The ids of each word, by rounds over the places of one rank; a word is followed by a place without a symbol (-1)."""
+        ends = np.cumsum([len(x) + 1 for x in raw])
+        symbols = np.full(ends[-1], -1, np.int64)
+        for x, end in zip(raw, ends, strict=True):
+            data = np.frombuffer(x, np.uint8)
+            symbols[end - 1 - len(x) : end - 1] = self.inner[data]
+            symbols[end - 2] = self.last[data[-1]]
+        after, before = np.arange(1, len(symbols) + 1), np.arange(-1, len(symbols) - 1)
+        after[-1] = len(symbols) - 1
+        places: dict[int, list[np.ndarray]] = defaultdict(list)
+        waiting: list[int] = []
+
+        def look_up(at: np.ndarray) -> None:
+            pair = symbols[at] << 32 | symbols[after[at]]
+            k = np.minimum(np.searchsorted(self.keys, pair), len(self.keys) - 1)
+            fits = self.keys[k] == pair
+            at, rank = at[fits], self.ranks[k[fits]]
+            order = np.argsort(rank, kind="stable")
+            at, rank = at[order], rank[order]
+            cuts = [0, *(np.flatnonzero(rank[1:] != rank[:-1]) + 1).tolist(), len(rank)] if len(rank) else [0]
+            for lo, hi in zip(cuts, cuts[1:]):  # noqa: B905
+                r = int(rank[lo])
+                if r not in places:
+                    heapq.heappush(waiting, r)
+                places[r].append(at[lo:hi])
+
+        look_up(np.arange(len(symbols)))
+        while waiting:
+            r = heapq.heappop(waiting)
+            k = self.by_rank[r]
+            left, right = self.keys[k] >> 32, self.keys[k] & 0xFFFFFFFF
+            at = np.unique(np.concatenate(places.pop(r)))
+            at = at[(symbols[at] == left) & (symbols[after[at]] == right)]
+            if left == right and len(at):
+                # of places in a row every other one counts from the left
+                n = np.arange(len(at))
+                head = np.maximum.accumulate(np.where(np.append(True, at[1:] != after[at[:-1]]), n, 0))
+                at = at[(n - head) % 2 == 0]
+            if not len(at):
+                continue
+            gone = after[at]
+            symbols[at], symbols[gone] = self.made[k], -1
+            after[at] = after[gone]
+            before[after[at]] = at
+            look_up(np.unique(np.concatenate([before[at], at])))
+        found = [symbols[end - 1 - len(x) : end - 1] for x, end in zip(raw, ends, strict=True)]
+        return [x[x >= 0] for x in found]
+
+    def _merge_flat(self, raw: list[bytes]) -> list[np.ndarray]:
+        """The ids of each word, by rounds over all words."""
         sizes = np.array([len(x) for x in raw], np.int64)
         data = np.frombuffer(b"".join(raw), np.uint8)
         ends = np.cumsum(sizes)
         symbols = self.inner[data]
         symbols[ends - 1] = self.last[data[ends - 1]]
-        word = np.repeat(np.arange(len(words)), sizes)
-        out: list[np.ndarray] = [np.empty(0, np.int64)] * len(words)
+        word = np.repeat(np.arange(len(raw)), sizes)
+        out: list[np.ndarray] = [np.empty(0, np.int64)] * len(raw)
         none = np.iinfo(np.int64).max
         while len(symbols):
             pair = symbols[:-1] << 32 | symbols[1:]

@@ -1,3 +1,5 @@
+import random
+
 import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -19,6 +21,15 @@ def test_bpe_equals_the_library(texts):
         assert BPE.decode(ids) == LIBRARY.decode(ids, skip_special_tokens=False)
 
 
+@settings(max_examples=40, deadline=None)
+@given(st.integers(1, 100_000), st.sampled_from(["abcdefghijklmnopqrstuvwxyz", "aab", "a", "éñaßж", "-=!?."]), st.integers(0, 9))
+def test_bpe_on_long_words(n, letters, seed):
+    r = random.Random(seed)
+    long = "".join(r.choices(letters, k=n))
+    text = f"x {long} {long[: bpe.LONG]} {long[1 : bpe.LONG + 2]} end"
+    assert BPE.encode_batch([text])[0] == LIBRARY.encode(text, add_special_tokens=False).ids
+
+
 def test_bpe_on_every_settled_character():
     for c in [*range(0x530), *range(0x2010, 0x2028), *range(0x2030, 0x205F), *range(0x20A0, 0x20B6), *range(0x2190, 0x23F4), *range(0x2500, 0x2700)]:
         texts = [chr(c), f"a{chr(c)}b", f"1{chr(c)}.", f"O{chr(c)} {chr(c)}Q"]
