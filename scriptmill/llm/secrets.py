@@ -11,7 +11,10 @@ in the original text of each of its code points, and secrets found in it are
 reported at those places. A layer that was seen before at the same places ends
 its branch; the same text at another place is a layer of its own. Decoding makes
 a layer shorter, except for decompression, whose code points all have one place:
-so cycles come back to a layer at the same places, and stop.
+so cycles come back to a layer at the same places, and stop. What base64 stands for is made
+piece by piece, when all that came of the piece before is done with, so the worklist holds
+no long text's pieces together; places take eight bytes a code point, and of a layer that
+was looked at a digest stays.
 
 Escapes are decoded segment by segment: between segments stand signs that no
 secret, escape or base64 piece can hold in any layer, so the layers of all
@@ -222,7 +225,7 @@ def _decoded(token: str) -> tuple[bytes, bool] | None:
     return data, _opener(data) is not None
 
 
-def _unwrap_base64(text: str) -> Iterator[tuple[str, list[int] | Same, list[int] | Same]]:
+def _unwrap_base64(text: str) -> Iterator[tuple[str, array | Same, array | Same]]:
     """Whole runs, or else what stands between their signs, and runs over line breaks."""
     block = 0
     for m in BASE64.finditer(text):
@@ -232,12 +235,12 @@ def _unwrap_base64(text: str) -> Iterator[tuple[str, list[int] | Same, list[int]
                 yield from _opened(text, range(p.start(), p.end()))
         if m.start() >= block and (lines := WRAPPED.match(text, m.start())):
             block = lines.end()
-            yield from _opened(text, [lines.start() + k for k, c in enumerate(lines[0]) if c not in " \t\r\n"])
+            yield from _opened(text, array("i", [lines.start() + k for k, c in enumerate(lines[0]) if c not in " \t\r\n"]))
 
 
-def _opened(text: str, at) -> Iterator[tuple[str, list[int] | Same, list[int] | Same]]:
+def _opened(text: str, at) -> Iterator[tuple[str, array | Same, array | Same]]:
     """What the token of the characters at these places stands for."""
-    found = _decoded("".join([text[i] for i in at]) if isinstance(at, list) else text[at[0] : at[-1] + 1])
+    found = _decoded("".join([text[i] for i in at]) if isinstance(at, array) else text[at[0] : at[-1] + 1])
     if found is None:
         return
     data, packed = found
@@ -248,7 +251,7 @@ def _opened(text: str, at) -> Iterator[tuple[str, list[int] | Same, list[int] |
         plain, sizes = data.decode(), None
     except UnicodeDecodeError:
         plain, sizes = data.decode("latin-1"), 1
-    starts, ends, i = [], [], 0
+    starts, ends, i = array("i"), array("i"), 0
     for c in plain:
         j = i + (sizes or len(c.encode()))
         starts.append(at[i * 8 // 6])
@@ -264,7 +267,7 @@ def _through(places, at, shift: int = 0):
         return Same(at.place if places is None else places[at.place - shift])
     if places is None or isinstance(places, Same):
         return at if places is None else places
-    return [places[i - shift] for i in at]
+    return array("i", [places[i - shift] for i in at])
 
 
 #: Signs that begin an escape; runs of all signs that escapes are made of; what may stand between segments.
@@ -324,7 +327,7 @@ class Chain:
     def __init__(self, text: str, at: int) -> None:
         self.text, self.at, self.n = text, at, 0
         self.spans: list[tuple[int, int, int]] = []
-        self.made: list[tuple[str, list[int] | Same, list[int] | Same]] = []
+        self.made: list[tuple[str, array | Same, array | Same]] = []
         self.keywords = [m.start() for m in KEYWORD.finditer(text, at)]
         self.known: set[int] = set()
         self.aligned: set[tuple[int, int]] = set()
@@ -335,8 +338,9 @@ class Chain:
             behind += len(m[0]) - 1
             ((head, _, _),) = [*_unwrap_url(m[0]), *_unwrap_unicode(m[0])]
             if not STARTERS.match(head):
-                places = [*range(at), at, *range(behind, len(text))]
-                self.made.append((text[:at] + head + text[behind:], places, [*range(1, at + 1), behind, *range(behind + 1, len(text) + 1)]))
+                places = array("i", [*range(at), at, *range(behind, len(text))])
+                ends = array("i", [*range(1, at + 1), behind, *range(behind + 1, len(text) + 1)])
+                self.made.append((text[:at] + head + text[behind:], places, ends))
                 return
             self.n += 1
             if (end := self._end(HEX_RUN, behind)) - behind >= 16:
@@ -380,8 +384,8 @@ class Chain:
             begin = _decoded(self.text[at : at + size])[0].decode("latin-1")
             if m := HARD.search(begin, 0, len(begin) - 3):
                 if m.start():
-                    starts = [at + i * 8 // 6 for i in range(m.start())]
-                    self.made.append((begin[: m.start()], starts, [at + -(-(i + 1) * 8 // 6) for i in range(m.start())]))
+                    starts = array("i", [at + i * 8 // 6 for i in range(m.start())])
+                    self.made.append((begin[: m.start()], starts, array("i", [at + -(-(i + 1) * 8 // 6) for i in range(m.start())])))
                 return
             size *= 4
         self.made += _opened(self.text, range(at, end))
@@ -397,33 +401,44 @@ def _unescaped(layer: str) -> Iterator[tuple[int, list[tuple[int, int, int]], li
             n, spans, made = deep.n, deep.spans, deep.made
         else:
             n, spans, made = 0, [], [*_unwrap_url(part), *_unwrap_unicode(part)]
-        moved = lambda at: Same(at.place + lo) if isinstance(at, Same) else [x + lo for x in at]  # noqa: B023, E731
+        moved = lambda at: Same(at.place + lo) if isinstance(at, Same) else array("i", [x + lo for x in at])  # noqa: B023, E731
         yield n, [(s + lo, k, e + lo) for s, k, e in spans], [(plain, moved(x), moved(y)) for plain, x, y in made]
 
 
 def _digest(plain: str, lo, hi) -> bytes:
-    where = (lo.place, hi.place) if isinstance(lo, Same) else array("q", lo + hi).tobytes()
-    return hashlib.sha256(plain.encode("utf-8", "surrogatepass") + b"\xff" + (repr(where).encode() if isinstance(lo, Same) else where)).digest()
+    out = hashlib.sha256(plain.encode("utf-8", "surrogatepass") + b"\xff")
+    for x in (lo, hi):
+        out.update(repr(x.place).encode() if isinstance(x, Same) else x)
+    return out.digest()
 
 
 def all_spans(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]], int]:
     """The spans of layer 0, those of all layers, and the number of layers (of decoded segments, and what base64 stands for)."""
-    base, every, n, seen, work = base_spans(text), set(), 0, set(), [(text, None, None)]
+    base, every, n, seen = base_spans(text), set(), 0, set()
+
+    def inside(layer: str, starts, ends) -> Iterator[tuple]:
+        for plain, lo, hi in _unwrap_base64(layer):
+            yield plain, _through(starts, lo), _through(ends, hi, 1)
+
+    work: list[tuple | Iterator[tuple]] = [(text, None, None)]
     while work:
-        layer, starts, ends = work.pop()
+        found = work.pop() if isinstance(work[-1], tuple) else next(work[-1], None)
+        if found is None:
+            work.pop()
+            continue
+        layer, starts, ends = found
+        if starts is not None and (key := _digest(*found)) in seen:
+            continue
+        if starts is not None:
+            seen.add(key)
         n += 1
         place = lambda spans: spans if starts is None else [(min(starts[s:e]), k, max(ends[s:e])) for s, k, e in spans]  # noqa: B023, E731
         every.update(place(base if starts is None else base_spans(layer)))
-        found = [*_unwrap_base64(layer)]
         for done, spans, made in _unescaped(layer):
             n += done
             every.update(place(spans))
-            found += made
-        for plain, lo, hi in found:
-            lo, hi = _through(starts, lo), _through(ends, hi, 1)
-            if (key := _digest(plain, lo, hi)) not in seen:
-                seen.add(key)
-                work.append((plain, lo, hi))
+            work += [(plain, _through(starts, lo), _through(ends, hi, 1)) for plain, lo, hi in made]
+        work.append(inside(*found))
     return base, sorted(every), n
 
 
