@@ -26,7 +26,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from scriptmill.functions.mapping import is_latin_word, to_cyrillic
-from scriptmill.sources.shared import small_side, stored
+from scriptmill.operators.lookup import attach, counted
+from scriptmill.sources.shared import MAX_WORDS, small_side, stored
 
 SIZE, SCALE, PLACES = 3, 1000, 10_000
 #: Languages that a model may tell apart; their names go through the driver.
@@ -77,7 +78,7 @@ def likelihoods(words: DataFrame, model: Model, word: str = "word", size: int =
     rows = words.select(F.col(word).alias("word")).filter("word <> ''").distinct()
     if not model.langs:
         return rows
-    rows = rows.select("word", F.explode(grams(F.col("word"), size)).alias("gram")).join(small_side(model.table), "gram", "left")
+    rows = rows.select("word", F.explode(grams(F.col("word"), size)).alias("gram")).join(small_side(model.table, MAX_WORDS), "gram", "left")
     return rows.groupBy("word").agg(*[F.sum(F.coalesce(w, F.lit(x))).alias(w) for w, x in zip(model.weights(), model.unseen, strict=True)])
 
 
@@ -113,10 +114,9 @@ def train(counted: DataFrame, en: Mapping[str, float], bg: Mapping[str, float])
     return Recogniser(fit(latin), fit(cyrillic), en, bg)
 
 
-def _both(words: DataFrame, by: Recogniser, word: str) -> DataFrame:
-    """Distinct words with likelihoods by both models: l0, l1, ... and c0, c1, ..."""
-    distinct = stored(words.select(F.col(word).alias("_w")).filter("_w <> ''").distinct(), "scored-words")
-    distinct = distinct.withColumns({"_l": F.lower("_w"), "_c": F.lower(to_cyrillic(F.col("_w")))})
+def _both(words: DataFrame, by: Recogniser) -> DataFrame:
+    """Distinct words (word, n_rows) but empty ones, with likelihoods by both models: l0, l1, ... and c0, c1, ..."""
+    distinct = words.filter("word <> ''").withColumns({"_l": F.lower("word"), "_c": F.lower(to_cyrillic(F.col("word")))})
     for model, key, letter in ((by.latin, "_l", "l"), (by.cyrillic, "_c", "c")):
         found = likelihoods(distinct, model, key)
         distinct = distinct.join(found.select(F.col("word").alias(key), *[F.col(w).alias(f"{letter}{w[1:]}") for w in model.weights()]), key, "left")
@@ -126,13 +126,14 @@ def _both(words: DataFrame, by: Recogniser, word: str) -> DataFrame:
 def with_scores(words: DataFrame, by: Recogniser, word: str = "word") -> DataFrame:
     """``words`` with en_score and bg_score (0 to 1) of each word by itself."""
     renamed = lambda letter: lambda w: F.col(f"{letter}{w[1:]}")
-    each = _both(words, by, word).select("_w", share(by.latin, by.en, renamed("l")).alias("en_score"), share(by.cyrillic, by.bg, renamed("c")).alias("bg_score"))
-    return words.join(small_side(stored(each, "scores")), F.col(word) == F.col("_w"), "left").drop("_w")
+    each = _both(counted(words, word), by).select("word", "n_rows", share(by.latin, by.en, renamed("l")).alias("en_score"), share(by.cyrillic, by.bg, renamed("c")).alias("bg_score"))
+    return attach(words, stored(each, "scores"), word)
 
 
 def with_phrase_scores(words: DataFrame, by: Recogniser, session: str = "session", pos: str = "pos", word: str = "word", recent: int = RECENT) -> DataFrame:
     """The typeable words of sessions with en_score and bg_score, and en_phrase and bg_phrase: the same of the word with up to ``recent`` words before it."""
-    rows = words.filter(is_latin_word(F.col(word))).join(small_side(stored(_both(words, by, word), "likelihoods")), F.col(word) == F.col("_w"), "left")
+    typed = words.filter(is_latin_word(F.col(word)))
+    rows = attach(typed, stored(_both(counted(typed, word), by), "likelihoods"), word)
     frame = W.partitionBy(session).orderBy(pos).rowsBetween(-recent, 0)
     out = [*words.columns]
     for lang, model, factors, letter in (("en", by.latin, by.en, "l"), ("bg", by.cyrillic, by.bg, "c")):

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from scriptmill.functions.mapping import to_cyrillic
 from scriptmill.operators.scores import SIZE, grams
-from scriptmill.sources.shared import discard, small_side, stored
+from scriptmill.sources.shared import MAX_WORDS, discard, small_side, stored
 
 
 def _least(n: Column, num: int, den: int) -> Column:
@@ -49,7 +49,7 @@ def similar(left: DataFrame, right: DataFrame, num: int = 7, den: int = 10, size
     a, b = sets(left, "l"), sets(right, "r")
     all_grams = a.select(F.explode("l_grams").alias("gram")).union(b.select(F.explode("r_grams")))
     order = stored(all_grams.groupBy("gram").agg(F.count("*").alias("n")), "gram-order")
-    x, y = _keyed(a, small_side(order), "l", "l_grams", num, den), _keyed(b, small_side(order), "r", "r_grams", num, den)
+    x, y = _keyed(a, small_side(order, MAX_WORDS), "l", "l_grams", num, den), _keyed(b, small_side(order, MAX_WORDS), "r", "r_grams", num, den)
     n, m = F.size("l_grams"), F.size("r_grams")
     fits = (m * den >= n * num) & (n * den >= m * num)
     pairs = x.join(y, "key").filter(fits).withColumn("shared", F.size(F.array_intersect("l_grams", "r_grams")))

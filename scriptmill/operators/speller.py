@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scriptmill.functions.tokens import restore_case
-from scriptmill.sources.shared import small_side, stored
+from scriptmill.sources.shared import MAX_WORDS, small_side, stored
 
 LEAST, SHORT, MOST = 3, 6, 2
 #: One in so many words has a given slip.
@@ -71,5 +71,5 @@ def spell(words: DataFrame, lexicon: DataFrame, word: str = "word", error: int =
 def correct_english(words: DataFrame, lexicon: DataFrame, word: str = "word", where: str = "true", error: int = ERROR) -> DataFrame:
     """``words`` with en_fix: null for lexicon words, where nothing is near, and where ``where`` does not hold; the case of the first letter is kept."""
     lower = stored(words.filter(where).select(F.lower(F.col(word)).alias("_l")).distinct(), "unknown-english")
-    fixes = small_side(stored(spell(lower, lexicon, "_l", error).select(F.col("word").alias("_l"), "correction"), "english-corrections"))
+    fixes = small_side(stored(spell(lower, lexicon, "_l", error).select(F.col("word").alias("_l"), "correction"), "english-corrections"), MAX_WORDS)
     return words.join(fixes, F.lower(F.col(word)) == F.col("_l"), "left").withColumn("en_fix", F.when(F.expr(where), restore_case(F.col(word), F.col("correction")))).drop("_l", "correction")
