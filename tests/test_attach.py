@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from scriptmill.operators import fold, lookup, speller
+from scriptmill.operators import fold, lookup, scores, speller
 from scriptmill.sources.shared import MAX_WORDS, stored
 from tests.test_bloom import words
 
@@ -48,3 +48,11 @@ def test_large_lexicons_and_vocabularies_are_not_broadcast(spark, sizes):
     fixed = speller.correct_english(out.filter("class = 'neither'").limit(50), frequent, where="class = 'neither'")
     assert fixed.count() == 50
     assert sizes and max(sizes) <= MAX_WORDS
+
+
+def test_scores_of_many_words_are_not_broadcast(spark, sizes):
+    n = MAX_WORDS + 20_000
+    by = scores.train(spark.createDataFrame([("en", "the", 9), ("es", "hola", 4)], "lang string, word string, n bigint"), {"en": 1.0}, {"es": 1.0})
+    rows = stored(words(spark, 0, n), "rows")
+    assert scores.with_scores(rows, by).filter("en_score is not null").count() == n
+    assert sizes and max(sizes) <= MAX_WORDS
