@@ -11,7 +11,8 @@ emitted. Of three blocks of the 64 bits, the two that differ least differ in at
 most half the radius, so the middle point may be chosen within a quarter of it
 there: a fingerprint first emits, for each choice of two blocks, the 43 or 44
 points of this smaller ball (its keys), and only where another fingerprint
-shares a key are the full points around it emitted. Where all who share a key
+shares a key are the full points around it emitted: as a middle point lies between two fingerprints, those
+that flip bits of the block left out in which some who share the key differ. Where all who share a key
 agree on both blocks, only that key itself is followed.
 
 Components of the links come from alternating large-star and small-star rounds,
@@ -105,11 +106,11 @@ def _mask(bits) -> int:
     return _signed(sum(1 << b for b in bits))
 
 
-def ball(center: Column, bits, radius: int) -> Column:
-    """All numbers within ``radius`` (0 to 2) flips of the given bits."""
+def ball(center: Column, bits, radius: int, among: Column) -> Column:
+    """All numbers within ``radius`` (0 to 2) flips of those of the given bits that are set in ``among``."""
     one = [1 << b for b in bits]
     masks = [0, *(one if radius else []), *([a | b for i, a in enumerate(one) for b in one[:i]] if radius > 1 else [])]
-    return F.transform(F.array(*[F.lit(_signed(m)) for m in masks]), lambda m: m.bitwiseXOR(center))
+    return F.transform(F.filter(F.array(*[F.lit(_signed(m)) for m in masks]), lambda m: m.bitwiseAND(among) == m), lambda m: m.bitwiseXOR(center))
 
 
 def _by_block(k: Column, make) -> Column:
@@ -126,30 +127,35 @@ def _outside(k: int) -> list[int]:
 def points(fps: DataFrame) -> DataFrame:
     """fp and point: those points of each fingerprint's ball that another one may share.
 
+    ``fps`` may have lo and hi, the least and largest of the components that a fingerprint's
+    rows are known to be in: a key whose fingerprints are all in one has nothing to link, and is not followed.
+
     A key goes through the shuffle with what makes a fingerprint of it again, in
     one number: the bits of the block left out (22), the bit flipped plus 1, or 0
     (7), and the block (2).
     """
     parts = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    fp, k = F.col("fp"), F.col("k")
+    fp, k, known = F.col("fp"), F.col("k"), [c for c in ("lo", "hi") if c in fps.columns]
     inside = lambda i: fp.bitwiseAND(F.lit(_mask(BLOCKS[i])))
-    sides = fps.repartition(parts, "fp").select("fp", F.explode(F.array(*[F.lit(i) for i in range(len(BLOCKS))])).alias("k"))
+    sides = fps.repartition(parts, "fp").select("fp", *known, F.explode(F.array(*[F.lit(i) for i in range(len(BLOCKS))])).alias("k"))
     left_out = _by_block(k, lambda i: F.shiftrightunsigned(inside(i), BLOCKS[i].start)).cast("int")
-    sides = sides.select("k", _by_block(k, lambda i: fp.bitwiseAND(F.lit(_mask(_outside(i))))).alias("own"), left_out.bitwiseOR(F.shiftleft(k, 29)).alias("base"))
+    sides = sides.select("k", *known, _by_block(k, lambda i: fp.bitwiseAND(F.lit(_mask(_outside(i))))).alias("own"), left_out.bitwiseOR(F.shiftleft(k, 29)).alias("base"))
     flip = lambda mask, code: F.struct(F.col("own").bitwiseXOR(F.lit(mask)).alias("key"), F.col("base").bitwiseOR(F.lit(code << 22)).alias("code"))
     flips = _by_block(k, lambda i: F.array(flip(0, 0), *[flip(_signed(1 << b), b + 1) for b in _outside(i)]))
-    keys = sides.select(F.explode(flips).alias("x")).select("x.key", "x.code")
+    keys = sides.select(*known, F.explode(flips).alias("x")).select(*known, "x.key", "x.code")
 
     bit = F.shiftrightunsigned("code", 22).bitwiseAND(F.lit(127))
     own = F.when(bit == 0, F.col("key")).otherwise(F.col("key").bitwiseXOR(F.expr("shiftleft(1L, (shiftrightunsigned(code, 22) & 127) - 1)")))
     # a key has at most 44 * 2**22 fingerprints, and the window spills
     every = W.partitionBy("key")
-    met = keys.withColumn("own", own).select("key", "code", "own", F.count("*").over(every).alias("n"), F.min("own").over(every).alias("lo"), F.max("own").over(every).alias("hi"))
-    met = met.filter((F.col("n") > 1) & ((F.col("lo") < F.col("hi")) | (F.col("lo") == F.col("key")))).withColumn("k", F.shiftrightunsigned("code", 29))
-    rest = F.col("code").bitwiseAND(F.lit((1 << 22) - 1)).cast("bigint")
-    near = stored(met.select("key", "k", "own", _by_block(k, lambda i: F.shiftleft(rest, BLOCKS[i].start)).alias("rest")), "keys")
-
-    around = lambda r: _by_block(k, lambda i: ball(F.col("rest"), BLOCKS[i], r))
+    open_ = F.min("lo").over(every) < F.max("hi").over(every) if known else F.lit(True)
+    met = keys.withColumn("own", own).select("key", "code", "own", F.count("*").over(every).alias("n"), F.min("own").over(every).alias("least"), F.max("own").over(every).alias("most"), open_.alias("open"), F.bit_or("code").over(every).bitwiseXOR(F.bit_and("code").over(every)).alias("differ"))
+    met = met.filter(F.col("open") & (F.col("n") > 1) & ((F.col("least") < F.col("most")) | (F.col("least") == F.col("key")))).withColumn("k", F.shiftrightunsigned("code", 29))
+    block = lambda c: F.col(c).bitwiseAND(F.lit((1 << 22) - 1)).cast("bigint")
+    near = stored(met.select("key", "k", "own", *[_by_block(k, lambda i, c=c: F.shiftleft(block(c), BLOCKS[i].start)).alias(x) for c, x in (("code", "rest"), ("differ", "differ"))]), "keys")
+
+    # a middle point lies between two of the key, so only bits in which some of them differ are flipped
+    around = lambda r: _by_block(k, lambda i: ball(F.col("rest"), BLOCKS[i], r, F.col("differ")))
     full = near.select("key", F.col("own").bitwiseOR(F.col("rest")).alias("fp"), F.explode(F.when(F.col("own") == F.col("key"), around(2)).otherwise(around(1))).alias("rest"))
     return full.select("fp", F.col("key").bitwiseOR(F.col("rest")).alias("point")).distinct()
 
@@ -157,13 +163,16 @@ def points(fps: DataFrame) -> DataFrame:
 def links(fps: DataFrame) -> DataFrame:
     """Links (a, b) whose components are those of all pairs at most RADIUS bits apart.
 
+    ``fps`` may have lo and hi (see :func:`points`); of links within one component not all are there then.
     Fingerprints at a point are told apart by their distance from it, 0 to 2.
     Those at 1 are linked to the one at 0 and to the least at 1; those at 2 to
     the least at 1 and to the least at 2, but only if they are as far from each
     other as the way over the point: nearer ones are linked at a nearer point.
     """
     far = F.bit_count(F.col("fp").bitwiseXOR(F.col("point")))
-    rows = points(stored(fps.select("fp").distinct(), "fingerprints")).withColumn("far", far).withColumn("_salt", salt("fp"))
+    known = [f(c).alias(c) for f, c in ((F.min, "lo"), (F.max, "hi")) if c in fps.columns]
+    each = fps.groupBy("fp").agg(*known) if known else fps.select("fp").distinct()
+    rows = points(stored(each, "fingerprints")).withColumn("far", far).withColumn("_salt", salt("fp"))
     least = [F.min(F.when(F.col("far") == d, F.col("fp"))).alias(f"m{d}") for d in range(3)]
     met = rows.groupBy("point").agg(F.count("*").alias("n"), *least, F.bit_or(F.expr("shiftleft(1L, _salt)")).alias("_mask"))
     met = met.filter("n > 1").select("point", "m0", "m1", "m2", F.explode(salts_of("_mask")).alias("_salt"))

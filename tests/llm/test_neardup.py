@@ -2,9 +2,10 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
-from scriptmill.llm import neardup
+from scriptmill.llm import neardup, simhash
 from scriptmill.sources.shared import trim_driver
 from tests.llm import brute
 from tests.llm.conftest import DOCS
@@ -148,3 +149,30 @@ def test_keys_shared_by_chance_are_none(spark):
 
 def test_the_driver_gives_freed_memory_back(spark):
     assert trim_driver(spark)
+
+
+def test_linked_copies_make_no_points(spark, monkeypatch):
+    """What the keys have put in one component is not hashed again: near copies of one text emit no points of their balls, however many they are."""
+    made, points = [], simhash.points
+
+    def counted(fps):
+        made.append(points(fps).count())
+        return points(fps)
+
+    monkeypatch.setattr(simhash, "points", counted)
+    w = words(7, 300)
+    texts = [(k, " ".join(edited(k, w, {10 + 3 * k} if k else ()))) for k in range(80)]
+    got = neardup.near_duplicates(spark.createDataFrame([(d, t, "en", "s", None) for d, t in texts], DOCS))
+    assert {r["component_id"] for r in got.collect()} == {0}
+    assert made == [0]
+
+
+def test_points_flip_differing_bits_only(spark):
+    """Two fingerprints four bits apart meet at points between them; before, each emitted whole balls around their keys."""
+    a, b = 0x0123456789ABCDEF, 0x0123456789ABCDEF ^ (1 << 3 | 1 << 25 | 1 << 50 | 1 << 61)
+    fps = spark.createDataFrame([(a,), (b,)], "fp long")
+    assert 0 < simhash.points(fps).count() <= 40
+    assert {(r["a"], r["b"]) for r in simhash.links(fps).collect()} & {(a, b), (b, a)}
+    one = fps.withColumns({"lo": F.lit(1), "hi": F.lit(1)})
+    assert simhash.points(one).count() == 0
+    assert simhash.points(one.withColumn("hi", F.lit(2))).count() == simhash.points(fps).count()
