@@ -119,7 +119,7 @@ def _both(words: DataFrame, by: Recogniser) -> DataFrame:
     distinct = words.filter("word <> ''").withColumns({"_l": F.lower("word"), "_c": F.lower(to_cyrillic(F.col("word")))})
     for model, key, letter in ((by.latin, "_l", "l"), (by.cyrillic, "_c", "c")):
         found = likelihoods(distinct, model, key)
-        distinct = distinct.join(found.select(F.col("word").alias(key), *[F.col(w).alias(f"{letter}{w[1:]}") for w in model.weights()]), key, "left")
+        distinct = distinct.join(found.select(F.col("word").alias(key), *[F.col(w).alias(f"{letter}{w[1:]}") for w in model.weights()]).hint("merge"), key, "left")
     return distinct.drop("_l", "_c")
 
 

@@ -7,8 +7,8 @@ characters or more may have two edits, of LEAST or more one, shorter ones none.
 
 Words and lexicon meet on what is left of them when up to as many characters as
 there may be edits are taken out: whatever is one or two edits away shares such a
-rest. So neither side is broadcast or walked as a whole, and only words that
-share a rest are compared. Keys of two characters taken out are at least SHORT - 2
+rest. So neither side is broadcast or walked as a whole (the hints see to that, as the rests of a word list
+are some forty times what Spark takes from its files), and only words that share a rest are compared. Keys of two characters taken out are at least SHORT - 2
 long.
 
 Rows: null words have no correction; words of the lexicon are left alone; of equal weights the
@@ -57,8 +57,8 @@ def spell(words: DataFrame, lexicon: DataFrame, word: str = "word", error: int =
     """word, correction and edits of each distinct word outside the lexicon (word, n) that has a correction."""
     known = lexicon.filter("word <> ''").groupBy(F.col("word").alias("c")).agg(F.sum("n").alias("n"))
     asked = words.select(F.col(word).alias("w")).distinct().withColumn("allowed", edits_allowed(F.col("w"))).filter("allowed > 0")
-    asked = asked.join(known.select(F.col("c").alias("w")), "w", "left_anti")
-    pairs = _rests(asked, "w").join(_rests(known, "c"), "key").select("w", "c", "n", "allowed").distinct()
+    asked = asked.join(known.select(F.col("c").alias("w")).hint("merge"), "w", "left_anti")
+    pairs = _rests(asked, "w").hint("merge").join(_rests(known, "c").hint("merge"), "key").select("w", "c", "n", "allowed").distinct()
     w, c = F.col("w"), F.col("c")
     plain = F.levenshtein(w, c)
     edits = F.when((plain == 2) & (F.length(w) == F.length(c)) & _swapped(c, w), 1).otherwise(plain)
