@@ -10,8 +10,9 @@ A whole ball has 2,081 points. An exact filter keeps most of them from being
 emitted. Of three blocks of the 64 bits, the two that differ least differ in at
 most half the radius, so the middle point may be chosen within a quarter of it
 there: a fingerprint first emits, for each choice of two blocks, the 43 or 44
-points of this smaller ball (its keys), and only where another fingerprint
-shares a key are the full points around it emitted: as a middle point lies between two fingerprints, those
+points of this smaller ball (its keys). Those that share a key are put in order and each is compared with
+the NEIGHBOURS before it, which settles all keys of a few, and most of the links of others. Only where more share a
+key and are in several components after that are the full points around it emitted: as a middle point lies between two fingerprints, those
 that flip bits of the block left out in which some who share the key differ. Where all who share a key
 agree on both blocks, only that key itself is followed.
 
@@ -42,6 +43,8 @@ from scriptmill.llm.common import Columns, group_min, salt, salts_of, slices, st
 from scriptmill.sources.shared import discard
 
 WORDS, RADIUS, SEED = 4, 4, 42
+#: How many of those before it in a key's order a fingerprint is compared with.
+NEIGHBOURS = 8
 #: For each value of a byte, eight byte lanes that hold its bits.
 LANES = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").copy().view(np.uint64).ravel()
 
@@ -124,8 +127,9 @@ def _outside(k: int) -> list[int]:
     return [b for i, block in enumerate(BLOCKS) if i != k for b in block]
 
 
-def points(fps: DataFrame) -> DataFrame:
-    """fp and point: those points of each fingerprint's ball that another one may share.
+def keys(fps: DataFrame) -> DataFrame:
+    """The keys of each fingerprint that another one shares, as a stored table: key, the block k left out, the bits own of the other two and rest
+    of that one, how many n share the key, and the bits of that block in which they differ.
 
     ``fps`` may have lo and hi, the least and largest of the components that a fingerprint's
     rows are known to be in: a key whose fingerprints are all in one has nothing to link, and is not followed.
@@ -142,18 +146,42 @@ def points(fps: DataFrame) -> DataFrame:
     sides = sides.select("k", *known, _by_block(k, lambda i: fp.bitwiseAND(F.lit(_mask(_outside(i))))).alias("own"), left_out.bitwiseOR(F.shiftleft(k, 29)).alias("base"))
     flip = lambda mask, code: F.struct(F.col("own").bitwiseXOR(F.lit(mask)).alias("key"), F.col("base").bitwiseOR(F.lit(code << 22)).alias("code"))
     flips = _by_block(k, lambda i: F.array(flip(0, 0), *[flip(_signed(1 << b), b + 1) for b in _outside(i)]))
-    keys = sides.select(*known, F.explode(flips).alias("x")).select(*known, "x.key", "x.code")
+    made = sides.select(*known, F.explode(flips).alias("x")).select(*known, "x.key", "x.code")
 
     bit = F.shiftrightunsigned("code", 22).bitwiseAND(F.lit(127))
     own = F.when(bit == 0, F.col("key")).otherwise(F.col("key").bitwiseXOR(F.expr("shiftleft(1L, (shiftrightunsigned(code, 22) & 127) - 1)")))
     # a key has at most 44 * 2**22 fingerprints, and the window spills
     every = W.partitionBy("key")
     open_ = F.min("lo").over(every) < F.max("hi").over(every) if known else F.lit(True)
-    met = keys.withColumn("own", own).select("key", "code", "own", F.count("*").over(every).alias("n"), F.min("own").over(every).alias("least"), F.max("own").over(every).alias("most"), open_.alias("open"), F.bit_or("code").over(every).bitwiseXOR(F.bit_and("code").over(every)).alias("differ"))
+    met = made.withColumn("own", own).select("key", "code", "own", F.count("*").over(every).alias("n"), *known, F.min("own").over(every).alias("least"), F.max("own").over(every).alias("most"), open_.alias("open"), F.bit_or("code").over(every).bitwiseXOR(F.bit_and("code").over(every)).alias("differ"))
     met = met.filter(F.col("open") & (F.col("n") > 1) & ((F.col("least") < F.col("most")) | (F.col("least") == F.col("key")))).withColumn("k", F.shiftrightunsigned("code", 29))
     block = lambda c: F.col(c).bitwiseAND(F.lit((1 << 22) - 1)).cast("bigint")
-    near = stored(met.select("key", "k", "own", *[_by_block(k, lambda i, c=c: F.shiftleft(block(c), BLOCKS[i].start)).alias(x) for c, x in (("code", "rest"), ("differ", "differ"))]), "keys")
+    return stored(met.select("key", "k", "own", "n", *known, *[_by_block(k, lambda i, c=c: F.shiftleft(block(c), BLOCKS[i].start)).alias(x) for c, x in (("code", "rest"), ("differ", "differ"))]), "keys")
+
+
+def neighbours(shared: DataFrame) -> DataFrame:
+    """Links (a, b) of each fingerprint with those of the NEIGHBOURS before it in its keys' order that are at most RADIUS bits away.
+
+    A key of up to NEIGHBOURS + 1 has all its links then. Two that agree on both blocks are linked where these are the key itself.
+    ``shared`` is a table of keys; with lo and hi, links within one component are left out.
+    """
+    fp, known = F.col("own").bitwiseOR(F.col("rest")), [c for c in ("lo", "hi") if c in shared.columns]
+    order = W.partitionBy("key").orderBy("rest", "own").rowsBetween(-NEIGHBOURS, -1)
+    rows = shared.select("key", "own", fp.alias("fp"), *known, F.collect_list(F.struct(fp.alias("fp"), "own", *known)).over(order).alias("before"))
+
+    def linked(x: Column) -> Column:
+        far = F.bit_count(x["fp"].bitwiseXOR(F.col("fp")))
+        apart = F.least("lo", x["lo"]) < F.greatest("hi", x["hi"]) if known else F.lit(True)
+        return (far > 0) & (far <= RADIUS) & ((x["own"] != F.col("own")) | (F.col("own") == F.col("key"))) & apart
 
+    found = rows.select(F.col("fp").alias("a"), F.transform(F.filter("before", linked), lambda x: x["fp"]).alias("ends"))
+    return found.filter(F.size("ends") > 0).select("a", F.explode("ends").alias("b")).distinct()
+
+
+def points(fps: DataFrame) -> DataFrame:
+    """fp and point: those points of each fingerprint's ball that another one may share. ``fps``: fingerprints (see :func:`keys`), or some of their keys."""
+    near = fps if "key" in fps.columns else keys(fps)
+    k = F.col("k")
     # a middle point lies between two of the key, so only bits in which some of them differ are flipped
     around = lambda r: _by_block(k, lambda i: ball(F.col("rest"), BLOCKS[i], r, F.col("differ")))
     full = near.select("key", F.col("own").bitwiseOR(F.col("rest")).alias("fp"), F.explode(F.when(F.col("own") == F.col("key"), around(2)).otherwise(around(1))).alias("rest"))
@@ -163,16 +191,34 @@ def points(fps: DataFrame) -> DataFrame:
 def links(fps: DataFrame) -> DataFrame:
     """Links (a, b) whose components are those of all pairs at most RADIUS bits apart.
 
-    ``fps`` may have lo and hi (see :func:`points`); of links within one component not all are there then.
-    Fingerprints at a point are told apart by their distance from it, 0 to 2.
+    ``fps`` may have lo and hi (see :func:`keys`); of links within one component not all are there then.
+    Neighbours in keys are linked first, which leaves only large keys whose fingerprints are in several components.
+    Their points are made. Fingerprints at a point are told apart by their distance from it, 0 to 2.
     Those at 1 are linked to the one at 0 and to the least at 1; those at 2 to
     the least at 1 and to the least at 2, but only if they are as far from each
     other as the way over the point: nearer ones are linked at a nearer point.
     """
-    far = F.bit_count(F.col("fp").bitwiseXOR(F.col("point")))
     known = [f(c).alias(c) for f, c in ((F.min, "lo"), (F.max, "hi")) if c in fps.columns]
-    each = fps.groupBy("fp").agg(*known) if known else fps.select("fp").distinct()
-    rows = points(stored(each, "fingerprints")).withColumn("far", far).withColumn("_salt", salt("fp"))
+    each = stored(fps.groupBy("fp").agg(*known) if known else fps.select("fp").distinct(), "fingerprints")
+    shared = keys(each)
+    large = shared.filter(F.col("n") > NEIGHBOURS + 1)
+    # what is known already is not what these links say, and a caller may find them wrong: large keys stay open then
+    first = stored(neighbours(shared.filter(F.col("n") <= NEIGHBOURS + 1) if known else shared), "neighbours")
+    if not known and not large.isEmpty():
+        roots = components(first)
+        fp, every = F.col("own").bitwiseOR(F.col("rest")), W.partitionBy("key")
+        rows = large.join(roots.hint("merge"), fp == F.col("node"), "left").withColumn("root", F.coalesce("root", fp))
+        large = rows.withColumn("open", F.min("root").over(every) < F.max("root").over(every)).filter("open").select(large.columns)
+    # read twice
+    made = stored(points(large), "points")
+    discard(each, shared)
+    return first.union(_stars(made)).distinct()
+
+
+def _stars(made: DataFrame) -> DataFrame:
+    """Links (a, b) of fingerprints that share points (fp and point), see :func:`links`."""
+    far = F.bit_count(F.col("fp").bitwiseXOR(F.col("point")))
+    rows = made.withColumn("far", far).withColumn("_salt", salt("fp"))
     least = [F.min(F.when(F.col("far") == d, F.col("fp"))).alias(f"m{d}") for d in range(3)]
     met = rows.groupBy("point").agg(F.count("*").alias("n"), *least, F.bit_or(F.expr("shiftleft(1L, _salt)")).alias("_mask"))
     met = met.filter("n > 1").select("point", "m0", "m1", "m2", F.explode(salts_of("_mask")).alias("_salt"))
